@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from assayer.llm import exact_dedup
+from assayer.llm import exact_dedup, mixing, packing, token_store
 
 
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -25,8 +25,26 @@ FROM d WINDOW g AS (PARTITION BY text_sha256)
 """
 
 
+def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    folder, manifest = token_store.write_tokens(docs, end_id=2)
+    found = token_store.read_digests(folder, manifest)
+    return found.select(F.col("id").alias("doc_id"), "start", "n_tokens", "ids_crc32")
+
+
+def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return packing.best_fit(docs, capacity=2048, end_id=0).withColumnRenamed("id", "doc_id")
+
+
+def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return mixing.mix(docs, weights=(5, 2, 1), share=1.5, cap=2.0).withColumnRenamed("id", "doc_id")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op4_exact_dedup": op4_exact_dedup}
+    named = (op3_token_files, op4_exact_dedup, op8_best_fit_packing, op9_source_mixing)
+    return {f.__name__: f for f in named}
 
 
 def oracle_sql() -> dict[str, str]:
