@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from assayer.llm import exact_dedup, mixing, packing, token_store
+from assayer.llm import exact_dedup, mixing, near_dup, packing, token_store
 
 
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -32,6 +32,11 @@ def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), "start", "n_tokens", "ids_crc32")
 
 
+def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return near_dup.near_duplicates(docs, size=4, percent=85).withColumnRenamed("id", "doc_id")
+
+
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return packing.best_fit(docs, capacity=2048, end_id=0).withColumnRenamed("id", "doc_id")
@@ -43,7 +48,7 @@ def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    named = (op3_token_files, op4_exact_dedup, op8_best_fit_packing, op9_source_mixing)
+    named = (op3_token_files, op4_exact_dedup, op5_ngram_jaccard_join, op8_best_fit_packing, op9_source_mixing)
     return {f.__name__: f for f in named}
 
 
