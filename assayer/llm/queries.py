@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from assayer.llm import exact_dedup, mixing, near_dup, packing, token_store
+from assayer.llm import embedding_dedup, exact_dedup, mixing, near_dup, packing, quality, token_store
 
 
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -25,6 +25,11 @@ FROM d WINDOW g AS (PARTITION BY text_sha256)
 """
 
 
+def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
+    return quality.score(docs, quality.train(docs, labels)).withColumnRenamed("id", "doc_id")
+
+
 def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     folder, manifest = token_store.write_tokens(docs, end_id=2)
@@ -47,8 +52,13 @@ def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(docs, weights=(5, 2, 1), share=1.5, cap=2.0).withColumnRenamed("id", "doc_id")
 
 
+def op10_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    return embedding_dedup.near_duplicates(vectors, cosine=0.95).withColumnRenamed("id", "vec_id")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    named = (op3_token_files, op4_exact_dedup, op5_ngram_jaccard_join, op8_best_fit_packing, op9_source_mixing)
+    named = (op1_quality_classifier, op3_token_files, op4_exact_dedup, op5_ngram_jaccard_join, op8_best_fit_packing, op9_source_mixing, op10_embedding_near_dedup)
     return {f.__name__: f for f in named}
 
 
