@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from assayer.llm import embedding_dedup, exact_dedup, mixing, near_dup, packing, quality, token_store
+from assayer.llm import embedding_dedup, exact_dedup, html_text, mixing, near_dup, packing, quality, token_store, url_filters
 
 
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -30,6 +30,59 @@ def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(docs, quality.train(docs, labels)).withColumnRenamed("id", "doc_id")
 
 
+def op2_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each page counts as fetched on a day of 2024 by its id; lists grow out of the pages themselves.
+
+    A page may report its host, withdraw a report, report the domain above its host, or vouch for the
+    first segment of its path, on the day it is fetched.
+    """
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", F.timestamp_seconds(F.lit(1704067200) + F.col("page_id") % 366 * 86400).alias("at"))
+    name, turn = url_filters.host(F.col("url")), F.col("page_id") % 10
+    segment = F.regexp_extract(url_filters.path(F.col("url")), "^/([^/]+)", 1)
+    pattern = F.when(turn.isin(0, 5), name).when((turn == 3) & (F.size(F.split(name, r"\.")) > 3), F.regexp_replace(name, r"^[^.]*\.", "")).when((turn == 7) & (segment != ""), F.concat(name, F.lit("/"), segment))
+    entries = pages.select(
+        F.when(turn == 3, "operators").when(turn == 7, "trusted").otherwise("reports").alias("list"),
+        F.when(turn == 7, "allow").otherwise("block").alias("action"), pattern.alias("pattern"), (turn != 5).alias("listed"), "at",
+    ).filter("pattern is not null")
+    found = url_filters.judge(pages, entries)
+    return found.select(F.col("id").alias("page_id"), F.date_format("at", "yyyy-MM-dd").alias("fetched_on"), "n_active", "block_pattern", "allow_pattern", "blocked")
+
+
+OP2_SQL = r"""
+WITH p AS (
+  SELECT page_id, make_date(2024, 1, 1) + CAST(page_id % 366 AS INTEGER) AS day, page_id % 10 AS turn,
+    lower(regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)', 1)) AS host,
+    list_filter(string_split(regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*(/[^?#]*)', 1), '/'), lambda s : s <> '') AS parts
+  FROM pages),
+k AS (SELECT *, string_split(host, '.') AS labels FROM p),
+e AS (
+  SELECT CASE turn WHEN 3 THEN 'operators' WHEN 7 THEN 'trusted' ELSE 'reports' END AS list_name,
+    CASE turn WHEN 7 THEN 'allow' ELSE 'block' END AS action,
+    CASE WHEN turn IN (0, 5) THEN host WHEN turn = 3 AND len(labels) > 3 THEN array_to_string(labels[2:], '.')
+      WHEN turn = 7 AND len(parts) > 0 THEN host || '/' || parts[1] END AS pattern, turn <> 5 AS listed, day
+  FROM k),
+o AS (SELECT list_name, action, pattern, day, bool_and(listed) AS listed FROM e WHERE pattern IS NOT NULL GROUP BY ALL),
+v AS (SELECT list_name, action, pattern, listed, day AS since, lead(day, 1, make_date(9999, 12, 31)) OVER (PARTITION BY list_name, action, pattern ORDER BY day) AS until FROM o),
+x AS (
+  SELECT page_id, day, unnest(list_concat(
+    list_transform(range(1, greatest(len(labels) - 1, 1) + 1), lambda i: array_to_string(labels[i:], '.')),
+    list_transform(range(1, len(parts) + 1), lambda i: host || '/' || array_to_string(parts[1:i], '/')))) AS pattern
+  FROM k WHERE host <> ''),
+m AS (
+  SELECT page_id, count(*) AS n_active, max({'n': length(x.pattern), 'pattern': x.pattern}) FILTER (action = 'block') AS b,
+    max({'n': length(x.pattern), 'pattern': x.pattern}) FILTER (action = 'allow') AS a
+  FROM x JOIN v ON x.pattern = v.pattern AND listed AND since <= day AND day < until GROUP BY page_id)
+SELECT page_id, strftime(day, '%Y-%m-%d') AS fetched_on, coalesce(n_active, 0) AS n_active, b.pattern AS block_pattern, a.pattern AS allow_pattern,
+  b IS NOT NULL AND coalesce(b.n > a.n, true) AS blocked
+FROM p LEFT JOIN m USING (page_id)
+"""
+
+
+def op7_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = html_text.extract(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+    return found.select(F.col("id").alias("page_id"), "text", html_text.line_count(F.col("text")).alias("n_lines"))
+
+
 def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     folder, manifest = token_store.write_tokens(docs, end_id=2)
@@ -58,9 +111,9 @@ def op10_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    named = (op1_quality_classifier, op3_token_files, op4_exact_dedup, op5_ngram_jaccard_join, op8_best_fit_packing, op9_source_mixing, op10_embedding_near_dedup)
+    named = (op1_quality_classifier, op2_url_filters, op3_token_files, op4_exact_dedup, op5_ngram_jaccard_join, op7_html_extraction, op8_best_fit_packing, op9_source_mixing, op10_embedding_near_dedup)
     return {f.__name__: f for f in named}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_exact_dedup": OP4_SQL}
+    return {"op2_url_filters": OP2_SQL, "op4_exact_dedup": OP4_SQL}
