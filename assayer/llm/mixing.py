@@ -90,8 +90,15 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.
     return chosen.select("id", "source", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
 
 
-def emit(docs: DataFrame, mixed: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """``docs`` repeated as the mix says; ids must be unique."""
-    copies = mixed.filter("copies > 0").select(F.col("id").alias("__id"), F.col("copies").alias("__copies"))
-    joined = docs.join(copies, docs[id_col] == F.col("__id"))
-    return joined.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).drop("__id", "__copies", "__copy")
+def emit(docs: DataFrame, mixed: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """``docs`` repeated as the mix says, with all their columns.
+
+    Rows that share an id are told apart by source and size, and are alike to the mix if those agree.
+    """
+    nth = F.row_number().over(Window.partitionBy("__id").orderBy("__source", "__size"))
+    keyed = docs.withColumns({"__id": F.col(id_col), "__source": F.col(source_col), "__size": word_count(F.col(text_col))}).withColumn("__nth", nth)
+    copies = mixed.select(F.col("id").alias("__id"), F.col("source").alias("__source"), F.col("size").alias("__size"), F.col("copies").alias("__copies"))
+    copies = copies.withColumn("__nth", nth).select(F.col("__id").alias("__mixed"), F.col("__nth").alias("__which"), "__copies").filter("__copies > 0")
+    joined = keyed.join(copies, keyed["__id"].eqNullSafe(copies["__mixed"]) & (keyed["__nth"] == copies["__which"]))
+    repeated = joined.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int"))))
+    return repeated.select(*docs.columns)

@@ -321,3 +321,10 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, id_col: s
     placed = members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = placed.filter("root is not null").groupBy("root").agg(F.min("id").alias("least"))
     return placed.join(least, "root", "left").select("id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("least", "id").alias("component_id"))
+
+
+def keep_one(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The documents of least id in their group, with all their columns; rows that share an id count as one document."""
+    found = near_duplicates(docs, size, percent, id_col, text_col)
+    kept = found.filter(F.col("id").eqNullSafe(F.col("component_id"))).select(F.col("id").alias("__id")).distinct()
+    return docs.join(kept, docs[id_col].eqNullSafe(kept["__id"]), "left_semi")

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from assayer.llm import embedding_dedup, exact_dedup, html_text, mixing, near_dup, packing, quality, token_store, url_filters
+from assayer.llm import embedding_dedup, exact_dedup, html_text, licenses, mixing, near_dup, packing, quality, token_store, url_filters
 
 
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -78,6 +78,12 @@ FROM p LEFT JOIN m USING (page_id)
 """
 
 
+def op6_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    found = licenses.scan(docs, licenses.train(docs))
+    return found.select(F.col("id").alias("doc_id"), "n_paragraphs", F.array_join(F.array_sort(F.array_distinct("families")), ",").alias("families"), F.size("families").alias("n_notices"))
+
+
 def op7_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = html_text.extract(spark.read.parquet(f"{sf_dir}/pages.parquet"))
     return found.select(F.col("id").alias("page_id"), "text", html_text.line_count(F.col("text")).alias("n_lines"))
@@ -111,7 +117,7 @@ def op10_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    named = (op1_quality_classifier, op2_url_filters, op3_token_files, op4_exact_dedup, op5_ngram_jaccard_join, op7_html_extraction, op8_best_fit_packing, op9_source_mixing, op10_embedding_near_dedup)
+    named = (op1_quality_classifier, op2_url_filters, op3_token_files, op4_exact_dedup, op5_ngram_jaccard_join, op6_license_scans, op7_html_extraction, op8_best_fit_packing, op9_source_mixing, op10_embedding_near_dedup)
     return {f.__name__: f for f in named}
 
 

@@ -1,20 +1,52 @@
-"""A corpus pipeline: every stage reads what its predecessor wrote, and its decisions take effect."""
+"""A corpus pipeline of five stages, from raw documents to packed training sequences.
+
+Each stage is handed what its predecessor kept and its decisions take effect; every result is written
+as Parquet and read again by the next stage, so a lost executor costs one stage's work at most.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from assayer.llm import exact_dedup
+from assayer.llm import exact_dedup, mixing, near_dup, packing, quality
 from assayer.storage import materialize
 
 
+def drop_poor_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier rejects go; it learns from the labels of the same corpus."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return quality.keep_good(docs, quality.train(docs, labels))
+
+
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts the row with the largest doc_id stays."""
     return exact_dedup.keep_distinct(docs, exact_dedup.temporary_index(spark))
 
 
-STAGES = [("exact dedup", drop_exact_copies)]
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of texts linked by a Jaccard similarity of 0.8 over five words, the one with the least doc_id stays."""
+    return near_dup.keep_one(docs, size=5, percent=80)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents are dropped or repeated so that sources have their target shares."""
+    return mixing.emit(docs, mixing.mix(docs))
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every piece of every document, with its place in a sequence of 2048 tokens."""
+    return packing.best_fit(docs, capacity=2048, end_id=0).withColumnRenamed("id", "doc_id")
+
+
+STAGES = [
+    ("quality classifier", drop_poor_texts),
+    ("exact dedup", drop_exact_copies),
+    ("n-gram jaccard join", drop_near_copies),
+    ("mixing sources", mix_sources),
+    ("best-fit packing", pack_sequences),
+]
 
+#: A trained classifier, a tokenizer and a bin packing have no SQL; tests hold run() against plain Python.
 ORACLE_SQL = None
 
 
