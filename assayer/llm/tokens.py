@@ -17,7 +17,7 @@ import pyarrow.compute as pc
 #: Characters that end a letter run and join no other character; "<" and ">" belong to special tokens, "'" to contractions.
 TRAILING = ".,!*$%&#:;?()[]{}=/\"^~`"
 #: Text bytes encoded at once, and distinct chunks remembered by a worker.
-SLICE_BYTES, MEMO_LIMIT = 8 << 20, 500_000
+SLICE_BYTES, MEMO_LIMIT = 16 << 20, 900_000
 
 
 class ChunkEncoder:
@@ -30,60 +30,70 @@ class ChunkEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.vocabulary_size = self.tokenizer.get_vocab_size()
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends_word = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
+        self.ends_word[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
         self.memo_limit = memo_limit
         self.memo: dict[str, bytes] = {}
 
-    def _learn(self, words: list[str]) -> None:
-        """Remember the ids of ``words``; pure letter runs go to the library many at a time."""
+    def _learn(self, words: list[str], into: dict[str, bytes]) -> None:
+        """Put the ids of ``words`` in ``into``; pure letter runs go to the library many at a time."""
         letters = [w for w in words if w.isalpha()]
         rest = [w for w in words if not w.isalpha()]
         for at in range(0, len(letters), 4096):
             part = letters[at : at + 4096]
-            found = self.tokenizer.encode(" ".join(part), add_special_tokens=False)
-            ids = np.array(found.ids, dtype="<u4").tobytes()
-            cuts = np.flatnonzero(np.diff(np.array(found.word_ids, dtype=np.int64))) + 1
-            if len(cuts) + 1 != len(part):  # some letters split when normalised
+            (found,) = self.tokenizer.encode_batch_fast([" ".join(part)], add_special_tokens=False)
+            ids = np.array(found.ids, dtype="<u4")
+            cuts = np.flatnonzero(self.ends_word[ids]) + 1
+            if len(cuts) != len(part):  # no marks of word ends, or some letters split when normalised
                 rest += part
                 continue
-            ends = [0, *(4 * cuts).tolist(), len(ids)]
-            for word, a, b in zip(part, ends, ends[1:]):
-                self.memo[word] = ids[a:b]
+            ids, ends = ids.tobytes(), [0, *(4 * cuts).tolist()]
+            into.update(zip(part, (ids[a:b] for a, b in zip(ends, ends[1:]))))
         for word, found in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False)):
-            self.memo[word] = np.array(found.ids, dtype="<u4").tobytes()
+            into[word] = np.array(found.ids, dtype="<u4").tobytes()
 
     def _table(self, vocabulary: list[str]) -> list[bytes]:
-        if len(self.memo) > self.memo_limit:
-            self.memo.clear()
-        memo = self.memo
-        found = list(map(memo.get, vocabulary))
-        missing = [w for w, ids in zip(vocabulary, found) if ids is None]
-        if missing:
-            split = [(w, w.rstrip(TRAILING)) for w in missing]
-            need = {w for w, _ in split if w.isalpha()}
-            for w, base in split:
-                if base.isalpha():
-                    need |= {base, w[len(base) :]}
-                else:
-                    need.add(w)
-            self._learn([w for w in need if w not in memo])
-            for w, base in split:
-                if w not in memo:
-                    memo[w] = memo[base] + memo[w[len(base) :]]
-            found = list(map(memo.__getitem__, vocabulary))
-        return found
+        """Ids of each chunk.  Words that the full memory has no room for serve this slice alone: early words are the frequent ones."""
+        get = self.memo.get
+        table = list(map(get, vocabulary))
+        open_at = [i for i, ids in enumerate(table) if ids is None]
+        parts, need = [], set()
+        for i in open_at:
+            chunk = vocabulary[i]
+            base = chunk.rstrip(TRAILING)
+            if base.isascii() and base.isalpha():
+                tail = chunk[len(base) :]
+                base = base.lower()  # as the normaliser does; one entry for all spellings
+            elif base.isalpha():
+                tail = chunk[len(base) :]
+            else:
+                base, tail = chunk, ""
+            parts.append((base, tail))
+            if get(base) is None:
+                need.add(base)
+            if get(tail) is None:
+                need.add(tail)
+        learnt = {}
+        self._learn(list(need), learnt)
+        if len(self.memo) + len(learnt) <= self.memo_limit:
+            self.memo.update(learnt)
+            learnt = self.memo
+        else:
+            learnt = learnt | {w: self.memo[w] for pair in parts for w in pair if w not in learnt}
+        for i, (base, tail) in zip(open_at, parts):
+            table[i] = learnt[base] + learnt[tail]
+        return table
 
     def _encode_slice(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         chunks = pc.ascii_split_whitespace(texts)
         ends = chunks.offsets.to_numpy().astype(np.int64)
         coded = chunks.flatten().dictionary_encode()
-        codes = coded.indices.to_numpy(zero_copy_only=False)
-        table = self._table(coded.dictionary.to_pylist())
-        sizes = np.fromiter(map(len, table), dtype=np.int64, count=len(table)) // 4
-        pool = np.frombuffer(b"".join(table), dtype="<u4")
-        starts = np.cumsum(sizes) - sizes
-        lengths = sizes[codes] if len(codes) else np.zeros(0, dtype=np.int64)
-        upto = np.concatenate([[0], np.cumsum(lengths)])
-        ids = pool[np.repeat(starts[codes] - upto[:-1], lengths) + np.arange(upto[-1])] if len(codes) else pool[:0]
+        table = pa.array(self._table(coded.dictionary.to_pylist()), pa.large_binary())
+        taken = table.take(coded.indices)
+        upto = np.frombuffer(taken.buffers()[1], dtype=np.int64)[: len(taken) + 1] // 4
+        data = taken.buffers()[2]
+        ids = np.frombuffer(data, dtype="<u4")[: upto[-1]] if data is not None else np.zeros(0, "<u4")
         return ids, upto[ends - ends[0]]
 
     def encode(self, texts: pa.Array, end_id: int | None = None):
