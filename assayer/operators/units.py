@@ -37,7 +37,7 @@ def scale_units(df: DataFrame, kinds: DataFrame, value: str = "value", kind: str
 def check_kinds(kinds: DataFrame) -> DataFrame:
     """``kind, problem``: units listed twice, no unit of factor one, factors that are not positive."""
     seen = kinds.groupBy("kind", "unit").agg(F.count(F.lit(1)).alias("n"), F.bool_or(F.expr("factor_num = factor_den")).alias("canonical"), F.bool_or(F.expr("factor_num <= 0 or factor_den <= 0")).alias("bad"))
-    by = seen.groupBy("kind").agg(F.bool_or("n > 1").alias("twice"), F.bool_or("canonical").alias("canonical"), F.bool_or("bad").alias("bad"))
+    by = seen.groupBy("kind").agg(F.bool_or(F.col("n") > 1).alias("twice"), F.bool_or("canonical").alias("canonical"), F.bool_or("bad").alias("bad"))
     return violations(by, ["kind"], {"duplicate_unit": F.col("twice"), "no_canonical_unit": ~F.col("canonical"), "factor_not_positive": F.col("bad")})
 
 
