@@ -9,9 +9,9 @@ intersected exactly.  No sampling, no cap: the result is that of comparing all p
 
 Skew.  Equal sets are one class from the start.  The common order puts shingles of many texts last
 (a bounded list of the most frequent ones), so a line in a third of all texts makes no tile.  Large
-groups of near copies are first joined by a few leaders drawn for each min-hash; afterwards a tile
-whose rows are all of one component has nothing to add and is dropped.  Tiles that are still large are
-split into blocks, and blocks meet pairwise in tasks of their own.
+groups of near copies are first joined by a few leaders drawn for each min-hash, then by each row's
+nearest partner in large tiles; a tile whose rows are all of one component has nothing to add and is
+dropped.  Tiles that are still large are split into blocks, and blocks meet pairwise in tasks of their own.
 
 Defined cases: null, empty and blank texts have the empty set, which links with nothing; texts shorter
 than a shingle are one shingle of all their words; rows that repeat an id are one document if their
@@ -34,9 +34,15 @@ from assayer.storage import materialize
 FREQUENT, FREQUENT_MOST = 256, 200_000
 #: Rows of a block of a tile; min-hash leaders drawn per round, and rounds.
 BLOCK, ROUNDS = 512, 2
+PAIRS_AT_ONCE = 2_000_000
+#: Rows from which a tile counts as large.
+LARGE = 32
 #: Bits of the filter that says which texts are read again for their sets (a wrong hit costs time only).
 FILTER_BITS = 1 << 22
 
+#: Bits of the smallest bitmaps: with four bits a shingle and more, hardly a pair below the threshold passes.
+LEAST_BITS = 1024
+
 PERMUTE = np.array([0xD6E8FEB86659FD93, 0xCA5A826395121157, 0xBE4BA423396CFEB8 | 1], dtype=np.uint64)
 
 
@@ -46,8 +52,8 @@ def head_size(n: int, percent: int) -> int:
 
 
 def width(n: int) -> int:
-    """Bits of the bitmap of a set of ``n``: a power of two from ``n`` on, 64 at least."""
-    return max(64, 1 << (n - 1).bit_length()) if n else 64
+    """Bits of the bitmap of a set of ``n``: a power of two from ``n`` on, LEAST_BITS at least."""
+    return max(LEAST_BITS, 1 << max(0, n - 1).bit_length())
 
 
 def bitmap(shingles: np.ndarray) -> bytes:
@@ -130,8 +136,11 @@ def fold(bits: np.ndarray, count: int) -> np.ndarray:
     return bits
 
 
-def within_bound(n: np.ndarray, bits: list[bytes], left: np.ndarray, right: np.ndarray, percent: int) -> np.ndarray:
-    """Which index pairs (left, right) may reach the threshold by size and bitmap."""
+def bit_distance(n: np.ndarray, bits: list[bytes], left: np.ndarray, right: np.ndarray, percent: int) -> np.ndarray:
+    """For index pairs (left, right), the least share of their shingles that differs by the bitmaps.
+
+    Infinite for pairs that cannot reach the threshold by size and bitmap.
+    """
     a, b = n[left], n[right]
     keep = 100 * np.minimum(a, b) >= percent * np.maximum(a, b)
     left, right, places = left[keep], right[keep], np.flatnonzero(keep)
@@ -142,7 +151,7 @@ def within_bound(n: np.ndarray, bits: list[bytes], left: np.ndarray, right: np.n
         index = np.full(len(bits), -1)
         index[rows] = np.arange(len(rows))
         table[w] = (np.frombuffer(b"".join(bits[i] for i in rows), dtype=np.uint64).reshape(len(rows), w), index)
-    out = np.zeros(len(a), dtype=bool)
+    out = np.full(len(a), np.inf)
     wl, wr = sizes[left], sizes[right]
     for x, y in {(x, y) for x, y in zip(wl.tolist(), wr.tolist())}:
         here = np.flatnonzero((wl == x) & (wr == y))
@@ -153,10 +162,15 @@ def within_bound(n: np.ndarray, bits: list[bytes], left: np.ndarray, right: np.n
             differ = np.bitwise_count(fold(p, min(x, y)) ^ fold(q, min(x, y))).sum(axis=1, dtype=np.int64)
             na, nb = n[left[part]], n[right[part]]
             most = np.minimum((na + nb - differ) // 2, np.minimum(na, nb))
-            out[places[part]] = overlap_reaches(na, nb, most, percent)
+            out[places[part]] = np.where(overlap_reaches(na, nb, most, percent), differ / (na + nb), np.inf)
     return out
 
 
+def within_bound(n: np.ndarray, bits: list[bytes], left: np.ndarray, right: np.ndarray, percent: int) -> np.ndarray:
+    """Which index pairs may reach the threshold by size and bitmap."""
+    return np.isfinite(bit_distance(n, bits, left, right, percent))
+
+
 def bounded_pairs(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     """Those of ``pairs(a, b)`` that sizes and bitmaps let through."""
 
@@ -231,32 +245,57 @@ def leader_pairs(classes: DataFrame) -> DataFrame:
     return pairs[0].unionByName(pairs[1]).filter("a < b").distinct() if ROUNDS == 2 else pairs[0].filter("a < b").distinct()
 
 
-def tile_pairs(classes: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
-    """Pairs of classes of different components that share a head shingle and pass size and bitmap."""
-    rows = classes.join(roots.select("node", "root"), "node", "left").withColumn("root", F.coalesce("root", "node"))
+def shared_heads(classes: DataFrame, roots: DataFrame) -> DataFrame:
+    """``shingle, node, many``: head shingles of classes of two components or more, with the number of their classes."""
+    rows = with_root(classes.select("node", "head"), roots)
     entries = rows.select(F.explode("head").alias("shingle"), "node", "root")
     shared = entries.groupBy("shingle").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count(F.lit(1)).alias("many")).filter("low < high")
-    shared = shared.select("shingle", F.ceil(F.col("many") / BLOCK).cast("int").alias("blocks"))
-    met = materialize(entries.join(shared, "shingle").join(classes.select("node", "n", "bits"), "node"), "tile-rows")
+    return entries.select("shingle", "node").join(shared.select("shingle", "many"), "shingle")
+
+
+def with_root(rows: DataFrame, roots: DataFrame) -> DataFrame:
+    return rows.join(roots.select("node", "root"), "node", "left").withColumn("root", F.coalesce("root", "node"))
+
+
+def nearest(left: np.ndarray, right: np.ndarray, distance: np.ndarray) -> np.ndarray:
+    """Places of the pairs that are the nearest one of their left or of their right row."""
+    order = np.argsort(distance, kind="stable")
+    return np.unique(np.concatenate([order[np.unique(side[order], return_index=True)[1]] for side in (left, right)]))
+
+
+def tile_pairs(heads: DataFrame, classes: DataFrame, roots: DataFrame, percent: int, best: bool = False) -> DataFrame:
+    """Pairs of classes of different components that share a head shingle and pass size and bitmap.
+
+    With ``best``, only each row's nearest one in each tile.
+    """
+    met = with_root(heads, roots).join(classes.select("node", "n", "bits"), "node").withColumn("blocks", F.ceil(F.col("many") / BLOCK).cast("int"))
     own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
     # Block b meets block c in the tile (least, greatest); a tile of one block holds its rows once.
     placed = met.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     placed = placed.withColumns({"x": F.least("own", "other"), "y": F.greatest("own", "other")}).select("shingle", "x", "y", "own", "node", "root", "n", "bits")
     tiles = placed.repartition("shingle", "x", "y").sortWithinPartitions("shingle", "x", "y", "node")
 
-    def compare(tile: pa.Table):
-        m = tile.num_rows
-        own, x, y = (tile.column(c).to_numpy() for c in ("own", "x", "y"))
-        root, n, node = (tile.column(c).to_numpy() for c in ("root", "n", "node"))
-        left, right = np.triu_indices(m, 1)
-        keep = root[left] != root[right]
-        if x[0] != y[0]:
-            keep &= own[left] != own[right]
-        left, right = left[keep], right[keep]
-        if len(left):
-            good = within_bound(n.astype(np.int64), tile.column("bits").to_pylist(), left, right, percent)
-            left, right = left[good], right[good]
-        return node[left], node[right]
+    def compare(rows: pa.Table, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Pairs inside tiles, given where tiles begin and end: each row with all later rows of its tile."""
+        own, x, y, root, n, node = (rows.column(c).to_numpy() for c in ("own", "x", "y", "root", "n", "node"))
+        n, bits = n.astype(np.int64), rows.column("bits").to_pylist()
+        later = np.repeat(cuts[1:], np.diff(cuts)) - np.arange(cuts[0], cuts[-1]) - 1
+        ends, found = np.cumsum(later), [np.zeros((2, 0), np.int64)]
+        at = 0
+        while at < len(later):  # some million pairs at a time
+            to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + PAIRS_AT_ONCE, side="right")))
+            count = later[at:to]
+            left = np.repeat(np.arange(at, to), count)
+            right = left + 1 + np.arange(len(left)) - np.repeat(np.cumsum(count) - count, count)
+            keep = (root[left] != root[right]) & ((x[left] == y[left]) | (own[left] != own[right]))
+            left, right = left[keep], right[keep]
+            distance = bit_distance(n, bits, left, right, percent)
+            good = np.flatnonzero(np.isfinite(distance))
+            if best:
+                good = good[nearest(left[good], right[good], distance[good])]
+            found.append(np.sort(np.stack([node[left[good]], node[right[good]]]), axis=0))
+            at = to
+        return tuple(np.unique(np.concatenate(found, axis=1), axis=1))
 
     def walk(batches):
         """Tiles lie whole and in order in a partition; the last of a batch may go on in the next."""
@@ -267,15 +306,9 @@ def tile_pairs(classes: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
             keys = [table.column(c).to_numpy() for c in names]
             change = np.flatnonzero(np.any([k[1:] != k[:-1] for k in keys], axis=0)) + 1
             cuts = [0, *change.tolist(), table.num_rows]
-            ends = cuts if whole else cuts[:-1]
-            a, b = [], []
-            for s, t in zip(ends, ends[1:]):
-                if t - s > 1:
-                    p, q = compare(table.slice(s, t - s))
-                    a.append(p)
-                    b.append(q)
-            out = pa.RecordBatch.from_arrays([pa.array(np.concatenate(v) if v else np.zeros(0, np.int64)) for v in (a, b)], names=["a", "b"])
-            return out, table.slice(ends[-1])
+            ends = np.array(cuts if whole else cuts[:-1])
+            a, b = compare(table.slice(0, ends[-1]), ends)
+            return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"]), table.slice(ends[-1])
 
         for batch in batches:
             table = pa.Table.from_batches([batch])
@@ -312,11 +345,19 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, id_col: s
         arrays = arrays if known is None else known.unionByName(arrays)
         return verified(pairs, arrays, percent), arrays
 
-    first, arrays = links(bounded_pairs(leader_pairs(classes), classes, percent), None)
-    first = materialize(first, "links")
-    roots = components.connected(first)
-    more, _ = links(tile_pairs(classes, roots, percent), arrays)
-    roots = components.connected(first.unionByName(materialize(more, "links")))
+    found, arrays = links(bounded_pairs(leader_pairs(classes), classes, percent), None)
+    found = materialize(found, "links")
+    roots = components.connected(found)
+    heads = materialize(shared_heads(classes, roots), "heads")
+    # In large tiles each row first meets its nearest partner; groups that this joins need no further pairs.
+    large = heads.filter(F.col("many") > LARGE)
+    near, arrays = links(tile_pairs(large, classes, roots, percent, best=True), arrays)
+    found = found.unionByName(materialize(near, "links"))
+    roots = components.connected(found)
+    still = with_root(large, roots).groupBy("shingle").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high").select("shingle")
+    left = heads.filter(F.col("many") <= LARGE).unionByName(large.join(still, "shingle", "left_semi"))
+    more, _ = links(tile_pairs(left, classes, roots, percent), arrays)
+    roots = components.connected(found.unionByName(materialize(more, "links")))
 
     placed = members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = placed.filter("root is not null").groupBy("root").agg(F.min("id").alias("least"))

@@ -93,6 +93,7 @@ def test_corpus_matches_all_pairs(spark, sf, monkeypatch):
     extended = spark.createDataFrame(rows, "doc_id long, text string")
     want = brute(rows, 4, 85)
     assert got(near_dup.near_duplicates(extended, 4, 85)) == want
+    monkeypatch.setattr(near_dup, "LARGE", 3)
     monkeypatch.setattr(near_dup, "BLOCK", 7)  # many blocks to a tile, and no frequent shingles put last
     monkeypatch.setattr(near_dup, "leader_pairs", lambda classes: classes.selectExpr("node a", "node b").limit(0))
     assert got(near_dup.near_duplicates(extended, 4, 85)) == want
