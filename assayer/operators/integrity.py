@@ -63,7 +63,7 @@ def check_store_paths(tree_files: DataFrame) -> DataFrame:
     p = F.col("path")
     parts = F.split(p, "/")
     lengths = tree_files.groupBy("sha256").agg(F.countDistinct("bytes").alias("n_lengths"))
-    folders = tree_files.select("tree", F.explode(F.transform(F.sequence(F.lit(1), F.greatest(F.size(parts) - 1, F.lit(1))), lambda i: F.when(i < F.size(parts), F.array_join(F.slice(parts, 1, i), "/")))).alias("path")).filter("path is not null").distinct().withColumn("is_folder", F.lit(True))
+    folders = tree_files.select("tree", F.explode(F.transform(F.sequence(F.lit(1), F.greatest(F.size(parts) - 1, F.lit(1))), lambda i: F.when(i < F.size(parts), F.array_join(F.slice(parts, 1, i), "/")))).alias("path")).filter("path <> ''").distinct().withColumn("is_folder", F.lit(True))
     rows = tree_files.join(lengths, "sha256", "left").join(folders, ["tree", "path"], "left")
     return violations(rows, ["tree", "path"], {
         "empty": p == "", "absolute": p.startswith("/"), "dot_segment": F.exists(parts, lambda s: s.isin(".", "..")), "empty_segment": (p != "") & F.exists(parts, lambda s: s == "") & ~p.startswith("/"),
