@@ -173,7 +173,7 @@ def j20_explain_findings(v):
     return integrity.explain_findings(events, catalogue).select("event_id", "code", "title", "explained")
 
 
-def _written_log(v):
+def _log_lines(v) -> str:
     """Runs as JSON lines in the shared folder, with some rows of another kind, broken or blank."""
     runs = v("f_runs")
     body = F.to_json(F.struct(F.lit("run/1").alias("schema_version"), F.date_format("recorded_at", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("recorded_at"), F.col("case_id"), "status", F.struct("attempt_id", "generation").alias("attempt")))
@@ -181,7 +181,11 @@ def _written_log(v):
     text = F.when(F.col("line") % 50 == 0, F.lit("{broken")).when(F.col("line") % 41 == 0, F.lit("   ")).when(F.col("line") % 37 == 0, F.lit('{"schema_version":"record/1","record_kind":"riddle"}')).when(F.col("line") % 10 == 0, move).otherwise(body)
     path = fresh_path(runs.sparkSession, "run-log")
     runs.repartition(1).sortWithinPartitions("line").select(text.alias("value")).write.text(path)  # one log is one file
-    return files.read_run_log(runs.sparkSession, path)
+    return path
+
+
+def _written_log(v):
+    return files.read_run_log(v("orders").sparkSession, _log_lines(v))
 
 
 @query("""SELECT line, CASE WHEN line % 50 = 0 THEN 'unreadable' WHEN line % 37 = 0 THEN 'unknown' WHEN line % 10 = 0 THEN 'state_transition' ELSE 'run' END AS kind FROM f_runs WHERE line % 50 = 0 OR line % 41 <> 0""")

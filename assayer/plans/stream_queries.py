@@ -1 +1,72 @@
-"""Queries of this part."""
+"""Queries that run the streaming jobs over what the tables hold; the SQL is that of the batch form."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from assayer.plans.history_queries import spark_sql
+from assayer.plans.integrity_queries import _log_lines
+from assayer.plans.registry import query
+from assayer.plans.verdict_queries import PER_ATTEMPT
+from assayer.storage import fresh_path
+from assayer.streaming import streams
+
+# The watermark trails the last event by the delay; what lies beyond it is not final yet.
+MARK = "(SELECT max(ts) - INTERVAL 1 HOUR FROM events)"
+
+
+def _stream(v, rows):
+    """Rows as a stream: written once, then read as they lie there."""
+    spark = rows.sparkSession
+    rows = rows.withColumns({c: F.col(c).cast("timestamp") for c, kind in rows.dtypes if kind == "timestamp_ntz"})  # as watermarks ask
+    path = fresh_path(spark, "stream-source")
+    rows.write.parquet(path)
+    return spark.readStream.schema(rows.schema).parquet(path)
+
+
+@query("""SELECT CASE WHEN line % 50 = 0 THEN 'unreadable' ELSE 'valid' END AS outcome, count(*) AS n FROM f_runs WHERE line % 50 = 0 OR line % 41 <> 0 GROUP BY 1""")
+def l1_stream_run_log(v):
+    path = _log_lines(v)
+    spark = v("orders").sparkSession
+    good, bad = fresh_path(spark, "good"), fresh_path(spark, "bad")
+    streams.split_run_log(spark, path, good, bad)
+    outcome = spark.read.parquet(good).select(F.lit("valid").alias("outcome")).unionByName(spark.read.parquet(bad).select(F.col("problem").alias("outcome")))
+    return outcome.groupBy("outcome").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"""WITH t AS (SELECT *, coalesce(lag(to_state) OVER (PARTITION BY subject ORDER BY at_time, transition_id), 'planned') AS from_state FROM f_transitions)
+SELECT subject, transition_id, from_state, to_state, (from_state, to_state) IN (('planned','running'),('planned','cancelled'),('running','blocked'),('running','completed'),('running','cancelled'),('running','superseded'),('blocked','running'),('blocked','cancelled'),('blocked','superseded'),('completed','invalidated')) AS legal
+FROM t WHERE at_time <= {MARK}""")
+def l2_stream_transitions(v):
+    out = streams.drain(streams.stream_transitions(_stream(v, v("f_transitions"))), "transitions")
+    return out.select("subject", "transition_id", "from_state", "to_state", "legal")
+
+
+GATES = "SELECT user_id AS request, CASE WHEN event_type = 'purchase' AND user_id % 2 = 0 THEN 'routed' ELSE 'opened' END AS kind, ts AS at_time, CASE WHEN event_type <> 'purchase' OR user_id % 2 = 1 THEN ts + INTERVAL '2' DAY END AS respond_by FROM events WHERE user_id % 5 < 2"
+
+
+@query(f"""WITH g AS ({GATES}), r AS (SELECT request, min(respond_by) AS respond_by, bool_or(kind = 'routed') AS routed FROM g GROUP BY request) SELECT request, respond_by FROM r WHERE NOT routed AND respond_by < (SELECT max(at_time) - INTERVAL 1 HOUR FROM g)""")
+def l3_stream_gate_lapse(v):
+    out = streams.drain(streams.stream_gate_lapse(_stream(v, spark_sql(v, GATES, "events"))), "lapsed")
+    return out.withColumn("respond_by", F.col("respond_by").cast("timestamp_ntz"))
+
+
+@query(f"""SELECT date_trunc('day', ts) AS from_time, date_trunc('day', ts) + INTERVAL 1 DAY AS to_time, event_type AS state, count(*) AS n, arg_max(event_id, ts) AS last_id FROM events GROUP BY 1, 2, 3 HAVING date_trunc('day', ts) + INTERVAL 1 DAY <= {MARK}""")
+def l4_stream_supervision(v):
+    rows = v("events").select(F.col("ts").alias("at_time"), F.col("event_type").alias("state"), F.col("event_id").alias("id"))
+    return streams.drain(streams.stream_supervision(_stream(v, rows)), "supervision").withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("from_time", "to_time")})
+
+
+@query("SELECT user_id, count(*) AS n FROM (SELECT DISTINCT user_id, event_type FROM events) x GROUP BY user_id")
+def l5_stream_dedup_append(v):
+    rows = v("events").select("user_id", "event_type", F.col("ts").alias("at_time"))
+    kept = streams.drain(streams.stream_dedup_append(_stream(v, rows), ["user_id", "event_type"], "3650 days"), "deduplicated")
+    return kept.groupBy("user_id").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"SELECT attempt_id, requirement_id, status, rule, margin FROM ({PER_ATTEMPT}) x")
+def l6_stream_verdicts(v):
+    requirements = v("f_requirements")
+    out = fresh_path(requirements.sparkSession, "stream-verdicts")
+    streams.stream_verdicts(_stream(v, v("f_claims")), requirements, ["requirement_id"], ["attempt_id"], out)
+    return requirements.sparkSession.read.parquet(out).select("attempt_id", "requirement_id", "status", "rule", "margin")
