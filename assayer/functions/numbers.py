@@ -104,7 +104,8 @@ def reduced(a: Column) -> Column:
     start = F.struct(F.abs(a["num"]).cast(EXACT).alias("x"), a["den"].cast(EXACT).alias("y"))
     step = lambda s, _: F.when(s["y"] == 0, s).otherwise(F.struct(s["y"].alias("x"), (s["x"] % s["y"]).cast(EXACT).alias("y")))
     g = F.aggregate(F.sequence(F.lit(1), F.lit(184)), start, step)["x"]
-    divide = lambda n: (n / g).cast(EXACT)  # noqa: E731  g divides n, so the quotient is whole
+    # g divides n, so the quotient is whole; Spark keeps 32 digits of a quotient, more are null unless g is 1.
+    divide = lambda n: F.when(g == 1, n).otherwise(F.try_divide(n, g).cast(EXACT))
     return F.when(a.isNotNull(), F.when(a["num"] == 0, rational(F.lit(0), F.lit(1))).otherwise(rational(divide(a["num"]), divide(a["den"]))))
 
 
