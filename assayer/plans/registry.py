@@ -16,7 +16,7 @@ from assayer.plans import fixtures
 Views = Callable[[str], DataFrame]
 _queries: dict[str, Callable[[Views], DataFrame]] = {}
 _sql: dict[str, str] = {}
-MODULES = ("verdict_queries", "history_queries", "admission_queries", "graph_queries", "integrity_queries", "search_queries", "scalar_queries", "stream_queries")
+MODULES = ("verdict_queries", "history_queries", "admission_queries", "graph_queries", "integrity_queries", "search_queries", "scalar_queries", "stream_queries", "record_queries")
 
 
 def query(sql: str | None = None) -> Callable[[Callable[[Views], DataFrame]], Callable[[Views], DataFrame]]:
