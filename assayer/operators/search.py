@@ -103,14 +103,14 @@ def pareto_front_nd(df: DataFrame, columns: list[str], partitions: int = 64) ->
 def enumerate_grid(materials: DataFrame, amounts: list[int], max_total: int, min_total: int = 0, first: str | None = None) -> DataFrame:
     """``first, second, a, b, total``: one- and two-layer ordered designs within the totals; two layers differ in material.
 
-    A sweep is a product by definition; it grows with the (small) material table and the amounts only.
+    A sweep is a product by definition; materials are a small catalogue, whose names come to the driver once.
     """
     layer = materials.select(F.col("material").alias("first"), F.explode(F.array(*map(F.lit, amounts))).alias("a"))
     if first is not None:
         layer = layer.filter(F.col("first") == first)
     one = layer.select("first", F.lit(None).cast("string").alias("second"), "a", F.lit(0).alias("b"))
-    others = materials.agg(F.array_sort(F.collect_set("material")).alias("names"))  # one row
-    two = layer.crossJoin(F.broadcast(others)).select("first", "a", F.explode("names").alias("second")).filter("first <> second")
+    names = sorted(r.material for r in materials.select("material").distinct().collect())
+    two = layer.select("first", "a", F.explode(F.array(*map(F.lit, names))).alias("second")).filter("first <> second")
     two = two.select("first", "second", "a", F.explode(F.array(*map(F.lit, amounts))).alias("b"))
     return one.unionByName(two).withColumn("total", F.col("a") + F.col("b")).filter((F.col("total") <= max_total) & (F.col("total") >= min_total))
 

@@ -24,19 +24,20 @@ def supervision(runs: DataFrame, steps: DataFrame) -> DataFrame:
 
 def constellation_summary(runs: DataFrame) -> DataFrame:
     """One row: runs, cases, roots, leaves, deepest generation, distinct candidate states."""
-    ends = roots_and_leaves(runs).agg(F.count_if("is_root").alias("n_roots"), F.count_if("is_leaf").alias("n_leaves"))
-    rest = runs.agg(F.count(F.lit(1)).alias("n_runs"), F.countDistinct("case_id").alias("n_cases"), F.max("generation").alias("max_generation"), F.countDistinct("state_sha256").alias("n_states"))
-    return rest.crossJoin(ends)  # two single rows
+    ends = roots_and_leaves(runs)
+    return runs.join(ends, "attempt_id").agg(
+        F.count(F.lit(1)).alias("n_runs"), F.countDistinct("case_id").alias("n_cases"), F.count_if("is_root").alias("n_roots"), F.count_if("is_leaf").alias("n_leaves"),
+        F.max("generation").alias("max_generation"), F.countDistinct("state_sha256").alias("n_states"))
 
 
 def page(df: DataFrame, order: list[str], offset: int = 0, limit: int = 20) -> DataFrame:
     """Rows ``offset`` to ``offset + limit`` in order, with the total and the next offset (null at the end)."""
     if not 1 <= limit <= 100 or offset < 0:
         raise ValueError("limit must lie in 1..100 and offset must not be negative")
-    total = df.agg(F.count(F.lit(1)).alias("total"))
+    total = df.count()
     rows = df.orderBy(*order).offset(offset).limit(limit)
-    following = F.when(F.col("total") > offset + limit, F.lit(offset + limit))
-    return rows.crossJoin(F.broadcast(total)).withColumn("next_offset", following)  # one row
+    following = F.lit(offset + limit if total > offset + limit else None).cast("int")
+    return rows.withColumns({"total": F.lit(total).cast("long"), "next_offset": following})
 
 
 def search_history(runs: DataFrame, case: Column | None = None, invocation: object | None = None) -> DataFrame:
