@@ -63,10 +63,11 @@ def active(captures: DataFrame, entries: DataFrame) -> DataFrame:
 
     ``captures(row, url, at)``.
     """
-    span = captures.agg(F.min("at").alias("low"), F.max("at").alias("high"))
-    valid = intervals(entries).crossJoin(F.broadcast(span)).filter("since <= high and until > low")  # span is one row
-    first, last = _slice(F.greatest("since", "low")), _slice(F.least("until", "high"))
-    sliced = valid.withColumn("slice", F.explode(F.sequence(first, last))).drop("low", "high")
+    low, high = map(F.lit, captures.agg(F.min("at").cast("timestamp_ltz"), F.max("at").cast("timestamp_ltz")).first())
+    low, high = low.cast("timestamp"), high.cast("timestamp")
+    valid = intervals(entries).filter((F.col("since") <= high) & (F.col("until") > low))
+    first, last = _slice(F.greatest("since", low)), _slice(F.least("until", high))
+    sliced = valid.withColumn("slice", F.explode(F.sequence(first, last)))
     keyed = captures.select("row", "at", F.explode(patterns(F.col("url"))).alias("pattern")).withColumn("slice", _slice(F.col("at")))
     met = keyed.join(sliced, ["pattern", "slice"]).filter("since <= at and at < until")
     return met.select("row", "list", "action", "pattern")
