@@ -34,7 +34,7 @@ from assayer.storage import materialize
 FREQUENT, FREQUENT_MOST = 256, 200_000
 #: Rows of a block of a tile; min-hash leaders drawn per round, and rounds.
 BLOCK, ROUNDS = 512, 2
-PAIRS_AT_ONCE = 2_000_000
+PAIRS_AT_ONCE = 250_000
 #: Rows from which a tile counts as large.
 LARGE = 32
 #: Bits of the filter that says which texts are read again for their sets (a wrong hit costs time only).
@@ -282,7 +282,7 @@ def tile_pairs(heads: DataFrame, classes: DataFrame, roots: DataFrame, percent:
         later = np.repeat(cuts[1:], np.diff(cuts)) - np.arange(cuts[0], cuts[-1]) - 1
         ends, found = np.cumsum(later), [np.zeros((2, 0), np.int64)]
         at = 0
-        while at < len(later):  # some million pairs at a time
+        while at < len(later):  # PAIRS_AT_ONCE pairs or one row's
             to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + PAIRS_AT_ONCE, side="right")))
             count = later[at:to]
             left = np.repeat(np.arange(at, to), count)

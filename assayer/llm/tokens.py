@@ -17,7 +17,7 @@ import pyarrow.compute as pc
 #: Characters that end a letter run and join no other character; "<" and ">" belong to special tokens, "'" to contractions.
 TRAILING = ".,!*$%&#:;?()[]{}=/\"^~`"
 #: Text bytes encoded at once, and distinct chunks remembered by a worker.
-SLICE_BYTES, MEMO_LIMIT = 16 << 20, 900_000
+SLICE_BYTES, MEMO_LIMIT = 6 << 20, 200_000
 
 
 class ChunkEncoder:

@@ -14,7 +14,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Text bytes hashed at once (longer texts make a slice of their own).
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 19
 BASE = np.uint64(0x9E3779B97F4A7C15)
 #: Odd multipliers for the first, second, ... word of a sequence.
 PLACES = np.array([0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3, 0x1D8E4E27C47D124F], dtype=np.uint64)
@@ -36,7 +36,7 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-@lru_cache(maxsize=1)
+@lru_cache(maxsize=1)  # a longer text's table takes the place of the usual one, until the next slice
 def _powers(bits: int) -> tuple[np.ndarray, np.ndarray]:
     n, inverse = 1 << bits, np.uint64(pow(int(BASE), -1, 1 << 64))
     out = []
@@ -48,7 +48,7 @@ def _powers(bits: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    return _powers(max(21, int(n).bit_length()))
+    return _powers(max(19, int(n).bit_length()))
 
 
 def slices(texts: pa.Array, size: int = SLICE_BYTES) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
