@@ -35,8 +35,8 @@ FREQUENT, FREQUENT_MOST = 256, 200_000
 #: Rows of a block of a tile; min-hash leaders drawn per round, and rounds.
 BLOCK, ROUNDS = 512, 2
 PAIRS_AT_ONCE = 250_000
-#: Rows from which a tile counts as large.
-LARGE = 32
+#: Rows from which a tile counts as large, and large tiles in which a row looks for its nearest partner.
+LARGE, NEAREST_TILES = 32, 4
 #: Bits of the filter that says which texts are read again for their sets (a wrong hit costs time only).
 FILTER_BITS = 1 << 22
 
@@ -349,9 +349,10 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, id_col: s
     found = materialize(found, "links")
     roots = components.connected(found)
     heads = materialize(shared_heads(classes, roots), "heads")
-    # In large tiles each row first meets its nearest partner; groups that this joins need no further pairs.
+    # In a few of its large tiles each row first meets its nearest partner; groups that this joins need no further pairs.
     large = heads.filter(F.col("many") > LARGE)
-    near, arrays = links(tile_pairs(large, classes, roots, percent, best=True), arrays)
+    few = large.groupBy("node").agg(F.slice(F.array_sort(F.collect_list(F.struct("shingle", "many"))), 1, NEAREST_TILES).alias("first"))
+    near, arrays = links(tile_pairs(few.select("node", F.inline("first")), classes, roots, percent, best=True), arrays)
     found = found.unionByName(materialize(near, "links"))
     roots = components.connected(found)
     still = with_root(large, roots).groupBy("shingle").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high").select("shingle")

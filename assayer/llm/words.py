@@ -115,7 +115,7 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, words: int) -> list[np.n
             out.append(np.unique(rows[a : b - words + 1]))
         elif b > a:
             short = (word[a:b] * PLACES[: b - a]).sum(dtype=np.uint64, keepdims=True)
-            out.append(mix(short + np.uint64(b - a) * PLACES[3]))
+            out.append(mix(short + np.array([b - a], dtype=np.uint64) * PLACES[3]))
         else:
             out.append(rows[:0])
     return out
