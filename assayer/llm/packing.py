@@ -24,6 +24,8 @@ from assayer.llm import tokens
 
 #: Pieces packed together at most; bounds a task's memory to some 20 MB.
 BLOCK = 100_000
+#: Documents for each packing task: few tasks waste few sequences, and a task takes seconds.
+DOCUMENTS = 50_000
 
 
 class CapacityTree:
@@ -141,4 +143,5 @@ def pack_pieces(pieces: DataFrame, capacity: int = 2048, block: int = BLOCK, par
 
 def best_fit(docs: DataFrame, tokenizer: str | None = None, id_col: str = "doc_id", text_col: str = "text", capacity: int = 2048, end_id: int = 0) -> DataFrame:
     """``id, piece, start, length, ids_crc32, sequence_id, offset`` for every piece of every document."""
-    return pack_pieces(cut_pieces(docs, tokenizer or tokens.default_path(), id_col, text_col, capacity, end_id), capacity)
+    tasks = max(1, min(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-docs.count() // DOCUMENTS)))
+    return pack_pieces(cut_pieces(docs, tokenizer or tokens.default_path(), id_col, text_col, capacity, end_id), capacity, partitions=tasks)
