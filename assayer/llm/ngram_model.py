@@ -81,7 +81,8 @@ def train(examples: list[tuple[np.ndarray, int]], bits: int, passes: int = 4, se
     rows = []
     for found, label in examples:
         at, count = np.unique(found, return_counts=True)
-        rows.append((np.append(at, size), np.append(count / np.sqrt(max(1, len(found))), 1.0), label))
+        value = np.append(count / np.sqrt(max(1, len(found))), 1.0)
+        rows.append((np.append(at, size).astype(np.int32), value.astype(np.float32), label))
     ones = sum(label for _, label in examples)
     rate = min(max(ones, 1), max(len(rows) - ones, 1)) / max(1, max(ones, len(rows) - ones))
     rare = 1 if ones < len(rows) - ones else 0

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from assayer.llm import ngram_model, words
 
 #: Labelled rows learned from at most, and weights: 2 ** BITS.
-SAMPLE, BITS = 6000, 18
+SAMPLE, BITS = 4000, 18
 THRESHOLD = 0.3
 
 
@@ -53,7 +53,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     found = examples.column("found").combine_chunks()
     values, ends = found.flatten().to_numpy(), found.offsets.to_numpy()
     ends = ends - ends[0] if len(ends) else ends
-    parts = [(values[a:b].astype(np.int64), label) for a, b, label in zip(ends, ends[1:], examples.column("label").to_pylist())]
+    parts = [(values[a:b], label) for a, b, label in zip(ends, ends[1:], examples.column("label").to_pylist())]
     return ngram_model.train(parts, bits).astype(np.float32)
 
 
