@@ -1,14 +1,17 @@
 """Licence scans: a trained paragraph classifier, confirmed by comparison with templates.
 
-Paragraphs (lines) are classified by a sparse word n-gram logistic regression, one score per licence
-family, trained on variants of each family's notices against a bounded sample of the corpus's own
-paragraphs, so that the unknown class is what the corpus looks like.  The unknown threshold of a family
-is calibrated on variants that were not learned from.  A predicted paragraph counts if enough of the
-word pairs of one of the family's templates are in it; otherwise it is unknown.
-
-Defined cases: null and empty texts have no paragraphs; a paragraph names at most one family; repeated
-rows are scanned each; with an empty corpus the model is trained on the templates alone; other columns
-are ignored.
+Paragraphs are runs of non-blank lines.  Each line of a paragraph and the windows of lines that begin
+with it are classified by a sparse word n-gram logistic regression, one score per licence family, trained
+on variants of each family's notices against a bounded sample of the corpus's own distinct lines, so that
+the unknown class is what the corpus looks like.  The unknown threshold of a family is calibrated on
+variants that were not learned from.  A predicted window is confirmed on its joined text, so that a
+wrapped notice counts as an unwrapped one: enough of the word pairs of a family's template must be in it,
+and the words that tell the family from its neighbours (version, "lesser") too; the family of the largest
+share names it, and without one it is unknown.
+
+Defined cases: null, empty and blank texts have no paragraphs; a line belongs to one notice at most, and
+a paragraph can have several; repeated rows are scanned each; with an empty corpus the model is trained
+on the templates alone; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -22,10 +25,12 @@ from pyspark.sql import functions as F
 
 from assayer.llm import ngram_model, words
 
-#: Paragraphs of the corpus learned from as unknown, at most; weights of a family: 2 ** BITS.
+#: Lines of the corpus learned from as unknown, at most; weights of a family: 2 ** BITS.
 SAMPLE, BITS = 4000, 16
-#: Share of a template's word pairs that a paragraph must show.
+#: Share of a template's word pairs that a window must show.
 CONFIRM = 0.6
+#: Words that windows reach at least, besides those of one and of two lines; the longest template has 43.
+REACH = (12, 24, 48, 96)
 
 # Notices of common licences, as their publishers word them.
 TEMPLATES = {
@@ -37,24 +42,73 @@ TEMPLATES = {
     "cc-by-nc": ["Licensed under CC BY-NC 4.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.", "SPDX-License-Identifier: CC-BY-NC-4.0"],
     "cc-by-sa": ["Licensed under CC BY-SA 4.0.", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."],
     "cc0": ["CC0 1.0 Universal (CC0 1.0) Public Domain Dedication", "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work."],
+    "cc-by-nc-nd": ["Licensed under CC BY-NC-ND 4.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 International License."],
+    "cc-by-nc-sa": ["Licensed under CC BY-NC-SA 4.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License."],
+    "cc-by-nd": ["Licensed under CC BY-ND 4.0.", "This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License."],
+    "gpl-2.0": ["This work is licensed under the GNU General Public License, version 2.", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License version 2 as published by the Free Software Foundation.", "SPDX-License-Identifier: GPL-2.0-or-later", "SPDX-License-Identifier: GPL-2.0-only"],
+    "lgpl-2.1": ["This work is licensed under the GNU Lesser General Public License, version 2.1.", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.", "SPDX-License-Identifier: LGPL-2.1-or-later", "SPDX-License-Identifier: LGPL-2.1-only"],
+    "lgpl-3.0": ["This work is licensed under the GNU Lesser General Public License, version 3.", "This library is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.", "SPDX-License-Identifier: LGPL-3.0-or-later", "SPDX-License-Identifier: LGPL-3.0-only"],
+    "agpl-3.0": ["This work is licensed under the GNU Affero General Public License, version 3.", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.", "SPDX-License-Identifier: AGPL-3.0-or-later", "SPDX-License-Identifier: AGPL-3.0-only"],
+    "mpl-2.0": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.", "If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.", "Released under the Mozilla Public License, version 2.0.", "SPDX-License-Identifier: MPL-2.0"],
+    "isc": ["Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.", "Released under the ISC License.", "SPDX-License-Identifier: ISC"],
+    "unlicense": ["This is free and unencumbered software released into the public domain.", "Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.", "SPDX-License-Identifier: Unlicense"],
     "all-rights-reserved": ["All rights reserved.", "Copyright holders reserve all rights. No part of this publication may be reproduced without prior written permission."],
 }
 FAMILIES = sorted(TEMPLATES)
 WORD = re.compile(r"[a-z0-9]+(?:[.-][a-z0-9]+)*")
+_V2, _V3 = (rf"\bv(?:ersion )?{n}(?:\.0)?(?= |$)|gpl-?v?{n}(?:\.0)?(?=[ -]|$)" for n in (2, 3))
+_V21 = r"\bv(?:ersion )?2\.1(?= |$)|gpl-?v?2\.1(?=[ -]|$)"
+_END = r"(?= |-\d|$)"
+#: What must all be found in the words of a text, where a neighbour shares most word pairs.
+MUST = {
+    "apache-2.0": (r"\bapache(?! license (?:version |v)?1\.)(?!-1)",),
+    "mit": (r"\bmit\b|person obtaining a copy",),
+    "isc": (r"\bisc\b|with or without fee",),
+    "bsd": (r"\bbsd\b|binary forms",),
+    "gpl-2.0": (r"\bgnu general public license|\bgpl", _V2),
+    "gpl-3.0": (r"\bgnu general public license|\bgpl", _V3),
+    "lgpl-2.1": (r"\blesser general public license|\blgpl", _V21),
+    "lgpl-3.0": (r"\blesser general public license|\blgpl", _V3),
+    "agpl-3.0": (r"\baffero general public license|\bagpl", _V3),
+    "mpl-2.0": (r"\bmozilla public license|\bmpl\b", r"(?<!\d\.)\b2\.0\b|was not distributed"),
+    "unlicense": (r"\bunencumbered\b|\bunlicense\b|anyone is free to copy",),
+    "cc-by": (r"(?:\bcc[ -]by|\battribution)" + _END,),
+    "cc-by-nc": (r"(?:\bcc[ -]by-nc|\battribution-noncommercial)" + _END,),
+    "cc-by-sa": (r"(?:\bcc[ -]by-sa|\battribution-sharealike)" + _END,),
+    "cc-by-nd": (r"(?:\bcc[ -]by-nd|\battribution-noderivatives)" + _END,),
+    "cc-by-nc-sa": (r"(?:\bcc[ -]by-nc-sa|\battribution-noncommercial-sharealike)" + _END,),
+    "cc-by-nc-nd": (r"(?:\bcc[ -]by-nc-nd|\battribution-noncommercial-noderivatives)" + _END,),
+}
+MUST = {family: [re.compile(r) for r in rules] for family, rules in MUST.items()}
 
 
-def pairs(text: str) -> set[tuple[str, ...]]:
-    w = WORD.findall(text.lower())
+def _pairs(w: list[str]) -> set[tuple[str, ...]]:
     return set(zip(w, w[1:])) if len(w) > 1 else {tuple(w)} if w else set()
 
 
+def pairs(text: str) -> set[tuple[str, ...]]:
+    return _pairs(WORD.findall(text.lower()))
+
+
 PAIRS = {family: [pairs(t) for t in templates] for family, templates in TEMPLATES.items()}
+_ANY = set().union(*(t for templates in PAIRS.values() for t in templates))
+
 
+def resembles(text: str) -> float:
+    """The largest share of any template's word pairs that ``text`` shows."""
+    found = pairs(text) & _ANY
+    return max(len(t & found) / len(t) for templates in PAIRS.values() for t in templates)
 
-def confirmed(text: str, family: str) -> float:
-    """The largest share of a template's word pairs that ``text`` shows."""
-    found = pairs(text)
-    return max(len(t & found) / len(t) for t in PAIRS[family])
+
+def confirmed(text: str) -> tuple[float, str | None]:
+    """The largest confirmed share of a template's word pairs in ``text``, and its family; of equals the longer template."""
+    w = WORD.findall(text.lower())
+    found, best, joined = _pairs(w) & _ANY, (0.0, 0, None), " ".join(w)
+    for family in FAMILIES if found else ():
+        share, size = max((len(t & found) / len(t), len(t)) for t in PAIRS[family])
+        if share >= CONFIRM and (share, size) > best[:2] and all(r.search(joined) for r in MUST.get(family, ())):
+            best = (share, size, family)
+    return best[0], best[2]
 
 
 def variants(template: str, filler: list[str], count: int, rng: np.random.Generator) -> list[str]:
@@ -78,13 +132,16 @@ class LicenseModel:
     def __init__(self, weights: np.ndarray, thresholds: np.ndarray):
         self.weights, self.thresholds = weights, thresholds
 
-    def probabilities(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-        found, starts = ngram_model.features(words.FOLD[data], offsets, BITS)
-        counts = np.sqrt(np.maximum(np.diff(starts), 1))
-        out = np.empty((len(offsets) - 1, len(FAMILIES)), dtype=np.float32)
+    def probabilities(self, k: int, found: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """The probability of family ``k`` for ranges of features."""
+        total = np.concatenate([[0.0], np.cumsum(self.weights[k][found], dtype=np.float64)])
+        return ngram_model.probabilities((total[ends] - total[begins]) / np.sqrt(np.maximum(ends - begins, 1)) + self.weights[k][-1])
+
+    def picked(self, found: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Whether a range of features reaches the threshold of any family."""
+        out = np.zeros(len(begins), dtype=bool)
         for k in range(len(FAMILIES)):
-            total = np.concatenate([[0.0], np.cumsum(self.weights[k][found], dtype=np.float64)])
-            out[:, k] = ngram_model.probabilities((total[starts[1:]] - total[starts[:-1]]) / counts + self.weights[k][-1])
+            out |= self.probabilities(k, found, begins, ends) >= self.thresholds[k]
         return out
 
 
@@ -97,11 +154,14 @@ def _features(texts: list[str]) -> list[np.ndarray]:
 
 
 def train(docs: DataFrame, text_col: str = "text", sample: int = SAMPLE, seed: int = 11) -> LicenseModel:
-    """Learn from templates and a bounded sample of the corpus's paragraphs."""
+    """Learn from templates and a bounded sample of the corpus's distinct lines."""
     lines = docs.select(F.explode(F.split(F.col(text_col).cast("string"), "\n")).alias("line")).filter(F.length(F.trim("line")) > 0)
-    # Documents are many, the sample is not: a hash picks it, alike at any partitioning.
-    other = [r.line for r in lines.orderBy(F.xxhash64("line"), "line").limit(sample).collect()]
-    other = [t for t in other if all(confirmed(t, f) < 0.3 for f in FAMILIES)]
+    lines = lines.select("line", F.xxhash64("line").alias("hash"))
+    # Documents are many, the sample is not: a hash picks it, alike at any partitioning, and each line once.
+    least = [r.hash for r in lines.groupBy("hash").count().orderBy("hash").limit(sample).select("hash").collect()]
+    chosen = lines.sparkSession.createDataFrame([(h,) for h in least], "hash long")  # ``sample`` numbers at most
+    other = [r.line for r in lines.join(F.broadcast(chosen), "hash").groupBy("hash").agg(F.min("line").alias("line")).orderBy("hash").collect()]
+    other = [t for t in other if resembles(t) < 0.3]
     rng = np.random.default_rng(seed)
     texts, owner = list(other), [-1] * len(other)
     for k, family in enumerate(FAMILIES):
@@ -113,55 +173,104 @@ def train(docs: DataFrame, text_col: str = "text", sample: int = SAMPLE, seed: i
     tested = rng.random(len(texts)) < 0.2
     weights = np.array([ngram_model.train([(found[i], int(owner[i] == k)) for i in range(len(texts)) if not tested[i]], BITS, passes=3) for k in range(len(FAMILIES))], dtype=np.float32)
     model = LicenseModel(weights, np.full(len(FAMILIES), 0.5, dtype=np.float32))
-    raw = np.frombuffer("".join(texts).encode(), dtype=np.uint8)
-    offsets = np.concatenate([[0], np.cumsum([len(t.encode()) for t in texts])])
-    p = model.probabilities(raw, offsets)
+    ends = np.cumsum([len(f) for f in found])
+    begins = ends - [len(f) for f in found]
     for k in range(len(FAMILIES)):
-        own, rest = p[tested & (owner == k), k], p[tested & (owner != k), k]
+        p = model.probabilities(k, np.concatenate(found), begins, ends)
+        own, rest = p[tested & (owner == k)], p[tested & (owner != k)]
         # Between the least of its own and the most of all others, but never so high as to lose its own.
         low = np.quantile(own, 0.02) if len(own) else 0.5
         model.thresholds[k] = min(0.5, max(0.05, (low + (rest.max() if len(rest) else 0.0)) / 2, min(low, 0.5) * 0.5))
     return model
 
 
-SCAN = "id long, n_paragraphs int, families array<string>, lines array<int>, shares array<double>"
+def windows(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Line bounds, each line's paragraph's end (0 for blank lines), which lines begin one, and windows ``from, to`` of lines."""
+    bounds = np.unique(np.concatenate([offsets, np.flatnonzero(data == 10) + 1]))
+    starts, _, _ = words.spans(data, offsets)
+    first = np.searchsorted(starts, bounds)
+    full = first[1:] > first[:-1]
+    text = np.zeros(len(bounds), dtype=bool)
+    text[np.searchsorted(bounds, offsets)] = True  # a text begins here
+    begins = full & (text[:-1] | ~np.concatenate([[False], full[:-1]]))
+    # A paragraph ends where a blank line or a text begins; every line looks for the next such place.
+    stops = np.flatnonzero(np.concatenate([~full, [True]]) | text)
+    line = np.flatnonzero(full)
+    last = stops[np.searchsorted(stops, line, side="right")] if len(line) else line
+    ends = np.zeros(len(full), dtype=np.int64)
+    ends[line] = last
+    reached = [line + 1, line + 2] + [np.searchsorted(first, first[line] + k) for k in REACH]
+    to = np.minimum(np.maximum(np.concatenate(reached), np.tile(line + 1, len(reached))), np.tile(last, len(reached)))
+    made = np.unique(np.tile(line, len(reached)) * (len(bounds) + 1) + to)
+    return bounds, ends, begins, made // (len(bounds) + 1), made % (len(bounds) + 1)
+
+
+def _feature_ranges(data: np.ndarray, offsets: np.ndarray, bounds: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Features of texts, and the range of each window: pairs reach across line ends, but not out of the window."""
+    found, _ = ngram_model.features(data, offsets, BITS)
+    starts, _, first = words.spans(data, offsets, by_kind=True)
+    last = first[1:][first[1:] > first[:-1]] - 1  # these words begin no pair
+    word = np.searchsorted(starts, bounds)
+    return found, 2 * word[a] - np.searchsorted(last, word[a]), 2 * (word[b] - 1) - np.searchsorted(last, word[b] - 1) + 1
+
+
+def notices(raw: bytes, bounds: np.ndarray, spans: list[tuple[int, int]]) -> list[tuple[int, int, str, float]]:
+    """``first line, line behind the last, family, share`` of the notices in windows of one text, best first where they overlap."""
+    known: dict[tuple[int, int], tuple[float, str | None]] = {}
+
+    def at(a: int, b: int) -> tuple[float, str | None]:
+        if (a, b) not in known:
+            known[a, b] = confirmed(raw[bounds[a] : bounds[b]].decode())
+        return known[a, b]
+
+    found = set()
+    for a, b in spans:
+        best = at(a, b)
+        if best[1] is None:
+            continue
+        while b - a > 1 and at(a, b - 1) >= best:  # lines that add nothing are not of the notice
+            b, best = b - 1, at(a, b - 1)
+        while b - a > 1 and at(a + 1, b) >= best:
+            a, best = a + 1, at(a + 1, b)
+        found.add((a, b, best[1], best[0]))
+    taken, out = set(), []
+    for n in sorted(found, key=lambda n: (-n[3], n[1] - n[0], n)):
+        if taken.isdisjoint(range(n[0], n[1])):
+            taken.update(range(n[0], n[1]))
+            out.append(n)
+    return sorted(out)
+
+
+SCAN = "id long, n_paragraphs int, families array<string>, lines array<int>, ends array<int>, shares array<double>"
 
 
 def scan(docs: DataFrame, model: LicenseModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``id, n_paragraphs`` and, for each paragraph that names a licence, family, line number and confirmed share."""
+    """``id, n_paragraphs`` and, for each notice, family, first and last line number and confirmed share."""
     sent = docs.sparkSession.sparkContext.broadcast(model)  # FAMILIES times 2 ** BITS weights
 
     def read(batches):
         m = sent.value
         for batch in batches:
             for at, data, offsets in words.slices(batch.column(1)):
-                cut = np.flatnonzero(data == 10)
-                bounds = np.unique(np.concatenate([offsets, cut + 1]))
+                bounds, _, begins, a, b = windows(data, offsets)
+                if len(a):
+                    picked = m.picked(*_feature_ranges(words.FOLD[data], offsets, bounds, a, b))
+                    a, b = a[picked], b[picked]
                 first = np.searchsorted(bounds, offsets)
-                out = {"n": [], "families": [], "lines": [], "shares": []}
-                best, picked = np.zeros(0, np.int64), np.zeros(0, bool)
-                if len(bounds) > 1:
-                    p = m.probabilities(data, bounds)
-                    ratio = p / m.thresholds
-                    best = ratio.argmax(axis=1)
-                    picked = ratio[np.arange(len(p)), best] >= 1
+                count = np.concatenate([[0], np.cumsum(begins)])[first]
+                own = np.searchsorted(a, first)
                 raw = data.tobytes()
-                for a, b in zip(first[:-1].tolist(), first[1:].tolist()):
-                    families, lines, shares = [], [], []
-                    for i in np.flatnonzero(picked[a:b]).tolist():
-                        text, family = raw[bounds[a + i] : bounds[a + i + 1]].decode(), FAMILIES[best[a + i]]
-                        share = confirmed(text, family)
-                        if share >= CONFIRM:
-                            families.append(family)
-                            lines.append(i)
-                            shares.append(share)
-                    out["n"].append(b - a)
-                    out["families"].append(families)
-                    out["lines"].append(lines)
-                    out["shares"].append(shares)
+                found = [notices(raw, bounds, list(zip(a[i:j].tolist(), b[i:j].tolist()))) if j > i else [] for i, j in zip(own, own[1:])]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(at, len(offsets) - 1), pa.array(out["n"], pa.int32()), pa.array(out["families"], pa.list_(pa.string())), pa.array(out["lines"], pa.list_(pa.int32())), pa.array(out["shares"], pa.list_(pa.float64()))],
-                    names=["id", "n_paragraphs", "families", "lines", "shares"],
+                    [
+                        batch.column(0).slice(at, len(offsets) - 1),
+                        pa.array(np.diff(count), pa.int32()),
+                        pa.array([[n[2] for n in f] for f in found], pa.list_(pa.string())),
+                        pa.array([[n[0] - k for n in f] for f, k in zip(found, first.tolist())], pa.list_(pa.int32())),
+                        pa.array([[n[1] - 1 - k for n in f] for f, k in zip(found, first.tolist())], pa.list_(pa.int32())),
+                        pa.array([[n[3] for n in f] for f in found], pa.list_(pa.float64())),
+                    ],
+                    names=["id", "n_paragraphs", "families", "lines", "ends", "shares"],
                 )
 
     return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(read, SCAN)
