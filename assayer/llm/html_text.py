@@ -2,9 +2,10 @@
 
 A page is split into tags and text, built into a tree in which missing end tags are implied, and laid
 out: blocks stand apart by line breaks or blank lines, list items carry their marker and depth, table
-cells are padded so that columns align.  What no reader sees is left out: scripts, styles, templates,
-comments, ``hidden`` and ``aria-hidden`` elements, and those styled ``display:none`` or
-``visibility:hidden``.  All that is visible is kept, navigation and footers too.
+cells are padded so that columns align, and what stands in a table outside its cells comes before it.
+What no reader sees is left out: scripts, styles, templates, comments, ``hidden`` and ``aria-hidden``
+elements, and those styled ``display:none`` or ``visibility:hidden``.  All that is visible is kept,
+navigation and footers too.
 
 Defined cases: null html gives null, empty html an empty text; bytes after an unclosed ``<script>`` are
 hidden, an unclosed comment hides the rest, stray end tags are ignored, ``<`` before a space is text;
@@ -48,6 +49,8 @@ TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*
 ATTRIBUTE = re.compile(r"([^\s=/>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 CONCEALED = re.compile(r"display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse)", re.I)
 SPACES = re.compile(r"[ \t\n\r\f]+")
+#: A longer cell stands whole, but does not widen its column, so that padding follows the number of cells.
+WIDEST = 500
 
 
 @dataclass(slots=True)
@@ -158,42 +161,71 @@ class Page:
         return "".join(self.out)
 
 
-def _rows(table: Element) -> list[list[Element]]:
-    """Cells by row; rows may lie in sections, and a stray cell makes a row."""
-    rows, todo = [], [iter(table.children)]
+def _parts(table: Element) -> tuple[list[list[Element]], list[Element], list]:
+    """Cells by row, captions, and what else is visible in a table, in order.
+
+    Rows and cells may lie under any other element; a cell outside a row makes a row.  An element without
+    a row or a cell below it is no part of the grid and stays whole.
+    """
+    holds, todo = set(), [(table, False)]
+    while todo:
+        e, after = todo.pop()
+        if after:
+            if any(isinstance(c, Element) and (c.tag in ("tr", "td", "th") or id(c) in holds) for c in e.children):
+                holds.add(id(e))
+        elif visible(e) or e is table:
+            todo.append((e, True))
+            todo += [(c, False) for c in e.children if isinstance(c, Element) and c.tag not in ("td", "th", "caption")]
+    rows, captions, stray, todo = [], [], [], [(iter(table.children), None)]
     while todo:
-        child = next(todo[-1], None)
+        children, row = todo[-1]
+        child = next(children, None)
         if child is None:
             todo.pop()
-        elif isinstance(child, Element) and visible(child):
-            if child.tag == "tr":
-                rows.append([c for c in child.children if isinstance(c, Element) and c.tag in ("td", "th") and visible(c)])
-            elif child.tag in ("td", "th"):
+        elif isinstance(child, str):
+            stray.append(child)
+        elif not visible(child):
+            continue
+        elif child.tag in ("td", "th"):
+            if row is None:
                 rows.append([child])
-            elif child.tag in ("tbody", "thead", "tfoot"):
-                todo.append(iter(child.children))
-    return [r for r in rows if r]
+            else:
+                row.append(child)
+        elif child.tag == "tr":
+            rows.append([])
+            todo.append((iter(child.children), rows[-1]))
+        elif id(child) in holds or child.tag in ("tbody", "thead", "tfoot"):
+            todo.append((iter(child.children), row))
+        elif child.tag == "caption":
+            captions.append(child)
+        else:
+            stray.append(child)
+    if all(isinstance(c, str) and not SPACES.sub("", c) for c in stray):
+        stray = []
+    return [r for r in rows if r], captions, stray
 
 
 def _is_grid(table: Element) -> bool:
-    """Whether a table can be aligned: no table or list inside, and every cell is short."""
-    todo, size = list(table.children), 0
+    """Whether a table can be aligned: no table, list or preformatted text inside."""
+    todo = list(table.children)
     while todo:
         child = todo.pop()
         if isinstance(child, Element):
             if child.tag in ("table", "ul", "ol", "pre"):
                 return False
             todo += child.children
-        else:
-            size += len(child)
-    return size < 20_000
+    return True
 
 
-def _table_lines(table: Element) -> list[str]:
-    cells = [[SPACES.sub(" ", render(c)).strip() for c in row] for row in _rows(table)]
-    spans = [[max(1, int(c.attributes.get("colspan", "1") or 1)) if c.attributes.get("colspan", "1").isdigit() else 1 for c in row] for row in _rows(table)]
+def _table_lines(rows: list[list[Element]]) -> list[str]:
+    cells = [[SPACES.sub(" ", render(c)).strip() for c in row] for row in rows]
+    spans = [[max(1, int(c.attributes.get("colspan", "1") or 1)) if c.attributes.get("colspan", "1").isdigit() else 1 for c in row] for row in rows]
     grid = [[x for text, span in zip(row, widths) for x in [text] + [""] * (min(span, 50) - 1)] for row, widths in zip(cells, spans)]
-    width = [max((len(r[i]) for r in grid if i < len(r)), default=0) for i in range(max(map(len, grid), default=0))]
+    width = [0] * max(map(len, grid), default=0)
+    for row in grid:
+        for i, x in enumerate(row):
+            if width[i] < len(x) <= WIDEST:
+                width[i] = len(x)
     return ["  ".join(x.ljust(w) for x, w in zip(row, width)).rstrip() for row in grid if any(row)]
 
 
@@ -202,6 +234,14 @@ def render(root: Element) -> str:
     page, todo, lists, pre = Page(), [("open", root)], [], 0
     while todo:
         step, e = todo.pop()
+        if step == "grid":
+            rows, captions = e
+            page.gap(2)
+            for line in [t for c in captions if (t := render(c))] + _table_lines(rows):
+                page.write(line, keep=True)
+                page.gap(1)
+            page.gap(2)
+            continue
         if step == "close":
             if e.tag == "pre":
                 pre -= 1
@@ -235,18 +275,13 @@ def render(root: Element) -> str:
             if e.attributes.get("alt", "").strip():
                 page.write(f" {e.attributes['alt']} ")
             continue
-        if e.tag in BLOCK:
-            page.gap(2 if e.tag in SPACED and not (e.tag in ("ul", "ol") and lists) else 1)
         if e.tag == "table" and e is not root and _is_grid(e):
-            for child in e.children:
-                if isinstance(child, Element) and child.tag == "caption" and visible(child):
-                    page.write(render(child), keep=True)
-                    page.gap(1)
-            for line in _table_lines(e):
-                page.write(line, keep=True)
-                page.gap(1)
-            page.gap(2)
+            rows, captions, stray = _parts(e)
+            todo.append(("grid", (rows, captions)))
+            todo += [("open", c) for c in reversed(stray)]
             continue
+        if e.tag in BLOCK:
+            page.gap(2 if e.tag in SPACED and not (e.tag in ("ul", "ol") and lists) else 1)
         if e.tag == "pre":
             pre += 1
         if e.tag in ("ul", "ol", "menu"):
