@@ -31,6 +31,8 @@ from assayer.storage import materialize
 #: Classes for each pivot, pivots at most, residents of a block, and vectors compared with a block at once.
 PER_PIVOT, MOST_PIVOTS, BLOCK, RUN = 4000, 256, 4096, 1024
 SLACK = 1e-6
+#: Pivots nearer to each other than this have no plane between them that rounding leaves usable.
+APART = 1e-3
 
 
 def unit(vectors: np.ndarray) -> np.ndarray:
@@ -97,9 +99,10 @@ def _placed(classes: DataFrame, pivots: dict[int, np.ndarray], reach: float) ->
                 near = far[np.arange(len(x)), home]
                 # Two ways to rule a cell out; both hold, so the nearer bound counts.
                 gap = np.sqrt(np.maximum((p * p).sum(1)[:, None] + (p * p).sum(1)[None, :] - 2 * p @ p.T, 0))[home]
-                with np.errstate(divide="ignore", invalid="ignore"):
-                    across = (far**2 - near[:, None] ** 2) / (2 * gap)  # distance to the plane between the pivots
-                reached = (far <= near[:, None] + 2 * reach + SLACK) & ~(across > reach + SLACK)
+                # Pivots of (almost) one direction, v and 3v say, leave the first alone.
+                plane = gap > APART
+                across = (far**2 - near[:, None] ** 2) / np.where(plane, 2 * gap, 1.0)  # distance to the plane between the pivots
+                reached = (far <= near[:, None] + 2 * reach + SLACK) & ~(plane & (across > reach + SLACK))
                 reached[np.arange(len(x)), home] = True
                 row, cell = np.nonzero(reached)
                 taken = part.take(pa.array(row))
