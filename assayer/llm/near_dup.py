@@ -1,11 +1,12 @@
 """N-gram Jaccard join: texts whose sets of word shingles have a Jaccard similarity of a threshold or more.
 
 Method.  A text becomes a sorted array of shingle hashes.  Two sets that reach the threshold share one
-of their first few shingles in any common order, so sets meet in tiles keyed by such a shingle; in a
-tile, rows fall into bands by set size, and only bands that the threshold lets meet are compared.  Rows
+of their first few shingles in any common order, so sets meet in tiles keyed by such a shingle (prefix
+tiles, in place of tiles banded by set size); in a tile, set sizes are compared pair by pair.  Rows
 carry a hashed bitmap in which every shingle flips one bit: two bitmaps differ in at most as many bits as
 the sets differ in shingles, so a bit count bounds the overlap from above.  Pairs within the bound are
-intersected exactly.  No sampling, no cap: the result is that of comparing all pairs.
+intersected exactly.  No sampling, no cap: the components are those of comparing all pairs.  Links are not
+enumerated: pairs inside a component that is already known are not looked for.
 
 Skew.  Equal sets are one class from the start.  The common order puts shingles of many texts last
 (a bounded list of the most frequent ones), so a line in a third of all texts makes no tile.  Large
