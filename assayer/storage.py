@@ -1,18 +1,22 @@
 """Where intermediate tables go: the shared folder that the session names.
 
 On a cluster the driver and the executors share no local folder, so a cut in the lineage is a
-Parquet table under ``spark.checkpoint.dir``.  Only where that setting is absent (tests, a laptop)
-a temporary folder of this machine stands in for it.
+Parquet table under ``spark.checkpoint.dir``.  Only in local mode, where driver and executors are one
+process, may that setting be absent: then a temporary folder of this machine stands in for it.
 """
 
 from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 _fallback: dict[str, str] = {}
+#: Paths handed out inside each open ``scratch`` block, innermost last.
+_open: list[list[str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -20,6 +24,9 @@ def shared_dir(spark: SparkSession) -> str:
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    master = spark.sparkContext.master
+    if not master.split("[")[0] == "local":
+        raise ValueError(f"spark.checkpoint.dir must name a folder that all processes share (master {master})")
     app = spark.sparkContext.applicationId
     if app not in _fallback:
         _fallback[app] = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
@@ -28,7 +35,10 @@ def shared_dir(spark: SparkSession) -> str:
 
 def fresh_path(spark: SparkSession, name: str) -> str:
     """A path below the shared folder that nothing has used before."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    if _open:
+        _open[-1].append(path)
+    return path
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
@@ -40,3 +50,19 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     path = fresh_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Delete, at the end of the block, the intermediate tables that were made inside it.
+
+    Results of the block must have been written elsewhere (or before it) by then.
+    """
+    _open.append([])
+    try:
+        yield
+    finally:
+        context = spark.sparkContext
+        for path in _open.pop():
+            folder = context._jvm.org.apache.hadoop.fs.Path(path)
+            folder.getFileSystem(context._jsc.hadoopConfiguration()).delete(folder, True)
