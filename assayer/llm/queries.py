@@ -12,7 +12,9 @@ from assayer.llm import embedding_dedup, exact_dedup, html_text, licenses, mixin
 
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    found = exact_dedup.deduplicate(docs, exact_dedup.temporary_index(spark))
+    index = exact_dedup.temporary_index(spark)
+    found = exact_dedup.deduplicate(docs, index)
+    index.drop()
     return found.select(F.col("id").alias("doc_id"), "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
 
 
