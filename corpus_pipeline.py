@@ -20,7 +20,10 @@ def drop_poor_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts the row with the largest doc_id stays."""
-    return exact_dedup.keep_distinct(docs, exact_dedup.temporary_index(spark))
+    index = exact_dedup.temporary_index(spark)
+    kept = exact_dedup.keep_distinct(docs, index)
+    index.drop()
+    return kept
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
