@@ -2,20 +2,30 @@
 
 A page is split into tags and text, built into a tree in which missing end tags are implied, and laid
 out: blocks stand apart by line breaks or blank lines, list items carry their marker and depth, table
-cells are padded so that columns align, and what stands in a table outside its cells comes before it.
-What no reader sees is left out: scripts, styles, templates, comments, ``hidden`` and ``aria-hidden``
-elements, and those styled ``display:none`` or ``visibility:hidden``.  All that is visible is kept,
-navigation and footers too.
-
-Defined cases: null html gives null, empty html an empty text; bytes after an unclosed ``<script>`` are
-hidden, an unclosed comment hides the rest, stray end tags are ignored, ``<`` before a space is text;
-very long and deeply nested pages are laid out without recursion; other columns are ignored.
+cells are padded so that columns align (row and column spans included), and what stands in a table
+outside its cells comes before it.  What no reader sees is left out: scripts, styles, templates,
+comments, ``hidden`` and ``aria-hidden`` elements, closed dialogs, options that are not chosen, drawings'
+definitions, and what ``display:none`` or ``visibility:hidden`` conceals, said in a style attribute or by a
+plain rule (tag, ``.class``, ``tag.class`` or ``#id``) of a style element.  ``visibility:visible`` shows
+again what stands in a hidden parent.  All that is visible is kept, navigation and footers too, labels of
+buttons, formulas, and the texts of drawings.  The content of ``details`` is kept, open or not.
+
+Every step reads on from where the last one ended and open elements are counted by tag, so time grows in
+proportion to the page whatever it holds.
+
+Defined cases: null html gives null, empty html an empty text; bytes after an unclosed ``<script>``,
+comment or tag are hidden, stray end tags are ignored, ``<`` before a space is text; very long and deeply
+nested pages are laid out without recursion (lists deeper than DEEPEST share an indent); other columns are
+ignored.
 """
 
 from __future__ import annotations
 
+import bisect
+import heapq
 import html
 import re
+from collections import defaultdict
 from dataclasses import dataclass, field
 
 import pyarrow as pa
@@ -24,9 +34,17 @@ from pyspark.sql import functions as F
 
 # Fixed values of the HTML standard: element classes.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-HIDDEN = frozenset("head script style template noscript iframe object svg math canvas audio video datalist select colgroup dialog".split())
+HIDDEN = frozenset(
+    "head script style template noscript iframe object canvas audio video datalist colgroup annotation annotation-xml".split()
+)
+#: Not shown inside a drawing.
+UNDRAWN = frozenset("title desc metadata defs symbol clippath mask marker pattern".split())
 RAW = frozenset("script style textarea title iframe noembed noframes xmp".split())
-BLOCK = frozenset("address article aside blockquote body center dd details dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre search section summary table tbody td tfoot th thead title tr ul caption".split())
+BLOCK = frozenset(
+    "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form"
+    " h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre search section summary table tbody td tfoot"
+    " th thead title tr ul caption".split()
+)
 SPACED = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre ul ol dl table figure article section main fieldset".split())
 CLOSES_P = BLOCK - frozenset("body html td th tr tbody thead tfoot caption title legend li dd dt".split())
 #: Opening the key ends an open element of the values, if none of the bounds lies between.
@@ -41,16 +59,36 @@ IMPLIED_END = {
     "thead": ({"tbody", "thead", "tfoot", "tr", "td", "th", "caption"}, {"table"}),
     "tfoot": ({"tbody", "thead", "tfoot", "tr", "td", "th", "caption"}, {"table"}),
     "option": ({"option"}, {"select"}),
+    "optgroup": ({"option", "optgroup"}, {"select"}),
     "body": ({"head"}, set()),
 }
 P_BOUNDS = frozenset({"td", "th", "table", "button", "caption", "li", "object"})
-
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
-ATTRIBUTE = re.compile(r"([^\s=/>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
-CONCEALED = re.compile(r"display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse)", re.I)
+#: Opening one of these ends a drawing or formula, unless inside one of INTEGRATION.
+BREAKOUT = frozenset(
+    "b big blockquote body br center code dd div dl dt em embed h1 h2 h3 h4 h5 h6 head hr i img li listing menu meta nobr"
+    " ol p pre ruby s small span strong strike sub sup table tt u ul var".split()
+)
+FOREIGN = frozenset({"svg", "math"})
+INTEGRATION = frozenset("foreignobject desc title mi mo mn ms mtext annotation-xml".split())
+#: Labels of buttons that carry none.
+BUTTONS = {"submit": "Submit", "reset": "Reset", "button": "", "image": ""}
+UNSEEN_INPUTS = frozenset("hidden checkbox radio file password range color".split())
+
+NEXT_TAG = re.compile(r"<(?:!--|[!?]|/?[a-zA-Z]|/)")
+TAG_NAME = re.compile(r"[^ \t\n\r\f/>]+")
+COMMENT_END = re.compile(r"--!?>")
+GAP = re.compile(r"[ \t\n\r\f/]*")
+NAME = re.compile(r"[^ \t\n\r\f/>][^ \t\n\r\f/>=]*")
+EQUALS = re.compile(r"[ \t\n\r\f]*=[ \t\n\r\f]*")
+BARE = re.compile(r"[^ \t\n\r\f>]*")
+DISPLAY = re.compile(r"(?<![\w-])display\s*:\s*([a-z-]+)", re.I)
+VISIBILITY = re.compile(r"(?<![\w-])visibility\s*:\s*([a-z]+)", re.I)
+SELECTOR = re.compile(r"([a-zA-Z][\w-]*)?([.#][\w-]+)?")
 SPACES = re.compile(r"[ \t\n\r\f]+")
 #: A longer cell stands whole, but does not widen its column, so that padding follows the number of cells.
 WIDEST = 500
+#: Levels of lists that are indented.
+DEEPEST = 40
 
 
 @dataclass(slots=True)
@@ -60,70 +98,201 @@ class Element:
     children: list = field(default_factory=list)
 
 
-def _attributes(source: str) -> dict[str, str]:
-    if not source or source.isspace():
-        return {}
-    return {m[1].lower(): html.unescape(m[2] or m[3] or m[4] or "") for m in ATTRIBUTE.finditer(source)}
+def _rest_of_tag(source: str, at: int) -> tuple[dict[str, str], bool, int] | None:
+    """Attributes, whether the tag closes itself, and where it ends; none if it never does."""
+    found: dict[str, str] = {}
+    while True:
+        begin, at = at, GAP.match(source, at).end()
+        if at >= len(source):
+            return None
+        if source[at] == ">":
+            return found, at > begin and source[at - 1] == "/", at + 1
+        name = NAME.match(source, at)
+        at, value = name.end(), ""
+        if given := EQUALS.match(source, at):
+            at = given.end()
+            quote = source[at : at + 1]
+            if quote in ("'", '"'):
+                close = source.find(quote, at + 1)
+                if close < 0:
+                    return None
+                value, at = source[at + 1 : close], close + 1
+            else:
+                bare = BARE.match(source, at)
+                value, at = bare[0], bare.end()
+        found.setdefault(name[0].lower(), html.unescape(value))
+
+
+class _Builder:
+    """The tree being built, with the places of open elements by tag."""
+
+    def __init__(self):
+        self.root = Element("#root")
+        self.stack = [self.root]
+        self.places: dict[str, list[int]] = defaultdict(list)
+
+    def add(self, child) -> None:
+        self.stack[-1].children.append(child)
+
+    def open(self, e: Element) -> None:
+        self.places[e.tag].append(len(self.stack))
+        self.stack.append(e)
+
+    def innermost(self, tags) -> int:
+        return max((self.places[t][-1] for t in tags if self.places.get(t)), default=0)
 
+    def end(self, targets, bounds) -> bool:
+        """End the innermost open element of ``targets`` and all in it, if none of ``bounds`` lies inside it."""
+        at = self.innermost(targets)
+        if not at or self.innermost(bounds) > at:
+            return False
+        while len(self.stack) > at:
+            self.places[self.stack.pop().tag].pop()
+        return True
 
-def parse(source: str) -> Element:
-    """The tree of a page.  End tags that the standard lets authors leave out are implied."""
-    root = Element("#root")
-    stack, at = [root], 0
+
+_RAW_END = {tag: re.compile(rf"</{tag}(?=[ \t\n\r\f/>])", re.I) for tag in RAW}
+
+
+def parse(source: str) -> tuple[Element, dict[str, dict[str, str]]]:
+    """The tree of a page, and what its style elements say of display and visibility, by selector.
+
+    End tags that the standard lets authors leave out are implied.
+    """
+    tree, rules, at = _Builder(), {}, 0
 
     def text(piece: str) -> None:
         if piece:
-            stack[-1].children.append(html.unescape(piece))
+            tree.add(html.unescape(piece))
 
-    def end(targets, bounds) -> None:
-        for k in range(len(stack) - 1, 0, -1):
-            if stack[k].tag in targets:
-                del stack[k:]
-                return
-            if stack[k].tag in bounds:
-                return
-
-    while m := TOKEN.search(source, at):
+    while m := NEXT_TAG.search(source, at):
         text(source[at : m.start()])
-        at = m.end()
-        if m[2] is None:
+        kind, at = m[0], m.end()
+        if kind == "<!--":
+            if source.startswith((">", "->"), at):
+                at = source.index(">", at) + 1
+            else:
+                close = COMMENT_END.search(source, at)
+                at = close.end() if close else len(source)
             continue
-        tag = m[2].lower()
-        if m[1]:
+        if not kind[-1].isalpha():  # declarations and bogus comments
+            close = source.find(">", at)
+            at = close + 1 if close >= 0 else len(source)
+            continue
+        name = TAG_NAME.match(source, at - 1)
+        tag = name[0].lower()
+        rest = _rest_of_tag(source, name.end())
+        if rest is None:
+            at = len(source)
+            break
+        attributes, closes, at = rest
+        if kind[1] == "/":
             if tag == "br":  # "</br>" is a line break
-                stack[-1].children.append(Element("br"))
+                tree.add(Element("br"))
             elif tag not in VOID:
-                end({tag}, {"table"} if tag not in ("table", "body", "html") and tag not in IMPLIED_END else set())
+                tree.end({tag}, {"table"} - {tag} if tag not in ("body", "html") else set())
             continue
-        if tag in CLOSES_P:
-            end({"p"}, P_BOUNDS)
-        while tag in IMPLIED_END:
-            before = len(stack)
-            end(*IMPLIED_END[tag])
-            if len(stack) == before:
-                break
-        made = Element(tag, _attributes(m[3]))
-        stack[-1].children.append(made)
-        if tag in VOID or m[3].endswith("/") and tag in ("svg", "path", "math"):
+        if tag in BREAKOUT and tree.innermost(FOREIGN):
+            tree.end(FOREIGN, INTEGRATION)
+        foreign = tree.innermost(FOREIGN) > tree.innermost(INTEGRATION)
+        if tag in CLOSES_P and not foreign:
+            tree.end({"p"}, P_BOUNDS)
+        while tag in IMPLIED_END and tree.end(*IMPLIED_END[tag]):
+            pass
+        made = Element(tag, attributes)
+        tree.add(made)
+        if tag in VOID or closes and (foreign or tag in FOREIGN):
             continue
-        if tag in RAW:
-            close = re.compile(rf"</{tag}(?=[\s/>])[^>]*>", re.I).search(source, at)
+        if tag in RAW and not (foreign and tag not in ("script", "style")):
+            close = _RAW_END[tag].search(source, at)
             inside = source[at : close.start()] if close else source[at:]
+            at = len(source)
+            if close:
+                rest = _rest_of_tag(source, close.end())
+                at = rest[2] if rest else len(source)
+            if tag == "style":
+                _read_rules(inside, rules)
             made.children.append(html.unescape(inside) if tag in ("textarea", "title") else inside)
-            at = close.end() if close else len(source)
             continue
-        stack.append(made)
+        tree.open(made)
     text(source[at:])
-    return root
-
-
-def visible(e: Element) -> bool:
+    return tree.root, rules
+
+
+def _declared(css: str) -> dict[str, str]:
+    found = {}
+    for name, pattern in (("display", DISPLAY), ("visibility", VISIBILITY)):
+        for m in pattern.finditer(css):
+            found[name] = m[1].lower()
+    return found
+
+
+def _read_rules(css: str, rules: dict[str, dict[str, str]]) -> None:
+    """Add the plain rules of a style sheet; rules inside others (of media and the like) are left out."""
+    kept, at = [], 0
+    while (begin := css.find("/*", at)) >= 0:
+        kept.append(css[at:begin])
+        close = css.find("*/", begin + 2)
+        at = close + 2 if close >= 0 else len(css)
+    depth = 0
+    for piece in "".join([*kept, css[at:]]).split("}"):
+        opened = piece.count("{")
+        if depth == 0 and opened == 1:
+            selectors, _, declarations = piece.partition("{")
+            said = _declared(declarations)
+            for selector in selectors.split(",") if said else ():
+                m = SELECTOR.fullmatch(selector.strip())
+                if m and m[0]:
+                    rules.setdefault((m[1] or "").lower() + (m[2] or ""), {}).update(said)
+        depth = max(0, depth + opened - 1)
+
+
+def _said(e: Element, rules: dict[str, dict[str, str]]) -> dict[str, str]:
+    """What rules and the style attribute say of an element, the more specific ones last."""
+    a, said = e.attributes, {}
+    if rules:
+        said |= rules.get(e.tag, {})
+        classes = a.get("class", "").split()
+        for prefix in ("", e.tag):
+            for c in classes:
+                said |= rules.get(f"{prefix}.{c}", {})
+        if "id" in a:
+            said |= rules.get(f"#{a['id']}", {})
+    if a.get("style"):
+        said |= _declared(a["style"])
+    return said
+
+
+def displayed(e: Element, rules: dict[str, dict[str, str]]) -> bool:
+    """Whether an element is laid out at all."""
     a = e.attributes
-    if e.tag in HIDDEN or "hidden" in a or a.get("aria-hidden", "").lower() == "true":
+    if e.tag in HIDDEN or a.get("aria-hidden", "").lower() == "true" or e.tag == "dialog" and "open" not in a:
         return False
-    if e.tag == "input":
-        return False
-    return not (a.get("style") and CONCEALED.search(a["style"]))
+    return _said(e, rules).get("display", "none" if "hidden" in a else "") != "none"
+
+
+def shown(e: Element, rules: dict[str, dict[str, str]], parent: bool) -> bool:
+    """Whether the text of an element is seen, given whether its parent's is."""
+    said = _said(e, rules).get("visibility")
+    return said == "visible" if said in ("visible", "hidden", "collapse") else parent
+
+
+def chosen(select: Element, rules: dict[str, dict[str, str]]) -> list[Element]:
+    """The options that a select shows: all of a list box, else the chosen one or the first."""
+    options, todo = [], list(reversed(select.children))
+    while todo:
+        e = todo.pop()
+        if isinstance(e, str) or not displayed(e, rules):
+            continue
+        if e.tag == "option":
+            options.append(e)
+        else:
+            todo += reversed(e.children)
+    size = select.attributes.get("size", "")
+    if "multiple" in select.attributes or size.isdecimal() and int(size[:9]) > 1:
+        return options
+    picked = [o for o in options if "selected" in o.attributes]
+    return picked[-1:] or [o for o in options if "disabled" not in o.attributes][:1]
 
 
 class Page:
@@ -161,8 +330,8 @@ class Page:
         return "".join(self.out)
 
 
-def _parts(table: Element) -> tuple[list[list[Element]], list[Element], list]:
-    """Cells by row, captions, and what else is visible in a table, in order.
+def _parts(table: Element, rules: dict[str, dict[str, str]]) -> tuple[list[list[Element]], list[Element], list]:
+    """Cells by row, captions, and what else is displayed in a table, in order.
 
     Rows and cells may lie under any other element; a cell outside a row makes a row.  An element without
     a row or a cell below it is no part of the grid and stays whole.
@@ -173,7 +342,7 @@ def _parts(table: Element) -> tuple[list[list[Element]], list[Element], list]:
         if after:
             if any(isinstance(c, Element) and (c.tag in ("tr", "td", "th") or id(c) in holds) for c in e.children):
                 holds.add(id(e))
-        elif visible(e) or e is table:
+        elif displayed(e, rules) or e is table:
             todo.append((e, True))
             todo += [(c, False) for c in e.children if isinstance(c, Element) and c.tag not in ("td", "th", "caption")]
     rows, captions, stray, todo = [], [], [], [(iter(table.children), None)]
@@ -184,7 +353,7 @@ def _parts(table: Element) -> tuple[list[list[Element]], list[Element], list]:
             todo.pop()
         elif isinstance(child, str):
             stray.append(child)
-        elif not visible(child):
+        elif not displayed(child, rules):
             continue
         elif child.tag in ("td", "th"):
             if row is None:
@@ -217,32 +386,99 @@ def _is_grid(table: Element) -> bool:
     return True
 
 
-def _table_lines(rows: list[list[Element]]) -> list[str]:
-    cells = [[SPACES.sub(" ", render(c)).strip() for c in row] for row in rows]
-    spans = [[max(1, int(c.attributes.get("colspan", "1") or 1)) if c.attributes.get("colspan", "1").isdigit() else 1 for c in row] for row in rows]
-    grid = [[x for text, span in zip(row, widths) for x in [text] + [""] * (min(span, 50) - 1)] for row, widths in zip(cells, spans)]
-    width = [0] * max(map(len, grid), default=0)
-    for row in grid:
-        for i, x in enumerate(row):
-            if width[i] < len(x) <= WIDEST:
-                width[i] = len(x)
-    return ["  ".join(x.ljust(w) for x, w in zip(row, width)).rstrip() for row in grid if any(row)]
-
-
-def render(root: Element) -> str:
-    """The text of an element, laid out; an explicit stack, so depth is no limit."""
+def _span(cell: Element, name: str, most: int) -> int:
+    """A span as the standard reads it: 1 unless a number, and ``most`` at most."""
+    value = cell.attributes.get(name, "").strip()
+    return min(int(value[:9]), most) or 1 if value.isascii() and value.isdecimal() else 1
+
+
+def columns(rows: list[list[Element]]) -> list[list[tuple[int, int]]]:
+    """The first column of each cell and the one behind its last; cells of rows above may reach down between."""
+    free, edge, ends, out = [], 0, defaultdict(list), []  # free: gaps (from, to) left of the edge
+    for r, row in enumerate(rows):
+        for gap in ends.pop(r, ()):
+            heapq.heappush(free, gap)
+        after, places = [], []
+        for cell in row:
+            wide, deep = _span(cell, "colspan", 1000), _span(cell, "rowspan", len(rows) - r)
+            if free:
+                begin, end = heapq.heappop(free)
+                while end - begin < wide and free and free[0][0] == end:
+                    end = heapq.heappop(free)[1]
+                if end == edge:
+                    edge = max(edge, begin + wide)
+                    end = edge
+            else:
+                begin, edge = edge, edge + wide
+                end = edge
+            if end > begin + wide:
+                heapq.heappush(free, (begin + wide, end))
+                end = begin + wide
+            places.append((begin, end))
+            (ends[r + deep] if deep > 1 else after).append((begin, end))
+        for gap in after:
+            heapq.heappush(free, gap)
+        out.append(places)
+    return out
+
+
+def _table_lines(rows: list[list[Element]], rules: dict[str, dict[str, str]], seen: bool) -> list[str]:
+    """One line a row; columns in which no text begins take no room."""
+    cells = [[SPACES.sub(" ", render(c, rules, shown(c, rules, seen))).strip() for c in row] for row in rows]
+    places = columns(rows)
+    starts = sorted({begin for row, at in zip(cells, places) for x, (begin, _) in zip(row, at) if x})
+    index = {c: i for i, c in enumerate(starts)}
+    width = [0] * len(index)
+    spanning = []
+    for row, at in zip(cells, places):
+        for x, (begin, end) in zip(row, at):
+            if x and len(x) <= WIDEST:
+                first, behind = index[begin], bisect.bisect_left(starts, end)
+                if behind - first > 1:
+                    spanning.append((first, behind, len(x)))
+                else:
+                    width[first] = max(width[first], len(x))
+    for first, behind, n in spanning:
+        width[behind - 1] += max(0, n - sum(width[first:behind]) - 2 * (behind - first - 1))
+    before = [0]
+    for w in width:
+        before.append(before[-1] + w + 2)
+    lines = []
+    for row, at in zip(cells, places):
+        parts, used = [], 0
+        for x, (begin, _) in zip(row, at):
+            # A column begins where it does in all rows, or behind a longer cell before it.
+            if x:
+                blank = max(before[index[begin]] - used, 2 if parts else 0)
+                parts.append(" " * blank + x)
+                used += blank + len(x)
+        if parts:
+            lines.append("".join(parts))
+    return lines
+
+
+def render(root: Element, rules: dict[str, dict[str, str]], seen: bool = True) -> str:
+    """The text of an element, laid out; an explicit stack, so depth is no limit.
+
+    ``seen`` says whether text that stands in the element itself is.
+    """
     page, todo, lists, pre = Page(), [("open", root)], [], 0
+    state = [(seen, False)]  # whether text is seen, and whether it stands in a drawing outside its texts
     while todo:
         step, e = todo.pop()
         if step == "grid":
-            rows, captions = e
+            rows, captions, seen = e
             page.gap(2)
-            for line in [t for c in captions if (t := render(c))] + _table_lines(rows):
+            for line in [t for c in captions if (t := render(c, rules, shown(c, rules, seen)))] + _table_lines(rows, rules, seen):
                 page.write(line, keep=True)
                 page.gap(1)
             page.gap(2)
             continue
+        if step == "leave":
+            state.pop()
+            continue
         if step == "close":
+            state.pop()
             if e.tag == "pre":
                 pre -= 1
             if e.tag in ("ul", "ol", "menu"):
@@ -250,10 +486,13 @@ def render(root: Element) -> str:
             if e.tag in BLOCK:
                 page.mark = "" if e.tag == "li" else page.mark
                 page.gap(2 if e.tag in SPACED and not (e.tag in ("ul", "ol") and lists) else 1)
-            elif e.tag in ("option", "button"):
+            elif e.tag in ("option", "button", "text"):
                 page.space = True
             continue
+        seen, drawn = state[-1]
         if isinstance(e, str):
+            if not seen or drawn:
+                continue
             if pre:
                 lines = e.split("\n")
                 for i, line in enumerate(lines):
@@ -265,19 +504,33 @@ def render(root: Element) -> str:
             else:
                 page.write(e)
             continue
-        if e is not root and not visible(e):
-            continue
+        if e is not root:
+            if not displayed(e, rules) or drawn and e.tag in UNDRAWN:
+                continue
+            seen = shown(e, rules, seen)
+        if e.tag == "svg":
+            drawn = True
+        elif e.tag in ("text", "foreignobject"):
+            page.space = page.space or drawn
+            drawn = False
         if e.tag == "br":
             page.breaks = min(2, page.breaks + 1) if page.out else 0
             page.space = False
             continue
         if e.tag == "img":
-            if e.attributes.get("alt", "").strip():
+            if seen and e.attributes.get("alt", "").strip():
                 page.write(f" {e.attributes['alt']} ")
             continue
+        if e.tag == "input":
+            kind = e.attributes.get("type", "text").lower()
+            label = e.attributes.get("alt" if kind == "image" else "value", BUTTONS.get(kind, ""))
+            if seen and kind not in UNSEEN_INPUTS and label.strip():
+                page.write(f" {label} ")
+            continue
         if e.tag == "table" and e is not root and _is_grid(e):
-            rows, captions, stray = _parts(e)
-            todo.append(("grid", (rows, captions)))
+            rows, captions, stray = _parts(e, rules)
+            state.append((seen, drawn))
+            todo += [("leave", None), ("grid", (rows, captions, seen))]
             todo += [("open", c) for c in reversed(stray)]
             continue
         if e.tag in BLOCK:
@@ -286,19 +539,24 @@ def render(root: Element) -> str:
             pre += 1
         if e.tag in ("ul", "ol", "menu"):
             start = e.attributes.get("start", "1")
-            lists.append([e.tag == "ol", int(start) if start.isdigit() else 1])
+            lists.append([e.tag == "ol", int(start[:9]) if start.isascii() and start.isdecimal() else 1])
         if e.tag == "li":
             ordered, number = lists[-1] if lists else (False, 1)
-            page.mark = "  " * max(0, len(lists) - 1) + (f"{number}. " if ordered else "- ")
+            page.mark = "  " * max(0, min(len(lists), DEEPEST) - 1) + (f"{number}. " if ordered else "- ")
             if lists:
                 lists[-1][1] += 1
+        state.append((seen, drawn))
         todo.append(("close", e))
-        todo += [("open", c) for c in reversed(e.children)]
+        inner = e.children
+        if e.tag == "select":
+            inner = chosen(e, rules)
+            page.space = True
+        todo += [("open", c) for c in reversed(inner)]
     return page.text()
 
 
 def to_text(source: str) -> str:
-    return render(parse(source))
+    return render(*parse(source))
 
 
 def visible_text(page: Column) -> Column:
