@@ -57,4 +57,4 @@ def test_mixing_stage_comes_near_its_targets(spark, sf):
     from assayer.llm import mixing
 
     docs = spark.read.parquet(f"{sf}/documents.parquet")
-    check(mixing.mix(docs).collect(), [(r.source, r.text) for r in docs.collect()])
+    check(mixing.mix(docs).collect(), [(r.source, r.text) for r in docs.collect()], spark)
