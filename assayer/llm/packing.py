@@ -1,9 +1,11 @@
 """Best-fit-decreasing packing of documents into sequences of a fixed number of tokens.
 
 Texts are tokenised where they are read; only piece lengths are shuffled.  Pieces are dealt by hash
-into blocks, and each block is packed on its own: longest first, each into the open bin that it fills
-best, found in a segment tree over remaining capacities.  A block leaves one loosely filled bin or
-so, which is nothing against the thousands that it fills.
+into blocks whose number follows from the number of documents alone, and each block is packed on its own:
+longest first, each into the open bin that it fills best, found in a segment tree over remaining
+capacities.  Best fit leaves a block at most one bin that is no more than half full; these bins of all
+blocks are packed once more, as pieces of their own.  So the packing depends on the rows only, not on the
+cluster or on how the rows were partitioned.
 
 Defined cases: a null or empty text is its end id alone; a document longer than a sequence is cut
 into full pieces and a last one; repeated rows are packed each; an empty table gives no rows; other
@@ -16,15 +18,15 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from assayer.llm import tokens
+from assayer.storage import materialize
 
 #: Pieces packed together at most; bounds a task's memory to some 20 MB.
 BLOCK = 100_000
-#: Documents for each packing task: few tasks waste few sequences, and a task takes seconds.
+#: Documents for each block: few blocks waste few sequences, and a block takes seconds.
 DOCUMENTS = 50_000
 
 
@@ -108,40 +110,68 @@ def cut_pieces(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col
     return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(cut, PIECES)
 
 
-def pack_pieces(pieces: DataFrame, capacity: int = 2048, block: int = BLOCK, partitions: int | None = None) -> DataFrame:
-    """Add ``sequence_id`` and ``offset`` to pieces of at most ``capacity``.
+def _pack_blocks(pieces: DataFrame, capacity: int, blocks: int, block: int) -> DataFrame:
+    """Add ``sequence_id`` and ``offset`` to pieces, block by block.
 
-    Dealing and order depend on the rows alone, so a task that runs again packs alike.
+    Blocks and the order in them depend on the rows alone, so a task that runs again packs alike.  A
+    block that repeated rows make too large is packed in runs of ``block`` pieces.
     """
-    n = partitions or int(pieces.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = pieces.repartition(n, "id", "piece").sortWithinPartitions(F.xxhash64("id", "piece"), "id", "piece", "length", "ids_crc32")
+    if block > 1 << 17:
+        raise ValueError("a run may have 2 ** 17 pieces at most")
+    mark = F.xxhash64("id", "piece", "length", "ids_crc32")
+    order = ["__block", "__mark", "id", "piece", "length", "ids_crc32"]
+    placed = pieces.withColumns({"__mark": mark, "__block": F.pmod(mark, F.lit(blocks))})
+    dealt = placed.repartition("__block").sortWithinPartitions(*order)
 
     def place(batches):
-        base, held, rows = TaskContext.get().partitionId() << 40, [], 0
+        held, rows, at, run = [], 0, None, 0
 
-        def packed(part: pa.Table, base: int):
+        def packed():
+            part = pa.Table.from_batches(held).drop_columns(["__mark", "__block"])
             part = part.sort_by([("length", "descending"), ("id", "ascending"), ("piece", "ascending"), ("ids_crc32", "ascending")])
             number, offset, bins = pack(part["length"].to_numpy(), capacity)
-            part = part.append_column("sequence_id", pa.array(base + number)).append_column("offset", pa.array(offset))
-            return part.to_batches(), base + bins
+            # Block, run and bin in one number: a run has at most 2 ** 17 bins, a block 2 ** 19 runs.
+            part = part.append_column("sequence_id", pa.array((at << 36) + (run << 17) + number)).append_column("offset", pa.array(offset))
+            return part.to_batches()
 
         for batch in batches:
             while batch.num_rows:
-                head = batch.slice(0, block - rows)
-                held.append(head)
-                rows += head.num_rows
-                batch = batch.slice(head.num_rows)
-                if rows == block:
-                    done, base = packed(pa.Table.from_batches(held), base)
-                    yield from done
-                    held, rows = [], 0
+                number = batch.column("__block").to_numpy()
+                if number[0] != at or rows == block:
+                    if held:
+                        yield from packed()
+                    run = run + 1 if number[0] == at else 0
+                    held, rows, at = [], 0, int(number[0])
+                to = min(int(np.searchsorted(number, at, side="right")), block - rows)
+                held.append(batch.slice(0, to))
+                rows += to
+                batch = batch.slice(to)
         if held:
-            yield from packed(pa.Table.from_batches(held), base)[0]
+            yield from packed()
 
     return dealt.mapInArrow(place, PIECES + ", sequence_id long, offset long")
 
 
+def pack_pieces(pieces: DataFrame, capacity: int = 2048, blocks: int = 1, block: int = BLOCK) -> DataFrame:
+    """Add ``sequence_id`` and ``offset`` to pieces of at most ``capacity``, dealt into ``blocks``."""
+    packed = _pack_blocks(pieces, capacity, blocks, block)
+    packed = materialize(packed, "packed")
+    used = packed.groupBy("sequence_id").agg(F.sum("length").alias("used"))
+    # At most one a block or run: of two, best fit would have put the later one's first piece into the other.
+    loose = materialize(used.filter(F.col("used") * 2 <= capacity), "loose-sequences")
+    n = loose.count()
+    if n < 2:
+        return packed
+    as_pieces = loose.select(F.col("sequence_id").alias("id"), F.lit(0).alias("piece"), F.lit(0).cast("long").alias("start"), F.col("used").alias("length"), F.lit(0).cast("long").alias("ids_crc32"))
+    merged = _pack_blocks(as_pieces, capacity, -(-n // block), block)
+    # Sequences of this second packing are numbered below zero.
+    moved = merged.select(F.col("id").alias("sequence_id"), (-1 - F.col("sequence_id")).alias("into"), F.col("offset").alias("behind"))
+    return packed.join(moved, "sequence_id", "left").select(
+        *pieces.columns, F.coalesce("into", "sequence_id").alias("sequence_id"), (F.col("offset") + F.coalesce("behind", F.lit(0))).alias("offset")
+    )
+
+
 def best_fit(docs: DataFrame, tokenizer: str | None = None, id_col: str = "doc_id", text_col: str = "text", capacity: int = 2048, end_id: int = 0) -> DataFrame:
     """``id, piece, start, length, ids_crc32, sequence_id, offset`` for every piece of every document."""
-    tasks = max(1, min(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-docs.count() // DOCUMENTS)))
-    return pack_pieces(cut_pieces(docs, tokenizer or tokens.default_path(), id_col, text_col, capacity, end_id), capacity, partitions=tasks)
+    blocks = max(1, -(-docs.count() // DOCUMENTS))
+    return pack_pieces(cut_pieces(docs, tokenizer or tokens.default_path(), id_col, text_col, capacity, end_id), capacity, blocks)

@@ -1,5 +1,6 @@
+import itertools
+from collections import Counter, defaultdict
 import zlib
-from collections import defaultdict
 
 import numpy as np
 import pyarrow as pa
@@ -101,3 +102,26 @@ def test_few_sequences(spark, sf):
     rows = packing.best_fit(spark.read.parquet(f"{sf}/documents.parquet")).toPandas()
     least = -(-rows.length.sum() // 2048)
     assert rows.sequence_id.nunique() <= 1.02 * least + 4
+
+
+def test_packing_depends_on_the_rows_alone(spark, sf):
+    """Other partitions give the same packing; more blocks and short runs give valid ones, with one loose sequence at most."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    pieces = packing.cut_pieces(docs, tokens.default_path())
+    first = sorted(map(tuple, packing.pack_pieces(pieces, blocks=5).collect()))
+    spark.conf.set("spark.sql.shuffle.partitions", "7")
+    try:
+        assert sorted(map(tuple, packing.pack_pieces(pieces.repartition(3), blocks=5).collect())) == first
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    want = Counter((r.id, r.piece, r.length) for r in pieces.collect())
+    for blocks, block in ((1, packing.BLOCK), (5, packing.BLOCK), (1, 10), (40, 3)):
+        rows, bins = packing.pack_pieces(pieces, blocks=blocks, block=block).collect(), defaultdict(list)
+        assert Counter((r.id, r.piece, r.length) for r in rows) == want
+        for r in rows:
+            bins[r.sequence_id].append((r.offset, r.length))
+        for parts in bins.values():
+            ends = [0, *itertools.accumulate(n for _, n in sorted(parts))]
+            assert [o for o, _ in sorted(parts)] == ends[:-1] and ends[-1] <= 2048
+        if block == packing.BLOCK:
+            assert sum(sum(n for _, n in parts) * 2 <= 2048 for parts in bins.values()) <= 1
