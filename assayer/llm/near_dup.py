@@ -15,8 +15,8 @@ nearest partner in large tiles; a tile whose rows are all of one component has n
 dropped.  Tiles that are still large are split into blocks, and blocks meet pairwise in tasks of their own.
 
 Defined cases: null, empty and blank texts have the empty set, which links with nothing; texts shorter
-than a shingle are one shingle of all their words; rows that repeat an id are one document if their
-texts agree; an empty table gives no rows; other columns are ignored.
+than a shingle are one shingle of all their words; every row is compared, also if its id is null or another
+row's; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -25,10 +25,11 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from assayer.llm import components, words
+from assayer.operators.skew import join_counted
 from assayer.storage import materialize
 
 #: A shingle at the head of so many texts goes to the end of the order, if among the most frequent so many.
@@ -73,7 +74,8 @@ def overlap_reaches(a: np.ndarray, b: np.ndarray, both: np.ndarray, percent: int
 
 
 def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    text = F.col(text_col).cast("string")
+    return docs.select(F.col(id_col).cast("long").alias("id"), text.alias("text"), F.xxhash64(text).alias("mark"))
 
 
 def frequent_shingles(texts: DataFrame, size: int, percent: int) -> np.ndarray:
@@ -92,7 +94,7 @@ def frequent_shingles(texts: DataFrame, size: int, percent: int) -> np.ndarray:
     return np.sort(np.array([r.shingle for r in most.select("shingle").collect()], dtype=np.int64).view(np.uint64))
 
 
-SKETCH = "id long, n int, digest binary, bits binary, minima array<long>, head array<long>"
+SKETCH = "id long, mark long, n int, digest binary, bits binary, minima array<long>, head array<long>"
 
 
 def sketches(texts: DataFrame, size: int, percent: int, frequent: np.ndarray) -> DataFrame:
@@ -122,8 +124,12 @@ def sketches(texts: DataFrame, size: int, percent: int, frequent: np.ndarray) ->
                         s = early if len(early) >= k else np.concatenate([early, s[is_late]])
                     out["head"].append(s[:k].view(np.int64))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(at, len(sets)), pa.array(out["n"], pa.int32()), pa.array(out["digest"], pa.binary()), pa.array(out["bits"], pa.binary()), pa.array(out["minima"], pa.list_(pa.int64())), pa.array(out["head"], pa.list_(pa.int64()))],
-                    names=["id", "n", "digest", "bits", "minima", "head"],
+                    [
+                        batch.column(0).slice(at, len(sets)), batch.column(2).slice(at, len(sets)), pa.array(out["n"], pa.int32()),
+                        pa.array(out["digest"], pa.binary()), pa.array(out["bits"], pa.binary()),
+                        pa.array(out["minima"], pa.list_(pa.int64())), pa.array(out["head"], pa.list_(pa.int64())),
+                    ],
+                    names=["id", "mark", "n", "digest", "bits", "minima", "head"],
                 )
 
     return texts.mapInArrow(sketch, SKETCH)
@@ -248,10 +254,11 @@ def leader_pairs(classes: DataFrame) -> DataFrame:
 
 def shared_heads(classes: DataFrame, roots: DataFrame) -> DataFrame:
     """``shingle, node, many``: head shingles of classes of two components or more, with the number of their classes."""
-    rows = with_root(classes.select("node", "head"), roots)
-    entries = rows.select(F.explode("head").alias("shingle"), "node", "root")
-    shared = entries.groupBy("shingle").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count(F.lit(1)).alias("many")).filter("low < high")
-    return entries.select("shingle", "node").join(shared.select("shingle", "many"), "shingle")
+    rooted = with_root(classes.select("node", "head"), roots).select(F.explode("head").alias("shingle"), "root")
+    counted = rooted.groupBy("shingle").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count(F.lit(1)).alias("many"))
+    shared = materialize(counted.filter("low < high").select("shingle", "many"), "shared-shingles")
+    total = shared.agg(F.sum("many")).first()[0] or 0
+    return join_counted(classes.select(F.explode("head").alias("shingle"), "node"), shared, "shingle", "many", total)
 
 
 def with_root(rows: DataFrame, roots: DataFrame) -> DataFrame:
@@ -323,15 +330,12 @@ def tile_pairs(heads: DataFrame, classes: DataFrame, roots: DataFrame, percent:
     return tiles.mapInArrow(walk, "a long, b long").distinct()
 
 
-def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``id, n_shingles, component_id`` for every row: the least id that links lead to.
-
-    ``size`` words a shingle; two sets link when they share ``percent`` of their union.
-    """
+def _components(docs: DataFrame, size: int, percent: int, id_col: str, text_col: str) -> DataFrame:
+    """``row, id, mark, n, root`` for every row: a hash of its text, its set size, and its component (null without shingles)."""
     texts = _texts(docs, id_col, text_col)
     rows = materialize(sketches(texts, size, percent, frequent_shingles(texts, size, percent)).withColumn("row", F.monotonically_increasing_id()), "sketches")
     groups = rows.filter("n > 0").groupBy("digest").agg(F.min("row").alias("node"))
-    members = materialize(rows.select("row", "id", "n", "digest").join(groups, "digest", "left").select("row", "id", "n", "node"), "members")
+    members = materialize(rows.select("row", "id", "mark", "n", "digest").join(groups, "digest", "left").select("row", "id", "mark", "n", "node"), "members")
     firsts = members.filter("row = node").select("row")
     classes = materialize(rows.join(firsts, "row", "left_semi").withColumnRenamed("row", "node"), "classes")
 
@@ -361,13 +365,31 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, id_col: s
     more, _ = links(tile_pairs(left, classes, roots, percent), arrays)
     roots = components.connected(found.unionByName(materialize(more, "links")))
 
-    placed = members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    return members.join(roots, "node", "left").select("row", "id", "mark", "n", F.coalesce("root", "node").alias("root"))
+
+
+def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``id, n_shingles, component_id`` for every row: the least id that links lead to.
+
+    ``size`` words a shingle; two sets link when they share ``percent`` of their union.
+    """
+    placed = _components(docs, size, percent, id_col, text_col)
     least = placed.filter("root is not null").groupBy("root").agg(F.min("id").alias("least"))
     return placed.join(least, "root", "left").select("id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("least", "id").alias("component_id"))
 
 
 def keep_one(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents of least id in their group, with all their columns; rows that share an id count as one document."""
-    found = near_duplicates(docs, size, percent, id_col, text_col)
-    kept = found.filter(F.col("id").eqNullSafe(F.col("component_id"))).select(F.col("id").alias("__id")).distinct()
-    return docs.join(kept, docs[id_col].eqNullSafe(kept["__id"]), "left_semi")
+    """One row of each component, with all its columns: that of the least id, null ids last; rows without shingles all stay.
+
+    Rows are told apart by id and text, so rows that share an id only are judged each; of rows that repeat both, one stays.
+    """
+    keys = {"__no_id": F.col("__id").isNull(), "__id": F.coalesce("__id", F.lit(0))}  # without nulls, for the join
+    on = [*keys, "__mark"]
+    placed = _components(docs, size, percent, id_col, text_col)
+    placed = placed.select(F.col("id").alias("__id"), F.col("mark").alias("__mark"), "root").withColumns(keys)
+    firsts = placed.filter("root is not null").groupBy("root").agg(F.min(F.struct(*on)).alias("first"))
+    kept = firsts.select("first.*", F.lit(True).alias("__once"))
+    kept = kept.unionByName(placed.filter("root is null").select(*on).distinct().withColumn("__once", F.lit(False)))
+    keyed = docs.withColumns({"__id": F.col(id_col).cast("long"), "__mark": F.xxhash64(F.col(text_col).cast("string"))}).withColumns(keys)
+    nth = F.row_number().over(Window.partitionBy(*on).orderBy(*on))
+    return keyed.join(kept, on).withColumn("__nth", nth).filter("not __once or __nth = 1").drop(*on, "__once", "__nth")

@@ -16,8 +16,6 @@ import pyarrow.compute as pc
 #: Text bytes hashed at once (longer texts make a slice of their own).
 SLICE_BYTES = 1 << 19
 BASE = np.uint64(0x9E3779B97F4A7C15)
-#: Odd multipliers for the first, second, ... word of a sequence.
-PLACES = np.array([0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3, 0x1D8E4E27C47D124F], dtype=np.uint64)
 
 SPACE = np.zeros(256, dtype=bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -36,6 +34,11 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+#: Odd multipliers for the first, second, ... word of a sequence; sequences have MOST_WORDS at most.
+MOST_WORDS = 64
+PLACES = mix(np.arange(1, MOST_WORDS + 1, dtype=np.uint64) * BASE) | np.uint64(1)
+
+
 @lru_cache(maxsize=1)  # a longer text's table takes the place of the usual one, until the next slice
 def _powers(bits: int) -> tuple[np.ndarray, np.ndarray]:
     n, inverse = 1 << bits, np.uint64(pow(int(BASE), -1, 1 << 64))
@@ -104,6 +107,8 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, words: int) -> list[np.n
 
     A text with fewer words has the whole sequence as its one shingle; one without words has none.
     """
+    if not 0 < words <= MOST_WORDS:
+        raise ValueError(f"a shingle has 1 to {MOST_WORDS} words")
     word, first = word_hashes(data, offsets)
     rows = np.zeros(max(0, len(word) - words + 1), dtype=np.uint64)
     for k in range(words):

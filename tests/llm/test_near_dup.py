@@ -116,3 +116,24 @@ def test_components(spark):
         least[max(x, y)] = min(x, y)
     want = {x: find(x) for x in list(least) if find(x) != x}
     assert {r.node: r.root for r in components.connected(spark.createDataFrame(edges, "a long, b long")).collect()} == want
+
+
+def test_keep_one_decides_by_row(spark, odd_docs, no_docs):
+    rows = [(None, "a b c"), (None, "d e f"), (5, "a b c"), (5, "g h i"), (5, "G H I"), (7, "g h i"), (7, "j k l"), (7, "j k l"), (8, ""), (8, ""), (9, None), (9, " ")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "'x' as id", "1 as mark", "2 as root", "3 as n")
+    kept = near_dup.keep_one(df)
+    assert kept.columns == df.columns
+    found = sorted(((r.doc_id, (r.text or "").lower()) for r in kept.collect()), key=repr)
+    assert found == sorted([(None, "d e f"), (5, "a b c"), (5, "g h i"), (7, "j k l"), (8, ""), (8, ""), (9, ""), (9, " ")], key=repr)
+    assert near_dup.keep_one(no_docs).count() == 0
+    odd = near_dup.keep_one(odd_docs)
+    assert odd.columns == odd_docs.columns
+    # The cat's texts and the row that repeats one of them are one document; null and empty texts stay.
+    assert sorted((r.doc_id or 0) for r in odd.collect()) == [0, 1, 3, 4, 5, 9]
+
+
+def test_any_shingle_size(spark):
+    rows = [(1, " ".join(f"w{i}" for i in range(100))), (2, " ".join(f"w{i}" for i in range(99)) + " x"), (3, "w1 w2")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for size in (1, 6, 40):
+        assert got(near_dup.near_duplicates(df, size, 80)) == brute(rows, size, 80)

@@ -53,3 +53,38 @@ def test_odd_rows(spark, odd_docs, no_docs):
     assert quality.score(no_docs, quality.train(no_docs, labels)).count() == 0
     assert {r.score for r in quality.score(odd_docs, quality.train(odd_docs, labels.limit(0))).collect()} == {0.5}
     assert quality.keep_good(odd_docs, weights).columns == odd_docs.columns
+
+
+def plain_ftrl(examples, size, passes, seed, alpha=0.1, beta=1.0, l1=0.02, l2=1e-3):
+    """The updates as published, with dictionaries and one number at a time."""
+    z, n = {}, {}
+
+    def weight(i):
+        if abs(z.get(i, 0.0)) <= l1:
+            return 0.0
+        sign = 1.0 if z[i] > 0 else -1.0
+        return -(z[i] - sign * l1) / ((beta + n[i] ** 0.5) / alpha + l2)
+
+    ones = sum(label for _, label in examples)
+    few, many = sorted((ones, len(examples) - ones))
+    rare = int(ones < len(examples) - ones)
+    order = np.random.default_rng(seed)
+    for _ in range(passes):
+        for k in order.permutation(len(examples)):
+            found, label = examples[k]
+            values = {int(i): found.tolist().count(i) / max(1, len(found)) ** 0.5 for i in set(found.tolist())} | {size: 1.0}
+            w = {i: weight(i) for i in values}
+            p = 1 / (1 + np.exp(-sum(w[i] * v for i, v in values.items())))
+            for i, v in values.items():
+                g = (p - label) * v * (min(4.0, max(many, 1) / max(few, 1)) if label == rare else 1.0)
+                z[i] = z.get(i, 0.0) + g - ((n.get(i, 0.0) + g * g) ** 0.5 - n.get(i, 0.0) ** 0.5) / alpha * w[i]
+                n[i] = n.get(i, 0.0) + g * g
+    return np.array([weight(i) if i in z else 0.0 for i in range(size + 1)])
+
+
+def test_training_matches_plain_updates():
+    rng = np.random.default_rng(6)
+    examples = [(rng.integers(0, 64, int(rng.integers(0, 30))), int(rng.random() < 0.2)) for _ in range(80)]
+    got = ngram_model.train(examples, 6, passes=3, seed=9)
+    assert np.count_nonzero(got) > 20
+    np.testing.assert_allclose(got, plain_ftrl(examples, 64, 3, 9), rtol=1e-4, atol=1e-6)
