@@ -4,7 +4,7 @@ Paragraphs are runs of non-blank lines.  Each line of a paragraph and the window
 with it are classified by a sparse word n-gram logistic regression, one score per licence family, trained
 on variants of each family's notices against a bounded sample of the corpus's own distinct lines, so that
 the unknown class is what the corpus looks like.  The unknown threshold of a family is calibrated on
-variants that were not learned from.  A predicted window is confirmed on its joined text, so that a
+whole templates that were not learned from.  A predicted window is confirmed on its joined text, so that a
 wrapped notice counts as an unwrapped one: enough of the word pairs of a family's template must be in it,
 and the words that tell the family from its neighbours (version, "lesser") too; the family of the largest
 share names it, and without one it is unknown.
@@ -27,6 +27,8 @@ from assayer.llm import ngram_model, words
 
 #: Lines of the corpus learned from as unknown, at most; weights of a family: 2 ** BITS.
 SAMPLE, BITS = 4000, 16
+#: Characters of a word in that sample, at most.
+LONGEST = 64
 #: Share of a template's word pairs that a window must show.
 CONFIRM = 0.6
 #: Words that windows reach at least, besides those of one and of two lines; the longest template has 43.
@@ -153,34 +155,61 @@ def _features(texts: list[str]) -> list[np.ndarray]:
     return out
 
 
-def train(docs: DataFrame, text_col: str = "text", sample: int = SAMPLE, seed: int = 11) -> LicenseModel:
-    """Learn from templates and a bounded sample of the corpus's distinct lines."""
+def sample_lines(docs: DataFrame, text_col: str = "text", sample: int = SAMPLE) -> list[str]:
+    """A bounded sample of the corpus's distinct lines, of a long line a window of it.
+
+    A hash picks lines, alike at any partitioning.  The number of distinct lines says below which hash
+    enough of them lie, so that what comes to the driver does not grow with the corpus or its partitions.
+    """
     lines = docs.select(F.explode(F.split(F.col(text_col).cast("string"), "\n")).alias("line")).filter(F.length(F.trim("line")) > 0)
-    lines = lines.select("line", F.xxhash64("line").alias("hash"))
-    # Documents are many, the sample is not: a hash picks it, alike at any partitioning, and each line once.
-    least = [r.hash for r in lines.groupBy("hash").count().orderBy("hash").limit(sample).select("hash").collect()]
-    chosen = lines.sparkSession.createDataFrame([(h,) for h in least], "hash long")  # ``sample`` numbers at most
-    other = [r.line for r in lines.join(F.broadcast(chosen), "hash").groupBy("hash").agg(F.min("line").alias("line")).orderBy("hash").collect()]
-    other = [t for t in other if resembles(t) < 0.3]
-    rng = np.random.default_rng(seed)
-    texts, owner = list(other), [-1] * len(other)
+    hashed = lines.select("line", F.xxhash64("line").alias("hash"))
+    many = hashed.select("hash").distinct().count()
+    below = min((1 << 63) - 1, -(1 << 63) + int(min(1.0, (1.2 * sample + 200) / max(1, many)) * (1 << 64)))
+    w = F.split(F.trim(F.col("line")), r"\s+")
+    start = F.pmod(F.col("hash"), F.greatest(F.size(w) - REACH[-1] + 1, F.lit(1))).cast("int") + 1
+    window = F.array_join(F.transform(F.slice(w, start, REACH[-1]), lambda x: F.substring(x, 1, LONGEST)), " ")
+    picked = hashed.filter(F.col("hash") <= F.lit(below)).groupBy("hash").agg(F.min(window).alias("line"))
+    return [r.line for r in picked.orderBy("hash").limit(sample).collect()]
+
+
+def examples(other: list[str], rng: np.random.Generator) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+    """Features of unknown lines and of variants of every template, their family (-1 unknown), and who is held out.
+
+    Held out are whole templates, one of each family that has several, and a fifth of the unknown lines.
+    """
+    texts, owner, held = list(other), [-1] * len(other), (rng.random(len(other)) < 0.2).tolist()
     for k, family in enumerate(FAMILIES):
-        for t in TEMPLATES[family]:
+        for j, t in enumerate(TEMPLATES[family]):
             made = variants(t, other, 60, rng)
             texts += made
             owner += [k] * len(made)
-    found, owner = _features(texts), np.array(owner)
-    tested = rng.random(len(texts)) < 0.2
-    weights = np.array([ngram_model.train([(found[i], int(owner[i] == k)) for i in range(len(texts)) if not tested[i]], BITS, passes=3) for k in range(len(FAMILIES))], dtype=np.float32)
-    model = LicenseModel(weights, np.full(len(FAMILIES), 0.5, dtype=np.float32))
+            held += [j > 0 and j == len(TEMPLATES[family]) - 1] * len(made)
+    return _features(texts), np.array(owner), np.array(held)
+
+
+def fit(found: list[np.ndarray], owner: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """Weights by family, learned from the chosen rows."""
+    labels = (owner[rows, None] == np.arange(len(FAMILIES))).astype(np.int64)
+    return np.ascontiguousarray(ngram_model.train_many([found[i] for i in rows], labels, BITS, passes=3).T, dtype=np.float32)
+
+
+def train(docs: DataFrame, text_col: str = "text", sample: int = SAMPLE, seed: int = 11) -> LicenseModel:
+    """Learn from templates and a bounded sample of the corpus's distinct lines.
+
+    Thresholds come from a model that has not seen the held-out templates; the weights used learn from all.
+    """
+    other = [t for t in sample_lines(docs, text_col, sample) if resembles(t) < 0.3]
+    found, owner, held = examples(other, np.random.default_rng(seed))
     ends = np.cumsum([len(f) for f in found])
     begins = ends - [len(f) for f in found]
+    model = LicenseModel(fit(found, owner, np.flatnonzero(~held)), np.full(len(FAMILIES), 0.5, dtype=np.float32))
     for k in range(len(FAMILIES)):
         p = model.probabilities(k, np.concatenate(found), begins, ends)
-        own, rest = p[tested & (owner == k)], p[tested & (owner != k)]
+        own, rest = p[held & (owner == k)], p[held & (owner != k)]
         # Between the least of its own and the most of all others, but never so high as to lose its own.
         low = np.quantile(own, 0.02) if len(own) else 0.5
         model.thresholds[k] = min(0.5, max(0.05, (low + (rest.max() if len(rest) else 0.0)) / 2, min(low, 0.5) * 0.5))
+    model.weights = fit(found, owner, np.arange(len(found)))
     return model
 
 

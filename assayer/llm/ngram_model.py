@@ -51,10 +51,13 @@ def score(texts: pa.Array, weights: np.ndarray, bits: int) -> np.ndarray:
 
 
 class Ftrl:
-    """Per-coordinate follow-the-regularised-leader with L1 and L2 terms, one example at a time."""
+    """Per-coordinate follow-the-regularised-leader with L1 and L2 terms, one example at a time.
 
-    def __init__(self, size: int, alpha: float = 0.1, beta: float = 1.0, l1: float = 0.02, l2: float = 1e-3):
-        self.z, self.n = np.zeros(size), np.zeros(size)
+    Several models that see the same examples in the same order, each with labels of its own, are one table.
+    """
+
+    def __init__(self, size: int, models: int = 1, alpha: float = 0.1, beta: float = 1.0, l1: float = 0.02, l2: float = 1e-3):
+        self.z, self.n = np.zeros((size, models)), np.zeros((size, models))
         self.alpha, self.beta, self.l1, self.l2 = alpha, beta, l1, l2
 
     def weights(self, at: np.ndarray | slice = slice(None)) -> np.ndarray:
@@ -62,33 +65,38 @@ class Ftrl:
         w = (np.sign(z) * self.l1 - z) / ((self.beta + np.sqrt(n)) / self.alpha + self.l2)
         return np.where(np.abs(z) <= self.l1, 0.0, w)
 
-    def learn(self, at: np.ndarray, value: np.ndarray, label: float, weight: float = 1.0) -> None:
-        w = self.weights(at)
-        p = probabilities(np.array(w @ value))
-        g = weight * (p - label) * value
-        sigma = (np.sqrt(self.n[at] + g * g) - np.sqrt(self.n[at])) / self.alpha
+    def learn(self, at: np.ndarray, value: np.ndarray, label: np.ndarray, weight: np.ndarray) -> None:
+        w, n = self.weights(at), self.n[at]
+        g = value[:, None] * (weight * (probabilities(value @ w) - label))
+        sigma = (np.sqrt(n + g * g) - np.sqrt(n)) / self.alpha
         self.z[at] += g - sigma * w
         self.n[at] += g * g
 
 
-def train(examples: list[tuple[np.ndarray, int]], bits: int, passes: int = 4, seed: int = 5) -> np.ndarray:
-    """Weights (bias last) from ``(feature numbers with repeats, label)`` of a bounded sample.
+def train_many(found: list[np.ndarray], labels: np.ndarray, bits: int, passes: int = 4, seed: int = 5) -> np.ndarray:
+    """Weights (bias last), a column a model, from feature numbers with repeats and labels (rows by models).
 
-    The rarer label's examples weigh more, up to fourfold, so that it is not drowned.
+    The examples are a bounded sample.  The rarer label's examples weigh more, up to fourfold, so that it is
+    not drowned.
     """
     size = 1 << bits
-    model = Ftrl(size + 1)
+    model = Ftrl(size + 1, labels.shape[1])
     rows = []
-    for found, label in examples:
-        at, count = np.unique(found, return_counts=True)
-        value = np.append(count / np.sqrt(max(1, len(found))), 1.0)
-        rows.append((np.append(at, size).astype(np.int32), value.astype(np.float32), label))
-    ones = sum(label for _, label in examples)
-    rate = min(max(ones, 1), max(len(rows) - ones, 1)) / max(1, max(ones, len(rows) - ones))
-    rare = 1 if ones < len(rows) - ones else 0
+    for f in found:
+        at, count = np.unique(f, return_counts=True)
+        value = np.append(count / np.sqrt(max(1, len(f))), 1.0)
+        rows.append((np.append(at, size).astype(np.int32), value.astype(np.float32)))
+    ones = labels.sum(axis=0)
+    few, many = np.minimum(ones, len(rows) - ones), np.maximum(ones, len(rows) - ones)
+    weight = np.where(labels == (ones < len(rows) - ones), np.minimum(4.0, np.maximum(many, 1) / np.maximum(few, 1)), 1.0)
     order = np.random.default_rng(seed)
     for _ in range(passes):
         for i in order.permutation(len(rows)):
-            at, value, label = rows[i]
-            model.learn(at, value, label, min(4.0, 1 / rate) if label == rare else 1.0)
+            model.learn(*rows[i], labels[i], weight[i])
     return model.weights()
+
+
+def train(examples: list[tuple[np.ndarray, int]], bits: int, passes: int = 4, seed: int = 5) -> np.ndarray:
+    """Weights (bias last) of one model from ``(feature numbers with repeats, label)``."""
+    labels = np.array([label for _, label in examples], dtype=np.int64).reshape(-1, 1)
+    return train_many([found for found, _ in examples], labels, bits, passes, seed)[:, 0]

@@ -1,9 +1,11 @@
 """The pipeline against plain Python over the same documents."""
 
+import os
 from collections import Counter, defaultdict
 
 import corpus_pipeline
 from assayer.llm import ngram_model, quality
+from assayer import storage
 from assayer.storage import materialize
 import pyarrow as pa
 
@@ -58,3 +60,26 @@ def test_mixing_stage_comes_near_its_targets(spark, sf):
 
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     check(mixing.mix(docs).collect(), [(r.source, r.text) for r in docs.collect()], spark)
+
+
+def test_odd_and_empty_documents_run_through(spark, odd_docs, no_docs, tmp_path):
+    """Nulls, repeated rows, clashing columns, and no rows at all; intermediate tables are gone afterwards."""
+    from pyspark.sql import functions as F
+
+    shared = storage.shared_dir(spark).removeprefix("file://")
+    for name, docs in (("odd", odd_docs), ("none", no_docs)):
+        folder, before = str(tmp_path / name), set(os.listdir(shared))
+        docs.write.parquet(f"{folder}/documents.parquet")
+        labels = spark.createDataFrame([(7, 1), (5, 1), (4, 1), (1, 0), (9, 0)], "doc_id long, quality int")
+        labels.write.parquet(f"{folder}/labels.parquet")
+        out = corpus_pipeline.run(spark, folder)
+        rows = out.collect()
+        made = set(os.listdir(shared)) - before
+        assert len(made) == len(corpus_pipeline.STAGES)
+        if name == "none":
+            assert not rows
+            continue
+        kept = spark.read.parquet(f"{folder}/documents.parquet")
+        good = {r.doc_id for r in quality.keep_good(kept, quality.train(kept, labels)).collect()}
+        assert {r.doc_id for r in rows} <= good
+        assert out.groupBy("sequence_id").agg(F.sum("length").alias("n")).filter("n > 2048").count() == 0
