@@ -41,7 +41,7 @@ def op2_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", F.timestamp_seconds(F.lit(1704067200) + F.col("page_id") % 366 * 86400).alias("at"))
     name, turn = url_filters.host(F.col("url")), F.col("page_id") % 10
     segment = F.regexp_extract(url_filters.path(F.col("url")), "^/([^/]+)", 1)
-    pattern = F.when(turn.isin(0, 5), name).when((turn == 3) & (F.size(F.split(name, r"\.")) > 3), F.regexp_replace(name, r"^[^.]*\.", "")).when((turn == 7) & (segment != ""), F.concat(name, F.lit("/"), segment))
+    pattern = F.when(turn.isin(0, 5), name).when((turn == 3) & ~name.rlike(url_filters.ADDRESS) & (F.size(F.split(name, r"\.")) > 3), F.regexp_replace(name, r"^[^.]*\.", "")).when((turn == 7) & (segment != ""), F.concat(name, F.lit("/"), segment))
     entries = pages.select(
         F.when(turn == 3, "operators").when(turn == 7, "trusted").otherwise("reports").alias("list"),
         F.when(turn == 7, "allow").otherwise("block").alias("action"), pattern.alias("pattern"), (turn != 5).alias("listed"), "at",
@@ -53,10 +53,10 @@ def op2_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 OP2_SQL = r"""
 WITH p AS (
   SELECT page_id, make_date(2024, 1, 1) + CAST(page_id % 366 AS INTEGER) AS day, page_id % 10 AS turn,
-    lower(regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)', 1)) AS host,
+    lower(regexp_replace(regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?(\[[^\]/?#]*\]|[^/?#:]*)', 1), '\.$', '')) AS host,
     list_filter(string_split(regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*(/[^?#]*)', 1), '/'), lambda s : s <> '') AS parts
   FROM pages),
-k AS (SELECT *, string_split(host, '.') AS labels FROM p),
+k AS (SELECT *, CASE WHEN regexp_matches(host, '^(\[.*|[0-9]+(\.[0-9]+){3})$') THEN [host] ELSE string_split(host, '.') END AS labels FROM p),
 e AS (
   SELECT CASE turn WHEN 3 THEN 'operators' WHEN 7 THEN 'trusted' ELSE 'reports' END AS list_name,
     CASE turn WHEN 7 THEN 'allow' ELSE 'block' END AS action,

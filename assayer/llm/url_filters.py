@@ -24,11 +24,13 @@ from assayer.storage import materialize
 #: Days of a time slice.
 SLICE_DAYS = 30
 END = "9999-12-31"
+ADDRESS = r"^(\[.*|[0-9]+(\.[0-9]+){3})$"
 
 
 def host(url: Column) -> Column:
-    """The lower-cased host of a url, empty if it has none."""
-    return F.lower(F.regexp_extract(url, r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1))
+    """The lower-cased host of a url without a closing dot, empty if it has none; an IPv6 address keeps its brackets."""
+    found = F.regexp_extract(url, r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?(\[[^\]/?#]*\]|[^/?#:]*)", 1)
+    return F.lower(F.regexp_replace(found, r"\.$", ""))
 
 
 def path(url: Column) -> Column:
@@ -36,9 +38,12 @@ def path(url: Column) -> Column:
 
 
 def patterns(url: Column) -> Column:
-    """All patterns that cover a url: its host, parent domains of two labels or more, and path prefixes."""
+    """All patterns that cover a url: its host, parent domains of two labels or more, and path prefixes.
+
+    An address has no parents.
+    """
     name = host(url)
-    labels = F.split(name, r"\.")
+    labels = F.when(name.rlike(ADDRESS), F.array(name)).otherwise(F.split(name, r"\."))
     domains = F.transform(F.sequence(F.lit(1), F.greatest(F.size(labels) - 1, F.lit(1))), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
     parts = F.filter(F.split(path(url), "/"), lambda s: s != "")
     prefixes = F.when(F.size(parts) > 0, F.transform(F.sequence(F.lit(1), F.greatest(F.size(parts), F.lit(1))), lambda i: F.concat(name, F.lit("/"), F.array_join(F.slice(parts, 1, i), "/")))).otherwise(F.array().cast("array<string>"))

@@ -1,5 +1,7 @@
 from datetime import datetime, timedelta
 
+from pyspark.sql import functions as F
+
 from assayer.llm import url_filters
 
 START = datetime(2024, 1, 1)
@@ -53,3 +55,11 @@ def test_every_time_and_pattern(spark):
         assert (r.n_active, r.block_pattern, r.allow_pattern, r.blocked) == want, (r, want)
     assert url_filters.judge(captures.filter("false"), entries).count() == 0
     assert not url_filters.judge(captures, entries.filter("false")).filter("blocked").count()
+
+
+def test_addresses_and_closing_dots(spark):
+    urls = ["http://10.1.2.3/a", "http://[::1]:8/x", "http://A.B.Example./", "http://b.example:80"]
+    rows = spark.createDataFrame([(u,) for u in urls], "url string").select("url", url_filters.patterns(F.col("url")).alias("p")).collect()
+    assert {r.url: r.p for r in rows} == {
+        urls[0]: ["10.1.2.3", "10.1.2.3/a"], urls[1]: ["[::1]", "[::1]/x"], urls[2]: ["a.b.example", "b.example"], urls[3]: ["b.example"],
+    }
