@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from assayer.llm import components
+from assayer.operators.skew import join_counted
 from assayer.storage import materialize
 
 #: Classes for each pivot, pivots at most, residents of a block, and vectors compared with a block at once.
@@ -58,9 +59,15 @@ def _classes(vectors: DataFrame, id_col: str, vector_col: str) -> tuple[DataFram
     some = F.coalesce(F.exists(x, lambda e: e != 0), F.lit(False))
     # Negative zeros would tell equal vectors apart; adding zero makes them positive.
     rows = vectors.select(F.col(id_col).alias("id"), F.when(finite & some, F.transform(x, lambda e: e + F.lit(0.0))).alias("v"))
-    rows = materialize(rows.withColumn("row", F.monotonically_increasing_id()), "vectors")
-    groups = materialize(rows.filter("v is not null").groupBy("v").agg(F.min("row").alias("node"), F.count(F.lit(1)).alias("many")), "classes")
-    members = rows.join(groups.select("v", "node"), "v", "left").select("row", "id", "node")
+    # 128 bits stand for a vector as a key.
+    keys = {"h": F.xxhash64("v"), "g": F.xxhash64(F.lit(2), F.col("v")), "row": F.monotonically_increasing_id()}
+    rows = materialize(rows.withColumns(keys), "vectors")
+    usable = rows.filter("v is not null")
+    groups = materialize(usable.groupBy("h", "g").agg(F.min("row").alias("node"), F.count(F.lit(1)).alias("many"), F.first("v").alias("v")), "classes")
+    total = groups.agg(F.sum("many")).first()[0] or 0
+    members = join_counted(usable.select("row", "id", "h", "g"), groups.select("h", "g", "node", "many"), ["h", "g"], "many", total)
+    none = rows.filter("v is null").select("row", "id", F.lit(None).cast("long").alias("node"))
+    members = members.select("row", "id", "node").unionByName(none)
 
     def pack(batches):
         for batch in batches:
@@ -83,6 +90,25 @@ def _pivots(classes: DataFrame) -> dict[int, np.ndarray]:
     return {int(d): _units(drawn.filter(pa.array(dims == d)).combine_chunks().to_batches()[0]) for d in np.unique(dims)}
 
 
+def _homes(classes: DataFrame, pivots: dict[int, np.ndarray]) -> DataFrame:
+    """``dim, cell`` of every class: its nearest pivot."""
+    sent = classes.sparkSession.sparkContext.broadcast(pivots)
+
+    def find(batches):
+        for batch in batches:
+            dims = batch.column("dim").to_numpy()
+            for dim in np.unique(dims):
+                part = batch.filter(pa.array(dims == dim))
+                home = _distances(_units(part), sent.value.get(int(dim), np.eye(1, dim))).argmin(axis=1)
+                yield pa.RecordBatch.from_arrays([part.column("dim"), pa.array(home.astype(np.int32))], names=["dim", "cell"])
+
+    return classes.select("dim", "v").mapInArrow(find, "dim int, cell int")
+
+
+def _distances(x: np.ndarray, p: np.ndarray) -> np.ndarray:
+    return np.sqrt(np.maximum((x * x).sum(1)[:, None] + (p * p).sum(1)[None, :] - 2 * x @ p.T, 0))
+
+
 def _placed(classes: DataFrame, pivots: dict[int, np.ndarray], reach: float) -> DataFrame:
     """A row for each cell that a class is in: ``dim, cell, resident, far`` (distance to the pivot)."""
     sent = classes.sparkSession.sparkContext.broadcast(pivots)  # MOST_PIVOTS vectors at most
@@ -94,11 +120,11 @@ def _placed(classes: DataFrame, pivots: dict[int, np.ndarray], reach: float) ->
                 part = batch.filter(pa.array(dims == dim))
                 x = _units(part)
                 p = sent.value.get(int(dim), np.eye(1, dim))
-                far = np.sqrt(np.maximum((x * x).sum(1)[:, None] + (p * p).sum(1)[None, :] - 2 * x @ p.T, 0))
+                far = _distances(x, p)
                 home = far.argmin(axis=1)
                 near = far[np.arange(len(x)), home]
                 # Two ways to rule a cell out; both hold, so the nearer bound counts.
-                gap = np.sqrt(np.maximum((p * p).sum(1)[:, None] + (p * p).sum(1)[None, :] - 2 * p @ p.T, 0))[home]
+                gap = _distances(p, p)[home]
                 # Pivots of (almost) one direction, v and 3v say, leave the first alone.
                 plane = gap > APART
                 across = (far**2 - near[:, None] ** 2) / np.where(plane, 2 * gap, 1.0)  # distance to the plane between the pivots
@@ -160,12 +186,14 @@ class Block:
         return np.concatenate(a), np.concatenate(b)
 
 
-def _links(placed: DataFrame, cosine: float, reach: float) -> DataFrame:
+def _links(classes: DataFrame, cosine: float, reach: float) -> DataFrame:
     """``a, b, links``: partial link counts of ``a`` (``b`` null) and edges that connect what links (``links`` null)."""
     keys = ["dim", "cell"]
-    sizes = placed.groupBy(*keys).agg(F.ceil(F.count_if("resident") / BLOCK).cast("int").alias("blocks"))
+    pivots = _pivots(classes)
+    sizes = materialize(_homes(classes, pivots).groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks")), "cell-sizes")
+    placed = _placed(classes, pivots, reach)
     # A cell's residents are dealt to blocks; every row of the cell visits each of its blocks.
-    cells = placed.join(sizes.filter("blocks > 0"), keys).withColumn("own", F.when(F.col("resident"), F.pmod(F.xxhash64("node"), F.col("blocks"))).cast("int"))
+    cells = placed.join(sizes, keys).withColumn("own", F.when(F.col("resident"), F.pmod(F.xxhash64("node"), F.col("blocks"))).cast("int"))
     visits = cells.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     visits = visits.withColumn("here", F.coalesce(F.col("own") == F.col("block"), F.lit(False))).select("dim", "cell", "block", "here", "far", "node", "many", "v")
     dealt = visits.repartition("dim", "cell", "block").sortWithinPartitions("dim", "cell", "block", F.desc("here"), "far", "node")
@@ -221,7 +249,7 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.95, id_col: str = "vec
     reach = math.sqrt(max(0.0, 2 - 2 * cosine))
     members, classes = _classes(vectors, id_col, vector_col)
     members = materialize(members, "members")
-    found = materialize(_links(_placed(classes, _pivots(classes), reach), cosine, reach), "vector-links")
+    found = materialize(_links(classes, cosine, reach), "vector-links")
     counted = found.filter("links is not null").groupBy(F.col("a").alias("node")).agg(F.sum("links").alias("others"))
     roots = components.connected(found.filter("b is not null").select("a", "b"))
     nodes = materialize(classes.select("node", "many").join(counted, "node", "left").join(roots, "node", "left").select("node", (F.col("many") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"), F.coalesce("root", "node").alias("root")), "nodes")

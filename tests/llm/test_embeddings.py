@@ -45,3 +45,10 @@ def test_all_pairs(spark, small, monkeypatch):
 
 def test_empty_table(spark):
     assert embedding_dedup.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
+
+
+def test_null_ids_are_vectors_too(spark):
+    rows = [(None, [1.0, 2.0]), (None, [1.0, 2.0]), (5, [2.0, 4.0]), (7, [-1.0, 0.0]), (None, [0.0, -1.0]), (None, None)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    got = sorted(((r.id, r.n_links, r.component_id, r.kept) for r in embedding_dedup.near_duplicates(df, 0.95).collect()), key=repr)
+    assert got == sorted([(None, 2, 5, False), (None, 2, 5, False), (5, 2, 5, True), (7, 0, 7, True), (None, 0, None, True), (None, 0, None, True)], key=repr)
