@@ -74,6 +74,7 @@ class DigestIndex:
         The decision is written to the shared folder first, so that a retried append sees the same rows.
         """
         held = self.rows()
+        groups = materialize(groups, "batch-digests")  # else the join would be done before the rows are combined
         others = held.filter(F.col("batch") != batch).select("digest", F.col("keep_id").alias("held_id")).hint("merge")
         decided = fresh = materialize(groups.join(others, "digest", "left_anti").withColumn("is_new", F.lit(True)), "new-digests")
         if not others.isEmpty():
