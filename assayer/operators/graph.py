@@ -9,18 +9,19 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from assayer.storage import materialize
+from assayer.storage import Parts, materialize
 
 
 def reach(edges: DataFrame, start: DataFrame) -> DataFrame:
     """``node`` for everything reachable from ``start(node)`` along ``edges(src, dst)``, starts included."""
-    known = frontier = materialize(start.select("node").distinct(), "reach")
-    links = edges.select(F.col("src").alias("node"), "dst").distinct()
+    first = start.select("node").distinct()
+    known = Parts(edges.sparkSession, "reach", first.schema)
+    frontier = known.add(first)
+    links = edges.select(F.col("src").alias("node"), "dst")
     while not frontier.isEmpty():
         onward = frontier.join(links, "node").select(F.col("dst").alias("node")).distinct()
-        frontier = materialize(onward.join(known, "node", "left_anti"), "frontier")
-        known = materialize(known.unionByName(frontier), "reach")
-    return known
+        frontier = known.add(onward.join(known.rows(), "node", "left_anti"))
+    return known.rows()
 
 
 def impact_propagation(edges: DataFrame, changed: DataFrame, exempt: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -49,18 +50,18 @@ def topological_levels(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     Nodes without open predecessors are peeled off level by level; those never peeled lie on a cycle or below one.
     """
     links = materialize(edges.select("src", "dst").distinct(), "links")
-    left = materialize(links.select(F.col("src").alias("node")).union(links.select("dst")).distinct(), "left")
-    done, level = None, 0
-    while True:
-        held = links.join(left.select(F.col("node").alias("src")), "src", "left_semi").select(F.col("dst").alias("node")).distinct()
-        ready = materialize(left.join(held, "node", "left_anti").withColumn("level", F.lit(level)), "level")
-        if ready.isEmpty():
-            break
-        done = ready if done is None else materialize(done.unionByName(ready), "levels")
-        left = materialize(left.join(ready, "node", "left_anti"), "left")
+    # What is left of a node: the predecessors that are not peeled yet.  Only those of the last level's successors change.
+    nodes = materialize(links.select(F.col("src").alias("node")).union(links.select("dst")).distinct(), "nodes")
+    spark, level = edges.sparkSession, 0
+    done = Parts(spark, "levels", nodes.withColumn("level", F.lit(0)).schema)
+    ready = done.add(nodes.join(links.select(F.col("dst").alias("node")), "node", "left_anti").withColumn("level", F.lit(level)))
+    while not ready.isEmpty():
         level += 1
-    none = edges.sparkSession.createDataFrame([], left.select("node").schema).withColumn("level", F.lit(0))
-    return (done if done is not None else none), left
+        peeled = done.rows().select(F.col("node").alias("src"))
+        below = ready.select(F.col("node").alias("src")).join(links, "src").select("dst").distinct()
+        held = links.join(below, "dst", "left_semi").join(peeled, "src", "left_anti").select("dst").distinct()
+        ready = done.add(below.join(held, "dst", "left_anti").select(F.col("dst").alias("node"), F.lit(level).alias("level")))
+    return done.rows(), nodes.join(done.rows().select("node"), "node", "left_anti")
 
 
 def discharge_assumptions(assumptions: DataFrame, witnesses: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -69,17 +70,16 @@ def discharge_assumptions(assumptions: DataFrame, witnesses: DataFrame) -> tuple
     ``assumptions(claim, proposition)``; ``witnesses(proposition, needs)`` replaces a proposition by what its
     witness assumes (``needs`` null if nothing).  Each proposition of a claim expands once, so cycles end.
     """
-    known = frontier = materialize(assumptions.select("claim", "proposition").distinct(), "assumed")
-    replaced = witnesses.select("proposition", "needs").distinct()
-    provenance = None
+    first, replaced = assumptions.select("claim", "proposition").distinct(), witnesses.select("proposition", "needs").distinct()
+    known = Parts(first.sparkSession, "assumed", first.schema)
+    provenance = Parts(first.sparkSession, "provenance", first.withColumn("needs", F.lit(None).cast(replaced.schema["needs"].dataType)).schema)
+    frontier = known.add(first)
     while not frontier.isEmpty():
-        step = materialize(frontier.join(replaced, "proposition"), "expanded")
-        provenance = step if provenance is None else materialize(provenance.unionByName(step), "provenance")
+        step = provenance.add(frontier.join(replaced, "proposition"))
         onward = step.filter("needs is not null").select("claim", F.col("needs").alias("proposition")).distinct()
-        frontier = materialize(onward.join(known, ["claim", "proposition"], "left_anti"), "frontier")
-        known = materialize(known.unionByName(frontier), "assumed")
-    residual = known.join(replaced.select("proposition").distinct(), "proposition", "left_anti").select("claim", "proposition")
-    return residual, (provenance if provenance is not None else known.withColumn("needs", F.lit(None).cast("string")).limit(0)).select("claim", "proposition", "needs")
+        frontier = known.add(onward.join(known.rows(), ["claim", "proposition"], "left_anti"))
+    residual = known.rows().join(replaced.select("proposition").distinct(), "proposition", "left_anti")
+    return residual.select("claim", "proposition"), provenance.rows()
 
 
 def lifecycle_usability(keys: DataFrame, lifecycle: DataFrame) -> DataFrame:

@@ -59,7 +59,8 @@ def selection_checks(selections: DataFrame, candidates: DataFrame, policies: Dat
     ``policies(policy_id, deny_providers, allow_providers, min_maturity, cost_cap, banned_criteria,
     known_criteria, forbid_self_preference, independent, diverse)``.
     """
-    by_step = candidates.groupBy("step_id").agg(F.bool_or(F.col("decision").isNull()).alias("undecided"), F.array_distinct(F.flatten(F.collect_list("criteria"))).alias("used"))
+    each = candidates.select("step_id", "decision", F.explode_outer("criteria").alias("criterion"))
+    by_step = each.groupBy("step_id").agg(F.bool_or(F.col("decision").isNull()).alias("undecided"), F.collect_set("criterion").alias("used"))
     won = candidates.select("step_id", F.col("capability_id").alias("winner"), "provider", "maturity", "cost", "bytes")
     rows = selections.join(by_step, "step_id", "left").join(won, ["step_id", "winner"], "left").join(policies, "policy_id", "left")
     provider = F.col("provider")

@@ -7,6 +7,12 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from assayer.storage import materialize
+
+
+#: Points compared with as many others at once.
+FRONT_BLOCK = 512
+
 
 def run_outcomes(verdicts: DataFrame, runs: DataFrame) -> DataFrame:
     """``arm, line, attempt_id, all_pass, metric, worst`` per run; arms are cases."""
@@ -53,24 +59,47 @@ def pareto_front(df: DataFrame, x: str, y: str, by: list[str] | None = None) ->
     """Rows that no row beats on both minimised columns; nulls leave, ties stay.
 
     Each x keeps its least y, combined before the shuffle; a running minimum over distinct x then decides.
+    Without ``by`` the minimum runs inside ranges of x, and each range starts from the least y of those before it.
     """
     by = by or []
     rows = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull())
     steps = rows.groupBy(*by, x).agg(F.min(y).alias("__y"))
-    before = F.min("__y").over(Window.partitionBy(*by).orderBy(x).rowsBetween(Window.unboundedPreceding, -1))
-    front = steps.withColumn("__before", before).filter(F.col("__before").isNull() | (F.col("__y") < F.col("__before")))
+    along = by
+    if not by:
+        steps = materialize(steps.repartitionByRange(x).withColumn("__range", F.spark_partition_id()), "front-ranges")
+        along = ["__range"]
+    before = F.min("__y").over(Window.partitionBy(*along).orderBy(x).rowsBetween(Window.unboundedPreceding, -1))
+    steps = steps.withColumn("__before", before)
+    if not by:
+        least, starts = None, []
+        for number, low in sorted(steps.groupBy("__range").agg(F.min("__y")).collect()):  # a row per range partition
+            starts.append((number, least))
+            least = low if least is None else min(least, low)
+        kind = steps.schema["__y"].dataType.simpleString()
+        starts = F.broadcast(df.sparkSession.createDataFrame(starts, f"__range int, __start {kind}"))
+        steps = steps.join(starts, "__range").withColumn("__before", F.least("__before", "__start"))
+    front = steps.filter(F.col("__before").isNull() | (F.col("__y") < F.col("__before")))
     return rows.join(front.select(*by, x, F.col("__y").alias(y)), [*by, x, y], "left_semi")
 
 
 def _front(points: np.ndarray) -> np.ndarray:
-    """Which rows no other row beats; in order of their sums a row can only be beaten by earlier ones."""
-    order, kept = np.argsort(points.sum(axis=1), kind="stable"), np.zeros((0, points.shape[1]))
+    """Which of distinct rows no other row beats; in order of their sums a row can only be beaten by earlier ones.
+
+    Blocks of rows meet blocks of the front so far, then each other.
+    """
+
+    def beaten(rows: np.ndarray, by: np.ndarray) -> np.ndarray:
+        return ((by[None] <= rows[:, None]).all(axis=2) & (by[None] < rows[:, None]).any(axis=2)).any(axis=1)
+
     good = np.zeros(len(points), dtype=bool)
-    for i in order:
-        p = points[i]
-        if not ((kept <= p).all(axis=1) & (kept < p).any(axis=1)).any():
-            good[i] = True
-            kept = np.vstack([kept, p])
+    order, front = np.argsort(points.sum(axis=1), kind="stable"), []
+    for at in range(0, len(order), FRONT_BLOCK):
+        left = order[at : at + FRONT_BLOCK]
+        for block in front:
+            left = left[~beaten(points[left], points[block])]
+        left = left[~beaten(points[left], points[left])]
+        good[left] = True
+        front.append(left)
     return good
 
 
@@ -189,16 +218,23 @@ def best_so_far(rows: DataFrame, by: list[str], value: str = "worst", tolerance:
     """``by, line, best, since``: the best value held after each row and rows since it last improved.
 
     A row improves on the best when it exceeds it by more than the tolerance.  Only rows above all before
-    them can, so the fold runs over those few, not over the arm.
+    them can, so the fold runs over those few, not over the arm; without a tolerance they all do.
     """
     w = Window.partitionBy(*by).orderBy("line")
     seen = rows.withColumns({"__n": F.row_number().over(w), "__before": F.max(value).over(w.rowsBetween(Window.unboundedPreceding, -1))})
     peaks = seen.filter(F.col(value).isNotNull() & (F.col("__before").isNull() | (F.col(value) > F.col("__before"))))
-    listed = peaks.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("__n", F.col(value).alias("v")))).alias("peaks"))
-    kind = rows.schema[value].dataType
-    start = F.struct(F.lit(None).cast(kind).alias("best"), F.array().cast("array<int>").alias("at"))
-    step = lambda acc, p: F.when(acc["best"].isNull() | (p["v"] > acc["best"] + F.lit(tolerance).cast(kind)), F.struct(p["v"].alias("best"), F.array_append(acc["at"], p["__n"]).alias("at"))).otherwise(acc)
-    gains = listed.select(*by, F.explode(F.aggregate("peaks", start, step)["at"]).alias("__n")).withColumn("__gain", F.lit(True))
+    gains = peaks.select(*by, "__n")
+    if tolerance:
+
+        def improve(arm: pd.DataFrame) -> pd.DataFrame:
+            best, gained = None, []
+            for v in arm.sort_values("__n")[value]:
+                gained.append(best is None or v > best + tolerance)
+                best = v if gained[-1] else best
+            return arm.sort_values("__n")[[*by, "__n"]][gained]
+
+        gains = peaks.select(*by, "__n", value).groupBy(*by).applyInPandas(improve, gains.schema)
+    gains = gains.withColumn("__gain", F.lit(True))
     marked = seen.join(gains, [*by, "__n"], "left")
     last = F.last(F.when(F.col("__gain"), F.struct("__n", F.col(value).alias("v"))), ignorenulls=True).over(w)
     return marked.withColumn("__last", last).select(*by, "line", F.col("__last.v").alias("best"), (F.col("__n") - F.coalesce(F.col("__last.__n"), F.lit(0))).alias("since"))

@@ -13,6 +13,7 @@ from collections.abc import Iterator
 from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 _fallback: dict[str, str] = {}
 #: Paths handed out inside each open ``scratch`` block, innermost last.
@@ -52,6 +53,25 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+class Parts:
+    """A table that grows by parts, each written once: rounds of a loop add to it and read all that is there."""
+
+    def __init__(self, spark: SparkSession, name: str, schema: StructType):
+        self.spark, self.path, self.schema, self.written = spark, fresh_path(spark, name), schema, 0
+
+    def add(self, rows: DataFrame) -> DataFrame:
+        """Write ``rows`` as the next part and read that part back."""
+        path = f"{self.path}/part={self.written}"
+        rows.select(*self.schema.names).write.parquet(path)
+        self.written += 1
+        return self.spark.read.schema(self.schema).parquet(path)
+
+    def rows(self) -> DataFrame:
+        if not self.written:
+            return self.spark.createDataFrame([], self.schema)
+        return self.spark.read.schema(self.schema).parquet(*[f"{self.path}/part={k}" for k in range(self.written)])
+
+
 @contextmanager
 def scratch(spark: SparkSession) -> Iterator[None]:
     """Delete, at the end of the block, the intermediate tables that were made inside it.
