@@ -51,10 +51,37 @@ def is_canonical(text: Column) -> Column:
     return F.coalesce(lower_decimal(text) == text, F.lit(False))
 
 
+def with_lowered(df: DataFrame, column: str, out: str, problem: str | None = None) -> DataFrame:
+    """``df`` with :func:`lower_decimal` of a text column as ``out``, and what is wrong with it as ``problem``.
+
+    Each part is a column before it is looked at twice, so that the expression does not multiply.
+    """
+    c, p = F.col(column), {k: f"__{out}_{k}" for k in ("problem", "whole", "part", "exponent", "digits", "lead", "place", "kept")}
+    df = df.withColumns({
+        p["problem"]: number_problem(c), p["whole"]: F.regexp_extract(c, r"^-?([0-9]+)", 1), p["part"]: F.regexp_extract(c, r"\.([0-9]+)", 1),
+        p["exponent"]: F.coalesce(F.regexp_extract(c, r"[eE]([+-]?[0-9]+)$", 1).try_cast("int"), F.lit(0)),
+    })
+    df = df.withColumn(p["digits"], F.concat(p["whole"], p["part"]))
+    df = df.withColumn(p["lead"], F.ltrim(p["digits"], F.lit("0")))
+    place = F.length(p["whole"]) + F.col(p["exponent"]) - (F.length(p["digits"]) - F.length(p["lead"]))
+    df = df.withColumns({p["place"]: place, p["kept"]: F.rtrim(p["lead"], F.lit("0"))})
+    place, kept = F.col(p["place"]), F.col(p["kept"])
+    n = F.length(kept)
+    plain = (
+        F.when(place <= 0, F.concat(F.lit("0."), F.repeat(F.lit("0"), -place), kept))
+        .when(place >= n, F.concat(kept, F.repeat(F.lit("0"), place - n)))
+        .otherwise(F.concat(F.substring(kept, F.lit(1), place), F.lit("."), F.substring(kept, place + 1, n)))
+    )
+    good = F.col(p["problem"]).isNull()
+    lowered = F.when(good & (kept == ""), "0").when(good, F.concat(F.when(c.startswith("-"), "-").otherwise(""), plain))
+    found = {out: lowered} if problem is None else {out: lowered, problem: F.col(p["problem"])}
+    return df.withColumns(found).drop(*p.values())
+
+
 def normalize_numbers(df: DataFrame, column: str) -> DataFrame:
     """``df`` with ``canonical``, ``is_canonical`` and ``number_problem`` of a text column."""
-    c = F.col(column)
-    return df.withColumns({"canonical": lower_decimal(c), "is_canonical": is_canonical(c), "number_problem": number_problem(c)})
+    out = with_lowered(df, column, "canonical", "number_problem")
+    return out.withColumn("is_canonical", F.coalesce(F.col("canonical") == F.col(column), F.lit(False)))
 
 
 def rational(num: Column, den: Column) -> Column:
@@ -100,7 +127,10 @@ def exact_div(a: Column, b: Column) -> Column:
 
 
 def reduced(a: Column) -> Column:
-    """A rational in lowest terms, by Euclid's algorithm over a bounded number of steps (184 serve 38 digits)."""
+    """A rational in lowest terms, by Euclid's algorithm over a bounded number of steps (184 serve 38 digits).
+
+    A quotient of more than 32 digits is null: Spark's division of decimals keeps no more.
+    """
     start = F.struct(F.abs(a["num"]).cast(EXACT).alias("x"), a["den"].cast(EXACT).alias("y"))
     step = lambda s, _: F.when(s["y"] == 0, s).otherwise(F.struct(s["y"].alias("x"), (s["x"] % s["y"]).cast(EXACT).alias("y")))
     g = F.aggregate(F.sequence(F.lit(1), F.lit(184)), start, step)["x"]
