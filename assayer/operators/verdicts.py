@@ -2,15 +2,15 @@
 
 Requirements: ``requirement_id, comparison, basis, required_coverage, limit_minor, tolerance_minor,
 permit_nominal``, and ``aggregation`` (max, min or null) if claims may be reduced.  Claims:
-``claim_id, ordinal, model, state, lower_minor, upper_minor, nominal_minor, coverage``, and the columns
-that they are grouped by.  Rules of the decision table are ``Column`` expressions over one grouped row.
+``claim_id, ordinal, model, state, lower_minor, upper_minor, nominal_minor, coverage``, the columns that
+they are grouped by, and ``instance_id`` if they are aggregated: every claim needs one of its own.  Rules of the decision table are ``Column`` expressions over one grouped row.
 """
 
 from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from assayer.operators.units import violations
@@ -62,10 +62,14 @@ def reduce_claims(bound: DataFrame, keys: list[str], aggregation: Column | None
     low, high = (F.when(exact, F.col("nominal_minor")).otherwise(F.col(c)) for c in ("lower_minor", "upper_minor"))
     rows = bound.withColumns({"__mode": mode, "__low": low, "__high": high, "__problem": claim_problem()})
     claim = F.col("claim_id").isNotNull()
+    if aggregation is None:
+        instances = [F.lit(None).cast("long").alias("n_instances"), F.lit(None).cast("long").alias("n_nameless")]
+    else:  # a set, not a distinct count, so that streams can keep it
+        instances = [F.size(F.collect_set("instance_id")).cast("long").alias("n_instances"), F.count_if(claim & F.col("instance_id").isNull()).alias("n_nameless")]
     open_state = F.when(claim & (F.col("state") != "admitted"), F.col("state"))
     grouped = rows.groupBy(*keys).agg(
         F.count("claim_id").alias("n_claims"),
-        F.countDistinct("claim_id").alias("n_instances"),
+        *instances,
         F.min_by(open_state, F.when(open_state.isNotNull(), F.col("ordinal"))).alias("open_state"),
         F.bool_or(claim & (F.col("model") == "coverage_interval")).alias("any_coverage"),
         F.min_by("__problem", F.when(F.col("__problem").isNotNull(), F.col("ordinal"))).alias("claim_problem"),
@@ -77,7 +81,7 @@ def reduce_claims(bound: DataFrame, keys: list[str], aggregation: Column | None
     every_low, every_high = (F.col(f"{c}_count") == F.col("n_claims") for c in ("__low", "__high"))
     lower = F.when(F.col("mode") == "min", F.when(every_low, F.col("__low_min"))).otherwise(F.col("__low_max"))
     upper = F.when(F.col("mode") == "max", F.when(every_high, F.col("__high_max"))).when(F.col("mode") == "min", F.col("__high_min")).otherwise(F.col("__high_max"))
-    return grouped.select(*keys, "n_claims", "n_instances", "open_state", "any_coverage", "claim_problem", "mode", lower.alias("lower"), upper.alias("upper"), F.when(F.col("mode").isNull(), F.col("__nominal")).alias("nominal"))
+    return grouped.select(*keys, "n_claims", "n_instances", "n_nameless", "open_state", "any_coverage", "claim_problem", "mode", lower.alias("lower"), upper.alias("upper"), F.when(F.col("mode").isNull(), F.col("__nominal")).alias("nominal"))
 
 
 def _satisfies(value: Column) -> Column:
@@ -93,6 +97,7 @@ def decide(reduced: DataFrame) -> DataFrame:
     bottom, top = F.col("limit_minor") - tolerance, F.col("limit_minor") + tolerance
     refusal = (
         F.when(F.col("claim_problem").isNotNull(), F.col("claim_problem"))
+        .when(F.col("mode").isNotNull() & (F.col("n_nameless") > 0), "instance_missing")
         .when(F.col("mode").isNotNull() & (F.col("n_instances") != F.col("n_claims")), "duplicate_instance")
         .when(tolerance < 0, "negative_tolerance")
         .when(is_nominal & ~F.coalesce(F.col("permit_nominal"), F.lit(False)), "nominal_not_permitted")
@@ -124,7 +129,9 @@ def decide(reduced: DataFrame) -> DataFrame:
     last = F.substring_index(F.col("rule"), ".", -1)
     status = F.when(F.col("rule").startswith("not_evaluated"), "not_evaluated").when(last == "within", "pass").when(last.isin("exceeds", "below", "outside"), "fail").otherwise("inconclusive")
     done = reduced.withColumn("refusal", F.when(gate == "not_evaluated.kernel_refusal", refusal)).withColumn("rule", F.coalesce(gate, rule))
-    return done.withColumn("status", status).withColumn("margin", F.when(F.col("status") != "not_evaluated", margin()))
+    done = done.withColumn("status", status).withColumn("margin", F.when(F.col("status") != "not_evaluated", margin()))
+    # A nominal verdict used no bounds, so it states none.
+    return done.withColumns({c: F.when(~is_nominal, F.col(c)) for c in ("lower", "upper")})
 
 
 def margin() -> Column:
@@ -140,11 +147,16 @@ def evaluate_verdicts(requirements: DataFrame, claims: DataFrame, keys: list[str
 
     ``keys`` bind claims to requirements.  With ``aggregation`` (``max`` or ``min`` by row) several claims reduce to one.
     """
-    bound = bind_claims(requirements, claims, keys)
-    if per:
-        bound = bound.filter("claim_id is not null")
-    group = keys + (per or [])
-    return decide(reduce_claims(bound, group, aggregation).join(requirements, keys))
+    return decide(reduced_claims(requirements, claims, keys, per, aggregation))
+
+
+def reduced_claims(requirements: DataFrame, claims: DataFrame, keys: list[str], per: list[str] | None = None, aggregation: Column | None = None) -> DataFrame:
+    """What :func:`decide` looks at: groups of claims with their requirement's columns, from one join and one grouping.
+
+    Rows dealt by ``keys`` for the join are dealt well for the grouping too.
+    """
+    bound = claims.filter("claim_id is not null").join(requirements, keys) if per else bind_claims(requirements, claims, keys)
+    return reduce_claims(bound, [*requirements.columns, *(per or [])], aggregation)
 
 
 def check_requirements(requirements: DataFrame) -> DataFrame:
@@ -161,9 +173,13 @@ def check_requirements(requirements: DataFrame) -> DataFrame:
 
 def aggregate_verdicts(verdicts: DataFrame, by: list[str], mode: str = "all") -> DataFrame:
     """``by, status``: the verdict of all, or of any, of a group's verdicts."""
-    order = ALL_ORDER if mode == "all" else ANY_ORDER
-    rank = F.array_position(F.array(*map(F.lit, order)), F.col("status"))
-    return verdicts.groupBy(*by).agg(F.element_at(F.array(*map(F.lit, order)), F.min(rank).cast("int")).alias("status"))
+    return verdicts.groupBy(*by).agg(aggregated(mode).alias("status"))
+
+
+def aggregated(mode: str) -> Column:
+    """The aggregate of a group's statuses under ``all`` or ``any``."""
+    order = F.array(*map(F.lit, ALL_ORDER if mode == "all" else ANY_ORDER))
+    return F.element_at(order, F.min(F.array_position(order, F.col("status"))).cast("int"))
 
 
 def assess_completion(verdicts: DataFrame, by: list[str], permitted_rules: list[str]) -> DataFrame:
@@ -185,8 +201,8 @@ def worst_margin(verdicts: DataFrame, run: list[str]) -> DataFrame:
 
 def binding_counts(verdicts: DataFrame, run: list[str], tolerance: int = 0) -> DataFrame:
     """``requirement_id, n_binding``: how often a requirement is within ``tolerance`` of its run's worst margin."""
-    worst = verdicts.groupBy(*run).agg(F.min("margin").alias("worst"))
-    near = verdicts.join(worst, run).filter(F.col("margin") <= F.col("worst") + tolerance)
+    worst = F.min("margin").over(Window.partitionBy(*run))  # so that verdicts are computed once
+    near = verdicts.withColumn("worst", worst).filter(F.col("margin") <= F.col("worst") + tolerance)
     return near.groupBy("requirement_id").agg(F.count(F.lit(1)).alias("n_binding"))
 
 

@@ -9,11 +9,15 @@ from pyspark.sql import functions as F
 
 from assayer.operators.units import violations
 
-# Record kinds of a log besides runs, and the report schema.
+# Record kinds of a log besides runs, statuses of runs, the form of digests, and the report schema.
+STATUSES = ("evaluated", "rejected", "planned", "error")
+DIGEST = r"^sha256:[0-9a-f]{64}$"
 RECORD_KINDS = ("design_revision", "assessment", "named_reference", "contract_amendment", "attestation", "state_transition")
 REPORT = """run_id string, case_id string, status string, verdicts array<struct<requirement_id:string,status:string,rule:string,unit:string,margin:string>>,
  admissions array<struct<evidence_id:string,source:string,state:string,reasons:array<string>>>, findings array<struct<code:string,subject:string,message:string>>,
  artifacts array<struct<artifact_id:string,kind:string,sha256:string>>, steps array<struct<step_id:string,state:string,planned_invocation_sha256:string>>"""
+#: Distinct pointers of descriptors, at most.
+MOST_POINTERS = 500
 RECORDED_AT = r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}Z$"
 
 
@@ -61,17 +65,56 @@ def split_record_kinds(log: DataFrame) -> dict[str, DataFrame]:
     return out
 
 
-def validate_log_rows(log: DataFrame, strict: bool = False) -> DataFrame:
-    """``line, problem`` of the rows' envelopes; ``strict`` raises if there is any, as a whole-log refusal."""
-    rows = with_kind(log)
-    ok = F.col("kind") != "unreadable"
-    found = violations(rows, ["line"], {
-        "unreadable": ~ok,
+def _type(path: str) -> Column:
+    """The type of a member of a row, as ``STRING`` or ``ARRAY<...>``; null if absent or a JSON null."""
+    kind = F.expr(f"schema_of_variant(try_variant_get(body, '{path}', 'variant'))")
+    return F.when(kind != "VOID", kind)
+
+
+def _is(path: str, kind: str) -> Column:
+    return F.coalesce(_type(path).startswith(kind), F.lit(False))
+
+
+def row_problems(versions: list[str]) -> dict[str, Column]:
+    """The rules that a row of :func:`with_kind` breaks, by name.
+
+    There are three profiles.  Records have a known kind and an object.  Runs of a known schema version have
+    a known status and, unless they failed, a case and steps.  Rows from before there were versions have no
+    attempt, but a case, a time, the digest of their campaign, and, unless they failed, steps as pairs of
+    texts, verdicts, supplied inputs and a workspace.
+    """
+    read = F.col("kind") != "unreadable"
+    record = F.coalesce(_text("$.record_kind").isNotNull(), F.lit(False))
+    run = read & ~record & _type("$.schema_version").isNotNull()
+    older = read & ~record & _type("$.schema_version").isNull()
+    done = ~F.coalesce(_text("$.status") == "error", F.lit(False))
+    steps = F.expr("try_variant_get(body, '$.steps', 'array<array<string>>')")
+    pairs = F.coalesce(_type("$.steps").isin("ARRAY<VOID>", "ARRAY<ARRAY<STRING>>") & F.forall(steps, lambda p: F.size(p) == 2), F.lit(False))
+    return {
+        "unreadable": ~read,
         "unknown_record_kind": F.col("kind") == "unknown",
-        "schema_version_missing": ok & _text("$.schema_version").isNull(),
-        "recorded_at_malformed": ok & ~F.coalesce(_text("$.recorded_at").rlike(RECORDED_AT), F.lit(False)),
-        "case_id_missing": (F.col("kind") == "run") & _text("$.case_id").isNull(),
-    })
+        "record_malformed": F.col("kind").isin(*RECORD_KINDS) & ~_is("$.record", "OBJECT"),
+        "schema_version_unknown": run & ~F.coalesce(_text("$.schema_version").isin(*versions), F.lit(False)),
+        "status_unknown": (run | older) & ~F.coalesce(_text("$.status").isin(*STATUSES), F.lit(False)),
+        "case_id_missing": (run & done | older) & ~_is("$.case_id", "STRING"),
+        "recorded_at_missing": older & ~_is("$.recorded_at", "STRING"),
+        "recorded_at_malformed": (run | older) & ~F.coalesce(_text("$.recorded_at").rlike(RECORDED_AT), F.lit(True)),
+        "campaign_digest": older & ~F.coalesce(_text("$.campaign_sha256").rlike(DIGEST), F.lit(False)),
+        "attempt_before_versions": older & _type("$.attempt").isNotNull(),
+        "steps_missing": run & done & ~_is("$.steps", "ARRAY"),
+        "steps_malformed": older & done & ~pairs,
+        "verdicts_missing": older & done & ~_is("$.verdicts", "ARRAY"),
+        "supplied_inputs_missing": older & done & ~_is("$.supplied_inputs", "ARRAY"),
+        "workspace_missing": older & done & ~_is("$.workspace", "STRING"),
+    }
+
+
+def validate_log_rows(log: DataFrame, versions: list[str], strict: bool = False) -> DataFrame:
+    """``line, problem`` of the rows' envelopes, given the known schema versions of runs.
+
+    ``strict`` raises if there is any, as a whole-log refusal.
+    """
+    found = violations(with_kind(log), ["line"], row_problems(versions))
     if strict and not found.isEmpty():
         raise ValueError("the log has rows that are not valid")
     return found
@@ -102,11 +145,14 @@ def extract_claims(outputs: DataFrame, descriptors: DataFrame) -> DataFrame:
     """Claim fields of output documents, where the descriptor of each output says.
 
     ``outputs(output_id, descriptor_id, document)``; ``descriptors(descriptor_id, model, lower_at, upper_at,
-    nominal_at, value_at, optional)``.  Descriptors are few (their distinct pointers make the plan); a missing
-    value is a problem unless optional.
+    nominal_at, value_at, optional)``.  Distinct pointers make the plan: more than MOST_POINTERS are refused.
+    A missing value is a problem unless optional.
     """
     at = [f"{f}_at" for f in ("lower", "upper", "nominal", "value")]
-    pointers = sorted({p for r in descriptors.select(*at).distinct().collect() for p in r if p})
+    named = descriptors.select(F.explode(F.array(*at)).alias("p")).filter("p is not null and p <> ''").distinct()
+    pointers = sorted(r.p for r in named.limit(MOST_POINTERS + 1).collect())
+    if len(pointers) > MOST_POINTERS:
+        raise ValueError(f"descriptors name more than {MOST_POINTERS} pointers")
     rows = outputs.withColumn("body", F.try_parse_json("document")).join(descriptors, "descriptor_id")
 
     def value(column: str) -> Column:

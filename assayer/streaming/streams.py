@@ -6,6 +6,7 @@ two against each other.  Checkpoints go to the shared folder unless the caller n
 
 from __future__ import annotations
 
+import bisect
 import json
 from collections.abc import Iterator
 
@@ -15,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from assayer.operators import transitions, verdicts
+from assayer.sources import files
 from assayer.storage import fresh_path
 
 
@@ -31,16 +33,16 @@ def drain(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
     return spark.read.schema(stream.schema).parquet(out)
 
 
-def stream_run_log(spark: SparkSession, path: str) -> DataFrame:
-    """Lines of a log folder as they arrive: ``raw, record_sha256, body, problem``; bad rows have a problem."""
+def stream_run_log(spark: SparkSession, path: str, versions: list[str]) -> DataFrame:
+    """Lines of a log folder as they arrive: ``raw, record_sha256, body, problem``; bad rows have the first rule they break."""
     raw = spark.readStream.text(path).select(F.col("value").alias("raw")).filter(F.trim("raw") != "")
     body = F.try_parse_json("raw")
-    rows = raw.select("raw", F.sha2("raw", 256).alias("record_sha256"), body.alias("body"))
-    problem = F.when(F.col("body").isNull(), "unreadable").when(F.expr("try_variant_get(body, '$.schema_version', 'string')").isNull(), "schema_version_missing")
-    return rows.withColumn("problem", problem)
+    rows = files.with_kind(raw.select("raw", F.sha2("raw", 256).alias("record_sha256"), body.alias("body")))
+    broken = [F.when(rule, F.lit(name)) for name, rule in files.row_problems(versions).items()]
+    return rows.withColumn("problem", F.coalesce(*broken)).drop("kind")
 
 
-def split_run_log(spark: SparkSession, path: str, good: str, bad: str) -> None:
+def split_run_log(spark: SparkSession, path: str, good: str, bad: str, versions: list[str]) -> None:
     """Write valid rows to one folder and bad rows to another, once each."""
     def both(batch: DataFrame, number: int) -> None:
         rows = batch.drop("body").persist()
@@ -50,7 +52,7 @@ def split_run_log(spark: SparkSession, path: str, good: str, bad: str) -> None:
         rows.unpersist()
 
     state = fresh_path(spark, "split-state")
-    stream_run_log(spark, path).writeStream.foreachBatch(both).option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()
+    stream_run_log(spark, path, versions).writeStream.foreachBatch(both).option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()
 
 
 MOVE = "subject_kind string, subject long, transition_id long, at_time timestamp, from_state string, to_state string, legal boolean"
@@ -74,11 +76,12 @@ def stream_transitions(moves: DataFrame, delay: str = "1 hour") -> DataFrame:
                 rows.append([t.value // 1000, int(i), to])
         mark = state.getCurrentWatermarkMs() * 1000
         rows.sort()
+        ripe = bisect.bisect_right(rows, mark, key=lambda r: r[0])
         out = []
-        while rows and rows[0][0] <= mark:
-            at, number, to = rows.pop(0)
+        for at, number, to in rows[:ripe]:
             out.append((kind, subject, number, pd.Timestamp(at, unit="us"), current, to, (kind, current, to) in legal))
             current = to
+        rows = rows[ripe:]
         state.update((current, json.dumps(rows)))
         if rows:
             state.setTimeoutTimestamp(max(rows[0][0] // 1000 + 1, state.getCurrentWatermarkMs() + 1))
@@ -129,13 +132,24 @@ def stream_dedup_append(rows: DataFrame, keys: list[str], delay: str = "1 hour")
 
 
 def stream_verdicts(claims: DataFrame, requirements: DataFrame, keys: list[str], per: list[str], out: str, aggregation: Column | None = None) -> None:
-    """Verdicts of each micro-batch's claims against the static requirements, appended to ``out``.
+    """Verdicts of the claims seen so far against the static requirements, written to ``out`` batch by batch.
 
-    Claims of one group must come in one batch, as a log's rows do.
+    Reduced claims of each group are kept in the state store, so a group may come in several batches; each
+    writes the verdict as it then stands, and :func:`latest_verdicts` reads the last.  For very many groups
+    set the session's state store to RocksDB.
     """
+    reduced = verdicts.reduced_claims(requirements, claims, keys, per, aggregation)
+
     def judge(batch: DataFrame, number: int) -> None:
-        found = verdicts.evaluate_verdicts(requirements, batch, keys, per, aggregation)
-        found.write.mode("overwrite").parquet(f"{out}/batch={number}")
+        verdicts.decide(batch).write.mode("overwrite").parquet(f"{out}/batch={number}")
 
     state = fresh_path(claims.sparkSession, "verdict-state")
-    claims.writeStream.foreachBatch(judge).option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()
+    reduced.writeStream.outputMode("update").foreachBatch(judge).option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()
+
+
+def latest_verdicts(spark: SparkSession, out: str, group: list[str]) -> DataFrame:
+    """The last verdict written for each group."""
+    rows = spark.read.parquet(out)
+    rest = [c for c in rows.columns if c not in (*group, "batch")]
+    last = rows.groupBy(*group).agg(F.max_by(F.struct(*rest), "batch").alias("last"))
+    return last.select(*group, "last.*")

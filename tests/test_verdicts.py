@@ -52,7 +52,9 @@ def one(spark, requirement, claims):
     base = {"ordinal": 1, "model": "exact", "state": "admitted", "lower_minor": None, "upper_minor": None, "nominal_minor": None, "coverage": None}
     rows = [(1, i, *[{**base, **c}[n] for n in base]) for i, c in enumerate(claims)]
     mode = row.get("mode")
-    out = verdicts.evaluate_verdicts(reqs, spark.createDataFrame(rows, CLAIM), ["requirement_id"], None, F.lit(mode) if mode else None)
+    given = spark.createDataFrame([(i, c.get("instance_id", str(i))) for i, c in enumerate(claims)], "claim_id long, instance_id string")
+    bound = spark.createDataFrame(rows, CLAIM).join(given, "claim_id")
+    out = verdicts.evaluate_verdicts(reqs, bound, ["requirement_id"], None, F.lit(mode) if mode else None)
     r = out.first()
     return r.rule.removeprefix("not_evaluated."), r.refusal, r.margin
 
@@ -85,6 +87,21 @@ def test_refusals_say_why(spark):
         assert one(spark, requirement, [claim])[:2] == ("kernel_refusal", why)
 
 
+def test_aggregated_claims_need_instances_of_their_own(spark):
+    one_, two = {"nominal_minor": 3, "instance_id": "a"}, {"nominal_minor": 5, "instance_id": "b"}
+    assert one(spark, {"mode": "max"}, [one_, two]) == ("bounded.lt.within", None, 5)
+    assert one(spark, {"mode": "min"}, [one_, one_])[:2] == ("kernel_refusal", "duplicate_instance")
+    assert one(spark, {"mode": "max"}, [one_, {**two, "instance_id": None}])[:2] == ("kernel_refusal", "instance_missing")
+    assert one(spark, {}, [{**one_, "instance_id": None}]) == ("bounded.lt.within", None, 7)
+
+
+def test_nominal_verdicts_state_no_bounds(spark):
+    reqs = spark.createDataFrame([(1, "less_than", "nominal", None, 10, None, True), (2, "less_than", "bounded", None, 10, None, True)], REQ)
+    claims = spark.createDataFrame([(r, r, 1, "coverage_interval", "admitted", 1, 5, 3, 0.9) for r in (1, 2)], CLAIM)
+    rows = {r.requirement_id: (r.lower, r.upper, r.nominal, r.margin) for r in verdicts.evaluate_verdicts(reqs, claims, ["requirement_id"]).collect()}
+    assert rows == {1: (None, None, 3, 7), 2: (1, 5, 3, 5)}
+
+
 def test_statuses_in_pairs(spark):
     statuses = verdicts.ALL_ORDER
     rows = [(i * 4 + j, s) for i, a in enumerate(statuses) for j, b in enumerate(statuses) for s in (a, b)]
