@@ -9,8 +9,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from assayer.operators.units import violations
-from assayer.storage import materialize
+from assayer.storage import Parts, materialize
 
+# The forms of identifiers and digests, and the order of bases.
 IDENTIFIER = r"^[A-Za-z0-9][A-Za-z0-9._-]{0,127}$"
 DIGEST = r"^sha256:[0-9a-f]{64}$"
 #: How strong a basis is.
@@ -61,15 +62,16 @@ def admit_claims(claims: DataFrame, slots: DataFrame, edges: DataFrame, inputs:
     })
     judged = materialize(rows.select("claim_id", "step_id", local.alias("local")), "claims-local")
     bad_inputs = edges.join(inputs.filter("state <> 'admitted'").select(F.col("input_id").alias("parent_input")), "parent_input").select("step_id")
-    frontier = materialize(judged.filter(F.size("local") > 0).select("step_id").distinct(), "failed")
+    wrong = judged.filter(F.size("local") > 0).select("step_id")
     below = edges.filter("parent_step is not null").select(F.col("parent_step"), "step_id")
-    blocked = materialize(bad_inputs.distinct(), "blocked")
-    frontier, failed = materialize(frontier.union(blocked).distinct(), "frontier"), None
+    first = wrong.union(bad_inputs).distinct()
+    failed = Parts(claims.sparkSession, "failed", first.schema)
+    frontier = failed.add(first)
     while not frontier.isEmpty():
-        failed = frontier if failed is None else materialize(failed.union(frontier), "failed")
         reached = frontier.withColumnRenamed("step_id", "parent_step").join(below, "parent_step").select("step_id").distinct()
-        blocked = materialize(blocked.union(reached).distinct(), "blocked")
-        frontier = materialize(reached.join(failed, "step_id", "left_anti"), "frontier")
+        frontier = failed.add(reached.join(failed.rows(), "step_id", "left_anti"))
+    # A step is blocked by a bad input or a failed parent, not by what is wrong with itself.
+    blocked = bad_inputs.union(failed.rows().withColumnRenamed("step_id", "parent_step").join(below, "parent_step").select("step_id")).distinct()
     out = judged.join(blocked.withColumn("parent_failed", F.lit(True)), "step_id", "left")
     every = F.concat("local", F.when(F.col("parent_failed"), F.array(F.lit("parent_not_admitted"))).otherwise(F.array().cast("array<string>")))
     return out.select("claim_id", F.when(F.size(every) > 0, "quarantined").otherwise("admitted").alias("state"), every.alias("reasons"))
@@ -114,6 +116,8 @@ def qualification_as_of(claims: DataFrame, qualifications: DataFrame) -> DataFra
 def attach_qualifications(records: DataFrame, steps: DataFrame) -> DataFrame:
     """Records with the step slots that they cover: capability and executable must both agree; no slots listed means all.
 
+    A step has a row for each record of its executable, as its question asks; executables have few records.
+
     ``records(record_id, capability_id, executable, covered_slots)``, ``steps(step_id, slot, capability_id, executable)``.
     """
     both = steps.join(records, ["capability_id", "executable"])

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from assayer.operators.lineage import latest_per_key, roots_and_leaves
+from assayer.operators import compare
+from assayer.operators.lineage import latest_per_key, reference_history, resolve_revisions, roots_and_leaves
 
 
 def supervision(runs: DataFrame, steps: DataFrame) -> DataFrame:
@@ -62,4 +63,51 @@ def report_view(reports: DataFrame, column: str, only: Column | None = None) ->
     rows = reports.withColumn("item", F.explode(column)).drop(column)
     if only is not None:
         rows = rows.filter(only)
-    return rows.select(*[c for c in rows.columns if c != "item"], "item.*").withColumnRenamed("item.state", "state")
+    return rows.select(*[c for c in rows.columns if c != "item"], "item.*")
+
+
+def artifact_records(reports: DataFrame) -> DataFrame:
+    """Documents, artifacts and supplied inputs of reports (three arrays of alike items) as flat rows with their ``kind``."""
+    kinds = {"document": "documents", "artifact": "artifacts", "supplied_input": "supplied_inputs"}
+    own = [c for c in reports.columns if c not in kinds.values()]
+    tagged = [report_view(reports.select(*own, column), column).withColumn("kind", F.lit(kind)) for kind, column in kinds.items()]
+    return tagged[0].unionByName(tagged[1]).unionByName(tagged[2])
+
+
+def workflow_view(reports: DataFrame) -> DataFrame:
+    """The planned steps of reports with their bindings: a row for each binding, and one for a step without any."""
+    steps = report_view(reports, "workflow")
+    bound = steps.withColumn("binding", F.explode_outer("bindings")).drop("bindings")
+    return bound.select(*[c for c in bound.columns if c != "binding"], "binding.*")
+
+
+def revision_view(revisions: DataFrame, runs: DataFrame, assessments: DataFrame) -> DataFrame:
+    """Each revision, recorded or derived from a run, with the assessments that cite it, a row each; without any, one row."""
+    found = resolve_revisions(revisions, runs, assessments)
+    source = F.when(F.col("recorded"), "recorded").otherwise("derived")
+    cited = assessments.select("revision_id", F.col("line").alias("assessment_line"), "run_id")
+    return found.withColumn("source", source).drop("recorded", "last_assessment").join(cited, "revision_id", "left")
+
+
+def assessment_view(assessments: DataFrame, runs: DataFrame, amendments: DataFrame, verdicts: DataFrame) -> DataFrame:
+    """Each assessment, compared by requirement with the run before it.
+
+    ``assessments(revision_id, line, run_id)`` are recorded; a run without a revision
+    (``runs(attempt_id, parent_id, line, revision_id)``) that none cites is one of its own.  A run that
+    ``amendments(attempt_id, superseded_revision)`` names is compared across the amendment, any other with its parent.
+    """
+    cited = assessments.select(F.col("run_id").alias("attempt_id")).distinct().withColumn("recorded", F.lit(True))
+    known = runs.join(cited, "attempt_id", "left").filter("recorded or revision_id is null")
+    known = known.select("attempt_id", "parent_id", F.when(F.col("recorded"), "recorded").otherwise("derived").alias("source"))
+    crossing = amendments.join(known.select("attempt_id"), "attempt_id", "left_semi")
+    across = compare.cross_amendment_compare(crossing, assessments, verdicts).withColumn("crosses_amendment", F.lit(True))
+    usual = compare.compare_attempts(known.join(crossing.select("attempt_id"), "attempt_id", "left_anti"), verdicts).withColumn("crosses_amendment", F.lit(False))
+    return usual.unionByName(across).join(known.select("attempt_id", "source"), "attempt_id")
+
+
+def reference_view(moves: DataFrame) -> DataFrame:
+    """``name, target, line, n_moves, n_broken``: every name's binding now, and how many of its moves disagree with the one before."""
+    history, broken = reference_history(moves)
+    now = history.groupBy("name").agg(F.max_by(F.struct("target", "line"), "line").alias("now"), F.count(F.lit(1)).alias("n_moves"))
+    bad = broken.groupBy("name").agg(F.count(F.lit(1)).alias("n_broken"))
+    return now.join(bad, "name", "left").select("name", "now.*", "n_moves", F.coalesce("n_broken", F.lit(0)).alias("n_broken"))

@@ -45,15 +45,15 @@ def j2_admit_claims(v):
 QSTATES = "list_extract(['not_recognised', 'revoked', 'superseded', 'expired', 'outside', 'unknown', 'inside'], CAST(1 + (claim_id * 7 + requirement_id) % 40 AS INTEGER))"
 
 
-@query(f"""WITH c AS (SELECT requirement_id, CASE WHEN (claim_id * 7 + requirement_id) % 40 < 6 THEN 1 + (claim_id * 7 + requirement_id) % 40 WHEN claim_id % 50 <> 0 THEN 7 END AS r FROM f_claims WHERE attempt_id % 13 = 0),
+@query(f"""WITH c AS (SELECT requirement_id, CASE WHEN (claim_id * 7 + requirement_id) % 400 < 6 THEN 1 + (claim_id * 7 + requirement_id) % 400 WHEN claim_id % 50 <> 0 THEN 7 END AS r FROM f_claims),
 g AS (SELECT requirement_id, min(r) AS worst, bool_or(r IS NULL) AS bare FROM c GROUP BY requirement_id)
 SELECT requirement_id, rule, rule IS NULL AND basis <> 'nominal' AND coalesce(bare, false) AS notice FROM (SELECT q.requirement_id, basis, bare, CASE WHEN basis <> 'nominal' AND worst < 7 THEN 'not_evaluated.' || list_extract(['not_recognised', 'revoked', 'superseded', 'expired', 'outside', 'unknown'], CAST(worst AS INTEGER))
 WHEN basis <> 'nominal' AND bare AND q.requirement_id % 2 = 0 AND q.requirement_id % 5 <> 0 THEN 'not_evaluated.unqualified' END AS rule FROM f_requirements q LEFT JOIN g ON g.requirement_id = q.requirement_id) x""")
 def j4_qualification_gate(v):
-    place = (F.col("claim_id") * 7 + F.col("requirement_id")) % 40
+    place = (F.col("claim_id") * 7 + F.col("requirement_id")) % 400
     states = F.array(*map(F.lit, admission.GATE))
     state = F.when(place < 6, F.element_at(states, (place + 1).cast("int"))).when(F.col("claim_id") % 50 != 0, "inside")
-    claims = v("f_claims").filter("attempt_id % 13 = 0").select("requirement_id", state.alias("qualification_state"), "claim_id")
+    claims = v("f_claims").select("requirement_id", state.alias("qualification_state"), "claim_id")
     reqs = v("f_requirements").withColumns({"categorical": F.col("requirement_id") % 5 == 0, "qualification_required": F.col("requirement_id") % 2 == 0})
     return admission.qualification_gate(reqs, claims)
 
@@ -181,10 +181,11 @@ def c15_authorize_keys(v):
     return admission.authorize_keys(v("orders").select(F.col("o_orderkey").alias("record_id"), (F.col("o_custkey") % 50).alias("key_id")), keys, "runner")
 
 
-@query("""SELECT p_partkey AS step_id, slot, s_suppkey AS record_id FROM part, (VALUES ('a'), ('b')) t(slot), supplier WHERE p_partkey % 40 = s_suppkey % 40 AND p_size % 2 = s_nationkey % 2 AND (s_suppkey % 3 = 0 OR slot = 'a')""")
+@query("""SELECT l_orderkey * 10 + l_linenumber AS step_id, slot, s_suppkey AS record_id FROM lineitem JOIN supplier ON s_suppkey = l_suppkey AND s_nationkey % 2 = l_partkey % 2, (VALUES ('a'), ('b')) t(slot) WHERE s_suppkey % 3 = 0 OR slot = 'a'""")
 def c20_attach_qualifications(v):
-    steps = v("part").select(F.col("p_partkey").alias("step_id"), F.explode(F.array(F.lit("a"), F.lit("b"))).alias("slot"), (F.col("p_partkey") % 40).alias("capability_id"), (F.col("p_size") % 2).alias("executable"))
-    records = v("supplier").select(F.col("s_suppkey").alias("record_id"), (F.col("s_suppkey") % 40).alias("capability_id"), (F.col("s_nationkey") % 2).alias("executable"), F.when(F.col("s_suppkey") % 3 != 0, F.array(F.lit("a"))).alias("covered_slots"))
+    slots = F.explode(F.array(F.lit("a"), F.lit("b"))).alias("slot")
+    steps = v("lineitem").select(F.expr("l_orderkey * 10 + l_linenumber").alias("step_id"), slots, F.col("l_suppkey").alias("capability_id"), (F.col("l_partkey") % 2).alias("executable"))
+    records = v("supplier").select(F.col("s_suppkey").alias("record_id"), F.col("s_suppkey").alias("capability_id"), (F.col("s_nationkey") % 2).alias("executable"), F.when(F.col("s_suppkey") % 3 != 0, F.array(F.lit("a"))).alias("covered_slots"))
     return admission.attach_qualifications(records, steps)
 
 
@@ -268,28 +269,47 @@ def j23_check_reproducibility(v):
     return policy.check_reproducibility(steps, factors(50), factors(75))
 
 
-# One rule: any(all(price in range, not(brand in set)), fact size >= 40); parts are contexts.
+# Rule 1: any(all(price in range, not(brand in set)), fact size >= 40); rule 2: all(always, brand = x);
+# rule 3: all of four typed facts, cost, flag, code and label.  Parts are contexts.
 def _forest(v):
     spark = v("part").sparkSession
-    fields = "node_id int, rule_id int, parent_id int, level int, op string, name string, source_class string, validator string, operand string, low double, low_inclusive boolean, high double, high_inclusive boolean, members array<string>"
-    blank = (None,) * 9
+    fields = """node_id int, rule_id int, parent_id int, level int, op string, name string, source_class string, validator string, operand string, operand_type string,
+ operand_unit string, kind string, low double, low_inclusive boolean, high double, high_inclusive boolean, members array<string>"""
+
+    def node(node_id, rule_id, parent_id, level, op, name=None, source=None, fact=(None,) * 4, bounds=(None,) * 4, members=None):
+        return (node_id, rule_id, parent_id, level, op, name, source, None, *fact, *bounds, members)
+
     nodes = [
-        (1, 1, None, 0, "any", *blank), (2, 1, 1, 1, "all", *blank), (3, 1, 2, 2, "param_range", "price", None, None, None, 950.0, True, 1200.0, False, None), (4, 1, 2, 2, "not", *blank),
-        (5, 1, 4, 3, "attribute_in", "brand", None, None, None, None, None, None, None, ["Brand#11", "Brand#12", "Brand#13"]), (6, 1, 1, 1, "ge", "size", "measured", None, "40", None, None, None, None, None),
-        (7, 2, None, 0, "all", *blank), (8, 2, 7, 1, "always", *blank), (9, 2, 7, 1, "eq", "brand", None, None, "Brand#22", None, None, None, None, None),
+        node(1, 1, None, 0, "any"), node(2, 1, 1, 1, "all"), node(3, 1, 2, 2, "param_range", "price", bounds=(950.0, True, 1200.0, False)), node(4, 1, 2, 2, "not"),
+        node(5, 1, 4, 3, "attribute_in", "brand", members=["Brand#11", "Brand#12", "Brand#13"]), node(6, 1, 1, 1, "ge", "size", "measured", ("40", "integer", None, None)),
+        node(7, 2, None, 0, "all"), node(8, 2, 7, 1, "always"), node(9, 2, 7, 1, "eq", "brand", fact=("Brand#22", "string", None, None)),
+        node(10, 3, None, 0, "all"), node(11, 3, 10, 1, "le", "cost", fact=("1100.50", "quantity", "usd", "money")), node(12, 3, 10, 1, "eq", "flag", fact=("true", "boolean", None, None)),
+        node(13, 3, 10, 1, "ne", "code", fact=("9007199254740993", "integer", None, None)), node(14, 3, 10, 1, "eq", "label", fact=("1.0", "string", None, None)),
     ]
-    part = v("part")
-    value = lambda n, number, text, cls: part.select(F.col("p_partkey").alias("context_id"), F.lit(n).alias("name"), cls.alias("source_class"), F.lit(None).cast("string").alias("validator"), number.alias("number"), text.alias("text"))
+    part, k = v("part"), F.col("p_partkey")
     none = F.lit(None).cast("string")
-    values = value("price", F.col("p_retailprice"), F.col("p_retailprice").cast("string"), none).filter("context_id % 7 <> 0")
-    values = values.unionByName(value("brand", F.lit(None).cast("double"), F.col("p_brand"), none).filter("context_id % 11 <> 0"))
-    values = values.unionByName(value("size", F.col("p_size").cast("double"), F.col("p_size").cast("string"), F.when(F.col("p_partkey") % 5 == 0, "guessed").otherwise("measured")))
-    contexts = part.select(F.explode(F.array(F.lit(1), F.lit(2))).alias("rule_id"), F.col("p_partkey").alias("context_id"))
-    return spark.createDataFrame(nodes, fields), values, contexts
 
+    def value(name, text, kind, number=F.lit(None).cast("double"), source=none, unit=none):
+        return part.select(k.alias("context_id"), F.lit(name).alias("name"), source.alias("source_class"), none.alias("validator"), number.alias("number"), text.alias("text"), kind.alias("type"), unit.alias("unit"))
+
+    cents = F.round(F.col("p_retailprice") * 100).cast("long")
+    mill = k % 2 == 0
+    values = value("price", F.col("p_retailprice").cast("string"), F.lit("quantity"), F.col("p_retailprice")).filter("context_id % 7 <> 0")
+    values = values.unionByName(value("brand", F.col("p_brand"), F.lit("string")).filter("context_id % 11 <> 0"))
+    values = values.unionByName(value("size", F.col("p_size").cast("string"), F.lit("integer"), F.col("p_size").cast("double"), F.when(k % 5 == 0, "guessed").otherwise("measured")))
+    unit = F.when(k % 17 == 0, "kg").when(mill, "mill").otherwise("cent")
+    values = values.unionByName(value("cost", F.when(mill, cents * 10).otherwise(cents).cast("string"), F.lit("quantity"), unit=unit).filter("context_id % 13 <> 0"))
+    values = values.unionByName(value("flag", F.when(F.col("p_size") > 25, "true").otherwise("false"), F.lit("boolean")))
+    values = values.unionByName(value("code", F.when(mill, "9007199254740992").otherwise("9007199254740993"), F.lit("integer")))
+    values = values.unionByName(value("label", F.when(k % 3 == 1, "1.0").otherwise("1"), F.when(k % 3 == 0, "integer").otherwise("string")))
+    contexts = part.select(F.explode(F.array(F.lit(1), F.lit(2), F.lit(3))).alias("rule_id"), k.alias("context_id"))
+    return spark.createDataFrame(nodes, fields), values, contexts, v("f_kinds")
 
-B4_SQL = """SELECT rule_id, p_partkey AS context_id, CASE WHEN rule_id = 1 THEN (CASE WHEN p_partkey % 7 <> 0 THEN p_retailprice >= 950 AND p_retailprice < 1200 END AND NOT CASE WHEN p_partkey % 11 <> 0 THEN p_brand IN ('Brand#11', 'Brand#12', 'Brand#13') END) OR CASE WHEN p_partkey % 5 <> 0 THEN p_size >= 40 END
-ELSE CASE WHEN p_partkey % 11 <> 0 THEN p_brand = 'Brand#22' END END AS truth FROM part, (VALUES (1), (2)) r(rule_id)"""
+
+COST = "CASE WHEN p_partkey % 13 <> 0 AND p_partkey % 17 <> 0 THEN CAST(ROUND(p_retailprice * 100) AS BIGINT) <= 110050 END"
+LABEL = "CASE WHEN p_partkey % 3 <> 0 THEN p_partkey % 3 = 1 END"
+B4_SQL = f"""SELECT rule_id, p_partkey AS context_id, CASE WHEN rule_id = 1 THEN (CASE WHEN p_partkey % 7 <> 0 THEN p_retailprice >= 950 AND p_retailprice < 1200 END AND NOT CASE WHEN p_partkey % 11 <> 0 THEN p_brand IN ('Brand#11', 'Brand#12', 'Brand#13') END) OR CASE WHEN p_partkey % 5 <> 0 THEN p_size >= 40 END
+WHEN rule_id = 2 THEN CASE WHEN p_partkey % 11 <> 0 THEN p_brand = 'Brand#22' END ELSE {COST} AND p_size > 25 AND p_partkey % 2 = 0 AND {LABEL} END AS truth FROM part, (VALUES (1), (2), (3)) r(rule_id)"""
 
 
 @query(B4_SQL)
@@ -297,11 +317,16 @@ def b4_evaluate_applicability(v):
     return predicates.evaluate_applicability(*_forest(v))
 
 
-@query("""SELECT p_partkey AS context_id, node_id, CASE node_id WHEN 3 THEN CASE WHEN p_partkey % 7 = 0 THEN 1 WHEN p_retailprice >= 950 AND p_retailprice < 1200 THEN 2 ELSE 0 END WHEN 5 THEN CASE WHEN p_partkey % 11 = 0 THEN 1 WHEN p_brand IN ('Brand#11', 'Brand#12', 'Brand#13') THEN 2 ELSE 0 END
-WHEN 6 THEN CASE WHEN p_partkey % 5 = 0 THEN 1 WHEN p_size >= 40 THEN 2 ELSE 0 END WHEN 8 THEN 2 ELSE CASE WHEN p_partkey % 11 = 0 THEN 1 WHEN p_brand = 'Brand#22' THEN 2 ELSE 0 END END AS code FROM part, (VALUES (3), (5), (6), (8), (9)) n(node_id)""")
+def _code(truth: str) -> str:
+    return f"CASE WHEN ({truth}) IS NULL THEN 1 WHEN {truth} THEN 2 ELSE 0 END"
+
+
+@query(f"""SELECT p_partkey AS context_id, node_id, CASE node_id WHEN 3 THEN CASE WHEN p_partkey % 7 = 0 THEN 1 WHEN p_retailprice >= 950 AND p_retailprice < 1200 THEN 2 ELSE 0 END WHEN 5 THEN CASE WHEN p_partkey % 11 = 0 THEN 1 WHEN p_brand IN ('Brand#11', 'Brand#12', 'Brand#13') THEN 2 ELSE 0 END
+WHEN 6 THEN CASE WHEN p_partkey % 5 = 0 THEN 1 WHEN p_size >= 40 THEN 2 ELSE 0 END WHEN 8 THEN 2 WHEN 9 THEN CASE WHEN p_partkey % 11 = 0 THEN 1 WHEN p_brand = 'Brand#22' THEN 2 ELSE 0 END
+WHEN 11 THEN {_code(COST)} WHEN 12 THEN {_code('p_size > 25')} WHEN 13 THEN {_code('p_partkey % 2 = 0')} ELSE {_code(LABEL)} END AS code FROM part, (VALUES (3), (5), (6), (8), (9), (11), (12), (13), (14)) n(node_id)""")
 def b4_leaf_truth(v):
-    nodes, values, contexts = _forest(v)
-    return predicates.leaf_truth(nodes.filter("op not in ('all', 'any', 'not')"), values, contexts)
+    nodes, values, contexts, kinds = _forest(v)
+    return predicates.leaf_truth(nodes.filter("op not in ('all', 'any', 'not')"), values, contexts, kinds)
 
 
 @query(f"""WITH d AS (SELECT rule_id, context_id, CASE WHEN truth THEN 'eligible' WHEN NOT truth THEN 'ineligible' ELSE 'unknown' END AS derived FROM ({B4_SQL}) t),
@@ -309,4 +334,5 @@ r AS (SELECT p_partkey AS context_id, 1 AS rule_id, CASE WHEN p_size > 30 THEN '
 SELECT rule_id, context_id, derived, recorded, CASE WHEN recorded <> derived THEN 'mismatch' WHEN derived = 'eligible' THEN 'accepted' ELSE 'refused' END AS verdict FROM d FULL JOIN r USING (rule_id, context_id)""")
 def j22_derive_eligibility(v):
     recorded = v("part").filter("p_partkey % 3 = 0").select(F.lit(1).alias("rule_id"), F.col("p_partkey").alias("context_id"), F.when(F.col("p_size") > 30, "eligible").otherwise("ineligible").alias("outcome"))
-    return predicates.derive_eligibility(*_forest(v), recorded)
+    nodes, values, contexts, kinds = _forest(v)
+    return predicates.derive_eligibility(nodes, values, contexts, recorded, kinds)

@@ -10,6 +10,8 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
+from assayer.operators.ordered import number_rows
+
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 
 VIEWS = {
@@ -31,6 +33,9 @@ VIEWS = {
     "f_runs": """SELECT line, attempt_id, case_id, CASE WHEN line > 1 THEN CAST(FLOOR(line / 2) AS BIGINT) END AS parent_line, CAST(FLOOR(LOG2(line)) AS BIGINT) AS generation, status, recorded_at
  FROM (SELECT ROW_NUMBER() OVER (ORDER BY o_orderkey) AS line, o_orderkey AS attempt_id, o_custkey AS case_id,
  CASE o_orderstatus WHEN 'F' THEN 'evaluated' WHEN 'O' THEN 'planned' ELSE 'rejected' END AS status, o_orderdate AS recorded_at FROM orders) t""",
+    # What the run log holds at a line: most are runs, some are records, older rows, broken or spoiled.
+    "f_log": """SELECT *, CASE WHEN line % 50 = 0 THEN 'broken' WHEN line % 41 = 0 THEN 'blank' WHEN line % 37 = 0 THEN 'unknown' WHEN line % 10 = 0 THEN 'move'
+ WHEN line % 29 = 0 THEN 'older' WHEN line % 31 = 0 THEN 'older_spoiled' WHEN line % 23 = 0 THEN 'version' WHEN line % 19 = 0 THEN 'stepless' ELSE 'run' END AS kind FROM f_runs""",
     "f_transitions": """SELECT event_id AS transition_id, 'campaign' AS subject_kind, user_id AS subject, ts AS at_time,
  CASE event_type WHEN 'signup' THEN 'running' WHEN 'view' THEN 'blocked' WHEN 'click' THEN 'running' WHEN 'purchase' THEN 'completed' ELSE 'cancelled' END AS to_state FROM events""",
     "f_edges": """SELECT p_partkey AS dst_step, CAST(FLOOR(p_partkey / 2) AS BIGINT) AS src_step, 'a' AS dst_slot FROM part WHERE p_partkey > 1
@@ -43,8 +48,11 @@ VIEWS = {
 
 
 def _needs(sql: str) -> list[str]:
-    """The views that a text names, in order of definition."""
-    return [v for v in VIEWS if re.search(rf"\b{v}\b", sql)]
+    """The views that a text names, and those that they name, in order of definition."""
+    found = {v for v in VIEWS if re.search(rf"\b{v}\b", sql)}
+    if "f_log" in found:
+        found.add("f_runs")
+    return [v for v in VIEWS if v in found]
 
 
 def duck(sql: str) -> str:
@@ -62,6 +70,12 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A fixture view or a table as a DataFrame."""
     if name in TABLES:
         return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    if name == "f_log":
+        return spark.sql(VIEWS[name].replace("f_runs", "{runs}"), runs=view(spark, sf_dir, "f_runs"))
+    if name == "f_runs":  # numbered without a sort of all orders in one task
+        orders = view(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_orderdate")
+        sql = VIEWS[name].replace("ROW_NUMBER() OVER (ORDER BY o_orderkey)", "place + 1").replace("FROM orders", "FROM {orders}")
+        return spark.sql(sql, orders=number_rows(orders, ["o_orderkey"], name="place"))
     sql = VIEWS[name].replace("SHA(text)", "sha2(text, 256)")
     for t in TABLES:
         sql = re.sub(rf"\bFROM {t}\b", f"FROM parquet.`{sf_dir}/{t}.parquet`", sql)

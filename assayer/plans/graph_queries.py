@@ -52,7 +52,7 @@ def i11_topological_levels(v):
     return levels.unionByName(cyclic.withColumn("level", F.lit(-1)))
 
 
-I12_ASSUME = "SELECT DISTINCT l_orderkey AS claim, CAST(l_partkey % 60 AS VARCHAR(9)) AS proposition FROM lineitem WHERE l_orderkey % 20 = 0"
+I12_ASSUME = "SELECT DISTINCT l_orderkey AS claim, CAST(l_partkey % 60 AS VARCHAR(9)) AS proposition FROM lineitem"
 I12_WITNESS = "SELECT CAST(k AS VARCHAR(9)) AS proposition, CASE WHEN k % 10 <> 0 THEN CAST((k * 7 + 3) % 60 AS VARCHAR(9)) END AS needs FROM (SELECT DISTINCT p_size AS k FROM part WHERE p_size % 4 <> 1) t UNION SELECT CAST(k AS VARCHAR(9)), CAST((k + 11) % 60 AS VARCHAR(9)) FROM (SELECT DISTINCT p_size AS k FROM part WHERE p_size % 4 = 2) u"
 
 

@@ -173,27 +173,47 @@ def j20_explain_findings(v):
     return integrity.explain_findings(events, catalogue).select("event_id", "code", "title", "explained")
 
 
+#: Lines of a file of the written log.
+FILE_LINES = 10_000
+
+
 def _log_lines(v) -> str:
-    """Runs as JSON lines in the shared folder, with some rows of another kind, broken or blank."""
-    runs = v("f_runs")
-    body = F.to_json(F.struct(F.lit("run/1").alias("schema_version"), F.date_format("recorded_at", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("recorded_at"), F.col("case_id"), "status", F.struct("attempt_id", "generation").alias("attempt")))
+    """Runs as JSON lines in the shared folder, FILE_LINES to a file, with rows of other kinds, broken or blank."""
+    rows = v("f_log")
+    shared = ["case_id", "status", F.date_format("recorded_at", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("recorded_at")]
+    version = F.when(F.col("kind") == "version", "run/99").otherwise("run/1").alias("schema_version")
+    attempt = F.struct("attempt_id", "generation").alias("attempt")
+    steps = F.when(F.col("kind") != "stepless", F.array(F.struct(F.lit("screen").alias("step_id"), F.lit("executed").alias("state")))).alias("steps")
+    case = F.col("case_id").cast("string").alias("case_id")
+    body = F.to_json(F.struct(version, case, *shared[1:], steps, attempt))
+    digest = F.concat(F.lit("sha256:"), F.when(F.col("kind") == "older", F.sha2(F.col("line").cast("string"), 256)).otherwise("beef")).alias("campaign_sha256")
+    place = F.when(F.col("kind") == "older", "/work").alias("workspace")
+    pairs = F.array(F.array(F.lit("screen"), F.lit("executed"))).alias("steps")
+    none = F.array().cast("array<string>")
+    older = F.to_json(F.struct(case, *shared[1:], digest, pairs, none.alias("verdicts"), none.alias("supplied_inputs"), place))
     move = F.to_json(F.struct(F.lit("record/1").alias("schema_version"), F.lit("state_transition").alias("record_kind"), F.struct(F.col("line").alias("transition_id")).alias("record")))
-    text = F.when(F.col("line") % 50 == 0, F.lit("{broken")).when(F.col("line") % 41 == 0, F.lit("   ")).when(F.col("line") % 37 == 0, F.lit('{"schema_version":"record/1","record_kind":"riddle"}')).when(F.col("line") % 10 == 0, move).otherwise(body)
-    path = fresh_path(runs.sparkSession, "run-log")
-    runs.repartition(1).sortWithinPartitions("line").select(text.alias("value")).write.text(path)  # one log is one file
+    text = (
+        F.when(F.col("kind") == "broken", "{broken").when(F.col("kind") == "blank", "   ").when(F.col("kind") == "unknown", '{"schema_version":"record/1","record_kind":"riddle"}')
+        .when(F.col("kind") == "move", move).when(F.col("kind").startswith("older"), older).otherwise(body)
+    )
+    path = fresh_path(rows.sparkSession, "run-log")
+    filed = rows.select(F.expr(f"(line - 1) div {FILE_LINES}").alias("block"), "line", text.alias("value")).repartition("block").sortWithinPartitions("block", "line")
+    filed.drop("line").write.partitionBy("block").text(path)
     return path
 
 
 def _written_log(v):
-    return files.read_run_log(v("orders").sparkSession, _log_lines(v))
+    """The log read back, with lines counted over all its files."""
+    log = files.read_run_log(v("orders").sparkSession, _log_lines(v))
+    return log.withColumn("line", F.col("line") + F.regexp_extract("file", r"block=(\d+)", 1).cast("long") * FILE_LINES)
 
 
-@query("""SELECT line, CASE WHEN line % 50 = 0 THEN 'unreadable' WHEN line % 37 = 0 THEN 'unknown' WHEN line % 10 = 0 THEN 'state_transition' ELSE 'run' END AS kind FROM f_runs WHERE line % 50 = 0 OR line % 41 <> 0""")
+@query("""SELECT line, CASE WHEN kind = 'broken' THEN 'unreadable' WHEN kind = 'move' THEN 'state_transition' WHEN kind LIKE 'older%' THEN 'untracked' WHEN kind IN ('version', 'stepless') THEN 'run' ELSE kind END AS kind FROM f_log WHERE kind <> 'blank'""")
 def a1_read_run_log(v):
     return files.with_kind(_written_log(v)).select("line", "kind")
 
 
-@query("""SELECT 'run' AS kind, count(*) AS n, CAST(sum(attempt_id) AS BIGINT) AS total FROM f_runs WHERE line % 50 <> 0 AND line % 41 <> 0 AND line % 37 <> 0 AND line % 10 <> 0 UNION ALL SELECT 'state_transition', count(*), CAST(sum(line) AS BIGINT) FROM f_runs WHERE line % 50 <> 0 AND line % 41 <> 0 AND line % 37 <> 0 AND line % 10 = 0""")
+@query("""SELECT 'run' AS kind, count(*) AS n, CAST(sum(attempt_id) AS BIGINT) AS total FROM f_log WHERE kind IN ('run', 'version', 'stepless') UNION ALL SELECT 'state_transition', count(*), CAST(sum(line) AS BIGINT) FROM f_log WHERE kind = 'move'""")
 def a2_split_record_kinds(v):
     kinds = files.split_record_kinds(_written_log(v))
     runs = kinds["run"].agg(F.lit("run").alias("kind"), F.count(F.lit(1)).alias("n"), F.sum("attempt_id").alias("total"))
@@ -201,9 +221,10 @@ def a2_split_record_kinds(v):
     return runs.unionByName(moves)
 
 
-@query("""SELECT line, 'unreadable' AS problem FROM f_runs WHERE line % 50 = 0 UNION ALL SELECT line, 'unknown_record_kind' FROM f_runs WHERE line % 50 <> 0 AND line % 41 <> 0 AND line % 37 = 0 UNION ALL SELECT line, 'recorded_at_malformed' FROM f_runs WHERE line % 50 <> 0 AND line % 41 <> 0 AND (line % 37 = 0 OR line % 10 = 0)""")
+@query("""SELECT line, problem FROM f_log JOIN (VALUES ('broken', 'unreadable'), ('unknown', 'unknown_record_kind'), ('version', 'schema_version_unknown'), ('stepless', 'steps_missing'),
+('older_spoiled', 'campaign_digest'), ('older_spoiled', 'workspace_missing')) AS p(spoiled, problem) ON kind = spoiled""")
 def a3_validate_log_rows(v):
-    return files.validate_log_rows(_written_log(v))
+    return files.validate_log_rows(_written_log(v), ["run/1"])
 
 
 @query("""SELECT attempt_id, claim_id AS item_id, model AS kind FROM f_claims WHERE attempt_id IN (SELECT attempt_id FROM f_runs)""")

@@ -7,6 +7,7 @@ same tables and views.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import cache
 from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
@@ -44,7 +45,8 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     _load()
-    return {name: lambda spark, sf_dir, f=f: f(lambda view: fixtures.view(spark, sf_dir, view)) for name, f in _queries.items()}
+    # A view is made once for each run of a query.
+    return {name: lambda spark, sf_dir, f=f: f(cache(lambda view: fixtures.view(spark, sf_dir, view))) for name, f in _queries.items()}
 
 
 def oracle_sql() -> dict[str, str]:

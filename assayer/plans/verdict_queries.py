@@ -10,7 +10,7 @@ from assayer.plans.registry import query
 REQUIREMENT = ["requirement_id"]
 # The decision table once more, in SQL: v has a row per group with the requirement's columns.
 GROUPED = """
-SELECT {keys}, count(claim_id) AS n_claims, count(DISTINCT claim_id) AS n_instances, max(mode) AS mode,
+SELECT {keys}, count(claim_id) AS n_claims, count(DISTINCT {instance}) AS n_instances, count(*) FILTER (claim_id IS NOT NULL AND {instance} IS NULL) AS n_nameless, max(mode) AS mode,
   arg_min(CASE WHEN state <> 'admitted' THEN state END, CASE WHEN state <> 'admitted' THEN ordinal END) AS open_state,
   bool_or(model = 'coverage_interval') AS any_coverage, arg_min(problem, CASE WHEN problem IS NOT NULL THEN ordinal END) AS claim_problem,
   CASE WHEN max(mode) = 'min' THEN CASE WHEN count(lo) = count(claim_id) THEN min(lo) END ELSE max(lo) END AS lower,
@@ -31,7 +31,7 @@ FROM (SELECT *, CASE
     WHEN n_claims = 0 THEN 'not_evaluated.missing' WHEN open_state IS NOT NULL THEN 'not_evaluated.' || open_state
     WHEN n_claims > 1 AND mode IS NULL THEN 'not_evaluated.duplicate_claim'
     WHEN n_claims > 1 AND basis = 'bounded' AND any_coverage THEN 'not_evaluated.coverage_aggregation_requires_capability'
-    WHEN claim_problem IS NOT NULL OR (basis = 'nominal' AND (NOT permit_nominal OR nominal IS NULL)) OR (basis <> 'nominal' AND comparison <> 'equal' AND lower IS NULL AND upper IS NULL) THEN 'not_evaluated.kernel_refusal'
+    WHEN claim_problem IS NOT NULL OR (mode IS NOT NULL AND (n_nameless > 0 OR n_instances <> n_claims)) OR (basis = 'nominal' AND (NOT permit_nominal OR nominal IS NULL)) OR (basis <> 'nominal' AND comparison <> 'equal' AND lower IS NULL AND upper IS NULL) THEN 'not_evaluated.kernel_refusal'
     WHEN basis = 'nominal' AND comparison = 'equal' THEN CASE WHEN abs(nominal - limit_minor) <= tolerance_minor THEN 'nominal.equal.within' ELSE 'nominal.equal.outside' END
     WHEN basis = 'nominal' THEN 'nominal.' || token || CASE WHEN sat(nominal, limit_minor, comparison) THEN '.within' WHEN token IN ('gt', 'ge') THEN '.below' ELSE '.exceeds' END
     WHEN comparison = 'equal' THEN CASE WHEN lower >= limit_minor - tolerance_minor AND upper <= limit_minor + tolerance_minor THEN 'equal.within'
@@ -63,12 +63,16 @@ def _inline(sql: str) -> str:
     return out + sql[at:]
 
 
-def decided_sql(keys: str, mode: str = "CAST(NULL AS VARCHAR)") -> str:
-    return _inline(DECIDED.format(grouped=GROUPED.format(keys=keys, mode=mode)))
+def decided_sql(keys: str, mode: str = "CAST(NULL AS VARCHAR)", instance: str = "claim_id") -> str:
+    return _inline(DECIDED.format(grouped=GROUPED.format(keys=keys, mode=mode, instance=instance)))
 
 
-PER_ATTEMPT = f"SELECT *, {MARGIN} AS margin FROM ({decided_sql('attempt_id, requirement_id')}) d"
-PER_PART = f"SELECT *, {MARGIN} AS margin FROM ({decided_sql('requirement_id', '''CASE WHEN requirement_id % 2 = 0 THEN 'max' ELSE 'min' END''')}) d"
+# A nominal verdict states no bounds.
+SHOWN = "* REPLACE (CASE WHEN basis <> 'nominal' THEN lower END AS lower, CASE WHEN basis <> 'nominal' THEN upper END AS upper)"
+# Some claims name no instance, some share one.
+INSTANCE = "CASE WHEN claim_id % 211 = 0 THEN NULL WHEN claim_id % 101 = 0 THEN 101 ELSE claim_id END"
+PER_ATTEMPT = f"SELECT {SHOWN}, {MARGIN} AS margin FROM ({decided_sql('attempt_id, requirement_id')}) d"
+PER_PART = f"SELECT {SHOWN}, {MARGIN} AS margin FROM ({decided_sql('requirement_id', '''CASE WHEN requirement_id % 2 = 0 THEN 'max' ELSE 'min' END''', INSTANCE)}) d"
 
 
 def attempts(v):
@@ -84,7 +88,8 @@ def d1_evaluate_verdicts(v):
 @query(f"SELECT requirement_id, mode, n_claims, lower, upper, status, rule, margin FROM ({PER_PART}) x")
 def d2_reduce_interval(v):
     mode = F.when(F.col("requirement_id") % 2 == 0, "max").otherwise("min")
-    return verdicts.evaluate_verdicts(v("f_requirements"), v("f_claims"), REQUIREMENT, None, mode).select("requirement_id", "mode", "n_claims", "lower", "upper", "status", "rule", "margin")
+    claims = v("f_claims").withColumn("instance_id", F.expr(INSTANCE))
+    return verdicts.evaluate_verdicts(v("f_requirements"), claims, REQUIREMENT, None, mode).select("requirement_id", "mode", "n_claims", "lower", "upper", "status", "rule", "margin")
 
 
 RANK = "CASE status WHEN 'fail' THEN {} WHEN 'not_evaluated' THEN 1 WHEN 'inconclusive' THEN 2 ELSE {} END"
@@ -94,8 +99,7 @@ RANK = "CASE status WHEN 'fail' THEN {} WHEN 'not_evaluated' THEN 1 WHEN 'inconc
 list_extract(['pass', 'not_evaluated', 'inconclusive', 'fail'], 1 + min({RANK.format(3, 0)})) AS any_status FROM ({PER_ATTEMPT}) x GROUP BY attempt_id""")
 def d3_aggregate_verdicts(v):
     found = attempts(v)
-    every = verdicts.aggregate_verdicts(found, ["attempt_id"], "all").withColumnRenamed("status", "all_status")
-    return every.join(verdicts.aggregate_verdicts(found, ["attempt_id"], "any").withColumnRenamed("status", "any_status"), "attempt_id")
+    return found.groupBy("attempt_id").agg(*[verdicts.aggregated(mode).alias(f"{mode}_status") for mode in ("all", "any")])
 
 
 @query(f"""SELECT attempt_id, count(*) AS n, count(*) FILTER (status IN ('pass', 'fail') OR rule IN ('bounded.lt.crossing', 'equal.partial')) AS n_fulfilling,
@@ -175,16 +179,16 @@ def b13_check_kinds(v):
 
 
 @query("""SELECT requirement_id, n_claims, rule, CASE WHEN rule LIKE 'not_evaluated%' THEN 'not_evaluated' WHEN rule LIKE '%.match' THEN 'pass' ELSE 'fail' END AS status FROM (
-SELECT p_partkey AS requirement_id, count(l_orderkey) AS n_claims, CASE WHEN p_partkey % 11 = 0 THEN 'not_evaluated.kernel_refusal' WHEN count(l_orderkey) = 0 THEN 'not_evaluated.missing'
+SELECT o_orderkey AS requirement_id, count(l_orderkey) AS n_claims, CASE WHEN o_orderkey % 11 = 0 THEN 'not_evaluated.kernel_refusal' WHEN count(l_orderkey) = 0 THEN 'not_evaluated.missing'
 WHEN bool_or(l_returnflag = 'R') THEN 'not_evaluated.quarantined' WHEN count(l_orderkey) > 1 THEN 'not_evaluated.duplicate_claim' WHEN max(l_linestatus) IS NULL THEN 'not_evaluated.category_missing'
-WHEN p_partkey % 2 = 0 THEN 'categorical.equals.' || CASE WHEN max(l_linestatus) = 'O' THEN 'match' ELSE 'mismatch' END ELSE 'categorical.in_set.match' END AS rule
-FROM part LEFT JOIN (SELECT * FROM lineitem WHERE l_orderkey % 40 = l_partkey % 40) l ON l_partkey = p_partkey GROUP BY p_partkey) x""")
+WHEN o_orderkey % 2 = 0 THEN 'categorical.equals.' || CASE WHEN max(l_linestatus) = 'O' THEN 'match' ELSE 'mismatch' END ELSE 'categorical.in_set.match' END AS rule
+FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY o_orderkey) x""")
 def b8_categorical_match(v):
-    even = F.col("p_partkey") % 2 == 0
-    accepted = F.when(F.col("p_partkey") % 11 == 0, F.array(F.lit("O"), F.lit("O"))).when(even, F.array(F.lit("O"))).otherwise(F.array(F.lit("O"), F.lit("F")))
-    reqs = v("part").select(F.col("p_partkey").alias("requirement_id"), F.when(even, "equals").otherwise("in_set").alias("comparison"), accepted.alias("accepted"))
-    claims = v("lineitem").filter("l_orderkey % 40 = l_partkey % 40").select(
-        F.col("l_partkey").alias("requirement_id"), F.expr("l_orderkey * 10 + l_linenumber").alias("claim_id"), F.col("l_linenumber").alias("ordinal"),
+    even = F.col("o_orderkey") % 2 == 0
+    accepted = F.when(F.col("o_orderkey") % 11 == 0, F.array(F.lit("O"), F.lit("O"))).when(even, F.array(F.lit("O"))).otherwise(F.array(F.lit("O"), F.lit("F")))
+    reqs = v("orders").select(F.col("o_orderkey").alias("requirement_id"), F.when(even, "equals").otherwise("in_set").alias("comparison"), accepted.alias("accepted"))
+    claims = v("lineitem").select(
+        F.col("l_orderkey").alias("requirement_id"), F.expr("l_orderkey * 10 + l_linenumber").alias("claim_id"), F.col("l_linenumber").alias("ordinal"),
         F.when(F.col("l_returnflag") == "R", "quarantined").otherwise("admitted").alias("state"), F.col("l_linestatus").alias("value"))
     return verdicts.categorical_match(reqs, claims)
 
