@@ -10,34 +10,38 @@ from assayer.plans.history_queries import spark_sql
 from assayer.plans.registry import query
 
 SHA = "'sha256:' || repeat(CAST({} % 10 AS VARCHAR(2)), {})"
-J1_ATT = "SELECT o_custkey AS input_id, 'sha256:' || repeat(CAST(o_orderkey % 10 AS VARCHAR(2)), CASE WHEN o_orderkey % 11 = 0 THEN 63 ELSE 64 END) AS sha256, CASE WHEN o_orderkey % 7 = 0 THEN 'text' ELSE 'json' END AS media_type FROM orders WHERE o_orderkey % 9 < 2"
+# Every ninth order attests the next one in its own place.
+J1_ATT = "SELECT CASE WHEN o_orderkey % 9 = 0 THEN o_orderkey + 1 ELSE o_orderkey END AS input_id, 'sha256:' || repeat(CAST(o_orderkey % 10 AS VARCHAR(2)), CASE WHEN o_orderkey % 11 = 0 THEN 63 ELSE 64 END) AS sha256, CASE WHEN o_orderkey % 7 = 0 THEN 'text' ELSE 'json' END AS media_type FROM orders"
 
 
-@query(f"""SELECT c_custkey AS input_id, CASE WHEN n IS NULL THEN 'missing' WHEN n > 1 OR NOT ok OR other THEN 'quarantined' ELSE 'admitted' END AS state,
+@query(f"""SELECT o_orderkey AS input_id, CASE WHEN n IS NULL THEN 'missing' WHEN n > 1 OR NOT ok OR other THEN 'quarantined' ELSE 'admitted' END AS state,
 concat_ws(',', CASE WHEN n > 1 THEN 'duplicate_attestation' END, CASE WHEN NOT ok THEN 'malformed_digest' END, CASE WHEN other THEN 'media_type_mismatch' END) AS reasons
-FROM customer LEFT JOIN (SELECT input_id, count(*) AS n, bool_and(length(sha256) = 71) AS ok, bool_or(media_type <> 'json') AS other FROM ({J1_ATT}) a GROUP BY input_id) g ON g.input_id = c_custkey""")
+FROM orders LEFT JOIN (SELECT input_id, count(*) AS n, bool_and(length(sha256) = 71) AS ok, bool_or(media_type <> 'json') AS other FROM ({J1_ATT}) a GROUP BY input_id) g ON g.input_id = o_orderkey""")
 def j1_admit_inputs(v):
-    inputs = v("customer").select(F.col("c_custkey").alias("input_id"), F.lit("json").alias("media_type"))
+    inputs = v("orders").select(F.col("o_orderkey").alias("input_id"), F.lit("json").alias("media_type"))
     out = admission.admit_inputs(inputs, spark_sql(v, J1_ATT, "orders"))
     return out.select("input_id", "state", F.array_join("reasons", ",").alias("reasons"))
 
 
-J2_CLAIMS = "SELECT l_orderkey * 10 + l_linenumber AS claim_id, l_partkey AS step_id, CAST(l_linenumber % 3 AS BIGINT) AS slot, CASE WHEN l_orderkey % 19 = 0 THEN 'text' ELSE 'json' END AS media_type, CASE WHEN l_orderkey % 23 = 0 THEN 'unquantified' ELSE 'exact' END AS model, l_orderkey % 29 = 0 AS partial, CASE WHEN l_orderkey % 31 <> 0 THEN l_orderkey END AS nominal_minor, CAST(NULL AS BIGINT) AS lower_minor, CAST(NULL AS BIGINT) AS upper_minor, CAST(NULL AS DOUBLE) AS coverage FROM lineitem WHERE l_orderkey % 61 = l_partkey % 61"
-J2_LOCAL = "SELECT *, list_filter([CASE WHEN slot > 1 THEN 'undeclared_slot' END, CASE WHEN count(*) OVER (PARTITION BY step_id, slot) > 1 THEN 'duplicate_claim' END, CASE WHEN slot <= 1 AND media_type <> 'json' THEN 'media_type_mismatch' END, CASE WHEN partial AND NOT (slot <= 1 AND step_id % 2 = 0) THEN 'partial_not_permitted' END, CASE WHEN slot <= 1 AND model = 'unquantified' THEN 'model_not_permitted' END, CASE WHEN nominal_minor IS NULL THEN 'claim_shape' END], lambda x : x IS NOT NULL) AS loc FROM (" + J2_CLAIMS + ") c"
+# Orders are steps, their lines are claims; steps form trees of two levels below a root.
+J2_EDGES = "SELECT o_orderkey AS step_id, CASE WHEN o_orderkey % 4 > 0 THEN o_orderkey - o_orderkey % 4 ELSE o_orderkey - o_orderkey % 64 END AS parent_step FROM orders WHERE o_orderkey % 64 > 0"
+J2_CLAIMS = "SELECT l_orderkey * 10 + l_linenumber AS claim_id, l_orderkey AS step_id, CAST(l_linenumber - 1 + 7 * (l_suppkey % 2) AS BIGINT) AS slot, CASE WHEN l_orderkey % 19 = 0 THEN 'text' ELSE 'json' END AS media_type, CASE WHEN l_orderkey % 23 = 0 THEN 'unquantified' ELSE 'exact' END AS model, l_orderkey % 29 = 0 AS partial, CASE WHEN l_orderkey % 31 <> 0 THEN l_orderkey END AS nominal_minor, CAST(NULL AS BIGINT) AS lower_minor, CAST(NULL AS BIGINT) AS upper_minor, CAST(NULL AS DOUBLE) AS coverage FROM lineitem"
+J2_LOCAL = "SELECT *, list_filter([CASE WHEN slot > 12 THEN 'undeclared_slot' END, CASE WHEN count(*) OVER (PARTITION BY step_id, slot) > 1 THEN 'duplicate_claim' END, CASE WHEN slot <= 12 AND media_type <> 'json' THEN 'media_type_mismatch' END, CASE WHEN partial AND NOT (slot <= 12 AND step_id % 2 = 0) THEN 'partial_not_permitted' END, CASE WHEN slot <= 12 AND model = 'unquantified' THEN 'model_not_permitted' END, CASE WHEN nominal_minor IS NULL THEN 'claim_shape' END], lambda x : x IS NOT NULL) AS loc FROM (" + J2_CLAIMS + ") c"
 
 
 @query(f"""WITH RECURSIVE j AS MATERIALIZED ({J2_LOCAL}), f(step_id) AS (
-SELECT DISTINCT step_id FROM j WHERE len(loc) > 0 UNION SELECT p_partkey FROM part WHERE p_partkey % 97 = 0
-UNION SELECT e.dst_step FROM f JOIN f_edges e ON e.src_step = f.step_id),
-b AS (SELECT DISTINCT e.dst_step AS step_id FROM f JOIN f_edges e ON e.src_step = f.step_id UNION SELECT p_partkey FROM part WHERE p_partkey % 97 = 0)
+SELECT DISTINCT step_id FROM j WHERE len(loc) > 0 UNION SELECT o_orderkey FROM orders WHERE o_orderkey % 97 = 0
+UNION SELECT e.step_id FROM f JOIN ({J2_EDGES}) e ON e.parent_step = f.step_id),
+b AS (SELECT DISTINCT e.step_id FROM f JOIN ({J2_EDGES}) e ON e.parent_step = f.step_id UNION SELECT o_orderkey FROM orders WHERE o_orderkey % 97 = 0)
 SELECT claim_id, CASE WHEN len(loc) > 0 OR b.step_id IS NOT NULL THEN 'quarantined' ELSE 'admitted' END AS state,
 array_to_string(list_concat(loc, CASE WHEN b.step_id IS NOT NULL THEN ['parent_not_admitted'] ELSE [] END), ',') AS reasons FROM j LEFT JOIN b USING (step_id)""")
 def j2_admit_claims(v):
     claims = spark_sql(v, J2_CLAIMS, "lineitem")
-    slots = v("part").select(F.col("p_partkey").alias("step_id"), F.explode(F.array(F.lit(0).cast("long"), F.lit(1).cast("long"))).alias("slot"), F.lit("json").alias("media_type"), F.array(F.lit("exact")).alias("models"), (F.col("p_partkey") % 2 == 0).alias("partial_allowed"))
-    steps = v("f_edges").select(F.col("dst_step").alias("step_id"), F.col("src_step").alias("parent_step"), F.lit(None).cast("long").alias("parent_input"))
-    given = v("part").filter("p_partkey % 97 = 0").select(F.col("p_partkey").alias("step_id"), F.lit(None).cast("long").alias("parent_step"), F.col("p_partkey").alias("parent_input"))
-    inputs = v("part").select(F.col("p_partkey").alias("input_id"), F.when(F.col("p_partkey") % 97 == 0, "missing").otherwise("admitted").alias("state"))
+    step = F.col("o_orderkey")
+    slots = v("orders").select(step.alias("step_id"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(12).cast("long"))).alias("slot"), F.lit("json").alias("media_type"), F.array(F.lit("exact")).alias("models"), (step % 2 == 0).alias("partial_allowed"))
+    steps = spark_sql(v, J2_EDGES, "orders").withColumn("parent_input", F.lit(None).cast("long"))
+    given = v("orders").filter("o_orderkey % 97 = 0").select(step.alias("step_id"), F.lit(None).cast("long").alias("parent_step"), step.alias("parent_input"))
+    inputs = v("orders").select(step.alias("input_id"), F.when(step % 97 == 0, "missing").otherwise("admitted").alias("state"))
     out = admission.admit_claims(claims, slots, steps.unionByName(given), inputs, _shape_ok())
     return out.select("claim_id", "state", F.array_join("reasons", ",").alias("reasons"))
 
@@ -117,8 +121,9 @@ def j8_reuse_rule_filter(v):
     return refused.unionByName(good.select("rule_id", F.lit("usable").alias("problem")))
 
 
-D5_MAP = "SELECT l_partkey % 300 AS set_id, l_partkey AS requirement_id FROM lineitem WHERE l_orderkey % 40 = 0 GROUP BY l_partkey"
-D5_SET = "SELECT p_partkey AS set_id, CASE WHEN p_partkey % 9 = 0 THEN 'mass' ELSE 'money' END AS kind, CASE p_partkey % 5 WHEN 0 THEN 'less_than' WHEN 1 THEN 'less_than_or_equal' WHEN 2 THEN 'greater_than' WHEN 3 THEN 'greater_than_or_equal' ELSE 'equal' END AS comparison, CASE p_partkey % 3 WHEN 0 THEN 'nominal' WHEN 1 THEN 'bounded' ELSE 'enclosure' END AS minimum_basis, p_partkey % 4 = 0 AS may_omit FROM part WHERE p_partkey <= 400"
+# Odd parts have no mapping; a quarter of all requirements is mapped, partly to sets of another comparison.
+D5_MAP = "SELECT DISTINCT l_partkey - 5 * (l_partkey % 6) AS set_id, l_partkey - l_partkey % 4 AS requirement_id FROM lineitem"
+D5_SET = "SELECT p_partkey AS set_id, CASE WHEN p_partkey % 9 = 0 THEN 'mass' ELSE 'money' END AS kind, CASE p_partkey % 5 WHEN 0 THEN 'less_than' WHEN 1 THEN 'less_than_or_equal' WHEN 2 THEN 'greater_than' WHEN 3 THEN 'greater_than_or_equal' ELSE 'equal' END AS comparison, CASE p_partkey % 3 WHEN 0 THEN 'nominal' WHEN 1 THEN 'bounded' ELSE 'enclosure' END AS minimum_basis, p_partkey % 4 = 0 AS may_omit FROM part"
 
 
 @query(f"""WITH m AS (SELECT set_id, r.*, q.basis, q.kind = s.kind AND q.comparison = s.comparison AS fits, CASE q.basis WHEN 'nominal' THEN 0 WHEN 'bounded' THEN 1 ELSE 2 END >= CASE s.minimum_basis WHEN 'nominal' THEN 0 WHEN 'bounded' THEN 1 ELSE 2 END AS strong
@@ -260,12 +265,12 @@ def j21_check_routing(v):
 
 @query("""WITH s AS (SELECT p_partkey AS step_id, CASE p_partkey % 3 WHEN 0 THEN 'seeded' WHEN 1 THEN 'deterministic' ELSE 'nondeterministic' END AS class, CASE WHEN p_partkey % 4 > 0 THEN p_partkey END AS seed, p_size % 3 AS role FROM part)
 SELECT step_id, 'seed_missing' AS problem FROM s WHERE class = 'seeded' AND seed IS NULL UNION ALL SELECT step_id, 'seed_not_expected' FROM s WHERE class <> 'seeded' AND seed IS NOT NULL UNION ALL SELECT step_id, 'nondeterministic_role' FROM s WHERE class = 'nondeterministic' AND role = 2
-UNION ALL SELECT DISTINCT l_partkey, 'factor_missing' FROM lineitem WHERE l_orderkey % 50 = 0 AND (l_partkey, l_suppkey) NOT IN (SELECT l_partkey, l_suppkey FROM lineitem WHERE l_orderkey % 75 = 0)
-UNION ALL SELECT DISTINCT l_partkey, 'factor_extra' FROM lineitem WHERE l_orderkey % 75 = 0 AND (l_partkey, l_suppkey) NOT IN (SELECT l_partkey, l_suppkey FROM lineitem WHERE l_orderkey % 50 = 0)""")
+UNION ALL SELECT DISTINCT l_partkey, 'factor_missing' FROM lineitem WHERE l_orderkey % 50 > 0 AND (l_partkey, l_suppkey) NOT IN (SELECT l_partkey, l_suppkey FROM lineitem WHERE l_orderkey % 75 > 0)
+UNION ALL SELECT DISTINCT l_partkey, 'factor_extra' FROM lineitem WHERE l_orderkey % 75 > 0 AND (l_partkey, l_suppkey) NOT IN (SELECT l_partkey, l_suppkey FROM lineitem WHERE l_orderkey % 50 > 0)""")
 def j23_check_reproducibility(v):
     k = F.col("p_partkey")
     steps = v("part").select(k.alias("step_id"), F.when(k % 3 == 0, "seeded").when(k % 3 == 1, "deterministic").otherwise("nondeterministic").alias("class"), F.when(k % 4 > 0, k).alias("seed"), (F.col("p_size") % 3).alias("role"), F.array(F.lit(0), F.lit(1)).alias("permitted_roles"))
-    factors = lambda n: v("lineitem").filter(f"l_orderkey % {n} = 0").select(F.col("l_partkey").alias("step_id"), F.col("l_suppkey").alias("factor"))
+    factors = lambda n: v("lineitem").filter(f"l_orderkey % {n} > 0").select(F.col("l_partkey").alias("step_id"), F.col("l_suppkey").alias("factor"))
     return policy.check_reproducibility(steps, factors(50), factors(75))
 
 
