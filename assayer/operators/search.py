@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -218,7 +220,8 @@ def best_so_far(rows: DataFrame, by: list[str], value: str = "worst", tolerance:
     """``by, line, best, since``: the best value held after each row and rows since it last improved.
 
     A row improves on the best when it exceeds it by more than the tolerance.  Only rows above all before
-    them can, so the fold runs over those few, not over the arm; without a tolerance they all do.
+    them can, so the fold runs over those few, not over the arm; without a tolerance they all do.  The fold
+    streams through sorted rows and holds one row of an arm.
     """
     w = Window.partitionBy(*by).orderBy("line")
     seen = rows.withColumns({"__n": F.row_number().over(w), "__before": F.max(value).over(w.rowsBetween(Window.unboundedPreceding, -1))})
@@ -226,14 +229,17 @@ def best_so_far(rows: DataFrame, by: list[str], value: str = "worst", tolerance:
     gains = peaks.select(*by, "__n")
     if tolerance:
 
-        def improve(arm: pd.DataFrame) -> pd.DataFrame:
-            best, gained = None, []
-            for v in arm.sort_values("__n")[value]:
-                gained.append(best is None or v > best + tolerance)
-                best = v if gained[-1] else best
-            return arm.sort_values("__n")[[*by, "__n"]][gained]
-
-        gains = peaks.select(*by, "__n", value).groupBy(*by).applyInPandas(improve, gains.schema)
+        def improve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            best = None
+            for rows in batches:
+                gained = []
+                for first, v in zip(rows["__first"], rows[value]):
+                    gained.append(first or v > best + tolerance)
+                    best = v if gained[-1] else best
+                yield rows[gained][[*by, "__n"]]
+
+        in_order = peaks.dropna(subset=by).select(*by, "__n", value, F.col("__before").isNull().alias("__first")).repartition(*by).sortWithinPartitions(*by, "__n")
+        gains = in_order.mapInPandas(improve, gains.schema)
     gains = gains.withColumn("__gain", F.lit(True))
     marked = seen.join(gains, [*by, "__n"], "left")
     last = F.last(F.when(F.col("__gain"), F.struct("__n", F.col(value).alias("v"))), ignorenulls=True).over(w)
