@@ -51,12 +51,21 @@ def patterns(url: Column) -> Column:
 
 
 def intervals(entries: DataFrame) -> DataFrame:
-    """``list, action, pattern, since, until`` from ``entries(list, action, pattern, listed, at)``; ``until`` is open."""
+    """``list, action, pattern, since, until`` from ``entries(list, action, pattern, listed, at)``; ``until`` is open.
+
+    Entries are ordered within a time slice; of a pattern's slices only the first times are ordered as a
+    whole, so a hot pattern is spread over its slices.
+    """
     keys = ["list", "action", "pattern"]
     known = entries.filter("pattern is not null and at is not null")
-    once = known.groupBy(*keys, "at").agg(F.bool_and("listed").alias("listed"))
-    until = F.coalesce(F.lead("at").over(Window.partitionBy(*keys).orderBy("at")), F.lit(END).cast("timestamp"))
-    return once.withColumn("until", until).filter("listed").select(*keys, F.col("at").alias("since"), "until")
+    once = known.groupBy(*keys, _slice(F.col("at")).alias("slice"), "at").agg(F.bool_and("listed").alias("listed"))
+    following = F.lead("at").over(Window.partitionBy(*keys, "slice").orderBy("at"))
+    firsts = once.groupBy(*keys, "slice").agg(F.min("at").alias("first"))
+    onward = firsts.withColumn("onward", F.lead("first").over(Window.partitionBy(*keys).orderBy("slice"))).drop("first")
+    rows, ends = once.withColumn("following", following).alias("e"), onward.alias("o")
+    both = rows.join(ends, [F.col(f"e.{c}").eqNullSafe(F.col(f"o.{c}")) for c in (*keys, "slice")])
+    until = F.coalesce("following", "onward", F.lit(END).cast("timestamp"))
+    return both.filter("listed").select("e.list", "e.action", "e.pattern", F.col("at").alias("since"), until.alias("until"))
 
 
 def _slice(at: Column) -> Column:
