@@ -63,3 +63,13 @@ def test_addresses_and_closing_dots(spark):
     assert {r.url: r.p for r in rows} == {
         urls[0]: ["10.1.2.3", "10.1.2.3/a"], urls[1]: ["[::1]", "[::1]/x"], urls[2]: ["a.b.example", "b.example"], urls[3]: ["b.example"],
     }
+
+
+def test_intervals_reach_over_empty_slices(spark):
+    """Null lists are a list of their own; an entry ends at the next one, however many slices later."""
+    schema = "list string, action string, pattern string, listed boolean, at timestamp"
+    rows = [(name, "block", "h.example", n % 3 != 1, day(d)) for name in ("l", None) for n, d in enumerate((0, 1, 2, 31, 500, 501, 1200))]
+    found = url_filters.intervals(spark.createDataFrame(rows, schema)).collect()
+    want = {(name, day(a), day(b) if b else None) for name in ("l", None) for a, b in ((0, 1), (2, 31), (31, 500), (501, 1200), (1200, None))}
+    assert {(r["list"], r.since, None if r.until.year == 9999 else r.until) for r in found} == want
+    assert len(found) == len(want)
