@@ -25,7 +25,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from assayer.llm import components, words
@@ -330,14 +330,18 @@ def tile_pairs(heads: DataFrame, classes: DataFrame, roots: DataFrame, percent:
     return tiles.mapInArrow(walk, "a long, b long").distinct()
 
 
-def _components(docs: DataFrame, size: int, percent: int, id_col: str, text_col: str) -> DataFrame:
-    """``row, id, mark, n, root`` for every row: a hash of its text, its set size, and its component (null without shingles)."""
+def _order() -> list[Column]:
+    """What orders the rows of a component: those with an id first, then by id and text."""
+    return [F.col("id").isNull().alias("no_id"), F.coalesce("id", F.lit(0)).alias("id"), F.col("mark")]
+
+
+def _components(docs: DataFrame, size: int, percent: int, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """The sketched rows, and ``digest, many, root, first`` for every distinct set: its rows, its component, and that one's first row."""
     texts = _texts(docs, id_col, text_col)
     rows = materialize(sketches(texts, size, percent, frequent_shingles(texts, size, percent)).withColumn("row", F.monotonically_increasing_id()), "sketches")
-    groups = rows.filter("n > 0").groupBy("digest").agg(F.min("row").alias("node"))
-    members = materialize(rows.select("row", "id", "mark", "n", "digest").join(groups, "digest", "left").select("row", "id", "mark", "n", "node"), "members")
-    firsts = members.filter("row = node").select("row")
-    classes = materialize(rows.join(firsts, "row", "left_semi").withColumnRenamed("row", "node"), "classes")
+    first = F.min(F.struct(*_order())).alias("first")
+    sets = materialize(rows.filter("n > 0").groupBy("digest").agg(F.min("row").alias("node"), F.count(F.lit(1)).alias("many"), first), "sets")
+    classes = materialize(rows.withColumnRenamed("row", "node").join(sets.select("node"), "node", "left_semi"), "classes")
 
     def links(pairs: DataFrame, known: DataFrame | None) -> tuple[DataFrame, DataFrame]:
         pairs = materialize(pairs, "bounded-pairs")
@@ -365,7 +369,10 @@ def _components(docs: DataFrame, size: int, percent: int, id_col: str, text_col:
     more, _ = links(tile_pairs(left, classes, roots, percent), arrays)
     roots = components.connected(found.unionByName(materialize(more, "links")))
 
-    return members.join(roots, "node", "left").select("row", "id", "mark", "n", F.coalesce("root", "node").alias("root"))
+    # Sets, not rows, meet their component: copies are told of it by their digest.
+    rooted = materialize(with_root(sets, roots), "rooted-sets")
+    firsts = materialize(rooted.groupBy("root").agg(F.min("first").alias("first"), F.count(F.lit(1)).alias("sets")), "components")
+    return rows, join_counted(rooted.select("digest", "many", "root"), firsts, "root", "sets", rooted.count()).drop("sets")
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -373,9 +380,13 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, id_col: s
 
     ``size`` words a shingle; two sets link when they share ``percent`` of their union.
     """
-    placed = _components(docs, size, percent, id_col, text_col)
-    least = placed.filter("root is not null").groupBy("root").agg(F.min("id").alias("least"))
-    return placed.join(least, "root", "left").select("id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("least", "id").alias("component_id"))
+    rows, sets = _components(docs, size, percent, id_col, text_col)
+    sets = materialize(sets, "components-of-sets")
+    total = sets.agg(F.sum("many")).first()[0] or 0
+    linked = join_counted(rows.filter("n > 0").select("id", "n", "digest"), sets, "digest", "many", total)
+    least = F.when(~F.col("first.no_id"), F.col("first.id"))
+    found = linked.select("id", "n", least.alias("component_id")).unionByName(rows.filter("n = 0").select("id", "n", F.col("id").alias("component_id")))
+    return found.select("id", F.col("n").cast("long").alias("n_shingles"), "component_id")
 
 
 def keep_one(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -385,11 +396,10 @@ def keep_one(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str = "d
     """
     keys = {"__no_id": F.col("__id").isNull(), "__id": F.coalesce("__id", F.lit(0))}  # without nulls, for the join
     on = [*keys, "__mark"]
-    placed = _components(docs, size, percent, id_col, text_col)
-    placed = placed.select(F.col("id").alias("__id"), F.col("mark").alias("__mark"), "root").withColumns(keys)
-    firsts = placed.filter("root is not null").groupBy("root").agg(F.min(F.struct(*on)).alias("first"))
-    kept = firsts.select("first.*", F.lit(True).alias("__once"))
-    kept = kept.unionByName(placed.filter("root is null").select(*on).distinct().withColumn("__once", F.lit(False)))
+    rows, sets = _components(docs, size, percent, id_col, text_col)
+    firsts = sets.select("root", "first.*").distinct().select("no_id", "id", "mark", F.lit(True).alias("once"))
+    loose = rows.filter("n = 0").select(*_order()).distinct().withColumn("once", F.lit(False))
+    kept = firsts.unionByName(loose).toDF(*on, "__once")
     keyed = docs.withColumns({"__id": F.col(id_col).cast("long"), "__mark": F.xxhash64(F.col(text_col).cast("string"))}).withColumns(keys)
     nth = F.row_number().over(Window.partitionBy(*on).orderBy(*on))
     return keyed.join(kept, on).withColumn("__nth", nth).filter("not __once or __nth = 1").drop(*on, "__once", "__nth")
