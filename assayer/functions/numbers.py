@@ -102,6 +102,15 @@ def _mul(a: Column, b: Column) -> Column:
     return F.try_multiply(a, b).cast(EXACT)
 
 
+def _minus(a: Column) -> Column:
+    """The sign of a decimal of more than 34 digits changes by subtraction: ``-`` and ``abs`` round it."""
+    return (F.lit(0).cast(EXACT) - a).cast(EXACT)
+
+
+def _size(a: Column) -> Column:
+    return F.when(a < 0, _minus(a)).otherwise(a)
+
+
 def exact_add(a: Column, b: Column) -> Column:
     same = a["den"] == b["den"]
     num = F.when(same, F.try_add(a["num"], b["num"])).otherwise(F.try_add(_mul(a["num"], b["den"]), _mul(b["num"], a["den"])))
@@ -109,7 +118,7 @@ def exact_add(a: Column, b: Column) -> Column:
 
 
 def negated(a: Column) -> Column:
-    return rational(-a["num"], a["den"])
+    return rational(_minus(a["num"]), a["den"])
 
 
 def exact_sub(a: Column, b: Column) -> Column:
@@ -123,20 +132,33 @@ def exact_mul(a: Column, b: Column) -> Column:
 def exact_div(a: Column, b: Column) -> Column:
     """Null for a zero divisor too; the sign stays in the numerator."""
     flip = F.when(b["num"] < 0, -1).otherwise(1).cast(EXACT)
-    return F.when(b["num"] != 0, _checked(_mul(_mul(a["num"], b["den"]), flip), _mul(a["den"], F.abs(b["num"]))))
+    return F.when(b["num"] != 0, _checked(_mul(_mul(a["num"], b["den"]), flip), _mul(a["den"], _size(b["num"]))))
 
 
 def reduced(a: Column) -> Column:
-    """A rational in lowest terms, by Euclid's algorithm over a bounded number of steps (184 serve 38 digits).
-
-    A quotient of more than 32 digits is null: Spark's division of decimals keeps no more.
-    """
-    start = F.struct(F.abs(a["num"]).cast(EXACT).alias("x"), a["den"].cast(EXACT).alias("y"))
+    """A rational in lowest terms, by Euclid's algorithm over a bounded number of steps (184 serve 38 digits)."""
+    start = F.struct(_size(a["num"]).cast(EXACT).alias("x"), a["den"].cast(EXACT).alias("y"))
     step = lambda s, _: F.when(s["y"] == 0, s).otherwise(F.struct(s["y"].alias("x"), (s["x"] % s["y"]).cast(EXACT).alias("y")))
     g = F.aggregate(F.sequence(F.lit(1), F.lit(184)), start, step)["x"]
-    # g divides n, so the quotient is whole; Spark keeps 32 digits of a quotient, more are null unless g is 1.
-    divide = lambda n: F.when(g == 1, n).otherwise(F.try_divide(n, g).cast(EXACT))
-    return F.when(a.isNotNull(), F.when(a["num"] == 0, rational(F.lit(0), F.lit(1))).otherwise(rational(divide(a["num"]), divide(a["den"]))))
+    half = F.lit("1" + "0" * 19).cast(EXACT)
+
+    def whole(n: Column, d: Column) -> Column:
+        return F.try_divide((n - n % d).cast(EXACT), d).cast(EXACT)
+
+    def divide(n: Column, d: Column) -> Column:
+        # Spark's division keeps 32 digits of a quotient.  A longer one has a divisor below 10**6: then two
+        # halves of 19 digits are divided one after the other, the first one's rest going before the second.
+        high, low = whole(n, half), (n % half).cast(EXACT)
+        long = F.try_add(_mul(whole(high, d), half), whole(F.try_add(_mul((high % d).cast(EXACT), half), low).cast(EXACT), d)).cast(EXACT)
+        return F.when(d < 10**6, long).otherwise(whole(n, d))
+
+    def lowest(r: Column) -> Column:
+        num = divide(_size(r["num"]), r["g"])
+        return rational(F.when(r["num"] < 0, _minus(num)).otherwise(num), divide(r["den"], r["g"]))
+
+    # The array of one names the divisor, so that it is found once.
+    found = F.transform(F.array(F.struct(a["num"].alias("num"), a["den"].alias("den"), g.alias("g"))), lowest)[0]
+    return F.when(a.isNotNull(), F.when(a["num"] == 0, rational(F.lit(0), F.lit(1))).otherwise(found))
 
 
 def exact_cmp(a: Column, b: Column) -> Column:

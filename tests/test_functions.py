@@ -37,6 +37,16 @@ def test_rationals_agree_with_fractions(spark):
                 assert want is None or max(abs(x.numerator * y.denominator), abs(y.numerator * x.denominator), x.denominator * y.denominator, abs(x.numerator * y.numerator), x.denominator * abs(y.numerator)) >= 10**32
 
 
+def test_quotients_keep_all_digits(spark):
+    from decimal import Decimal
+
+    pairs = [(n, d) for n in (10**38 - 1, -(10**38 - 2), 10**37, 6, -9, 0) for d in (1, 2, 3, 9, 999_999, 10**6, 3 * 10**20, 10**38 - 1)] + [(3**70, 3**79), (2**126, 2**5), (7 * 10**36, 7)]
+    df = spark.createDataFrame([(i, Decimal(n), Decimal(d)) for i, (n, d) in enumerate(pairs)], "i int, n decimal(38,0), d decimal(38,0)")
+    for r in df.select("i", numbers.reduced(numbers.rational(F.col("n"), F.col("d"))).alias("q")).collect():
+        want = Fraction(*pairs[r.i])
+        assert (int(r.q.num), int(r.q.den)) == (want.numerator, want.denominator), pairs[r.i]
+
+
 def test_document_differences(spark):
     cases = [
         ('{"a":1}', '{"a":2}', {("/a", "replaced")}), ('{"a":{"b":1}}', '{"a":{"b":1,"c":{"d":2}}}', {("/a/c", "added")}), ('{"x":[1,2]}', '{"x":[1,2,3]}', {("/x", "replaced")}),
