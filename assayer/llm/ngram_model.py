@@ -74,18 +74,23 @@ class Ftrl:
 
 
 def train_many(found: list[np.ndarray], labels: np.ndarray, bits: int, passes: int = 4, seed: int = 5) -> np.ndarray:
-    """Weights (bias last), a column a model, from feature numbers with repeats and labels (rows by models).
+    """:func:`train_sparse` from feature numbers with repeats; a value is a count over the root of all."""
+    rows = []
+    for f in found:
+        at, count = np.unique(f, return_counts=True)
+        rows.append((at, count / np.sqrt(max(1, len(f)))))
+    return train_sparse(rows, labels, bits, passes, seed)
+
+
+def train_sparse(rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, bits: int, passes: int = 4, seed: int = 5) -> np.ndarray:
+    """Weights (bias last), a column a model, from distinct feature numbers with values, and labels (rows by models).
 
     The examples are a bounded sample.  The rarer label's examples weigh more, up to fourfold, so that it is
     not drowned.
     """
     size = 1 << bits
     model = Ftrl(size + 1, labels.shape[1])
-    rows = []
-    for f in found:
-        at, count = np.unique(f, return_counts=True)
-        value = np.append(count / np.sqrt(max(1, len(f))), 1.0)
-        rows.append((np.append(at, size).astype(np.int32), value.astype(np.float32)))
+    rows = [(np.append(at, size).astype(np.int32), np.append(value, 1.0).astype(np.float32)) for at, value in rows]
     ones = labels.sum(axis=0)
     few, many = np.minimum(ones, len(rows) - ones), np.maximum(ones, len(rows) - ones)
     weight = np.where(labels == (ones < len(rows) - ones), np.minimum(4.0, np.maximum(many, 1) / np.maximum(few, 1)), 1.0)

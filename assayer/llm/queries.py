@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from assayer.llm import embedding_dedup, exact_dedup, html_text, licenses, mixing, near_dup, packing, quality, token_store, url_filters
+from assayer.llm import divergence, embedding_dedup, exact_dedup, filter_audit, html_text, language_id, licenses, mixing, near_dup, packing, quality, token_store, url_filters
 
 
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -141,10 +141,84 @@ SELECT vec_id, (SELECT count(*) FROM l WHERE x = vec_id) AS n_links, component_i
 """
 
 
+def op11_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return language_id.identify(docs, language_id.train(docs)).withColumnRenamed("id", "doc_id")
+
+
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+OP12_SQL = r"""
+WITH d AS (SELECT coalesce(text, '') AS text, coalesce(lang, '') AS lang, coalesce(source, '') AS source, row_number() OVER () AS i FROM documents),
+w AS (SELECT lang, source, i, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM d),
+k AS (SELECT lang, term, count(*) AS lc FROM w GROUP BY lang, term HAVING count(DISTINCT i) >= 30),
+n AS (SELECT lang, count(*) AS v, sum(lc) AS ln FROM k GROUP BY lang),
+g AS (SELECT DISTINCT lang, source FROM d),
+c AS (SELECT lang, source, term, count(*) AS c FROM w SEMI JOIN k USING (lang, term) GROUP BY ALL),
+t AS (SELECT lang, source, sum(c) AS gn FROM c GROUP BY ALL),
+p AS (
+  SELECT g.lang, g.source, k.term, coalesce(c.c, 0) AS c,
+    1 + CAST(1000000000 * (coalesce(c.c, 0)::HUGEINT + 5) // (coalesce(t.gn, 0) + 5 * v)::HUGEINT AS BIGINT) AS p,
+    1 + CAST(1000000000 * (lc::HUGEINT + 5) // (ln + 5 * v)::HUGEINT AS BIGINT) AS q
+  FROM g JOIN k USING (lang) JOIN n USING (lang) LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term
+  LEFT JOIN t ON t.lang = g.lang AND t.source = g.source),
+x AS (SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p)) AS f FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+y AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, CAST(coalesce(f, 0) AS BIGINT) AS value
+  FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN x ON x.lang = a.lang AND x.source = a.source AND x.item = b.source
+  UNION ALL SELECT lang, source, 'term', term, p - q FROM p WHERE c > 0 AND p > q),
+z AS (SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank FROM y)
+SELECT * FROM z WHERE part = 'pair' OR rank <= 50
+"""
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
+    return filter_audit.audit(docs, labels)
+
+
+OP13_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w,
+    min(doc_id) OVER (PARTITION BY coalesce(text, '')) AS first_id FROM documents),
+m AS (
+  SELECT part, doc_id, (len(w) < 50)::INT + 2 * (100 * len(list_distinct(w)) < 65 * len(w))::INT
+    + 4 * (100 * (length(t) - length(regexp_replace(t, '[A-Z]', '', 'g'))) > 5 * length(t))::INT
+    + 8 * regexp_matches(t, '[#$%&*|]')::INT + 16 * coalesce(doc_id > first_id, false)::INT AS mask FROM w),
+l AS (SELECT doc_id, coalesce(bool_or(quality = 1), false) AS good, coalesce(bool_or(toxic = 1), false) AS toxic FROM labels GROUP BY doc_id),
+c AS (
+  SELECT part, mask, count(*) AS n, count(*) FILTER (good) AS good, count(*) FILTER (toxic) AS toxic
+  FROM m LEFT JOIN l ON l.doc_id = m.doc_id GROUP BY part, mask),
+o(filter_order, used) AS (
+  SELECT '', 0 UNION ALL
+  SELECT filter_order || chr(65 + f), used + (1 << f) FROM o, (SELECT unnest(range(0, 5))::INT AS f) WHERE used & (1 << f) = 0),
+s AS (
+  SELECT filter_order, step::INT AS step, 1 << (ascii(substr(filter_order, step, 1)) - 65) AS bit,
+    list_sum(list_transform(range(1, step), lambda i : 1 << (ascii(substr(filter_order, i, 1)) - 65)))::INT AS before
+  FROM o, (SELECT unnest(range(1, 6)) AS step) WHERE length(filter_order) = 5),
+r AS (
+  SELECT part, filter_order, step, bit,
+    coalesce(sum(n) FILTER (mask & (coalesce(before, 0) | bit) = 0), 0)::BIGINT AS kept,
+    coalesce(sum(n) FILTER (mask & coalesce(before, 0) = 0 AND mask & bit <> 0), 0)::BIGINT AS removed,
+    coalesce(sum(n) FILTER (mask & coalesce(before, 0) <> 0 AND mask & bit <> 0), 0)::BIGINT AS redundant,
+    coalesce(sum(n) FILTER (mask = bit), 0)::BIGINT AS unique_fails,
+    coalesce(sum(good) FILTER (mask & coalesce(before, 0) = 0 AND mask & bit <> 0), 0)::BIGINT AS good_lost,
+    coalesce(sum(toxic) FILTER (mask & coalesce(before, 0) = 0 AND mask & bit <> 0), 0)::BIGINT AS toxic_lost
+  FROM c, s GROUP BY ALL)
+SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost,
+  (sum(removed) OVER (PARTITION BY part, bit))::BIGINT AS shapley FROM r
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    named = (op1_quality_classifier, op2_url_filters, op3_token_files, op4_exact_dedup, op5_ngram_jaccard_join, op6_license_scans, op7_html_extraction, op8_best_fit_packing, op9_source_mixing, op10_embedding_near_dedup)
+    named = (
+        op1_quality_classifier, op2_url_filters, op3_token_files, op4_exact_dedup, op5_ngram_jaccard_join, op6_license_scans, op7_html_extraction, op8_best_fit_packing, op9_source_mixing, op10_embedding_near_dedup,
+        op11_language_id, op12_source_divergence, op13_filter_audit,
+    )
     return {f.__name__: f for f in named}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_url_filters": OP2_SQL, "op4_exact_dedup": OP4_SQL, "op5_ngram_jaccard_join": OP5_SQL, "op10_embedding_near_dedup": OP10_SQL}
+    return {"op2_url_filters": OP2_SQL, "op4_exact_dedup": OP4_SQL, "op5_ngram_jaccard_join": OP5_SQL, "op10_embedding_near_dedup": OP10_SQL, "op12_source_divergence": OP12_SQL, "op13_filter_audit": OP13_SQL}
