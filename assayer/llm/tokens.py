@@ -36,16 +36,21 @@ class ChunkEncoder:
         self.memo_limit = memo_limit
         self.memo: dict[str, bytes] = {}
 
+    def _letters(self, word: str) -> bool:
+        """Whether the tokenizer sees letters alone, also after its normaliser, which parts some letters from their marks."""
+        return word.isalpha() and (word.isascii() or self.tokenizer.normalizer is None or self.tokenizer.normalizer.normalize_str(word).isalpha())
+
     def _learn(self, words: list[str], into: dict[str, bytes]) -> None:
         """Put the ids of ``words`` in ``into``; pure letter runs go to the library many at a time."""
-        letters = [w for w in words if w.isalpha()]
-        rest = [w for w in words if not w.isalpha()]
+        letters, rest = [], []
+        for word in words:
+            (letters if self._letters(word) else rest).append(word)
         for at in range(0, len(letters), 4096):
             part = letters[at : at + 4096]
             (found,) = self.tokenizer.encode_batch_fast([" ".join(part)], add_special_tokens=False)
             ids = np.array(found.ids, dtype="<u4")
             cuts = np.flatnonzero(self.ends_word[ids]) + 1
-            if len(cuts) != len(part):  # no marks of word ends, or some letters split when normalised
+            if len(cuts) != len(part):  # a vocabulary without marks of word ends
                 rest += part
                 continue
             ids, ends = ids.tobytes(), [0, *(4 * cuts).tolist()]
@@ -65,7 +70,7 @@ class ChunkEncoder:
             if base.isascii() and base.isalpha():
                 tail = chunk[len(base) :]
                 base = base.lower()  # as the normaliser does; one entry for all spellings
-            elif base.isalpha():
+            elif len(base) < len(chunk) and self._letters(base):  # else a mark joins the punctuation behind it
                 tail = chunk[len(base) :]
             else:
                 base, tail = chunk, ""

@@ -25,6 +25,44 @@ def crc(ids):
     return zlib.crc32(np.array(ids, dtype="<u4").tobytes())
 
 
+#: Letters that the tokenizer's normaliser parts from their marks.
+PARTED = [c for k in range(0x10000) if not 0xD800 <= k < 0xE000 and (c := chr(k)).isalpha() and not whole.normalizer.normalize_str(c).isalpha()]
+
+
+def test_letters_before_punctuation_stay_with_their_marks():
+    """Every character before each mark that may end a chunk."""
+    assert len(PARTED) >= 60 and "\u0130" in PARTED and "\u095c" in PARTED
+    fresh = tokens.ChunkEncoder(tokens.default_path(), memo_limit=0)
+    characters = [chr(k) for k in range(0x21, 0x20000) if not 0xD800 <= k < 0xE000 and not chr(k).isspace()]
+    letters = [c for c in characters if c.isalpha() and not "\u4e00" <= c <= "\u9fff" and not "\uac00" <= c <= "\ud7a3"]
+    for mark in tokens.TRAILING:
+        for prefix in ("", "a"):
+            chunks = [prefix + c + mark for c in (characters if mark in ".(" and not prefix else letters if mark in ".(" else PARTED)]
+            want = [np.array(e.ids, dtype="<u4").tobytes() for e in whole.encode_batch_fast(chunks, add_special_tokens=False)]
+            assert fresh._table(chunks) == want
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.text(alphabet=st.one_of(st.sampled_from(PARTED), st.sampled_from("abİ" + tokens.TRAILING), st.sampled_from(" \n")), max_size=30), max_size=5))
+def test_parted_letters_give_the_ids_of_whole_texts(texts):
+    coder.memo = {}
+    for at, ids, offsets in coder.encode(pa.array(texts, pa.string()), 2):
+        for i in range(len(offsets) - 1):
+            assert ids[offsets[i] : offsets[i + 1]].tolist() == [*ids_of(texts[at + i]), 2]
+
+
+@pytest.mark.parametrize("text", ["BELEDİYESİ.", "İSTANBUL VALİLİĞİ, ANKARA", "सड़क, बाज़ार। (क़लम)", "বাড়ি, গাঢ়."])
+def test_plain_cases_of_parted_letters(text):
+    ((_, ids, _),) = coder.encode(pa.array([text]))
+    assert ids.tolist() == ids_of(text)
+
+
+def test_a_text_of_many_megabytes():
+    text = " ".join(f"word{i % 977} İstanbul, (x{i % 31})" for i in range(400_000))
+    ((_, ids, _),) = coder.encode(pa.array([text]))
+    assert len(text) > 9_000_000 and crc(ids) == crc(ids_of(text))
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.lists(st.text(alphabet=st.one_of(st.sampled_from("aZ é'.,!<|>\n\t́क़Σ가 0"), st.characters(exclude_categories=["Cs"])), max_size=30), max_size=5))
 def test_chunks_give_the_ids_of_whole_texts(texts):
