@@ -10,13 +10,17 @@ plain rule (tag, ``.class``, ``tag.class`` or ``#id``) of a style element.  ``vi
 again what stands in a hidden parent.  All that is visible is kept, navigation and footers too, labels of
 buttons, formulas, and the texts of drawings.  The content of ``details`` is kept, open or not.
 
-Every step reads on from where the last one ended and open elements are counted by tag, so time grows in
-proportion to the page whatever it holds.
+Every step reads on from where the last one ended, open elements are counted by tag, and a table that would
+take blanks out of proportion to its cells and text is not aligned, so time and output grow in proportion to
+the page whatever it holds.  A table with a table inside is not aligned either; cells with lists or
+preformatted text take several lines.
 
 Defined cases: null html gives null, empty html an empty text; bytes after an unclosed ``<script>``,
 comment or tag are hidden, stray end tags are ignored, ``<`` before a space is text; very long and deeply
-nested pages are laid out without recursion (lists deeper than DEEPEST share an indent); other columns are
-ignored.
+nested
+pages are laid out without recursion (lists deeper than DEEPEST share an indent); character references of
+any length are read, those beyond Unicode as U+FFFD; numbers of lists beyond 32 bits count as not given;
+lines of cells beyond WIDEST characters stand whole but do not widen their column; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -35,7 +39,7 @@ from pyspark.sql import functions as F
 # Fixed values of the HTML standard: element classes.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 HIDDEN = frozenset(
-    "head script style template noscript iframe object canvas audio video datalist colgroup annotation annotation-xml".split()
+    "head script style template noscript iframe object canvas audio video datalist colgroup annotation annotation-xml rp".split()
 )
 #: Not shown inside a drawing.
 UNDRAWN = frozenset("title desc metadata defs symbol clippath mask marker pattern".split())
@@ -69,6 +73,9 @@ BREAKOUT = frozenset(
     " ol p pre ruby s small span strong strike sub sup table tt u ul var".split()
 )
 FOREIGN = frozenset({"svg", "math"})
+#: What gives a table's cell lines of its own, and what a table that is not aligned has inside.
+LINED, NESTED = frozenset("ul ol menu dl pre".split()), frozenset({"table"})
+ROMAN = tuple(zip((1000, 900, 500, 400, 100, 90, 50, 40, 10, 9, 5, 4, 1), "M CM D CD C XC L XL X IX V IV I".split()))
 INTEGRATION = frozenset("foreignobject desc title mi mo mn ms mtext annotation-xml".split())
 #: Labels of buttons that carry none.
 BUTTONS = {"submit": "Submit", "reset": "Reset", "button": "", "image": ""}
@@ -85,12 +92,37 @@ DISPLAY = re.compile(r"(?<![\w-])display\s*:\s*([a-z-]+)", re.I)
 VISIBILITY = re.compile(r"(?<![\w-])visibility\s*:\s*([a-z]+)", re.I)
 SELECTOR = re.compile(r"([a-zA-Z][\w-]*)?([.#][\w-]+)?")
 SPACES = re.compile(r"[ \t\n\r\f]+")
-#: A longer cell stands whole, but does not widen its column, so that padding follows the number of cells.
+LONG_REFERENCE = re.compile(r"&#([0-9]{12,});?")
+INTEGER = re.compile(r"[ \t\n\r\f]*([+-]?)([0-9]+)")
+#: A longer line of a cell stands whole, but does not widen its column: one long remark leaves the other rows readable.
 WIDEST = 500
+#: A table is aligned if that takes no more blanks than these for each cell and each character of its text; so
+#: output grows in proportion to the page whatever its spans are.
+BLANKS_PER_CELL, BLANKS_PER_CHARACTER = 40, 10
 #: Levels of lists that are indented.
 DEEPEST = 40
 
 
+def unescape(text: str) -> str:
+    """Character references read as the standard says; numbers of any length, those beyond Unicode as U+FFFD."""
+
+    def short(m: re.Match) -> str:
+        digits = m[1].lstrip("0")
+        return "\ufffd" if len(digits) > 7 else html.unescape(f"&#{digits or 0};")
+
+    return html.unescape(LONG_REFERENCE.sub(short, text) if "&#" in text else text)
+
+
+def integer(text: str, default: int) -> int:
+    """The number that an attribute begins with; ``default`` if it has none, or one beyond 32 bits."""
+    found = INTEGER.match(text)
+    digits = found[2].lstrip("0") if found else ""
+    if not found or len(digits) > 10:
+        return default
+    value = int(found[1] + (digits or "0"))
+    return value if -(1 << 31) <= value < 1 << 31 else default
+
+
 @dataclass(slots=True)
 class Element:
     tag: str
@@ -120,7 +152,7 @@ def _rest_of_tag(source: str, at: int) -> tuple[dict[str, str], bool, int] | Non
             else:
                 bare = BARE.match(source, at)
                 value, at = bare[0], bare.end()
-        found.setdefault(name[0].lower(), html.unescape(value))
+        found.setdefault(name[0].lower(), unescape(value))
 
 
 class _Builder:
@@ -163,7 +195,7 @@ def parse(source: str) -> tuple[Element, dict[str, dict[str, str]]]:
 
     def text(piece: str) -> None:
         if piece:
-            tree.add(html.unescape(piece))
+            tree.add(unescape(piece))
 
     while m := NEXT_TAG.search(source, at):
         text(source[at : m.start()])
@@ -212,7 +244,7 @@ def parse(source: str) -> tuple[Element, dict[str, dict[str, str]]]:
                 at = rest[2] if rest else len(source)
             if tag == "style":
                 _read_rules(inside, rules)
-            made.children.append(html.unescape(inside) if tag in ("textarea", "title") else inside)
+            made.children.append(unescape(inside) if tag in ("textarea", "title") else inside)
             continue
         tree.open(made)
     text(source[at:])
@@ -288,8 +320,7 @@ def chosen(select: Element, rules: dict[str, dict[str, str]]) -> list[Element]:
             options.append(e)
         else:
             todo += reversed(e.children)
-    size = select.attributes.get("size", "")
-    if "multiple" in select.attributes or size.isdecimal() and int(size[:9]) > 1:
+    if "multiple" in select.attributes or integer(select.attributes.get("size", ""), 0) > 1:
         return options
     picked = [o for o in options if "selected" in o.attributes]
     return picked[-1:] or [o for o in options if "disabled" not in o.attributes][:1]
@@ -374,22 +405,33 @@ def _parts(table: Element, rules: dict[str, dict[str, str]]) -> tuple[list[list[
     return [r for r in rows if r], captions, stray
 
 
-def _is_grid(table: Element) -> bool:
-    """Whether a table can be aligned: no table, list or preformatted text inside."""
-    todo = list(table.children)
+def _holds(root: Element, tags: frozenset[str]) -> bool:
+    """Whether an element of ``tags`` lies inside."""
+    todo = list(root.children)
     while todo:
         child = todo.pop()
         if isinstance(child, Element):
-            if child.tag in ("table", "ul", "ol", "pre"):
-                return False
+            if child.tag in tags:
+                return True
             todo += child.children
-    return True
+    return False
+
+
+def _cell_lines(cell: Element, rules: dict[str, dict[str, str]], seen: bool) -> list[str]:
+    """The lines of a cell: those of its lists and preformatted text, else one."""
+    text = render(cell, rules, shown(cell, rules, seen))
+    if _holds(cell, LINED):
+        return [line.rstrip() for line in text.split("\n") if line.strip()]
+    return [x for x in [SPACES.sub(" ", text).strip()] if x]
 
 
 def _span(cell: Element, name: str, most: int) -> int:
     """A span as the standard reads it: 1 unless a number, and ``most`` at most."""
-    value = cell.attributes.get(name, "").strip()
-    return min(int(value[:9]), most) or 1 if value.isascii() and value.isdecimal() else 1
+    digits = cell.attributes.get(name, "").strip()
+    if not (digits.isascii() and digits.isdecimal()):
+        return 1
+    digits = digits.lstrip("0")
+    return most if len(digits) > 9 else min(int(digits or 0), most) or 1
 
 
 def columns(rows: list[list[Element]]) -> list[list[tuple[int, int]]]:
@@ -423,8 +465,8 @@ def columns(rows: list[list[Element]]) -> list[list[tuple[int, int]]]:
 
 
 def _table_lines(rows: list[list[Element]], rules: dict[str, dict[str, str]], seen: bool) -> list[str]:
-    """One line a row; columns in which no text begins take no room."""
-    cells = [[SPACES.sub(" ", render(c, rules, shown(c, rules, seen))).strip() for c in row] for row in rows]
+    """The lines of a table; a row has as many as its longest cell.  Columns in which no text begins take no room."""
+    cells = [[_cell_lines(c, rules, seen) for c in row] for row in rows]
     places = columns(rows)
     starts = sorted({begin for row, at in zip(cells, places) for x, (begin, _) in zip(row, at) if x})
     index = {c: i for i, c in enumerate(starts)}
@@ -432,29 +474,58 @@ def _table_lines(rows: list[list[Element]], rules: dict[str, dict[str, str]], se
     spanning = []
     for row, at in zip(cells, places):
         for x, (begin, end) in zip(row, at):
-            if x and len(x) <= WIDEST:
+            n = max((len(line) for line in x if len(line) <= WIDEST), default=0)
+            if n:
                 first, behind = index[begin], bisect.bisect_left(starts, end)
                 if behind - first > 1:
-                    spanning.append((first, behind, len(x)))
+                    spanning.append((first, behind, n))
                 else:
-                    width[first] = max(width[first], len(x))
+                    width[first] = max(width[first], n)
     for first, behind, n in spanning:
         width[behind - 1] += max(0, n - sum(width[first:behind]) - 2 * (behind - first - 1))
     before = [0]
     for w in width:
         before.append(before[-1] + w + 2)
-    lines = []
-    for row, at in zip(cells, places):
-        parts, used = [], 0
-        for x, (begin, _) in zip(row, at):
-            # A column begins where it does in all rows, or behind a longer cell before it.
-            if x:
-                blank = max(before[index[begin]] - used, 2 if parts else 0)
-                parts.append(" " * blank + x)
-                used += blank + len(x)
-        if parts:
-            lines.append("".join(parts))
-    return lines
+
+    def placed(aligned: bool) -> list[list[tuple[int, str]]]:
+        """For each line its texts, each with the blanks before it."""
+        lines = []
+        for row, at in zip(cells, places):
+            filled = [(x, index[begin]) for x, (begin, _) in zip(row, at) if x]
+            for k in range(max((len(x) for x, _ in filled), default=0)):
+                parts, used = [], 0
+                for x, place in filled:
+                    # A column begins where it does in all rows, or behind a longer cell before it.
+                    if k < len(x):
+                        blank = max(before[place] - used if aligned else 0, 2 if parts else 0)
+                        parts.append((blank, x[k]))
+                        used += blank + len(x[k])
+                lines.append(parts)
+                filled = [f for f in filled if k + 1 < len(f[0])]
+        return lines
+
+    lines = placed(aligned=True)
+    blanks, text = (sum(size(p) for parts in lines for p in parts) for size in (lambda p: p[0], lambda p: len(p[1])))
+    if blanks > BLANKS_PER_CELL * sum(map(len, rows)) + BLANKS_PER_CHARACTER * text:
+        lines = placed(aligned=False)
+    return ["".join(" " * blank + x for blank, x in parts) for parts in lines]
+
+
+def marker(number: int, kind: str) -> str:
+    """The number of a list item as its list's type writes it."""
+    if kind in ("a", "A") and number > 0:
+        letters = ""
+        while number:
+            number, k = divmod(number - 1, 26)
+            letters = chr(ord(kind) + k) + letters
+        return letters
+    if kind in ("i", "I") and 0 < number < 4000:
+        roman = ""
+        for value, sign in ROMAN:
+            roman += sign * (number // value)
+            number %= value
+        return roman if kind == "I" else roman.lower()
+    return str(number)
 
 
 def render(root: Element, rules: dict[str, dict[str, str]], seen: bool = True) -> str:
@@ -527,7 +598,7 @@ def render(root: Element, rules: dict[str, dict[str, str]], seen: bool = True) -
             if seen and kind not in UNSEEN_INPUTS and label.strip():
                 page.write(f" {label} ")
             continue
-        if e.tag == "table" and e is not root and _is_grid(e):
+        if e.tag == "table" and e is not root and not _holds(e, NESTED):
             rows, captions, stray = _parts(e, rules)
             state.append((seen, drawn))
             todo += [("leave", None), ("grid", (rows, captions, seen))]
@@ -538,13 +609,15 @@ def render(root: Element, rules: dict[str, dict[str, str]], seen: bool = True) -
         if e.tag == "pre":
             pre += 1
         if e.tag in ("ul", "ol", "menu"):
-            start = e.attributes.get("start", "1")
-            lists.append([e.tag == "ol", int(start[:9]) if start.isascii() and start.isdecimal() else 1])
+            down = e.tag == "ol" and "reversed" in e.attributes
+            items = sum(isinstance(c, Element) and c.tag == "li" and displayed(c, rules) for c in e.children) if down else 1
+            lists.append([e.tag == "ol", integer(e.attributes.get("start", ""), items), -1 if down else 1, e.attributes.get("type", "1")])
         if e.tag == "li":
-            ordered, number = lists[-1] if lists else (False, 1)
-            page.mark = "  " * max(0, min(len(lists), DEEPEST) - 1) + (f"{number}. " if ordered else "- ")
-            if lists:
-                lists[-1][1] += 1
+            ordered, number, step, kind = lists[-1] if lists else (False, 1, 1, "1")
+            if ordered:
+                number = integer(e.attributes.get("value", ""), number)
+                lists[-1][1] = number + step
+            page.mark = "  " * max(0, min(len(lists), DEEPEST) - 1) + (f"{marker(number, kind)}. " if ordered else "- ")
         state.append((seen, drawn))
         todo.append(("close", e))
         inner = e.children
