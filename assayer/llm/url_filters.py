@@ -4,14 +4,16 @@ A list entry says that from some time on a pattern is, or is no longer, on a lis
 and pattern become validity intervals; a capture meets the intervals that hold at its fetch time.  A
 pattern is a host, which covers its subdomains, or a host with leading path segments.
 
-Intervals are cut at the borders of fixed time slices, so the join is an equi-join on (pattern, slice)
-with a range check inside, and a hot host is spread over its slices; what still is hot is left to Spark's
-skew join.  A capture is blocked if the longest pattern that blocks it is longer than the longest that
+Intervals are cut at the borders of fixed time slices, so the join is an equi-join on (key of the pattern,
+slice) with a range check inside, and a hot host is spread over its slices; what still is hot is left to
+Spark's skew join.  Keys are hashes that build up along a url, so a url of n segments makes n short rows;
+the texts of what meets are compared after the join.  A capture is blocked if the longest pattern that blocks it is longer than the longest that
 allows it.
 
 Defined cases: a null or unparsable url, or a null time, meets nothing; entries with null pattern or time
 are ignored; of entries of a list and pattern at one time, a removal wins; repeated captures are judged
-each; empty tables give no rows or no matches; other columns are ignored.
+each; a url of any length is matched in proportion to its length; empty tables give no rows or no matches;
+other columns are ignored.
 """
 
 from __future__ import annotations
@@ -37,17 +39,53 @@ def path(url: Column) -> Column:
     return F.regexp_extract(url, r"^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*(/[^?#]*)", 1)
 
 
-def patterns(url: Column) -> Column:
-    """All patterns that cover a url: its host, parent domains of two labels or more, and path prefixes.
+def _parts(url: Column) -> tuple[Column, Column]:
+    """Labels of the host from the last to the first, an address being one label, and the segments of the path."""
+    name = host(url)
+    labels = F.when(name.rlike(ADDRESS), F.array(name)).otherwise(F.reverse(F.split(name, r"\.")))
+    return labels, F.filter(F.split(path(url), "/"), lambda s: s != "")
+
+
+def _hashed(parts: Column, seed: int) -> Column:
+    """A hash for each part and its place; a sequence of parts has the exclusive or of theirs as its key."""
+    return F.transform(parts, lambda part, place: F.xxhash64(F.lit(seed), place, part))
+
+
+DOMAIN, PATH = 1, 2
+
 
-    An address has no parents.
+def pattern_key(pattern: Column) -> Column:
+    """The key of a list's pattern: of its host's labels, or of its host and segments."""
+    whole = F.split(pattern, "/", -1)
+    name = F.get(whole, F.lit(0))
+    labels = F.when(name.rlike(ADDRESS), F.array(name)).otherwise(F.reverse(F.split(name, r"\.", -1)))
+    hashes = F.when(F.size(whole) > 1, _hashed(whole, PATH)).otherwise(_hashed(labels, DOMAIN))
+    return F.aggregate(hashes, F.lit(0).cast("long"), lambda a, h: a.bitwiseXOR(h))
+
+
+def pattern_keys(captures: DataFrame) -> DataFrame:
+    """``row, at, key``: the keys of all patterns that cover a capture, of ``captures(row, url, at)``.
+
+    These are its host, parent domains of two labels or more (an address has none), and the prefixes of
+    its path.  Prefixes are never spelled out: each part is one row, and keys are running exclusive ors.
     """
-    name = host(url)
-    labels = F.when(name.rlike(ADDRESS), F.array(name)).otherwise(F.split(name, r"\."))
-    domains = F.transform(F.sequence(F.lit(1), F.greatest(F.size(labels) - 1, F.lit(1))), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
-    parts = F.filter(F.split(path(url), "/"), lambda s: s != "")
-    prefixes = F.when(F.size(parts) > 0, F.transform(F.sequence(F.lit(1), F.greatest(F.size(parts), F.lit(1))), lambda i: F.concat(name, F.lit("/"), F.array_join(F.slice(parts, 1, i), "/")))).otherwise(F.array().cast("array<string>"))
-    return F.when(name != "", F.concat(domains, prefixes))
+    labels, segments = _parts(F.col("url"))
+    named = captures.filter(host(F.col("url")) != "")
+    parts = F.array(
+        F.struct(F.lit(DOMAIN).alias("kind"), F.least(F.size(labels), F.lit(2)).alias("least"), _hashed(labels, DOMAIN).alias("hashes")),
+        F.struct(F.lit(PATH).alias("kind"), F.lit(2).alias("least"), _hashed(F.concat(F.array(host(F.col("url"))), segments), PATH).alias("hashes")),
+    )
+    sequences = named.select("row", "at", F.explode(parts).alias("p")).select("row", "at", "p.kind", "p.least", F.posexplode("p.hashes").alias("place", "hash"))
+    along = Window.partitionBy("row", "kind").orderBy("place").rowsBetween(Window.unboundedPreceding, 0)
+    keyed = sequences.withColumn("key", F.bit_xor("hash").over(along))
+    return keyed.filter(F.col("place") + 1 >= F.col("least")).select("row", "at", "key")
+
+
+def covers(pattern: Column, url: Column) -> Column:
+    """Whether a pattern covers a url, by their texts."""
+    name, whole = host(url), F.concat_ws("/", F.array(host(url)), _parts(url)[1])
+    domain = (name == pattern) | (name.endswith(F.concat(F.lit("."), pattern)) & ~name.rlike(ADDRESS) & pattern.contains("."))
+    return F.when(pattern.contains("/"), (whole == pattern) | whole.startswith(F.concat(pattern, F.lit("/")))).otherwise(domain)
 
 
 def intervals(entries: DataFrame) -> DataFrame:
@@ -81,10 +119,11 @@ def active(captures: DataFrame, entries: DataFrame) -> DataFrame:
     low, high = low.cast("timestamp"), high.cast("timestamp")
     valid = intervals(entries).filter((F.col("since") <= high) & (F.col("until") > low))
     first, last = _slice(F.greatest("since", low)), _slice(F.least("until", high))
-    sliced = valid.withColumn("slice", F.explode(F.sequence(first, last)))
-    keyed = captures.select("row", "at", F.explode(patterns(F.col("url"))).alias("pattern")).withColumn("slice", _slice(F.col("at")))
-    met = keyed.join(sliced, ["pattern", "slice"]).filter("since <= at and at < until")
-    return met.select("row", "list", "action", "pattern")
+    sliced = valid.withColumn("slice", F.explode(F.sequence(first, last))).withColumn("key", pattern_key(F.col("pattern")))
+    keyed = pattern_keys(captures.select("row", "url", "at")).withColumn("slice", _slice(F.col("at")))
+    met = keyed.join(sliced, ["key", "slice"]).filter("since <= at and at < until").select("row", "list", "action", "pattern")
+    # Keys are hashes: texts decide.
+    return met.join(captures.select("row", "url"), "row").filter(covers(F.col("pattern"), F.col("url"))).select("row", "list", "action", "pattern")
 
 
 def judge(captures: DataFrame, entries: DataFrame, id_col: str = "page_id", url_col: str = "url", at_col: str = "at") -> DataFrame:

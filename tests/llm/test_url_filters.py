@@ -58,11 +58,34 @@ def test_every_time_and_pattern(spark):
 
 
 def test_addresses_and_closing_dots(spark):
-    urls = ["http://10.1.2.3/a", "http://[::1]:8/x", "http://A.B.Example./", "http://b.example:80"]
-    rows = spark.createDataFrame([(u,) for u in urls], "url string").select("url", url_filters.patterns(F.col("url")).alias("p")).collect()
-    assert {r.url: r.p for r in rows} == {
-        urls[0]: ["10.1.2.3", "10.1.2.3/a"], urls[1]: ["[::1]", "[::1]/x"], urls[2]: ["a.b.example", "b.example"], urls[3]: ["b.example"],
+    covered = {
+        "http://10.1.2.3/a": ["10.1.2.3", "10.1.2.3/a"], "http://[::1]:8/x": ["[::1]", "[::1]/x"], "http://A.B.Example./": ["a.b.example", "b.example"],
+        "http://b.example:80": ["b.example"], "http://local/a//b": ["local", "local/a", "local/a/b"],
     }
+    others = ["2.3", "3", ":1]", "example", "B.Example", "b.example.", "10.1.2.3/", "b.example/", "local/a/", "local//a", "", "/", "cal", "a.B.example", "local/a/b/"]
+    listed = sorted({p for found in covered.values() for p in found} | set(others))
+    entries = spark.createDataFrame([("l", "block", p, True, day(0)) for p in listed], "list string, action string, pattern string, listed boolean, at timestamp")
+    captures = spark.createDataFrame([(i, u, day(1)) for i, u in enumerate(covered)], "row long, url string, at timestamp")
+    found = url_filters.active(captures, entries).collect()
+    assert {u: sorted(r.pattern for r in found if r.row == i) for i, u in enumerate(covered)} == {u: sorted(p) for u, p in covered.items()}
+
+
+def test_keys_of_urls_are_those_of_their_patterns(spark):
+    url, want = "http://u.v.example/a/b/c", ["u.v.example", "v.example", "u.v.example/a", "u.v.example/a/b", "u.v.example/a/b/c"]
+    keys = url_filters.pattern_keys(spark.createDataFrame([(1, url, day(0))], "row long, url string, at timestamp")).collect()
+    listed = spark.createDataFrame([(p,) for p in want], "p string").select(url_filters.pattern_key(F.col("p")).alias("key")).collect()
+    assert sorted(r.key for r in keys) == sorted(r.key for r in listed)
+
+
+def test_a_url_of_very_many_segments_and_labels(spark):
+    long_path, long_host = "/".join(f"segment{i}" for i in range(40_000)), ".".join(f"l{i}" for i in range(20_000))
+    captures = spark.createDataFrame([(1, f"http://h.example/{long_path}", day(1)), (2, f"http://{long_host}.example/x", day(1)), (3, "http://h.example/segment0/other", day(1))], "page_id long, url string, at timestamp")
+    patterns = ["h.example/segment0/segment1", f"h.example/{long_path}", "l19999.example", "h.example/segment1"]
+    entries = spark.createDataFrame([("l", "block", p, True, day(0)) for p in patterns], "list string, action string, pattern string, listed boolean, at timestamp")
+    rows = {r.id: (r.n_active, r.block_pattern) for r in url_filters.judge(captures, entries).collect()}
+    assert rows == {1: (2, patterns[1]), 2: (1, patterns[2]), 3: (0, None)}
+    made = url_filters.pattern_keys(captures.withColumnRenamed("page_id", "row"))
+    assert made.count() == 1 + 40_000 + 20_000 + 1 + 1 + 2
 
 
 def test_intervals_reach_over_empty_slices(spark):
