@@ -17,16 +17,22 @@ UTF-8; repeated rows count each; an empty table gives no rows; other columns are
 
 from __future__ import annotations
 
+from collections import Counter, defaultdict
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from assayer.llm.exact_dedup import lower_ascii
 from assayer.storage import materialize
 
-TERM = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
+#: Letters A-Z, lower-cased, a-z, and all beyond ASCII make terms; every other byte parts them.
+TERM_BYTES = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 #: Documents of a language that a kept term occurs in at least, what is added to every count, terms listed a group.
 LEAST_DOCUMENTS, SMOOTHING, LISTED = 30, 5, 50
 SCALE = 1_000_000_000
+#: Terms by group that a task holds before it hands them on, bytes of text cut at once, rows handed on at once.
+MOST_HELD, PIECE_BYTES, ROWS = 1_000_000, 1 << 22, 50_000
 
 
 def distinct_texts(docs: DataFrame, text_col: str, lang_col: str, source_col: str) -> tuple[DataFrame, DataFrame]:
@@ -38,17 +44,65 @@ def distinct_texts(docs: DataFrame, text_col: str, lang_col: str, source_col: st
 
 
 def term_counts(texts: DataFrame, copies: DataFrame) -> DataFrame:
-    """``lang, source, term, count, documents`` from the distinct texts and their multiplicities."""
-    ordered = texts.select("lang", "digest", F.sort_array(F.regexp_extract_all(lower_ascii(F.col("text")), F.lit(TERM), F.lit(0))).alias("terms"))
-    # In sorted terms, a term that differs from the one before it is the first of its text.
-    before = F.concat(F.array(F.lit(None).cast("string")), F.slice("terms", 1, F.greatest(F.size("terms") - 1, F.lit(0))))
-    many = copies.groupBy("lang", "digest").agg(F.collect_list(F.struct("source", "n")).alias("copies"))
-    single = ordered.join(many, ["lang", "digest"]).filter(F.size("terms") > 0)
-    cut = single.select("lang", "copies", F.explode(F.arrays_zip(F.col("terms").alias("term"), before.alias("before"))).alias("t"))
-    weighed = cut.select("lang", "t.term", (~F.col("t.term").eqNullSafe(F.col("t.before"))).alias("first"), F.explode("copies").alias("c"))
-    return weighed.groupBy("lang", F.col("c.source").alias("source"), "term").agg(
-        F.sum("c.n").alias("count"), F.sum(F.when(F.col("first"), F.col("c.n")).otherwise(0)).alias("documents")
-    )
+    """``lang, source, term, count, documents`` from the distinct texts and their multiplicities, dealt by language and term.
+
+    A task combines its texts before anything is shuffled; beyond ``MOST_HELD`` terms it hands on what it has.
+    """
+    many = copies.groupBy("lang", "digest").agg(F.collect_list("source").alias("sources"), F.collect_list("n").alias("ns"))
+    single = texts.join(many, ["lang", "digest"]).select("lang", "text", "sources", "ns")
+
+    def combine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts: dict[tuple[str, str], Counter] = defaultdict(Counter)
+        documents: dict[tuple[str, str], Counter] = defaultdict(Counter)
+        for batch in batches:
+            data = batch.column("text").cast(pa.large_binary())
+            groups = zip(*(batch.column(c).to_pylist() for c in ("lang", "sources", "ns")))
+            for text, (lang, sources, ns) in zip(data, groups):
+                once: set[bytes] = set()
+                for terms in _terms(text.as_py().translate(TERM_BYTES)):
+                    once.update(terms)
+                    repeated = Counter(terms).items() if max(ns) > 1 else ()
+                    for source, n in zip(sources, ns):
+                        if n == 1:
+                            counts[lang, source].update(terms)
+                        else:
+                            for term, count in repeated:
+                                counts[lang, source][term] += n * count
+                for source, n in zip(sources, ns):
+                    if n == 1:
+                        documents[lang, source].update(once)
+                    else:
+                        for term in once:
+                            documents[lang, source][term] += n
+                if sum(map(len, documents.values())) > MOST_HELD:
+                    yield from _rows(counts, documents)
+        yield from _rows(counts, documents)
+
+    combined = single.mapInArrow(combine, "lang string, source string, term string, count long, documents long")
+    return combined.repartition("lang", "term").groupBy("lang", "source", "term").agg(F.sum("count").alias("count"), F.sum("documents").alias("documents"))
+
+
+def _terms(text: bytes) -> Iterator[list[bytes]]:
+    """The terms of a text whose other bytes are spaces, a bounded piece at a time."""
+    at = 0
+    while at < len(text):
+        end = text.find(b" ", at + PIECE_BYTES)
+        end = end if end >= 0 else len(text)
+        yield text[at:end].split()
+        at = end
+
+
+def _rows(counts: dict[tuple[str, str], Counter], documents: dict[tuple[str, str], Counter]) -> Iterator[pa.RecordBatch]:
+    """What was counted, a group of documents at a time; the counters are empty afterwards."""
+    while documents:
+        (lang, source), within = documents.popitem()
+        found = counts.pop((lang, source), Counter())
+        terms = list(found)
+        for at in range(0, len(terms), ROWS):
+            part = terms[at : at + ROWS]
+            columns = [pa.array([lang] * len(part)), pa.array([source] * len(part)), pa.array(part, pa.binary()).cast(pa.string())]
+            columns += [pa.array([x[t] for t in part], pa.int64()) for x in (found, within)]
+            yield pa.RecordBatch.from_arrays(columns, names=["lang", "source", "term", "count", "documents"])
 
 
 def share(count: Column, total: Column, kept: Column) -> Column:

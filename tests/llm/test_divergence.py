@@ -49,6 +49,20 @@ ROWS = [
 ]
 
 
+def test_terms_in_bounded_pieces(monkeypatch):
+    monkeypatch.setattr(divergence, "PIECE_BYTES", 7)
+    text = "The  cat-sat, on É日本x the MAT" * 30
+    found = [t.decode() for part in divergence._terms(text.encode().translate(divergence.TERM_BYTES)) for t in part]
+    assert found == TERM.findall(text.translate(UPPER))
+
+
+def test_handed_on_early(monkeypatch):
+    counts, documents = {("en", "a"): Counter({b"x": 3, b"y": 1}), ("en", "b"): Counter({b"x": 1})}, {("en", "a"): Counter({b"x": 2, b"y": 1}), ("en", "b"): Counter({b"x": 1})}
+    monkeypatch.setattr(divergence, "ROWS", 1)
+    rows = sorted(tuple(r.values()) for batch in divergence._rows(counts, documents) for r in batch.to_pylist())
+    assert rows == [("en", "a", "x", 3, 2), ("en", "a", "y", 1, 1), ("en", "b", "x", 1, 1)] and not counts and not documents
+
+
 @pytest.mark.parametrize("least", [1, 2, 3, 12])
 def test_equals_plain_python(spark, least):
     assert ours(spark, ROWS, least) == plain(ROWS, least)
