@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from assayer.operators.units import violations
+from assayer.storage import materialize
 
 SAFE_INTEGER = 2**53 - 1
 STRINGS = r'"(?:[^"\\]|\\.)*"'
@@ -116,23 +116,86 @@ def pattern_of(pointer: Column) -> Column:
     return F.regexp_replace(pointer, r"/[0-9]+(?=/|$)", "/*")
 
 
-def validate_against_schema(documents: DataFrame, schema: DataFrame, key: str, column: str) -> DataFrame:
-    """``key, pointer, problem``: wrong type, unknown property, value not listed or not matching, required property missing.
+def _above(pointer: Column, own: bool) -> Column:
+    """The pointers of the values that hold a value, the root first, with its own at the end if asked for."""
+    parts = F.split(pointer, "/", -1)
+    upto = F.size(parts) if own else F.size(parts) - 1
+    return F.when(upto > 0, F.transform(F.sequence(F.lit(1), F.greatest(upto, F.lit(1))), lambda i: F.array_join(F.slice(parts, 1, i), "/")))
 
-    ``schema(pattern, types, required, members, matching)`` has a row for each pointer pattern.
+
+def _not_below(found: DataFrame, stopped: DataFrame, key: str, at: str, own: bool) -> DataFrame:
+    """``found`` without rows whose pointer ``at`` lies below (or, if asked for, at) a pointer of ``stopped``."""
+    inner = found.select(key, at).distinct().select(key, at, F.explode(_above(F.col(at), own)).alias("__above"))
+    hidden = inner.join(stopped.select(key, F.col("pointer").alias("__above")), [key, "__above"], "left_semi").select(key, at).distinct()
+    return found.join(hidden, [key, at], "left_anti")
+
+
+def _in_branch(rows: DataFrame, chosen: DataFrame, key: str, at: str) -> DataFrame:
+    """``rows`` whose ``branches`` are all among those that their document has chosen above, or at, the pointer ``at``."""
+    none = F.coalesce(F.size("branches"), F.lit(0)) == 0
+    wanted = rows.filter(~none).select(key, F.col(at).alias("__at"), "rule", F.size(F.array_distinct("branches")).alias("__n"), F.explode(F.array_distinct("branches")).alias("__b"))
+    wanted = wanted.select(key, "__at", "rule", "__n", "__b.union", "__b.option")
+    depth = F.size(F.split("union", "/", -1))
+    met = wanted.withColumn("pointer", F.array_join(F.slice(F.split("__at", "/", -1), F.lit(1), depth), "/")).join(chosen, [key, "pointer", "union", "option"], "left_semi")
+    whole = met.groupBy(key, "__at", "rule", "__n").agg(F.count(F.lit(1)).alias("__met")).filter("__met = __n").select(key, F.col("__at").alias(at), "rule")
+    return rows.filter(none).unionByName(rows.filter(~none).join(whole, [key, at, "rule"], "left_semi").select(*rows.columns))
+
+
+BRANCHES = "array<struct<union: string, option: string>>"
+UNIONS = "at string, tag string, value string, option string"
+
+
+def validate_against_schema(documents: DataFrame, schema: DataFrame, key: str, column: str, unions: DataFrame | None = None) -> DataFrame:
+    """``key, pointer, problem``: value not listed, wrong type, text not matching, unknown property, required property missing.
+
+    ``schema(pattern, types, required, members, matching)`` has a row for each pointer pattern.  What lies
+    below a value of the wrong type, an unlisted one or an unknown property is not looked at, and a value has
+    one problem at most.
+
+    ``unions(at, tag, value, option)`` are tagged unions: at pattern ``at`` the property ``tag`` chooses an option by
+    its value, and several values may choose the same.  A schema row with ``branches``, an array of ``(union, option)``,
+    holds only where each union that it names has that option; patterns of nested unions name the outer one
+    too.  Where the tag is missing or its value chooses nothing, that is the only problem of the union, and nothing
+    below it is looked at; a property of another option's is unknown.  Where several rows hold for a pointer, the first in
+    order of their contents counts.
     """
-    rows = flatten_documents(documents, key, column).withColumn("pattern", pattern_of(F.col("pointer")))
-    found = rows.join(schema.withColumn("known", F.lit(True)), "pattern", "left")
-    here = F.col("known").isNotNull()
-    own = violations(found, [key, "pointer"], {
-        "unknown_property": ~here, "wrong_type": here & ~F.array_contains("types", F.col("type")), "not_listed": ~F.array_contains("members", F.col("value")),
-        "no_match": ~F.call_function("rlike", F.col("value"), F.col("matching")),
-    })
-    wanted = schema.filter("required and pattern <> ''").select("pattern", F.regexp_replace("pattern", "/[^/]*$", "").alias("above"), F.regexp_extract("pattern", "/([^/]*)$", 1).alias("name"))
+    spark = documents.sparkSession
+    if "branches" not in schema.columns:
+        schema = schema.withColumn("branches", F.lit(None).cast(BRANCHES))
+    unions = unions if unions is not None else spark.createDataFrame([], UNIONS)
+    rules = schema.select("pattern", "types", "required", "members", "matching", "branches")
+    rules = rules.withColumn("rule", F.to_json(F.struct("pattern", "branches", "types", "required", "members", "matching")))
+    rows = materialize(flatten_documents(documents, key, column).withColumn("pattern", pattern_of(F.col("pointer"))), "flattened")
+
+    places = rows.join(unions.select(F.col("at").alias("pattern"), "tag").distinct(), "pattern").select(key, "pointer", F.col("pattern").alias("union"), "type", "tag")
+    places = places.withColumn("tag_pointer", F.concat("pointer", F.lit("/"), F.replace(F.replace("tag", F.lit("~"), F.lit("~0")), F.lit("/"), F.lit("~1"))))
+    tags = rows.select(key, F.col("pointer").alias("tag_pointer"), "value", F.lit(True).alias("there"))
+    options = unions.select(F.col("at").alias("union"), "tag", "value", "option").distinct()
+    places = materialize(places.join(tags, [key, "tag_pointer"], "left").join(options, ["union", "tag", "value"], "left"), "unions")
+    chosen = places.filter("option is not null and type = 'object'").select(key, "pointer", "union", "option")
+
+    held = _in_branch(rows.select(key, "pointer", "pattern").join(rules, "pattern"), chosen, key, "pointer")
+    held = held.groupBy(key, "pointer").agg(F.min_by(F.struct("types", "members", "matching"), "rule").alias("r"))
+    found = rows.join(held, [key, "pointer"], "left")
+    own = F.when(F.col("r").isNull(), "unknown_property").when(F.col("r.members").isNotNull() & ~F.coalesce(F.array_contains("r.members", F.col("value")), F.lit(False)), "not_listed")
+    own = own.when(~F.array_contains("r.types", F.col("type")), "wrong_type").when(~F.call_function("rlike", F.col("value"), F.col("r.matching")), "no_match")
+    broken = materialize(found.select(key, "pointer", own.alias("problem")).filter("problem is not null"), "broken")
+
+    # No value of a union with an open tag is looked at.
+    unsettled = places.filter("type <> 'object' or option is null")
+    problem = F.when(F.col("type") != "object", "wrong_type").when(F.col("there").isNull(), "required_missing").otherwise("not_listed")
+    at_tag = F.when(F.col("type") == "object", F.col("tag_pointer")).otherwise(F.col("pointer"))
+    stopped = broken.filter("problem <> 'no_match'").select(key, "pointer")
+    open_tags = _not_below(unsettled.select(key, "pointer", at_tag.alias("said_at"), problem.alias("problem")), stopped, key, "pointer", own=True)
+    stopped = stopped.unionByName(unsettled.select(key, "pointer")).distinct()
+    open_tags = _not_below(open_tags, stopped, key, "pointer", own=False).select(key, F.col("said_at").alias("pointer"), "problem")
+
+    wanted = rules.filter("required and pattern <> ''").select(F.regexp_replace("pattern", "/[^/]*$", "").alias("above"), F.regexp_extract("pattern", "/([^/]*)$", 1).alias("name"), "branches", "rule")
     parents = rows.filter("type = 'object'").select(key, F.col("pointer").alias("parent"), F.col("pattern").alias("above"))
-    due = parents.join(wanted, "above").select(key, F.concat("parent", F.lit("/"), "name").alias("pointer"))
-    lost = due.join(rows.select(key, "pointer"), [key, "pointer"], "left_anti").withColumn("problem", F.lit("required_missing"))
-    return own.unionByName(lost)
+    due = _in_branch(parents.join(wanted, "above"), chosen, key, "parent").select(key, "parent", F.concat("parent", F.lit("/"), "name").alias("pointer")).distinct()
+    lost = _not_below(due.join(rows.select(key, "pointer"), [key, "pointer"], "left_anti"), stopped, key, "parent", own=True)
+    lost = lost.select(key, "pointer", F.lit("required_missing").alias("problem"))
+    return _not_below(broken, stopped, key, "pointer", own=False).select(key, "pointer", "problem").unionByName(open_tags).unionByName(lost)
 
 
 def invocation_identity(capability: Column, parameters: Column, inputs: Column, environment: Column, required_environment: Column) -> Column:

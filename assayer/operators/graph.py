@@ -47,7 +47,8 @@ def rerun_subgraph(steps: DataFrame, impacted: DataFrame, durations: DataFrame)
 def topological_levels(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     """``node, level`` (longest path from a source) for what is above any cycle, and ``node`` for the rest.
 
-    Nodes without open predecessors are peeled off level by level; those never peeled lie on a cycle or below one.
+    Nodes without open predecessors are peeled off level by level; those never peeled lie on a cycle or below one;
+    :func:`detect_cycles` tells these apart.
     """
     links = materialize(edges.select("src", "dst").distinct(), "links")
     # What is left of a node: the predecessors that are not peeled yet.  Only those of the last level's successors change.
@@ -64,6 +65,56 @@ def topological_levels(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     return done.rows(), nodes.join(done.rows().select("node"), "node", "left_anti")
 
 
+def _trimmed(links: DataFrame, rounds: int) -> DataFrame:
+    """``links`` without those that no cycle can use: into nodes that lead nowhere or out of nodes that nothing leads to."""
+    for _ in range(rounds):
+        onward = links.join(links.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi")
+        links = materialize(onward.join(onward.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").select("src", "dst"), "links")
+    return links
+
+
+def _coloured(links: DataFrame) -> DataFrame:
+    """``node, colour``: the greatest node that leads to each, itself included.  Only nodes whose colour rose pass it on."""
+    nodes = links.select(F.col("src").alias("node")).union(links.select("dst")).distinct()
+    known = Parts(links.sparkSession, "colours", nodes.withColumn("colour", F.col("node")).schema)
+    risen = known.add(nodes.withColumn("colour", F.col("node")))
+    while not risen.isEmpty():
+        offered = risen.join(links.withColumnRenamed("src", "node"), "node").groupBy(F.col("dst").alias("node")).agg(F.max("colour").alias("colour"))
+        now = known.rows().groupBy("node").agg(F.max("colour").alias("held"))
+        risen = known.add(offered.join(now, "node").filter("colour > held").select("node", "colour"))
+    return known.rows().groupBy("node").agg(F.max("colour").alias("colour"))
+
+
+def detect_cycles(edges: DataFrame, trims: int = 2) -> DataFrame:
+    """``node, component, on_cycle`` for every node of ``edges(src, dst)``.
+
+    Nodes that reach each other are a component, named after its least node; a node is on a cycle if it reaches
+    itself, so nodes below a cycle are told apart from those on it.  Each round trims what no cycle can use,
+    gives every node the greatest node that leads to it as colour, and walks back from the node that has its own
+    colour, within the colour: what it meets is a component.  Colours never share a component, so links between them
+    go.  Rounds of a walk follow the length of paths inside the cyclic part, not the size of the graph.
+    """
+    spark = edges.sparkSession
+    links = materialize(edges.filter("src is not null and dst is not null").select("src", "dst").distinct(), "links")
+    nodes = links.select(F.col("src").alias("node")).union(links.select("dst")).distinct()
+    found = Parts(spark, "components", nodes.withColumn("component", F.col("node")).schema)
+    live = _trimmed(links.filter("src <> dst"), trims)
+    while not live.isEmpty():
+        colours = materialize(_coloured(live), "colours")
+        ends = live.join(colours.select(F.col("node").alias("src"), F.col("colour").alias("src_colour")), "src").join(colours.select(F.col("node").alias("dst"), F.col("colour").alias("dst_colour")), "dst")
+        inside = materialize(ends.filter("src_colour = dst_colour").select("src", "dst"), "links")  # read each round of the walk
+        # Walking back inside its colour, only the component of the colour's own node is met.
+        back = reach(inside.select(F.col("dst").alias("src"), F.col("src").alias("dst")), colours.filter("node = colour").select("node"))
+        met = materialize(back.join(colours, "node"), "met")
+        least = met.groupBy("colour").agg(F.min("node").alias("component"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+        found.add(met.join(least, "colour").select("node", "component"))
+        left = inside.join(met.select(F.col("node").alias("src")), "src", "left_anti").join(met.select(F.col("node").alias("dst")), "dst", "left_anti")
+        live = _trimmed(left, trims)
+    own = links.filter("src = dst").select(F.col("src").alias("node"), F.lit(True).alias("loops"))
+    both = nodes.join(found.rows().withColumn("cyclic", F.lit(True)), "node", "left").join(own, "node", "left")
+    return both.select("node", F.coalesce("component", "node").alias("component"), (F.col("cyclic").isNotNull() | F.col("loops").isNotNull()).alias("on_cycle"))
+
+
 def discharge_assumptions(assumptions: DataFrame, witnesses: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Residual assumptions of each claim, and provenance edges.
 

@@ -52,6 +52,20 @@ def i11_topological_levels(v):
     return levels.unionByName(cyclic.withColumn("level", F.lit(-1)))
 
 
+# Every part leads to its two multiples; some lead back to a part above, some to themselves, so that cycles of several
+# sizes, nodes below them and nodes above them all occur.
+LOOPED = """SELECT CAST(FLOOR(p_partkey / 2) AS BIGINT) AS src, p_partkey AS dst FROM part WHERE p_partkey > 1
+ UNION SELECT p_partkey, CAST(FLOOR(p_partkey / 8) AS BIGINT) FROM part WHERE p_partkey % 5 = 0 AND p_partkey >= 160 AND FLOOR(p_partkey / 8) % 7 < 4
+ UNION SELECT p_partkey, p_partkey FROM part WHERE p_partkey % 97 = 0"""
+
+
+@query(f"""WITH RECURSIVE e AS (SELECT DISTINCT src, dst FROM ({LOOPED}) l), r(a, b) AS (SELECT src, dst FROM e UNION SELECT r.a, e.dst FROM r JOIN e ON e.src = r.b),
+n AS (SELECT src AS node FROM e UNION SELECT dst FROM e), m AS (SELECT x.a AS node, min(x.b) AS least FROM r x JOIN r y ON x.a = y.b AND x.b = y.a GROUP BY x.a)
+SELECT n.node, coalesce(least, n.node) AS component, least IS NOT NULL AS on_cycle FROM n LEFT JOIN m ON m.node = n.node""")
+def i11_detect_cycles(v):
+    return graph.detect_cycles(spark_sql(v, LOOPED, "part"))
+
+
 I12_ASSUME = "SELECT DISTINCT l_orderkey AS claim, CAST(l_partkey % 60 AS VARCHAR(9)) AS proposition FROM lineitem"
 I12_WITNESS = "SELECT CAST(k AS VARCHAR(9)) AS proposition, CASE WHEN k % 10 <> 0 THEN CAST((k * 7 + 3) % 60 AS VARCHAR(9)) END AS needs FROM (SELECT DISTINCT p_size AS k FROM part WHERE p_size % 4 <> 1) t UNION SELECT CAST(k AS VARCHAR(9)), CAST((k + 11) % 60 AS VARCHAR(9)) FROM (SELECT DISTINCT p_size AS k FROM part WHERE p_size % 4 = 2) u"
 

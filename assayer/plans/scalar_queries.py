@@ -143,3 +143,37 @@ def b6_validate_against_schema(v):
         [("", ["object"], False, None, None), ("/kind", ["string"], True, ["signup", "purchase", "error"], None), ("/p", ["object"], True, None, None), ("/p/k", ["integer"], True, None, None), ("/p/unit", ["string"], True, None, "^[a-z]+$")],
         "pattern string, types array<string>, required boolean, members array<string>, matching string")
     return documents.validate_against_schema(docs, schema, "event_id", "doc")
+
+
+# Documents of a union over kinds, one option of which holds another union over types.
+TAGGED = "event_id % 13 <> 0"
+TRADE, VISIT = f"{TAGGED} AND event_type = 'purchase'", f"{TAGGED} AND event_type IN ('click', 'view')"
+
+
+@query(f"""SELECT event_id, '/kind' AS pointer, 'required_missing' AS problem FROM events WHERE NOT {TAGGED} UNION ALL SELECT event_id, '/kind', 'not_listed' FROM events WHERE {TAGGED} AND event_type = 'error'
+UNION ALL SELECT event_id, '/amount', 'required_missing' FROM events WHERE {TRADE} AND event_id % 3 = 0
+UNION ALL SELECT event_id, '/method/type', 'required_missing' FROM events WHERE {TRADE} AND event_id % 11 = 0
+UNION ALL SELECT event_id, '/method/type', 'not_listed' FROM events WHERE {TRADE} AND event_id % 11 <> 0 AND event_id % 7 = 0
+UNION ALL SELECT event_id, unnest(['/method/number', '/method/change']), unnest(['unknown_property', 'required_missing']) FROM events WHERE {TRADE} AND event_id % 11 <> 0 AND event_id % 7 <> 0 AND event_id % 2 = 1
+UNION ALL SELECT event_id, '/page', 'required_missing' FROM events WHERE {VISIT} AND event_id % 4 = 0 UNION ALL SELECT event_id, '/amount', 'unknown_property' FROM events WHERE {VISIT} AND event_id % 5 = 0""")
+def b6_tagged_unions(v):
+    e, kind = F.col("event_id"), F.col("event_type")
+    trade, visit = kind == "purchase", kind.isin("click", "view")
+    method = F.when(e % 11 == 0, F.struct(F.lit(None).cast("string").alias("type"), F.lit("1").alias("number"), F.lit(None).cast("string").alias("x")))
+    method = method.when(e % 7 == 0, F.struct(F.lit("gift").alias("type"), F.lit(None).cast("string").alias("number"), F.lit("y").alias("x")))
+    method = method.otherwise(F.struct(F.when(e % 2 == 0, "card").otherwise("cash").alias("type"), F.lit("1").alias("number"), F.lit(None).cast("string").alias("x")))
+    doc = F.to_json(F.struct(
+        F.when(e % 13 != 0, kind).alias("kind"), F.when(trade & (e % 3 != 0) | visit & (e % 5 == 0), e % 9).alias("amount"),
+        F.when(visit & (e % 4 != 0), "p").alias("page"), F.when(trade, method).alias("method")))
+    docs = v("events").select("event_id", doc.alias("doc"))
+    trading, visiting, joining = ([("", x)] for x in ("trade", "visit", "join"))
+    rows = [
+        ("", ["object"], False, None, None, None), ("/kind", ["string"], True, None, None, trading), ("/kind", ["string"], True, None, None, visiting), ("/kind", ["string"], True, None, None, joining),
+        ("/amount", ["integer"], True, None, None, trading), ("/page", ["string"], True, None, None, visiting), ("/method", ["object"], True, None, None, trading),
+        ("/method/type", ["string"], True, None, None, [*trading, ("/method", "card")]), ("/method/number", ["string"], True, None, "^[0-9]+$", [*trading, ("/method", "card")]),
+        ("/method/type", ["string"], True, None, None, [*trading, ("/method", "cash")]), ("/method/change", ["integer"], True, None, None, [*trading, ("/method", "cash")]),
+    ]
+    unions = [("", "kind", "purchase", "trade"), ("", "kind", "click", "visit"), ("", "kind", "view", "visit"), ("", "kind", "signup", "join"), ("/method", "type", "card", "card"), ("/method", "type", "cash", "cash")]
+    spark = docs.sparkSession
+    schema = spark.createDataFrame(rows, f"pattern string, types array<string>, required boolean, members array<string>, matching string, branches {documents.BRANCHES}")
+    return documents.validate_against_schema(docs, schema, "event_id", "doc", spark.createDataFrame(unions, documents.UNIONS))
