@@ -60,6 +60,30 @@ def l4_stream_supervision(v):
     return streams.drain(streams.stream_supervision(_stream(v, rows)), "supervision").withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("from_time", "to_time")})
 
 
+# Events come in three batches by id, each spread over all days, so that most of the later two is late for its day.
+LATE = """WITH b AS (SELECT *, (event_id + 1) % 3 AS batch FROM events),
+m AS (SELECT n.batch, max(ts) - INTERVAL 1 HOUR AS mark FROM (SELECT DISTINCT batch FROM b) n JOIN b ON b.batch < n.batch GROUP BY n.batch),
+x AS (SELECT b.*, date_trunc('day', ts) AS from_time, date_trunc('day', ts) + INTERVAL 1 DAY AS to_time, coalesce(date_trunc('day', ts) + INTERVAL 1 DAY <= mark, false) AS late FROM b LEFT JOIN m ON m.batch = b.batch)"""
+
+
+@query(f"""{LATE} SELECT from_time, 'late' AS what, NULL AS user_id, NULL AS state, count(*) AS n FROM x WHERE late GROUP BY from_time
+UNION ALL SELECT from_time, 'count', NULL, event_type, count(*) FROM x WHERE NOT late GROUP BY from_time, event_type
+UNION ALL SELECT from_time, 'latest', user_id, arg_max(event_type, (ts, event_id)), max((ts, event_id))[2] FROM x WHERE NOT late GROUP BY from_time, user_id""")
+def l4_stream_late_rows(v):
+    rows = v("events").select(F.col("ts").cast("timestamp").alias("at_time"), F.col("event_type").alias("state"), F.col("user_id").alias("case_id"), F.col("event_id").alias("id"))
+    spark = rows.sparkSession
+    path, out = fresh_path(spark, "stream-source"), fresh_path(spark, "supervision")
+    for batch in range(3):  # a file each, read in the order of their writing
+        rows.filter((F.col("id") + 1) % 3 == batch).coalesce(1).write.mode("append").parquet(path)
+    streams.supervise(spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(path), out)
+    counts, latest, late = streams.supervision(spark, out)
+    none = F.lit(None)
+    found = late.select("from_time", F.lit("late").alias("what"), none.cast("long").alias("user_id"), none.cast("string").alias("state"), "n")
+    found = found.unionByName(counts.select("from_time", F.lit("count").alias("what"), none.cast("long").alias("user_id"), "state", "n"))
+    found = found.unionByName(latest.select("from_time", F.lit("latest").alias("what"), F.col("case_id").alias("user_id"), "state", F.col("id").alias("n")))
+    return found.withColumn("from_time", F.col("from_time").cast("timestamp_ntz"))
+
+
 @query("SELECT user_id, count(*) AS n FROM (SELECT DISTINCT user_id, event_type FROM events) x GROUP BY user_id")
 def l5_stream_dedup_append(v):
     rows = v("events").select("user_id", "event_type", F.col("ts").alias("at_time"))

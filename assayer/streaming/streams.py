@@ -7,13 +7,14 @@ two against each other.  Checkpoints go to the shared folder unless the caller n
 from __future__ import annotations
 
 import bisect
-import json
 from collections.abc import Iterator
+from contextlib import contextmanager
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from assayer.operators import transitions, verdicts
 from assayer.sources import files
@@ -29,7 +30,9 @@ def drain(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
     """Run a stream over all that is there now, into a table of the shared folder, and read that."""
     spark = stream.sparkSession
     out, state = fresh_path(spark, name), fresh_path(spark, f"{name}-state")
-    stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", state).outputMode(mode).trigger(availableNow=True).start().awaitTermination()
+    with rocksdb(spark):
+        query = stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", state).outputMode(mode).trigger(availableNow=True).start()
+    query.awaitTermination()
     return spark.read.schema(stream.schema).parquet(out)
 
 
@@ -55,77 +58,199 @@ def split_run_log(spark: SparkSession, path: str, good: str, bad: str, versions:
     stream_run_log(spark, path, versions).writeStream.foreachBatch(both).option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()
 
 
+@contextmanager
+def rocksdb(spark: SparkSession) -> Iterator[None]:
+    """Streams started inside keep their state in RocksDB, which holds more than memory and changes entry by entry."""
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+
+
 MOVE = "subject_kind string, subject long, transition_id long, at_time timestamp, from_state string, to_state string, legal boolean"
+#: Rows handed on at once.
+MOVES = 10_000
 
 
-def stream_transitions(moves: DataFrame, delay: str = "1 hour") -> DataFrame:
-    """Each subject's moves in event-time order with the state before them and whether they are legal.
+def _micros(times: pd.Series) -> np.ndarray:
+    return times.to_numpy().astype("datetime64[us]").astype(np.int64)
 
-    ``moves(subject_kind, subject, transition_id, at_time, to_state)``.  A subject's rows wait in its state
-    until the watermark has passed them, so rows that come out of order are folded in order.
+
+class FoldMoves(StatefulProcessor):
+    """A subject's moves in event-time order.
+
+    Rows wait in a list that grows by appends and is read only when the one timer of the subject, set to its
+    earliest row, is due.  Then all that the watermark has passed is sorted and folded, and what still waits, at most
+    the rows of one delay, is written back.
     """
-    legal = frozenset(transitions.LEGAL)
-    initial = transitions.INITIAL
-
-    def fold(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        kind, subject = key
-        current, waiting = state.get if state.exists else (initial.get(kind, "pending"), "[]")
-        rows = json.loads(waiting)
-        for pdf in batches:
-            for t, i, to in zip(pdf["at_time"], pdf["transition_id"], pdf["to_state"]):
-                rows.append([t.value // 1000, int(i), to])
-        mark = state.getCurrentWatermarkMs() * 1000
-        rows.sort()
+
+    def __init__(self, initial: dict[str, str], legal: frozenset[tuple[str, str, str]]):
+        self.initial, self.legal = initial, legal
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.current = handle.getValueState("current", "state string")
+        self.alarm = handle.getValueState("alarm", "ms long")
+        self.waiting = handle.getListState("waiting", "at long, id long, to string")
+
+    def _wake(self, earliest: int) -> None:
+        """Set the subject's timer to the first watermark (in ms) that passes a row of this time."""
+        due, held = -(-earliest // 1000), self.alarm.get()
+        if held is None or due < held[0]:
+            if held is not None:
+                self.handle.deleteTimer(held[0])
+            self.handle.registerTimer(due)
+            self.alarm.update((due,))
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        earliest = None
+        for pdf in rows:
+            at = _micros(pdf["at_time"])
+            self.waiting.appendList(list(zip(at.tolist(), pdf["transition_id"].tolist(), pdf["to_state"].tolist())))
+            first = int(at.min()) if len(at) else None
+            earliest = first if earliest is None or first is not None and first < earliest else earliest
+        if earliest is not None:
+            self._wake(earliest)
+        return iter(())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        mark = timerValues.getCurrentWatermarkInMs() * 1000
+        rows = sorted(self.waiting.get())
         ripe = bisect.bisect_right(rows, mark, key=lambda r: r[0])
+        held = self.current.get()
+        state = held[0] if held is not None else self.initial.get(key[0], "pending")
         out = []
         for at, number, to in rows[:ripe]:
-            out.append((kind, subject, number, pd.Timestamp(at, unit="us"), current, to, (kind, current, to) in legal))
-            current = to
+            out.append((*key, number, pd.Timestamp(at, unit="us"), state, to, (key[0], state, to) in self.legal))
+            state = to
+        self.current.update((state,))
+        self.alarm.clear()
         rows = rows[ripe:]
-        state.update((current, json.dumps(rows)))
         if rows:
-            state.setTimeoutTimestamp(max(rows[0][0] // 1000 + 1, state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame(out, columns=[c.split()[0] for c in MOVE.split(", ")])
+            self.waiting.put(rows)
+            self._wake(rows[0][0])
+        else:
+            self.waiting.clear()
+        for k in range(0, len(out), MOVES):
+            yield pd.DataFrame(out[k : k + MOVES], columns=[c.split()[0] for c in MOVE.split(", ")])
 
-    rows = moves.withWatermark("at_time", delay)
-    return rows.groupBy("subject_kind", "subject").applyInPandasWithState(fold, MOVE, "current string, waiting string", "append", GroupStateTimeout.EventTimeTimeout)
+    def close(self) -> None:
+        pass
+
+
+def stream_transitions(moves: DataFrame, delay: str = "1 hour") -> DataFrame:
+    """Each subject's moves in event-time order with the state before them and whether they are legal.
+
+    ``moves(subject_kind, subject, transition_id, at_time, to_state)``.  A subject's rows wait until the
+    watermark has passed them, so rows that come out of order are folded in order.  Start it inside
+    :func:`rocksdb`, as :func:`drain` does.
+    """
+    fold = FoldMoves(transitions.INITIAL, frozenset(transitions.LEGAL))
+    return moves.withWatermark("at_time", delay).groupBy("subject_kind", "subject").transformWithStateInPandas(fold, MOVE, "append", "EventTime")
 
 
 LAPSE = "request long, respond_by timestamp"
 
 
+class WatchGate(StatefulProcessor):
+    """A gate's earliest deadline as a timer, which a routing record takes away."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.gate = handle.getValueState("gate", "due long, closed boolean")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        due, closed = self.gate.get() or (None, False)
+        before, routed = due, False
+        for pdf in rows:
+            routed = routed or bool((pdf["kind"] == "routed").any())
+            given = pdf["respond_by"][(pdf["kind"] != "routed") & pdf["respond_by"].notna()]
+            if len(given):
+                first = int(_micros(given).min())
+                due = first if due is None else min(due, first)
+        if not closed:
+            if before is not None and (routed or due != before):
+                self.handle.deleteTimer(before // 1000 + 1)
+            if due is not None and not routed and due != before:
+                self.handle.registerTimer(due // 1000 + 1)
+        self.gate.update((due, closed or routed))
+        return iter(())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        due, closed = self.gate.get()
+        if closed:
+            return
+        if due // 1000 >= timerValues.getCurrentWatermarkInMs():
+            self.handle.registerTimer(due // 1000 + 1)
+            return
+        self.gate.update((due, True))
+        yield pd.DataFrame([(key[0], pd.Timestamp(due, unit="us"))], columns=["request", "respond_by"])
+
+    def close(self) -> None:
+        pass
+
+
 def stream_gate_lapse(events: DataFrame, delay: str = "1 hour") -> DataFrame:
     """Gates whose deadline the watermark passes before a routing record clears them.
 
     ``events(request, kind, at_time, respond_by)`` with kinds ``opened`` and ``routed``.
     """
-
-    def watch(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        due, routed = state.get if state.exists else (None, False)
-        for pdf in batches:
-            for kind, by in zip(pdf["kind"], pdf["respond_by"]):
-                if kind == "routed":
-                    routed = True
-                elif not pd.isna(by):
-                    due = by.value // 1000 if due is None else min(due, by.value // 1000)
-        lapsed = due is not None and not routed and due // 1000 < state.getCurrentWatermarkMs()
-        out = [(key[0], pd.Timestamp(due, unit="us"))] if lapsed else []
-        state.update((due, routed or lapsed))
-        if due is not None and not routed and not lapsed:
-            state.setTimeoutTimestamp(max(due // 1000 + 1, state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame(out, columns=["request", "respond_by"])
-
-    rows = events.withWatermark("at_time", delay)
-    return rows.groupBy("request").applyInPandasWithState(watch, LAPSE, "due long, routed boolean", "append", GroupStateTimeout.EventTimeTimeout)
+    return events.withWatermark("at_time", delay).groupBy("request").transformWithStateInPandas(WatchGate(), LAPSE, "append", "EventTime")
 
 
 def stream_supervision(rows: DataFrame, window: str = "1 day", delay: str = "1 hour") -> DataFrame:
-    """Counts per state, and the last id, in time windows that the watermark has closed; later rows are dropped."""
+    """Counts per state, and the last id, in time windows that the watermark has closed; later rows are
+    dropped, and :func:`supervise` counts them."""
     w = F.window("at_time", window)
     found = rows.withWatermark("at_time", delay).groupBy(w.alias("w"), "state").agg(F.count(F.lit(1)).alias("n"), F.max(F.struct("at_time", "id")).alias("last"))
     return found.select(F.col("w.start").alias("from_time"), F.col("w.end").alias("to_time"), "state", "n", F.col("last.id").alias("last_id"))
 
 
+def supervise(rows: DataFrame, out: str, window: str = "1 day", delay: str = "1 hour") -> None:
+    """Counts per window and state, the latest row of each case in each window, and the rows that came too late, by window.
+
+    ``rows(at_time, state, case_id, id)``.  A row is late if the watermark, the greatest time of earlier batches less
+    the delay, has reached the end of its window.  Each batch writes what it adds under its own number, so a batch that
+    runs again changes nothing, and :func:`supervision` sums up what is there at any time.
+    """
+    spark, w = rows.sparkSession, F.window("at_time", window)
+
+    def add(batch: DataFrame, number: int) -> None:
+        def write(df: DataFrame, name: str) -> None:
+            df.write.mode("overwrite").parquet(f"{out}/{name}/batch={number}")
+
+        before = [read_parts(spark, f"{out}/marks", "mark timestamp", k) for k in range(number)]
+        mark = max((r.mark for df in before for r in df.collect() if r.mark), default=None)  # a row a batch
+        kept = batch.filter("at_time is not null").withColumn("w", w).select(F.col("w.start").alias("from_time"), F.col("w.end").alias("to_time"), "state", "case_id", "at_time", "id").persist()
+        late = F.coalesce(F.col("to_time") <= F.lit(mark).cast("timestamp"), F.lit(False))
+        span = ["from_time", "to_time"]
+        write(kept.filter(~late).groupBy(*span, "state").agg(F.count(F.lit(1)).alias("n")), "counts")
+        write(kept.filter(~late).groupBy(*span, "case_id").agg(F.max(F.struct("at_time", "id", "state")).alias("last")), "latest")
+        write(kept.filter(late).groupBy(*span).agg(F.count(F.lit(1)).alias("n")), "late")
+        write(kept.agg((F.max("at_time") - F.expr(f"INTERVAL {delay}")).alias("mark")), "marks")
+        kept.unpersist()
+
+    state = fresh_path(spark, "supervise-state")
+    rows.writeStream.foreachBatch(add).option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()
+
+
+def read_parts(spark: SparkSession, path: str, schema: str, batch: int | None = None) -> DataFrame:
+    return spark.read.schema(schema).parquet(path if batch is None else f"{path}/batch={batch}")
+
+
+def supervision(spark: SparkSession, out: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """What :func:`supervise` has so far: counts by window and state, the latest row of each case, late rows by window."""
+    span, times = ["from_time", "to_time"], "from_time timestamp, to_time timestamp"
+    counts = read_parts(spark, f"{out}/counts", f"{times}, state string, n long").groupBy(*span, "state").agg(F.sum("n").alias("n"))
+    kind = dict(spark.read.parquet(f"{out}/latest").dtypes)
+    latest = read_parts(spark, f"{out}/latest", f"{times}, case_id {kind['case_id']}, last {kind['last']}").groupBy(*span, "case_id").agg(F.max("last").alias("last"))
+    late = read_parts(spark, f"{out}/late", f"{times}, n long").groupBy(*span).agg(F.sum("n").alias("n"))
+    return counts, latest.select(*span, "case_id", "last.at_time", "last.id", "last.state"), late
+
+
 def stream_dedup_append(rows: DataFrame, keys: list[str], delay: str = "1 hour") -> DataFrame:
     """Records whose id came before within the delay are refused."""
     return rows.withWatermark("at_time", delay).dropDuplicatesWithinWatermark(keys)
@@ -135,8 +260,7 @@ def stream_verdicts(claims: DataFrame, requirements: DataFrame, keys: list[str],
     """Verdicts of the claims seen so far against the static requirements, written to ``out`` batch by batch.
 
     Reduced claims of each group are kept in the state store, so a group may come in several batches; each
-    writes the verdict as it then stands, and :func:`latest_verdicts` reads the last.  For very many groups
-    set the session's state store to RocksDB.
+    writes the verdict as it then stands, and :func:`latest_verdicts` reads the last.
     """
     reduced = verdicts.reduced_claims(requirements, claims, keys, per, aggregation)
 
@@ -144,7 +268,9 @@ def stream_verdicts(claims: DataFrame, requirements: DataFrame, keys: list[str],
         verdicts.decide(batch).write.mode("overwrite").parquet(f"{out}/batch={number}")
 
     state = fresh_path(claims.sparkSession, "verdict-state")
-    reduced.writeStream.outputMode("update").foreachBatch(judge).option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()
+    with rocksdb(claims.sparkSession):
+        query = reduced.writeStream.outputMode("update").foreachBatch(judge).option("checkpointLocation", state).trigger(availableNow=True).start()
+    query.awaitTermination()
 
 
 def latest_verdicts(spark: SparkSession, out: str, group: list[str]) -> DataFrame:
