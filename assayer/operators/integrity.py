@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from assayer.operators.units import violations
@@ -50,12 +50,18 @@ def export_inventory(manifest: DataFrame, observed: DataFrame) -> DataFrame:
 
 
 def append_history(new: DataFrame, existing: DataFrame, keys: list[str], order: str) -> tuple[DataFrame, DataFrame]:
-    """New records to append, and refused ones: an id that is there already, or came earlier in the batch."""
+    """New records to append, and refused ones: an id that is there already, or came earlier in the batch.
+
+    Of records of one id and order, one is accepted.
+    """
     first = new.groupBy(*keys).agg(F.min(order).alias("__first"))
     known = existing.select(*keys).distinct().withColumn("__known", F.lit(True))
     rows = new.join(first, keys).join(known, keys, "left")
     fresh = F.col("__known").isNull() & (F.col(order) == F.col("__first"))
-    return rows.filter(fresh).select(*new.columns), rows.filter(~fresh).select(*new.columns)
+    # Only the first records of each id are told apart, so that an id with very many records is not sorted.
+    tied = rows.filter(fresh).withColumn("__nth", F.row_number().over(Window.partitionBy(*keys).orderBy(order)))
+    refused = rows.filter(~fresh).select(*new.columns).unionByName(tied.filter("__nth > 1").select(*new.columns))
+    return tied.filter("__nth = 1").select(*new.columns), refused
 
 
 def check_store_paths(tree_files: DataFrame) -> DataFrame:

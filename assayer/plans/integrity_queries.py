@@ -8,7 +8,7 @@ from assayer.operators import integrity
 from assayer.plans.history_queries import spark_sql
 from assayer.plans.registry import query
 from assayer.plans.verdict_queries import PER_ATTEMPT, attempts
-from assayer.sources import files
+from assayer.sources import files, ledger
 from assayer.storage import fresh_path
 
 
@@ -75,6 +75,33 @@ def a7_append_history(v):
     return accepted.withColumn("accepted", F.lit(True)).unionByName(refused.withColumn("accepted", F.lit(False)))
 
 
+# Lines come in two batches by the parity of their order, each repeating ids of the other; the first runs twice.
+A7_TABLE = """WITH l AS (SELECT l_partkey AS id, l_suppkey AS case_id, l_orderkey * 10 + l_linenumber AS seq, l_orderkey % 2 AS batch FROM lineitem),
+f AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY batch, seq) = 1 AS accepted FROM l)"""
+
+
+@query(f"{A7_TABLE} SELECT 'batch' || CAST(batch AS VARCHAR) AS batch, id, case_id, seq, accepted FROM f")
+def a7_append_table(v):
+    new = v("lineitem").select(F.col("l_partkey").alias("id"), F.col("l_suppkey").alias("case_id"), F.expr("l_orderkey * 10 + l_linenumber").alias("seq"), "l_orderkey")
+    spark = new.sparkSession
+    history = ledger.History(spark, fresh_path(spark, "history"), new.drop("l_orderkey").schema, ["id"], "seq")
+    for number in (0, 0, 1):
+        history.append(f"batch{number}", new.filter(F.col("l_orderkey") % 2 == number).drop("l_orderkey"))
+    return history.rows()
+
+
+@query("""WITH b AS (SELECT o_custkey AS bundle_id, o_orderkey, bool_and(o_orderkey % 31 <> 0 AND o_orderkey % 37 <> 0) OVER (PARTITION BY o_custkey) AS whole FROM orders)
+SELECT bundle_id, CAST(o_orderkey AS VARCHAR) AS path, o_orderkey AS sha256, o_orderkey % 100 AS bytes, 'export' AS batch FROM b WHERE whole""")
+def a8_export_bundles(v):
+    k = F.col("o_orderkey")
+    rows = v("orders").select(F.col("o_custkey").alias("bundle_id"), k.cast("string").alias("path"), k.alias("sha256"), (k % 100).alias("bytes"))
+    observed = rows.filter(F.col("sha256") % 31 != 0).withColumn("bytes", F.when(F.col("sha256") % 37 == 0, -1).otherwise(F.col("bytes")))
+    spark = rows.sparkSession
+    written = ledger.Ledger(spark, fresh_path(spark, "export"), rows.withColumn("bundle_part", F.lit(0)).schema, ["bundle_part"])
+    ledger.export_bundles(rows, observed, written, "export")
+    return written.rows().drop("bundle_part")
+
+
 B9 = "SELECT source AS tree, CASE doc_id % 11 WHEN 0 THEN '/a' WHEN 1 THEN 'a/../b' WHEN 2 THEN 'a//b' WHEN 3 THEN '' WHEN 4 THEN 'd' WHEN 5 THEN 'd/e' ELSE 'f/' || CAST(doc_id AS VARCHAR(9)) END AS path, CAST(n_chars % 50 AS VARCHAR(9)) AS sha256, n_chars AS bytes FROM documents"
 
 
