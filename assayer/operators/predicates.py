@@ -61,7 +61,7 @@ def fact_compare() -> Column:
     integer = F.when(a.isNotNull() & b.isNotNull(), F.when(a < b, -1).when(a > b, 1).otherwise(0))
     left, right = F.col("__left"), F.col("__right")
     quantity = F.when(left.isNotNull() & right.isNotNull(), F.when(left < right, -1).when(left > right, 1).otherwise(0))
-    p, q = text.try_cast("boolean"), operand.try_cast("boolean")
+    p, q = (F.when(t.isin("true", "false"), t == "true") for t in (text, operand))  # no other spelling is a boolean
     same = F.when(F.col("type") == "string", text == operand).when(F.col("type") == "boolean", p == q)
     scalar = F.when(op == "eq", same).when(op == "ne", ~same)
     result = F.when(F.col("type") == "integer", _ordered(op, integer)).when(F.col("type") == "quantity", _ordered(op, quantity)).otherwise(scalar)

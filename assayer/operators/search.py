@@ -131,16 +131,23 @@ def pareto_front_nd(df: DataFrame, columns: list[str], partitions: int = 64) ->
     return doubled.join(front, [f"__{c}" for c in columns], "left_semi").select(*df.columns)
 
 
+#: Materials of a grid at most: the grid has the square of their number in rows.
+MOST_MATERIALS = 5000
+
+
 def enumerate_grid(materials: DataFrame, amounts: list[int], max_total: int, min_total: int = 0, first: str | None = None) -> DataFrame:
     """``first, second, a, b, total``: one- and two-layer ordered designs within the totals; two layers differ in material.
 
-    A sweep is a product by definition; materials are a small catalogue, whose names come to the driver once.
+    A sweep is a product by definition; materials are a small catalogue of at most MOST_MATERIALS, whose names come
+    to the driver once.
     """
     layer = materials.select(F.col("material").alias("first"), F.explode(F.array(*map(F.lit, amounts))).alias("a"))
     if first is not None:
         layer = layer.filter(F.col("first") == first)
     one = layer.select("first", F.lit(None).cast("string").alias("second"), "a", F.lit(0).alias("b"))
-    names = sorted(r.material for r in materials.select("material").distinct().collect())
+    names = sorted(r.material for r in materials.select("material").distinct().limit(MOST_MATERIALS + 1).collect())
+    if len(names) > MOST_MATERIALS:
+        raise ValueError(f"a grid of more than {MOST_MATERIALS} materials")
     two = layer.select("first", "a", F.explode(F.array(*map(F.lit, names))).alias("second")).filter("first <> second")
     two = two.select("first", "second", "a", F.explode(F.array(*map(F.lit, amounts))).alias("b"))
     return one.unionByName(two).withColumn("total", F.col("a") + F.col("b")).filter((F.col("total") <= max_total) & (F.col("total") >= min_total))
@@ -302,3 +309,29 @@ def duration_stats(receipts: DataFrame, by: list[str], exact: bool = True) -> Da
     """``by, n, total, p50, p90``: discrete percentiles of recorded durations; approximate ones for very large groups."""
     pick = (lambda p: F.percentile("duration_ms", p)) if exact else (lambda p: F.percentile_approx("duration_ms", p, 10000).cast("double"))
     return receipts.groupBy(*by).agg(F.count("duration_ms").alias("n"), F.sum("duration_ms").alias("total"), pick(0.5).alias("p50"), pick(0.9).alias("p90"))
+
+
+#: Size of a quantile sketch, and the part of all rows that a quantile's rank is off by at most (with 99 % confidence).
+SKETCH_K, RANK_ERROR = 400, 0.01
+
+
+def sketch_durations(receipts: DataFrame, by: list[str]) -> DataFrame:
+    """``by, n, total, sketch``: a mergeable quantile sketch of recorded durations; give a day among ``by`` and keep the rows.
+
+    A group's values are never held together: tasks sketch what they read, and sketches of a few kilobytes merge.
+    """
+    value = F.col("duration_ms").cast("double")
+    rows = receipts.filter("duration_ms is not null").groupBy(*by)
+    return rows.agg(F.count(F.lit(1)).alias("n"), F.sum("duration_ms").alias("total"), F.kll_sketch_agg_double(value, F.lit(SKETCH_K)).alias("sketch"))
+
+
+def merge_sketches(sketches: DataFrame, by: list[str]) -> DataFrame:
+    """``by, n, total, sketch`` of kept sketches, of any days and batches, merged into fewer groups."""
+    return sketches.groupBy(*by).agg(F.sum("n").alias("n"), F.sum("total").alias("total"), F.kll_merge_agg_double("sketch", F.lit(SKETCH_K)).alias("sketch"))
+
+
+def sketched_stats(sketches: DataFrame, by: list[str]) -> DataFrame:
+    """``by, n, total, p50, p90``: what :func:`duration_stats` gives, its percentiles within RANK_ERROR of their rank."""
+    merged = merge_sketches(sketches, by)
+    p = [F.kll_sketch_get_quantile_double("sketch", F.lit(q)).alias(name) for name, q in (("p50", 0.5), ("p90", 0.9))]
+    return merged.select(*by, "n", "total", *p)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from assayer.operators import search, surrogate
 from assayer.plans.history_queries import spark_sql
 from assayer.plans.registry import query
+from assayer.storage import materialize
 from assayer.plans.verdict_queries import PER_ATTEMPT, attempts
 
 # Runs of an arm: parts of a brand in order of their key.
@@ -126,6 +127,20 @@ def d19_duration_stats(v):
     return stats.withColumn("p90", F.round("p90", 6))
 
 
+@query("""SELECT l_returnflag, count(*) AS n, CAST(sum(CAST(round(l_extendedprice * 100) AS BIGINT)) AS BIGINT) AS total, true AS p50_within, true AS p90_within FROM lineitem GROUP BY l_returnflag""")
+def d19_duration_sketches(v):
+    """Sketches kept by day, in two batches, merged; the share of values below each percentile is within the stated error."""
+    rows = v("lineitem").select("l_returnflag", F.col("l_shipdate").cast("date").alias("day"), F.round(F.col("l_extendedprice") * 100).cast("long").alias("duration_ms"), "l_orderkey")
+    batches = [search.sketch_durations(rows.filter(F.col("l_orderkey") % 2 == k), ["l_returnflag", "day"]) for k in (0, 1)]
+    kept = materialize(batches[0].unionByName(batches[1]), "sketches")
+    stats = search.sketched_stats(kept, ["l_returnflag"])
+    both = rows.join(stats, "l_returnflag").groupBy("l_returnflag", "n", "total", "p50", "p90").agg(
+        *[F.avg((F.col("duration_ms") < F.col(p)).cast("double")).alias(f"{p}_below") for p in ("p50", "p90")],
+        *[F.avg((F.col("duration_ms") <= F.col(p)).cast("double")).alias(f"{p}_upto") for p in ("p50", "p90")])
+    within = lambda p, q: (F.col(f"{p}_below") <= q + search.RANK_ERROR) & (F.col(f"{p}_upto") >= q - search.RANK_ERROR)
+    return both.select("l_returnflag", "n", "total", within("p50", 0.5).alias("p50_within"), within("p90", 0.9).alias("p90_within"))
+
+
 # The fold once more, row by row: a recursive walk along each arm.
 E4 = f"""WITH RECURSIVE o AS (SELECT arm, line, worst, state, row_number() OVER (PARTITION BY arm ORDER BY line) AS n FROM ({RUNS}) r),
 w(arm, line, n, best, last) AS (SELECT arm, line, n, worst, CASE WHEN worst IS NOT NULL THEN n ELSE 0 END FROM o WHERE n = 1
