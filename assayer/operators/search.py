@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from assayer.operators.ordered import scan
 from assayer.storage import materialize
 
 
@@ -228,29 +229,31 @@ def best_so_far(rows: DataFrame, by: list[str], value: str = "worst", tolerance:
 
     A row improves on the best when it exceeds it by more than the tolerance.  Only rows above all before
     them can, so the fold runs over those few, not over the arm; without a tolerance they all do.  The fold
-    streams through sorted rows and holds one row of an arm.
+    streams through sorted rows and holds one row of an arm.  All else along an arm is a :func:`scan` over ranges, so a
+    hot arm is the work of many tasks.  ``by`` and ``line`` name a row.
     """
-    w = Window.partitionBy(*by).orderBy("line")
-    seen = rows.withColumns({"__n": F.row_number().over(w), "__before": F.max(value).over(w.rowsBetween(Window.unboundedPreceding, -1))})
-    peaks = seen.filter(F.col(value).isNotNull() & (F.col("__before").isNull() | (F.col(value) > F.col("__before"))))
-    gains = peaks.select(*by, "__n")
+    seen = scan(rows.select(*by, "line", value), ["line"], by, __n=("sum", F.lit(1)), __before=("highest", F.col(value)))
+    peak = F.col(value).isNotNull() & (F.col("__before").isNull() | (F.col(value) > F.col("__before")))
+    gained = peak
     if tolerance:
+        seen = materialize(seen, "seen")
+        peaks = seen.filter(peak).dropna(subset=by)
 
         def improve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             best = None
             for rows in batches:
-                gained = []
+                better = []
                 for first, v in zip(rows["__first"], rows[value]):
-                    gained.append(first or v > best + tolerance)
-                    best = v if gained[-1] else best
-                yield rows[gained][[*by, "__n"]]
+                    better.append(first or v > best + tolerance)
+                    best = v if better[-1] else best
+                yield rows[better][[*by, "__n"]]
 
-        in_order = peaks.dropna(subset=by).select(*by, "__n", value, F.col("__before").isNull().alias("__first")).repartition(*by).sortWithinPartitions(*by, "__n")
-        gains = in_order.mapInPandas(improve, gains.schema)
-    gains = gains.withColumn("__gain", F.lit(True))
-    marked = seen.join(gains, [*by, "__n"], "left")
-    last = F.last(F.when(F.col("__gain"), F.struct("__n", F.col(value).alias("v"))), ignorenulls=True).over(w)
-    return marked.withColumn("__last", last).select(*by, "line", F.col("__last.v").alias("best"), (F.col("__n") - F.coalesce(F.col("__last.__n"), F.lit(0))).alias("since"))
+        in_order = peaks.select(*by, "__n", value, F.col("__before").isNull().alias("__first")).repartition(*by).sortWithinPartitions(*by, "__n")
+        gains = in_order.mapInPandas(improve, peaks.select(*by, "__n").schema).withColumn("__better", F.lit(True))
+        seen, gained = seen.join(gains, [*by, "__n"], "left"), F.col("__better")
+    marked = seen.withColumn("__gain", F.when(gained, F.struct("__n", F.col(value).alias("v"))))
+    held = scan(marked.select(*by, "line", "__n", "__gain"), ["line"], by, __last=("last", F.col("__gain")))
+    return held.select(*by, "line", F.col("__last.v").alias("best"), (F.col("__n") - F.coalesce(F.col("__last.__n"), F.lit(0))).alias("since"))
 
 
 def patience_exhausted(rows: DataFrame, by: list[str], rounds: int, evaluations: int) -> DataFrame:
@@ -258,9 +261,7 @@ def patience_exhausted(rows: DataFrame, by: list[str], rounds: int, evaluations:
 
     ``rows(by, line, full, since)`` with ``since`` from :func:`best_so_far`.
     """
-    w = Window.partitionBy(*by).orderBy("line").rowsBetween(Window.unboundedPreceding, 0)
-    full = F.sum(F.col("full").cast("int")).over(w)
-    return rows.withColumn("n_full", full).select(*by, "line", F.when(F.col("n_full") == 0, F.col("since") >= rounds).otherwise(F.col("since") >= evaluations).alias("stop"))
+    return scan(rows.select(*by, "line", "full", "since"), ["line"], by, n_full=("sum", F.col("full").cast("int"))).select(*by, "line", F.when(F.col("n_full") == 0, F.col("since") >= rounds).otherwise(F.col("since") >= evaluations).alias("stop"))
 
 
 def refused_then_recovered(outcomes: DataFrame, by: list[str]) -> DataFrame:
@@ -275,7 +276,8 @@ def running_screens(runs: DataFrame, steps: DataFrame) -> DataFrame:
     """``arm, line, kind, number``: a run whose steps are all reused or skipped was screened; numbered within its kind."""
     kinds = steps.groupBy("attempt_id").agg(F.bool_and(F.col("state").isin("reused", "skipped")).alias("screened"))
     rows = runs.join(kinds, "attempt_id").withColumn("kind", F.when(F.col("screened"), "screened").otherwise("full"))
-    return rows.select("arm", "line", "kind", F.row_number().over(Window.partitionBy("arm", "kind").orderBy("line")).alias("number"))
+    numbered = scan(rows.select("arm", "line", "kind"), ["line"], ["arm", "kind"], number=("sum", F.lit(1)))
+    return numbered.withColumn("number", F.col("number").cast("int"))
 
 
 def infer_direction(observations: DataFrame) -> DataFrame:

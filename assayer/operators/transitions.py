@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from assayer.operators.lineage import latest_per_key
+from assayer.operators.ordered import scan
 from assayer.operators.units import violations
 
 # The states of each subject kind, where it begins, and the moves that it allows.
@@ -34,9 +35,9 @@ def initial_state(kind):
 
 
 def with_previous(transitions: DataFrame, order: list[str]) -> DataFrame:
-    """``transitions`` with ``derived_state``: the subject's state before the move."""
-    w = Window.partitionBy("subject_kind", "subject").orderBy(*order)
-    return transitions.withColumn("derived_state", F.coalesce(F.lag("to_state").over(w), initial_state(F.col("subject_kind"))))
+    """``transitions`` with ``derived_state``: the subject's state before the move.  ``order`` ends in a column that tells ties apart."""
+    found = scan(transitions, order, ["subject_kind", "subject"], __previous=("previous", F.col("to_state")))
+    return found.withColumn("derived_state", F.coalesce("__previous", initial_state(F.col("subject_kind")))).drop("__previous")
 
 
 def transition_continuity(transitions: DataFrame, order: list[str]) -> DataFrame:
