@@ -222,9 +222,7 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     if len(languages) < 2:
         return Model(languages, code, np.zeros(((1 << bits) + 1, 0), np.float32), np.ones(code.shape), bits)
     language = np.array([languages.index(x) for x in names])
-    sparse = []
-    for at, times in zip(*(_lists(examples.column(c)) for c in ("at", "times"))):
-        sparse.append((at.astype(np.int64), times / np.sqrt(max(1, times.sum()))))
+    sparse = ngram_model.sparse_rows(examples.column("at"), examples.column("times"))
     aside = np.zeros(len(names), dtype=bool)
     for k in range(len(languages)):
         aside[np.flatnonzero(language == k)[4::5]] = True
@@ -235,12 +233,6 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     return Model(languages, code, weights, _trust(code, margin, language[aside]), bits)
 
 
-def _lists(column: pa.ChunkedArray) -> list[np.ndarray]:
-    whole = column.combine_chunks()
-    values, ends = whole.flatten().to_numpy(), whole.offsets.to_numpy()
-    return [values[a - ends[0] : b - ends[0]] for a, b in zip(ends, ends[1:])]
-
-
 def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", sure: float = SURE) -> DataFrame:
     """``id, held_out, lang_pred, score, ambiguous`` for every row."""
     sent = docs.sparkSession.sparkContext.broadcast(model)  # of a fixed size for a number of languages

@@ -1,8 +1,8 @@
 """Quality classifier: hashed word n-gram logistic regression, scored as sparse dot products.
 
 Training takes a bounded sample of labelled texts (``SAMPLE`` rows, the first by a hash of their id, so
-the same rows whatever the partitioning) and extracts their features in Spark; only those rows' feature
-numbers reach the driver, where the updates run one example at a time, as the method has it.  Scoring
+the same rows whatever the partitioning) and extracts their features in Spark; only those rows' distinct
+feature numbers reach the driver, at most 2 ** BITS a text, where the updates run one example at a time, as the method has it.  Scoring
 covers every whole text, a column at a time.
 
 Defined cases: a null or empty text scores as the bias alone; labels that are null or other than 0
@@ -39,22 +39,23 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
     def extract(batches):
         for batch in batches:
-            found, starts = [], [0]
+            at, times, ends = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [0]
             for _, data, offsets in words.slices(batch.column(1)):
-                f, s = ngram_model.features(data, offsets, bits)
-                found.append(f.astype(np.int32))
-                starts += (starts[-1] + s[1:]).tolist()
-            flat = pa.array(np.concatenate(found) if found else np.zeros(0, np.int32))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.ListArray.from_arrays(pa.array(starts, pa.int32()), flat)], names=["id", "label", "found"])
+                found, starts = ngram_model.features(data, offsets, bits)
+                for begin, end in zip(starts, starts[1:]):
+                    number, many = np.unique(found[begin:end], return_counts=True)
+                    at.append(number)
+                    times.append(many)
+                    ends.append(ends[-1] + len(number))
+            lists = [pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(x), pa.int32())) for x in (at, times)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *lists], names=["id", "label", "at", "times"])
 
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    rows = texts.join(F.broadcast(picked), "id").select(F.col("id").cast("string"), "text", "label").mapInArrow(extract, "id string, label int, found array<int>")
+    rows = texts.join(F.broadcast(picked), "id").select(F.col("id").cast("string"), "text", "label").mapInArrow(extract, "id string, label int, at array<int>, times array<int>")
     examples = rows.toArrow().sort_by([("id", "ascending"), ("label", "ascending")])
-    found = examples.column("found").combine_chunks()
-    values, ends = found.flatten().to_numpy(), found.offsets.to_numpy()
-    ends = ends - ends[0] if len(ends) else ends
-    parts = [(values[a:b], label) for a, b, label in zip(ends, ends[1:], examples.column("label").to_pylist())]
-    return ngram_model.train(parts, bits).astype(np.float32)
+    sparse = ngram_model.sparse_rows(examples.column("at"), examples.column("times"))
+    labels = np.array(examples.column("label").to_pylist(), dtype=np.int64).reshape(-1, 1)
+    return ngram_model.train_sparse(sparse, labels, bits)[:, 0].astype(np.float32)
 
 
 def scorer(docs: DataFrame, weights: np.ndarray, bits: int = BITS) -> Callable[[Column], Column]:
