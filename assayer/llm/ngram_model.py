@@ -101,16 +101,6 @@ def train_sparse(rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray,
     return model.weights()
 
 
-def sparse_rows(at: pa.ChunkedArray, times: pa.ChunkedArray) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Distinct feature numbers of each row with their values, from lists of numbers and of how often each occurs."""
-    lists = []
-    for column in (at, times):
-        whole = column.combine_chunks()
-        values, ends = whole.flatten().to_numpy(), whole.offsets.to_numpy()
-        lists.append([values[a - ends[0] : b - ends[0]] for a, b in zip(ends, ends[1:])])
-    return [(number.astype(np.int64), many / np.sqrt(max(1, many.sum()))) for number, many in zip(*lists)]
-
-
 def train(examples: list[tuple[np.ndarray, int]], bits: int, passes: int = 4, seed: int = 5) -> np.ndarray:
     """Weights (bias last) of one model from ``(feature numbers with repeats, label)``."""
     labels = np.array([label for _, label in examples], dtype=np.int64).reshape(-1, 1)
