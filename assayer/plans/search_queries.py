@@ -186,37 +186,78 @@ def k1_feature_table(v):
 
 
 FEATURES = ["l_quantity", "l_discount", "l_tax"]
+RESAMPLES = 16
+#: A draw of a line for a resample by integer arithmetic, which SQL writes alike.
+DRAW = "((((l_orderkey * 10 + l_linenumber) % 1000003 * 7919 + resample * 104729) * 48271 % 2147483647 * 16807 % 2147483647) + 0.5) / 2147483647.0"
 
 
 def _samples(v):
-    return v("lineitem").select(F.expr("l_orderkey * 10 + l_linenumber").alias("candidate"), (F.col("l_linenumber").cast("string")).alias("requirement"), *FEATURES, F.ln("l_extendedprice").alias("y"))
+    return v("lineitem").select("l_orderkey", "l_linenumber", F.col("l_orderkey").alias("candidate"), F.col("l_linenumber").cast("string").alias("requirement"), *FEATURES, F.ln("l_extendedprice").alias("y"))
 
 
 def _models(v):
     return surrogate.ridge_by_requirement(_samples(v), FEATURES, "y", ["requirement"], 1.0)
 
 
-@query()
+def _ridge_sql(rows: str, by: str, name: str) -> str:
+    """The regressions of ``rows(by, w, x1, x2, x3, y)`` as CTEs that end in ``name(by, n, intercept, c1..c3, m1..m3, d1..d3)``, solved by determinants."""
+    x = ["1", "x1", "x2", "x3", "y"]
+    sums = ", ".join(f"sum(w * {x[i]} * {x[j]}) AS s{i}{j}" for i in range(5) for j in range(i, 5))
+    means = ", ".join(f"s0{i} / s00 AS m{i}" for i in (1, 2, 3))
+    scales = ", ".join(f"CASE WHEN sqrt(greatest(s{i}{i} / s00 - m{i} * m{i}, 0)) > 1e-9 THEN sqrt(greatest(s{i}{i} / s00 - m{i} * m{i}, 0)) ELSE 1.0 END AS d{i}" for i in (1, 2, 3))
+    system = ", ".join(f"(s{i}{j} / s00 - m{i} * m{j}) / (d{i} * d{j}) * s00 + {1.0 if i == j else 0.0} AS a{i}{j}" for i in (1, 2, 3) for j in range(i, 4))
+    right = ", ".join(f"(s{i}4 / s00 - m{i} * s04 / s00) / d{i} * s00 AS b{i}" for i in (1, 2, 3))
+
+    def det(a, b, c):  # columns of three
+        return " + ".join(f"{a[i]} * ({b[j]} * {c[k]} - {b[k]} * {c[j]})" for i, j, k in ((0, 1, 2), (1, 2, 0), (2, 0, 1)))
+
+    columns = [[f"a{min(i, j)}{max(i, j)}" for i in (1, 2, 3)] for j in (1, 2, 3)]
+    solved = ", ".join(f"({det(*[['b1', 'b2', 'b3'] if k == j else columns[k] for k in range(3)])}) / ({det(*columns)}) AS c{j + 1}" for j in range(3))
+    return f"""{name}_g AS (SELECT {by}, count(*) AS n, {sums} FROM {rows} GROUP BY {by}), {name}_m AS (SELECT *, {means} FROM {name}_g WHERE n >= 5 AND s00 > 0), {name}_d AS (SELECT *, {scales} FROM {name}_m), {name}_a AS (SELECT *, {system}, {right} FROM {name}_d),
+{name} AS (SELECT {by}, n, s04 / s00 AS intercept, {solved}, m1, m2, m3, d1, d2, d3 FROM {name}_a)"""
+
+
+LINES = "SELECT l_orderkey, l_linenumber, l_orderkey AS candidate, CAST(l_linenumber AS VARCHAR) AS requirement, l_quantity AS x1, l_discount AS x2, l_tax AS x3, ln(l_extendedprice) AS y FROM lineitem"
+POINT = f"WITH l AS ({LINES}), p AS (SELECT *, 1.0 AS w FROM l), {_ridge_sql('p', 'requirement', 'm')}"
+BY_FEATURE = " UNION ALL ".join(f"SELECT *, '{f}' AS feature, c{i} AS coef, m{i} AS mean, d{i} AS scale FROM m" for i, f in enumerate(FEATURES, 1))
+
+
+@query(f"{POINT} SELECT requirement, n, round(intercept, 6) AS intercept, feature, round(coef, 6) AS coef, round(mean, 6) AS mean, round(scale, 6) AS scale FROM ({BY_FEATURE}) f")
 def k2_ridge_by_requirement(v):
-    return _models(v)
+    named = F.array(*map(F.lit, FEATURES)).alias("feature")
+    rows = _models(v).select("requirement", "n", "intercept", F.inline(F.arrays_zip(named, "coef", "mean", "scale")))
+    return rows.withColumns({c: F.round(c, 6) for c in ("intercept", "coef", "mean", "scale")})
 
 
 def _spread(v):
-    models = surrogate.bootstrap_models(_samples(v), "candidate", FEATURES, "y", ["requirement"], 16)
-    return surrogate.bootstrap_spread(_samples(v), models, FEATURES)
+    resampled = surrogate.bootstrap_models(_samples(v), "candidate", FEATURES, "y", ["requirement"], RESAMPLES, draw=F.expr(DRAW.replace("2147483647.0", "2147483647.0D").replace("0.5", "0.5D")))
+    return surrogate.bootstrap_spread(_samples(v), _models(v), resampled, FEATURES)
+
+
+def _value(m: str) -> str:
+    return f"{m}.intercept + " + " + ".join(f"(x{i} - {m}.m{i}) / {m}.d{i} * {m}.c{i}" for i in (1, 2, 3))
+
+
+COUNT = " + ".join(f"CASE WHEN u > {t!r}::DOUBLE THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END" for t in surrogate.poisson_thresholds())
+#: Every line's prediction by the model and, one resample after the other, their standard deviation.
+SPREAD = f"""{POINT}, e AS (SELECT *, {DRAW.replace('0.5', '0.5::DOUBLE').replace('2147483647.0', '2147483647.0::DOUBLE')} AS u FROM l, (SELECT unnest(range(1, {RESAMPLES + 1})) AS resample) r), q AS (SELECT *, {COUNT} AS w FROM e), {_ridge_sql('q', 'requirement, resample', 'b')},
+v AS (SELECT row_number() OVER () AS row_id, * FROM l), t AS (SELECT row_id, stddev_pop({_value('b')}) AS std FROM v JOIN b USING (requirement) GROUP BY row_id),
+spread AS (SELECT v.candidate, v.requirement, {_value('m')} AS mean_log, t.std FROM v JOIN m USING (requirement) JOIN t USING (row_id))"""
 
 
-@query()
+@query(f"{SPREAD} SELECT candidate, requirement, round(mean_log, 4) AS mean_log, round(std, 4) AS std FROM spread")
 def k3_bootstrap_spread(v):
-    return _spread(v)
+    return _spread(v).withColumns({c: F.round(c, 4) for c in ("mean_log", "std")})
 
 
-@query()
+@query(f"""{SPREAD}, g AS (SELECT candidate, requirement, CASE WHEN CAST(requirement AS INT) % 2 = 0 THEN 40000.0 - exp(mean_log) ELSE exp(mean_log) - 40000.0 END AS margin, exp(mean_log) * std AS std FROM spread)
+SELECT candidate, round(w.margin + 0.5 * w.std, 2) AS score, w.requirement AS binding FROM (SELECT candidate, min({{'margin': margin, 'std': std, 'requirement': requirement}}) AS w FROM g GROUP BY candidate) x""")
 def k4_score_pool(v):
-    specs = v("lineitem").select(F.col("l_linenumber").cast("string").alias("requirement")).distinct().withColumns({"limit": F.lit(40_000.0), "direction": F.when(F.col("requirement") % 2 == 0, "upper").otherwise("lower")})
-    return surrogate.score_pool(surrogate.predict_margins(_spread(v), specs), 0.5)
+    direction = F.when(F.col("requirement").cast("int") % 2 == 0, "upper").otherwise("lower")
+    specs = v("lineitem").select(F.col("l_linenumber").cast("string").alias("requirement")).distinct().withColumns({"limit": F.lit(40_000.0), "direction": direction})
+    return surrogate.score_pool(surrogate.predict_margins(_spread(v), specs), 0.5).withColumn("score", F.round("score", 2))
 
 
-@query()
+@query(f"{POINT} SELECT requirement, feature, round(coef / scale, 6) AS slope FROM ({BY_FEATURE}) f")
 def k5_sensitivity(v):
-    return surrogate.sensitivity(_models(v), FEATURES, ["requirement"])
+    return surrogate.sensitivity(_models(v), FEATURES, ["requirement"]).withColumn("slope", F.round("slope", 6))

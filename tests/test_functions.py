@@ -79,7 +79,7 @@ def test_ridge_agrees_with_numpy(spark):
     assert np.allclose(m.coef, np.linalg.solve(z.T @ z + 2 * np.eye(2), z.T @ (y - y.mean()))) and np.isclose(m.intercept, y.mean())
     models = surrogate.bootstrap_models(df, "k", ["a", "b"], "y", ["requirement"], 16)
     assert models.filter("requirement = 'r'").count() == 16
-    weights = df.select(surrogate.poisson_weight(F.concat_ws("/", F.lit("1"), F.col("k").cast("string"))).alias("w"))
+    weights = df.select(surrogate.poisson_count(surrogate.hashed_draw(F.concat_ws("/", F.lit("1"), F.col("k").cast("string")))).alias("w"))
     assert 0.5 < weights.agg(F.avg("w")).first()[0] < 1.6
     slopes = {r.feature: r.slope for r in surrogate.sensitivity(spark.createDataFrame([m]), ["a", "b"], ["requirement"]).collect()}
     assert abs(slopes["a"] - 0.5) < 0.1 and abs(slopes["b"] + 0.2) < 0.05
