@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -13,10 +12,6 @@ from assayer.operators.ordered import scan
 from assayer.storage import materialize
 
 
-#: Points compared with as many others at once.
-FRONT_BLOCK = 512
-
-
 def run_outcomes(verdicts: DataFrame, runs: DataFrame) -> DataFrame:
     """``arm, line, attempt_id, all_pass, metric, worst`` per run; arms are cases."""
     found = verdicts.groupBy("attempt_id").agg(F.bool_and(F.col("status") == "pass").alias("all_pass"), F.max("margin").alias("metric"), F.min("margin").alias("worst"))
@@ -85,53 +80,6 @@ def pareto_front(df: DataFrame, x: str, y: str, by: list[str] | None = None) ->
     return rows.join(front.select(*by, x, F.col("__y").alias(y)), [*by, x, y], "left_semi")
 
 
-def _front(points: np.ndarray) -> np.ndarray:
-    """Which of distinct rows no other row beats; in order of their sums a row can only be beaten by earlier ones.
-
-    Blocks of rows meet blocks of the front so far, then each other.
-    """
-
-    def beaten(rows: np.ndarray, by: np.ndarray) -> np.ndarray:
-        return ((by[None] <= rows[:, None]).all(axis=2) & (by[None] < rows[:, None]).any(axis=2)).any(axis=1)
-
-    good = np.zeros(len(points), dtype=bool)
-    order, front = np.argsort(points.sum(axis=1), kind="stable"), []
-    for at in range(0, len(order), FRONT_BLOCK):
-        left = order[at : at + FRONT_BLOCK]
-        for block in front:
-            left = left[~beaten(points[left], points[block])]
-        left = left[~beaten(points[left], points[left])]
-        good[left] = True
-        front.append(left)
-    return good
-
-
-def pareto_front_nd(df: DataFrame, columns: list[str], partitions: int = 64) -> DataFrame:
-    """The front on any number of minimised columns.
-
-    Each partition of distinct points keeps its own front; survivors meet in ever fewer partitions, so the
-    last one sees fronts only.
-    """
-    rows = df.dropna(subset=columns)
-    points = rows.select(*[F.col(c).cast("double").alias(c) for c in columns]).distinct()
-
-    def keep(batches):
-        parts = [b for b in batches if len(b)]
-        if parts:
-            every = pd.concat(parts)
-            yield every[_front(every[columns].to_numpy())]
-
-    n = partitions
-    while True:
-        points = points.repartition(n).mapInPandas(keep, points.schema)
-        if n == 1:
-            break
-        n = max(1, n // 8)
-    doubled = rows.withColumns({f"__{c}": F.col(c).cast("double") for c in columns})
-    front = points.select(*[F.col(c).alias(f"__{c}") for c in columns])
-    return doubled.join(front, [f"__{c}" for c in columns], "left_semi").select(*df.columns)
-
-
 #: Materials of a grid at most: the grid has the square of their number in rows.
 MOST_MATERIALS = 5000
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from assayer.operators import search, surrogate
+from assayer.operators import search, skyline, surrogate
 from assayer.plans.history_queries import spark_sql
 from assayer.plans.registry import query
 from assayer.storage import materialize
@@ -57,7 +57,7 @@ def c16_pareto_front(v):
 
 @query("SELECT id, x, y, id % 97 AS z FROM f_front a WHERE NOT EXISTS (SELECT 1 FROM f_front b WHERE b.x <= a.x AND b.y <= a.y AND b.id % 97 <= a.id % 97 AND (b.x < a.x OR b.y < a.y OR b.id % 97 < a.id % 97))")
 def c16_pareto_front_nd(v):
-    return search.pareto_front_nd(v("f_front").select("id", "x", "y", (F.col("id") % 97).alias("z")), ["x", "y", "z"])
+    return skyline.pareto_front_nd(v("f_front").select("id", "x", "y", (F.col("id") % 97).alias("z")), ["x", "y", "z"])
 
 
 @query("""WITH m AS (SELECT DISTINCT p_brand AS material FROM part), a AS (SELECT unnest([1, 2, 3, 5]) AS n)

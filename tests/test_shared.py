@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from assayer import storage
 from assayer.functions import numbers
-from assayer.operators import search, verdicts
+from assayer.operators import search, skyline, verdicts
 from assayer.operators.ordered import number_rows
 from assayer.operators.skew import join_counted
 from assayer.sources import files
@@ -116,10 +116,10 @@ def test_sql_functions(spark):
 
 @pytest.mark.parametrize("block", [3, 512])
 def test_fronts_match_all_pairs(spark, block, monkeypatch):
-    monkeypatch.setattr(search, "FRONT_BLOCK", block)
+    monkeypatch.setattr(skyline, "AT_ONCE", block)
     rng = np.random.default_rng(block)
     points = rng.integers(0, 12, (150, 3))
-    kept = search._front(np.unique(points, axis=0).astype(float))
+    kept = skyline.front(np.unique(points, axis=0).astype(float))
     distinct = np.unique(points, axis=0)
     want = [not any((q <= p).all() and (q < p).any() for q in distinct) for p in distinct]
     assert kept.tolist() == want
