@@ -15,14 +15,19 @@ SAFE_INTEGER = 2**53 - 1
 STRINGS = r'"(?:[^"\\]|\\.)*"'
 
 
-def _is_nfc(text: Column) -> Column:
-    """Whether texts are in Unicode normal form C; only texts beyond ASCII reach Python."""
+def nfc_check():
+    """Whether texts are in Unicode normal form C."""
 
     def check(texts: pd.Series) -> pd.Series:
         return texts.map(lambda t: None if t is None else unicodedata.is_normalized("NFC", t)).astype("boolean")
 
+    return F.pandas_udf(check, "boolean")
+
+
+def _is_nfc(text: Column) -> Column:
+    """Only texts beyond ASCII reach Python."""
     beyond = F.octet_length(text) != F.char_length(text)
-    return F.coalesce(F.pandas_udf(check, "boolean")(F.when(beyond, text)), F.lit(True))
+    return F.coalesce(nfc_check()(F.when(beyond, text)), F.lit(True))
 
 
 def json_problem(text: Column) -> Column:

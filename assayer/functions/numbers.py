@@ -27,24 +27,37 @@ def number_problem(text: Column) -> Column:
     )
 
 
-def lower_decimal(text: Column) -> Column:
-    """An authored decimal, exponent and all, as canonical plain decimal; null if it is none."""
-    negative = text.startswith("-")
-    whole = F.regexp_extract(text, r"^-?([0-9]+)", 1)
-    part = F.regexp_extract(text, r"\.([0-9]+)", 1)
-    exponent = F.coalesce(F.regexp_extract(text, r"[eE]([+-]?[0-9]+)$", 1).try_cast("int"), F.lit(0))
-    digits = F.concat(whole, part)
-    lead = F.ltrim(digits, F.lit("0"))
-    place = F.length(whole) + exponent - (F.length(digits) - F.length(lead))
-    kept = F.rtrim(lead, F.lit("0"))
+def _pieces(text: Column) -> dict[str, Column]:
+    """Digits before and behind the point, and the exponent."""
+    return {
+        "whole": F.regexp_extract(text, r"^-?([0-9]+)", 1), "part": F.regexp_extract(text, r"\.([0-9]+)", 1),
+        "exponent": F.coalesce(F.regexp_extract(text, r"[eE]([+-]?[0-9]+)$", 1).try_cast("int"), F.lit(0)),
+    }
+
+
+def _place(whole: Column, exponent: Column, digits: Column, lead: Column) -> Column:
+    """Where the point stands behind the first digit that is not zero."""
+    return F.length(whole) + exponent - (F.length(digits) - F.length(lead))
+
+
+def _plain(text: Column, problem: Column, place: Column, kept: Column) -> Column:
+    """The canonical text of significant digits with the point at a place."""
     n = F.length(kept)
     plain = (
         F.when(place <= 0, F.concat(F.lit("0."), F.repeat(F.lit("0"), -place), kept))
         .when(place >= n, F.concat(kept, F.repeat(F.lit("0"), place - n)))
         .otherwise(F.concat(F.substring(kept, F.lit(1), place), F.lit("."), F.substring(kept, place + 1, n)))
     )
-    good = number_problem(text).isNull()
-    return F.when(good & (kept == ""), "0").when(good, F.concat(F.when(negative, "-").otherwise(""), plain))
+    good = problem.isNull()
+    return F.when(good & (kept == ""), "0").when(good, F.concat(F.when(text.startswith("-"), "-").otherwise(""), plain))
+
+
+def lower_decimal(text: Column) -> Column:
+    """An authored decimal, exponent and all, as canonical plain decimal; null if it is none."""
+    p = _pieces(text)
+    digits = F.concat(p["whole"], p["part"])
+    lead = F.ltrim(digits, F.lit("0"))
+    return _plain(text, number_problem(text), _place(p["whole"], p["exponent"], digits, lead), F.rtrim(lead, F.lit("0")))
 
 
 def is_canonical(text: Column) -> Column:
@@ -57,23 +70,12 @@ def with_lowered(df: DataFrame, column: str, out: str, problem: str | None = Non
     Each part is a column before it is looked at twice, so that the expression does not multiply.
     """
     c, p = F.col(column), {k: f"__{out}_{k}" for k in ("problem", "whole", "part", "exponent", "digits", "lead", "place", "kept")}
-    df = df.withColumns({
-        p["problem"]: number_problem(c), p["whole"]: F.regexp_extract(c, r"^-?([0-9]+)", 1), p["part"]: F.regexp_extract(c, r"\.([0-9]+)", 1),
-        p["exponent"]: F.coalesce(F.regexp_extract(c, r"[eE]([+-]?[0-9]+)$", 1).try_cast("int"), F.lit(0)),
-    })
+    df = df.withColumns({p["problem"]: number_problem(c), **{p[k]: piece for k, piece in _pieces(c).items()}})
     df = df.withColumn(p["digits"], F.concat(p["whole"], p["part"]))
     df = df.withColumn(p["lead"], F.ltrim(p["digits"], F.lit("0")))
-    place = F.length(p["whole"]) + F.col(p["exponent"]) - (F.length(p["digits"]) - F.length(p["lead"]))
+    place = _place(*[F.col(p[k]) for k in ("whole", "exponent", "digits", "lead")])
     df = df.withColumns({p["place"]: place, p["kept"]: F.rtrim(p["lead"], F.lit("0"))})
-    place, kept = F.col(p["place"]), F.col(p["kept"])
-    n = F.length(kept)
-    plain = (
-        F.when(place <= 0, F.concat(F.lit("0."), F.repeat(F.lit("0"), -place), kept))
-        .when(place >= n, F.concat(kept, F.repeat(F.lit("0"), place - n)))
-        .otherwise(F.concat(F.substring(kept, F.lit(1), place), F.lit("."), F.substring(kept, place + 1, n)))
-    )
-    good = F.col(p["problem"]).isNull()
-    lowered = F.when(good & (kept == ""), "0").when(good, F.concat(F.when(c.startswith("-"), "-").otherwise(""), plain))
+    lowered = _plain(c, F.col(p["problem"]), F.col(p["place"]), F.col(p["kept"]))
     found = {out: lowered} if problem is None else {out: lowered, problem: F.col(p["problem"])}
     return df.withColumns(found).drop(*p.values())
 
@@ -139,7 +141,15 @@ def reduced(a: Column) -> Column:
     """A rational in lowest terms, by Euclid's algorithm over a bounded number of steps (184 serve 38 digits)."""
     start = F.struct(_size(a["num"]).cast(EXACT).alias("x"), a["den"].cast(EXACT).alias("y"))
     step = lambda s, _: F.when(s["y"] == 0, s).otherwise(F.struct(s["y"].alias("x"), (s["x"] % s["y"]).cast(EXACT).alias("y")))
-    g = F.aggregate(F.sequence(F.lit(1), F.lit(184)), start, step)["x"]
+
+    def divisor(state: Column, stages: tuple[int, ...]) -> Column:
+        """Most pairs are done in the first stage; the array of one names its end, and later stages run only where it is open."""
+        end = F.aggregate(F.sequence(F.lit(1), F.lit(stages[0])), state, step)
+        if len(stages) == 1:
+            return end["x"]
+        return F.transform(F.array(end), lambda s: F.when(s["y"] == 0, s["x"]).otherwise(divisor(s, stages[1:])))[0]
+
+    g = divisor(start, (16, 32, 136))
     half = F.lit("1" + "0" * 19).cast(EXACT)
 
     def whole(n: Column, d: Column) -> Column:
@@ -161,6 +171,21 @@ def reduced(a: Column) -> Column:
     return F.when(a.isNotNull(), F.when(a["num"] == 0, rational(F.lit(0), F.lit(1))).otherwise(found))
 
 
+def far_cmp():
+    """The comparison of rationals by whole integers, given as four texts; null for null."""
+
+    def one(w, x, y, z):
+        if None in (w, x, y, z):
+            return None
+        a, b = Fraction(int(w), int(x)), Fraction(int(y), int(z))
+        return (a > b) - (a < b)
+
+    def whole(an: pd.Series, ad: pd.Series, bn: pd.Series, bd: pd.Series) -> pd.Series:
+        return pd.Series([one(*q) for q in zip(an, ad, bn, bd)], dtype="Int32")
+
+    return F.pandas_udf(whole, "int")
+
+
 def exact_cmp(a: Column, b: Column) -> Column:
     """-1, 0 or 1; by signs, then by cross products, and by whole integers only where those exceed 38 digits."""
     sa, sb = F.signum(a["num"]), F.signum(b["num"])
@@ -168,11 +193,7 @@ def exact_cmp(a: Column, b: Column) -> Column:
     over = left.isNull() | right.isNull()
     text = lambda c: F.when(over & (sa == sb), c.cast("string"))
 
-    def whole(an: pd.Series, ad: pd.Series, bn: pd.Series, bd: pd.Series) -> pd.Series:
-        out = [None if w is None else (Fraction(int(w), int(x)) > Fraction(int(y), int(z))) - (Fraction(int(w), int(x)) < Fraction(int(y), int(z))) for w, x, y, z in zip(an, ad, bn, bd)]
-        return pd.Series(out, dtype="Int32")
-
-    far = F.pandas_udf(whole, "int")(text(a["num"]), text(a["den"]), text(b["num"]), text(b["den"]))
+    far = far_cmp()(text(a["num"]), text(a["den"]), text(b["num"]), text(b["den"]))
     return F.when(sa != sb, F.when(sa < sb, -1).otherwise(1)).when(~over, F.when(left < right, -1).when(left > right, 1).otherwise(0)).otherwise(far)
 
 
@@ -257,11 +278,3 @@ def not_after_passed(not_after: Column, at: Column) -> Column:
 
 def flag_lapsed(df: DataFrame, deadline: str, not_after: str, now: Column) -> DataFrame:
     return df.withColumns({"lapsed": timestamp_lapsed(F.col(deadline), now), "expired": not_after_passed(F.col(not_after), now)})
-
-
-def register_sql(spark) -> None:
-    """Make the scalar helpers callable from SQL."""
-    spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION is_authored_decimal(t STRING) RETURNS BOOLEAN RETURN t IS NOT NULL AND t RLIKE r'{AUTHORED}'")
-    spark.sql("CREATE OR REPLACE TEMPORARY FUNCTION timestamp_lapsed(deadline TIMESTAMP, now TIMESTAMP) RETURNS BOOLEAN RETURN deadline < now")
-    spark.sql("CREATE OR REPLACE TEMPORARY FUNCTION not_after_passed(not_after TIMESTAMP, at TIMESTAMP) RETURNS BOOLEAN RETURN at >= not_after")
-    spark.sql("CREATE OR REPLACE TEMPORARY FUNCTION content_identity(canonical STRING) RETURNS STRING RETURN concat('sha256:', sha2(canonical, 256))")

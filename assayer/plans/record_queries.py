@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from assayer.functions import udtfs
+from assayer.functions import sql
 from assayer.operators import compare, integrity, lineage, summaries, verdicts
 from assayer.plans.history_queries import ASSESSMENTS, MOVES, REV_RUNS, REVISIONS, compare_sql, sides, spark_sql
 from assayer.plans.integrity_queries import _written_log
@@ -129,12 +129,37 @@ def core_explain(v):
 @query("""SELECT event_id, '' AS pointer, 'object' AS type FROM events UNION ALL SELECT event_id, '/k', 'integer' FROM events""")
 def m_flatten_json_lateral(v):
     events = v("events").select("event_id", "props")
-    udtfs.register(events.sparkSession)
+    sql.register(events.sparkSession)
     return events.sparkSession.sql("SELECT e.event_id, f.pointer, f.type FROM {events} e, LATERAL flatten_json(e.props) f", events=events)
 
 
 @query("""SELECT event_id, '/k' AS pointer, 'replaced' AS change FROM events WHERE CAST(json_extract_string(props, '$.k') AS BIGINT) <> 5 UNION ALL SELECT event_id, '/x', 'added' FROM events""")
 def m_diff_states_lateral(v):
     events = v("events").select("event_id", "props").withColumn("after", F.lit('{"k": 5, "x": [1]}'))
-    udtfs.register(events.sparkSession)
+    sql.register(events.sparkSession)
     return events.sparkSession.sql("SELECT e.event_id, d.pointer, d.change FROM {events} e, LATERAL diff_states(e.props, e.after) d", events=events)
+
+
+#: Every line's numbers by the SQL names of exact, interval and three-valued functions.
+NAMED = """SELECT l_orderkey, l_linenumber, lower_decimal(spelled) AS canonical, number_problem(concat('+', spelled)) AS problem, x.num AS sum_num, x.den AS sum_den, y.num AS quotient_num, y.den AS quotient_den,
+ exact_cmp(a, b) AS cmp, i.lower AS lower, i.upper AS upper, j.lower AS product_lower, kleene_and(p, q) AS both, kleene_or(p, kleene_not(q)) AS either, content_identity(canonical_json(doc)) AS identity
+FROM (SELECT *, exact_add(a, b) AS x, exact_div(a, b) AS y, interval_sub(u, w) AS i, interval_mul(u, w, 'area') AS j FROM
+ (SELECT l_orderkey, l_linenumber, concat('0', CAST(CAST(l_quantity AS INT) AS STRING), '.', CAST(l_linenumber AS STRING), '0e2') AS spelled,
+  decimal_to_rational(lower_decimal(concat(CAST(l_partkey AS STRING), 'e-2'))) AS a, rational(CAST(l_suppkey - 40 AS DECIMAL(38,0)), CAST(l_linenumber AS DECIMAL(38,0))) AS b,
+  exact_interval(CAST(-l_linenumber AS DECIMAL(38,0)), CAST(l_partkey AS DECIMAL(38,0)), 'length') AS u, exact_interval(CAST(l_linenumber AS DECIMAL(38,0)), CAST(l_linenumber + 3 AS DECIMAL(38,0)), CASE WHEN l_returnflag = 'A' THEN 'mass' ELSE 'length' END) AS w,
+  CASE WHEN l_returnflag <> 'N' THEN l_returnflag = 'A' END AS p, CASE WHEN l_linenumber > 2 THEN l_linenumber > 4 END AS q, concat('{"b": ', CAST(l_partkey AS STRING), ', "a": [true, null]}') AS doc FROM {lines}))"""
+
+
+@query("""SELECT l_orderkey, l_linenumber, CAST(CAST(l_quantity AS BIGINT) * 100 + l_linenumber * 10 AS VARCHAR) AS canonical, 'leading_plus' AS problem,
+ CASE WHEN den = k THEN l_partkey / div + s ELSE l_partkey / div * k + s * den END AS sum_num, CASE WHEN den = k THEN den ELSE den * k END AS sum_den,
+ CASE WHEN s <> 0 THEN l_partkey / div * k * sign(s) END AS quotient_num, CASE WHEN s <> 0 THEN den * abs(s) END AS quotient_den, CAST(sign(l_partkey * k - s * 100) AS INTEGER) AS cmp,
+ CASE WHEN l_returnflag <> 'A' THEN -2 * k - 3 END AS lower, CASE WHEN l_returnflag <> 'A' THEN l_partkey - k END AS upper, -k * (k + 3) AS product_lower, p AND q AS both, p OR NOT q AS either,
+ 'sha256:' || sha256('{"a":[true,null],"b":' || CAST(l_partkey AS VARCHAR) || '}') AS identity
+FROM (SELECT *, CASE WHEN l_partkey % 100 = 0 THEN 1 WHEN l_partkey % 10 = 0 THEN 10 ELSE 100 END AS den, CAST(100 / CASE WHEN l_partkey % 100 = 0 THEN 1 WHEN l_partkey % 10 = 0 THEN 10 ELSE 100 END AS BIGINT) AS div, l_suppkey - 40 AS s, CAST(l_linenumber AS BIGINT) AS k,
+ CASE WHEN l_returnflag <> 'N' THEN l_returnflag = 'A' END AS p, CASE WHEN l_linenumber > 2 THEN l_linenumber > 4 END AS q FROM lineitem) x""".replace("l_partkey / div", "l_partkey // div"))
+def m_exact_functions(v):
+    lines = v("lineitem")
+    sql.register(lines.sparkSession)
+    found = lines.sparkSession.sql(NAMED.replace("{", "{{").replace("}", "}}").replace("{{lines}}", "{lines}"), lines=lines)
+    whole = ["sum_num", "sum_den", "quotient_num", "quotient_den", "lower", "upper", "product_lower"]
+    return found.withColumns({c: F.col(c).cast("long") for c in whole})

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from assayer import storage
-from assayer.functions import numbers
+from assayer.functions import numbers, sql
 from assayer.operators import search, skyline, verdicts
 from assayer.operators.ordered import number_rows
 from assayer.operators.skew import join_counted
@@ -105,7 +105,7 @@ def test_staged_numbers_are_those_of_the_expression(spark):
 
 
 def test_sql_functions(spark):
-    numbers.register_sql(spark)
+    sql.register(spark)
     row = spark.sql("""SELECT is_authored_decimal('1.5e3') AS a, is_authored_decimal('x') AS b, is_authored_decimal(NULL) AS c, content_identity('{}') AS d,
       timestamp_lapsed(TIMESTAMP'2024-01-01', TIMESTAMP'2024-01-02') AS e, not_after_passed(TIMESTAMP'2024-01-01', TIMESTAMP'2024-01-01') AS f""").first()
     import hashlib
