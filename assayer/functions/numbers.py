@@ -137,19 +137,29 @@ def exact_div(a: Column, b: Column) -> Column:
     return F.when(b["num"] != 0, _checked(_mul(_mul(a["num"], b["den"]), flip), _mul(a["den"], _size(b["num"]))))
 
 
-def reduced(a: Column) -> Column:
-    """A rational in lowest terms, by Euclid's algorithm over a bounded number of steps (184 serve 38 digits)."""
-    start = F.struct(_size(a["num"]).cast(EXACT).alias("x"), a["den"].cast(EXACT).alias("y"))
-    step = lambda s, _: F.when(s["y"] == 0, s).otherwise(F.struct(s["y"].alias("x"), (s["x"] % s["y"]).cast(EXACT).alias("y")))
-
-    def divisor(state: Column, stages: tuple[int, ...]) -> Column:
-        """Most pairs are done in the first stage; the array of one names its end, and later stages run only where it is open."""
-        end = F.aggregate(F.sequence(F.lit(1), F.lit(stages[0])), state, step)
-        if len(stages) == 1:
-            return end["x"]
-        return F.transform(F.array(end), lambda s: F.when(s["y"] == 0, s["x"]).otherwise(divisor(s, stages[1:])))[0]
-
-    g = divisor(start, (16, 32, 136))
+def _named(value: Column, use) -> Column:
+    """``use`` of a value that is found once: the array of one names it."""
+    return F.transform(F.array(value), use)[0]
+
+
+def _divisor(x: Column, y: Column, kind: str, steps: tuple[int, ...]) -> Column:
+    """Greatest common divisor by Euclid's algorithm.  Most pairs are done in the first steps; later ones run where it is open."""
+    step = lambda s, _: F.when(s["y"] == 0, s).otherwise(F.struct(s["y"].alias("x"), (s["x"] % s["y"]).cast(kind).alias("y")))
+    end = F.aggregate(F.sequence(F.lit(1), F.lit(steps[0])), F.struct(x.cast(kind).alias("x"), y.cast(kind).alias("y")), step)
+    if len(steps) == 1:
+        return end["x"]
+    return _named(end, lambda s: F.when(s["y"] == 0, s["x"]).otherwise(_divisor(s["x"], s["y"], kind, steps[1:])))
+
+
+def _long_lowest(r: Column) -> Column:
+    """The lowest terms of a rational of at most 18 digits, in 64-bit integers (90 steps serve them)."""
+    num, den = r["num"].cast("long"), r["den"].cast("long")
+    whole = lambda n, g: F.call_function("div", n, g)
+    return _named(_divisor(F.abs(num), den, "long", (16, 74)), lambda g: rational(whole(num, g), whole(den, g)))
+
+
+def _wide_lowest(r: Column) -> Column:
+    """The lowest terms of a rational of up to 38 digits (184 steps serve them)."""
     half = F.lit("1" + "0" * 19).cast(EXACT)
 
     def whole(n: Column, d: Column) -> Column:
@@ -162,13 +172,22 @@ def reduced(a: Column) -> Column:
         long = F.try_add(_mul(whole(high, d), half), whole(F.try_add(_mul((high % d).cast(EXACT), half), low).cast(EXACT), d)).cast(EXACT)
         return F.when(d < 10**6, long).otherwise(whole(n, d))
 
+    def lowest(g: Column) -> Column:
+        return _named(divide(_size(r["num"]), g), lambda num: rational(F.when(r["num"] < 0, _minus(num)).otherwise(num), divide(r["den"], g)))
+
+    return _named(_divisor(_size(r["num"]), r["den"], EXACT, (16, 32, 136)), lowest)
+
+
+def reduced(a: Column) -> Column:
+    """A rational in lowest terms."""
+    short = F.lit("1" + "0" * 18).cast(EXACT)
+
     def lowest(r: Column) -> Column:
-        num = divide(_size(r["num"]), r["g"])
-        return rational(F.when(r["num"] < 0, _minus(num)).otherwise(num), divide(r["den"], r["g"]))
+        fits = (r["num"] < short) & (r["num"] > _minus(short)) & (r["den"] < short)
+        terms = F.when(r["num"] == 0, rational(F.lit(0), F.lit(1))).when(fits, _long_lowest(r)).otherwise(_wide_lowest(r))
+        return F.when(r.isNotNull(), terms)
 
-    # The array of one names the divisor, so that it is found once.
-    found = F.transform(F.array(F.struct(a["num"].alias("num"), a["den"].alias("den"), g.alias("g"))), lowest)[0]
-    return F.when(a.isNotNull(), F.when(a["num"] == 0, rational(F.lit(0), F.lit(1))).otherwise(found))
+    return _named(a, lowest)
 
 
 def far_cmp():

@@ -38,10 +38,11 @@ def h3_rational_arithmetic(v):
     a, b = F.col("a"), F.col("b")
 
     def text(c):
-        r = numbers.reduced(c)
-        return F.when(c.isNotNull(), F.concat(r["num"].cast("string"), F.lit("/"), r["den"].cast("string")))
+        return F.concat(F.col(f"{c}.num").cast("string"), F.lit("/"), F.col(f"{c}.den").cast("string")).alias(c)
 
-    return rows.select("id", text(numbers.exact_add(a, b)).alias("added"), text(numbers.exact_sub(a, b)).alias("subtracted"), text(numbers.exact_mul(a, b)).alias("multiplied"), text(numbers.exact_div(a, b)).alias("divided"), numbers.exact_cmp(a, b).alias("compared"))
+    found = {"added": numbers.exact_add(a, b), "subtracted": numbers.exact_sub(a, b), "multiplied": numbers.exact_mul(a, b), "divided": numbers.exact_div(a, b)}
+    rows = rows.withColumns({k: numbers.reduced(c) for k, c in found.items()} | {"compared": numbers.exact_cmp(a, b)})
+    return rows.select("id", *map(text, found), "compared")
 
 
 @query("""SELECT l_orderkey * 10 + l_linenumber AS id, CAST(CASE WHEN m % 100 > 50 OR (m % 100 = 50 AND (m // 100) % 2 = 1) THEN m // 100 + 1 ELSE m // 100 END AS VARCHAR) AS shown, m // 100 * 100 + m % 100 AS minor
