@@ -89,9 +89,16 @@ def reuse_lookup(planned: DataFrame, receipts: DataFrame, observed: DataFrame) -
 
 
 def cached_digest_join(inventory: DataFrame, cache: DataFrame) -> DataFrame:
-    """``path, sha256, state``: a recorded digest stands in where path, size and time agree; others must be hashed."""
-    both = inventory.join(cache.select("path", "bytes", "mtime", F.col("sha256").alias("c_sha256")), ["path", "bytes", "mtime"], "left")
-    return both.select("path", F.col("c_sha256").alias("sha256"), F.when(F.col("c_sha256").isNotNull(), "verified_cached").otherwise("to_hash").alias("state"))
+    """``inventory`` with ``sha256, state``: a recorded digest stands in where path, size, time and, if both sides have it, inode agree.
+
+    Others are ``to_hash``.  Of several records of one stamp with unlike digests none is trusted.
+    """
+    stamp = ["path", "bytes", "mtime", *(["inode"] if "inode" in inventory.columns and "inode" in cache.columns else [])]
+    known = cache.groupBy(*stamp).agg(F.min("sha256").alias("__low"), F.max("sha256").alias("__high")).filter("__low = __high")
+    known = known.select(*[F.col(c).alias(f"__{c}") for c in stamp], F.col("__low").alias("sha256"))
+    same = [F.col(c).eqNullSafe(F.col(f"__{c}")) if c == "inode" else F.col(c) == F.col(f"__{c}") for c in stamp]
+    both = inventory.join(known, same, "left").drop(*[f"__{c}" for c in stamp])
+    return both.withColumn("state", F.when(F.col("sha256").isNotNull(), "verified_cached").otherwise("to_hash"))
 
 
 def verify_bindings(evidence: DataFrame, artifacts: DataFrame) -> DataFrame:

@@ -127,7 +127,7 @@ def c14_cached_digest_join(v):
     docs = v("documents")
     inventory = docs.select(d.cast("string").alias("path"), F.col("n_chars").alias("bytes"), (d % 9).alias("mtime"))
     cache = docs.filter(d % 5 > 0).select(d.cast("string").alias("path"), F.col("n_chars").alias("bytes"), F.when(d % 7 == 0, -1).otherwise(d % 9).alias("mtime"), F.sha2("text", 256).alias("sha256"))
-    return integrity.cached_digest_join(inventory, cache)
+    return integrity.cached_digest_join(inventory, cache).select("path", "sha256", "state")
 
 
 @query("""SELECT coalesce(e.k, a.k) AS evidence_id, CASE WHEN e.k IS NULL THEN 'unbound' WHEN e.k % 7 = 0 THEN 'withheld' WHEN a.k IS NULL THEN 'unknown' WHEN e.k % 11 = 0 THEN 'digest_mismatch' WHEN a.k % 3 = 0 THEN 'receipted' ELSE 'bound' END AS state

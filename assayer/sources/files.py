@@ -2,12 +2,20 @@
 
 from __future__ import annotations
 
+import hashlib
+import os
+import re
 from functools import reduce
 
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from assayer.operators.integrity import cached_digest_join
 from assayer.operators.units import violations
+from assayer.storage import Parts
 
 # Record kinds of a log besides runs, statuses of runs, the form of digests, and the report schema.
 STATUSES = ("evaluated", "rejected", "planned", "error")
@@ -18,6 +26,10 @@ REPORT = """run_id string, case_id string, status string, verdicts array<struct<
  artifacts array<struct<artifact_id:string,kind:string,sha256:string>>, steps array<struct<step_id:string,state:string,planned_invocation_sha256:string>>"""
 #: Distinct pointers of descriptors, at most.
 MOST_POINTERS = 500
+#: Bytes of a file that are held at once.
+CHUNK = 1 << 22
+#: Arrow's names of the schemes whose files can be streamed.
+SCHEMES = {"hdfs": "hdfs", "s3": "s3", "s3a": "s3", "gs": "gs", "abfs": "abfs", "abfss": "abfss"}
 RECORDED_AT = r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}Z$"
 
 
@@ -127,12 +139,102 @@ def read_run_reports(spark: SparkSession, path: str) -> dict[str, DataFrame]:
     return heads | {c: reports.select("run_id", F.inline(c)) for c in ("verdicts", "admissions", "findings", "artifacts", "steps")}
 
 
-def inventory_tree(spark: SparkSession, root: str, tree: str) -> DataFrame:
-    """``tree, path, sha256, bytes`` of all files below a folder."""
-    read = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    # Spark names files in full; what follows the last folder of the root is the relative path.
-    relative = F.element_at(F.split("path", "/" + root.rstrip("/").rsplit("/", 1)[-1] + "/", 2), -1)
-    return read.select(F.lit(tree).alias("tree"), relative.alias("path"), F.sha2("content", 256).alias("sha256"), F.col("length").alias("bytes"))
+def _opened(path: str) -> tuple[fs.FileSystem, str]:
+    """Arrow's file system for a path as Spark spells it, and the path within."""
+    scheme, _, rest = path.partition(":") if re.match(r"[a-z][a-z0-9+.-]*:/", path) else ("file", "", path)
+    if scheme == "file":
+        return fs.LocalFileSystem(), "/" + rest.lstrip("/")
+    authority, _, inner = rest.lstrip("/").partition("/")
+    system, start = fs.FileSystem.from_uri(f"{SCHEMES[scheme]}://{authority}/")
+    return system, f"{start.rstrip('/')}/{inner}"
+
+
+def stream_digest(stream) -> str:
+    """SHA-256 of what is left of a stream, CHUNK bytes at a time."""
+    digest = hashlib.sha256()
+    while piece := stream.read(CHUNK):
+        digest.update(piece)
+    return digest.hexdigest()
+
+
+def _digest(path: str) -> str | None:
+    system, inner = _opened(path)
+    try:
+        with system.open_input_stream(inner) as stream:
+            return stream_digest(stream)
+    except FileNotFoundError:
+        return None
+
+
+LISTED = T.StructType()
+for _name, _kind in (("file", T.StringType()), ("path", T.StringType()), ("bytes", T.LongType()), ("mtime", T.LongType()), ("inode", T.LongType()), ("folder", T.BooleanType())):
+    LISTED.add(_name, _kind)
+
+
+def _children(file: str, path: str) -> list[tuple]:
+    """Rows of LISTED for what lies in a folder; inodes are known of local files only, whose links to folders are not followed."""
+    system, inner = _opened(file)
+    local, out = isinstance(system, fs.LocalFileSystem), []
+    for info in system.get_file_info(fs.FileSelector(inner)):
+        folder = info.type == fs.FileType.Directory
+        if info.type not in (fs.FileType.File, fs.FileType.Directory) or (folder and local and os.path.islink(info.path)):
+            continue
+        name = info.base_name
+        inode = os.stat(info.path).st_ino if local else None
+        out.append((f"{file.rstrip('/')}/{name}", f"{path}/{name}" if path else name, None if folder else info.size, info.mtime_ns, inode, folder))
+    return out
+
+
+def list_tree(spark: SparkSession, root: str) -> DataFrame:
+    """``file, path, bytes, mtime, inode`` of all files below a folder, empty and hidden ones too; none is opened.
+
+    Folders of one depth are listed in tasks of their own and written; only whether there are more comes to the driver.
+    """
+
+    def step(batches):
+        for batch in batches:
+            found = [row for folder in zip(*(c.to_pylist() for c in batch.columns)) for row in _children(*folder)]
+            columns = list(zip(*found)) or [()] * len(LISTED)
+            kinds = [pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.bool_()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=LISTED.names)
+
+    parts = Parts(spark, "tree", LISTED)
+    folders = spark.createDataFrame([(root, "")], "file string, path string")
+    while not folders.isEmpty():
+        found = parts.add(folders.repartition("file").mapInArrow(step, LISTED))
+        folders = found.filter("folder").select("file", "path")
+    return parts.rows().filter("not folder").drop("folder")
+
+
+def hash_files(listed: DataFrame) -> DataFrame:
+    """``listed`` with ``sha256`` of each ``file``, read as a stream in memory of a CHUNK whatever its size; null for one that is gone.
+
+    Files are dealt to tasks by name; a file is one task's, as its digest is one chain.
+    """
+    schema = T.StructType([*listed.schema, T.StructField("sha256", T.StringType())])
+
+    def run(batches):
+        for batch in batches:
+            places = batch.column(batch.schema.get_field_index("file")).to_pylist()
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([_digest(p) for p in places], pa.string())], names=schema.names)
+
+    return listed.repartition("file").mapInArrow(run, schema)
+
+
+def inventory_tree(spark: SparkSession, root: str, tree: str, cache: DataFrame | None = None) -> DataFrame:
+    """``tree, path, sha256, bytes, mtime, inode, state`` of all files below a folder.
+
+    Given an earlier inventory as ``cache``, files whose path, size, time and inode are as they were keep their digest as
+    ``verified_cached`` and are not opened; the others are ``verified``.  A file that goes meanwhile is ``missing``.
+    """
+    listed = list_tree(spark, root)
+    found = [F.lit(tree).alias("tree"), "path", "sha256", "bytes", "mtime", "inode"]
+    verified = F.when(F.col("sha256").isNull(), "missing").otherwise("verified").alias("state")
+    if cache is None:
+        return hash_files(listed).select(*found, verified)
+    known = cached_digest_join(listed, cache.filter("sha256 is not null"))
+    fresh = hash_files(known.filter("state = 'to_hash'").drop("sha256", "state")).select(*found, verified)
+    return known.filter("state = 'verified_cached'").select(*found, "state").unionByName(fresh)
 
 
 def pointer_path(pointer: str) -> str:
