@@ -1,9 +1,9 @@
 """N-gram Jaccard join: texts whose sets of word shingles have a Jaccard similarity of a threshold or more.
 
 Method.  A text becomes a sorted array of shingle hashes.  Two sets that reach the threshold share one
-of their first few shingles in any common order, so sets meet in tiles keyed by such a shingle (prefix
-tiles, in place of tiles banded by set size); in a tile, set sizes are compared pair by pair.  Rows
-carry a hashed bitmap in which every shingle flips one bit: two bitmaps differ in at most as many bits as
+of their first few shingles in any common order, and their sizes lie in one band or in two that adjoin, so
+sets meet in tiles keyed by such a shingle and a size band: each set is at home in the tile of its band and
+a guest in that of the next band up, where it meets those at home.  Rows carry a hashed bitmap in which every shingle flips one bit: two bitmaps differ in at most as many bits as
 the sets differ in shingles, so a bit count bounds the overlap from above.  Pairs within the bound are
 intersected exactly.  No sampling, no cap: the components are those of comparing all pairs.  Links are not
 enumerated: pairs inside a component that is already known are not looked for.
@@ -22,10 +22,12 @@ row's; an empty table gives no rows; other columns are ignored.
 from __future__ import annotations
 
 import hashlib
+import math
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from assayer.llm import components, words
@@ -249,16 +251,39 @@ def leader_pairs(classes: DataFrame) -> DataFrame:
     for draw in range(ROUNDS):
         leaders = keys.groupBy("key").agg(F.min(F.struct(F.xxhash64(F.lit(draw), "node").alias("h"), "node"))["node"].alias("leader"), F.count(F.lit(1)).alias("many")).filter("many > 1")
         pairs.append(keys.join(leaders.drop("many"), "key").select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b")))
-    return pairs[0].unionByName(pairs[1]).filter("a < b").distinct() if ROUNDS == 2 else pairs[0].filter("a < b").distinct()
+    return reduce(DataFrame.unionByName, pairs).filter("a < b").distinct()
 
 
 def shared_heads(classes: DataFrame, roots: DataFrame) -> DataFrame:
-    """``shingle, node, many``: head shingles of classes of two components or more, with the number of their classes."""
+    """``shingle, node, n``: head shingles of classes of two components or more."""
     rooted = with_root(classes.select("node", "head"), roots).select(F.explode("head").alias("shingle"), "root")
     counted = rooted.groupBy("shingle").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count(F.lit(1)).alias("many"))
     shared = materialize(counted.filter("low < high").select("shingle", "many"), "shared-shingles")
     total = shared.agg(F.sum("many")).first()[0] or 0
-    return join_counted(classes.select(F.explode("head").alias("shingle"), "node"), shared, "shingle", "many", total)
+    return join_counted(classes.select(F.explode("head").alias("shingle"), "node", "n"), shared, "shingle", "many", total).drop("many")
+
+
+def size_band(n: Column, percent: int) -> Column:
+    """The band of a set of ``n``: sizes that may reach the threshold lie in one band or in two that adjoin.
+
+    Bands are wider than the threshold asks for by far more than logarithms are rounded.
+    """
+    width = max(math.log(100 / percent), 1e-6) * (1 + 1e-9)
+    return F.floor(F.log(n) / F.lit(width)).cast("int")
+
+
+def banded(heads: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
+    """``shingle, band, guest, node, many``: each class in the tiles of its band and of the next one up.
+
+    Tiles of one component, and those where all are guests, are left out; ``many`` is a tile's number of classes.
+    """
+    band = size_band(F.col("n"), percent)
+    places = F.inline(F.array(F.struct(band.alias("band"), F.lit(False).alias("guest")), F.struct((band + 1).alias("band"), F.lit(True).alias("guest"))))
+    placed = heads.select("shingle", "node", places)
+    met = with_root(placed, roots).groupBy("shingle", "band").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.min("guest").alias("guests"), F.count(F.lit(1)).alias("many"))
+    tiles = materialize(met.filter("low < high and not guests").select("shingle", "band", "many"), "banded-tiles")
+    total = tiles.agg(F.sum("many")).first()[0] or 0
+    return join_counted(placed, tiles, ["shingle", "band"], "many", total)
 
 
 def with_root(rows: DataFrame, roots: DataFrame) -> DataFrame:
@@ -272,7 +297,7 @@ def nearest(left: np.ndarray, right: np.ndarray, distance: np.ndarray) -> np.nda
 
 
 def tile_pairs(heads: DataFrame, classes: DataFrame, roots: DataFrame, percent: int, best: bool = False) -> DataFrame:
-    """Pairs of classes of different components that share a head shingle and pass size and bitmap.
+    """Pairs of classes of different components that meet in a tile and pass size and bitmap.
 
     With ``best``, only each row's nearest one in each tile.
     """
@@ -280,12 +305,13 @@ def tile_pairs(heads: DataFrame, classes: DataFrame, roots: DataFrame, percent:
     own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
     # Block b meets block c in the tile (least, greatest); a tile of one block holds its rows once.
     placed = met.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    placed = placed.withColumns({"x": F.least("own", "other"), "y": F.greatest("own", "other")}).select("shingle", "x", "y", "own", "node", "root", "n", "bits")
-    tiles = placed.repartition("shingle", "x", "y").sortWithinPartitions("shingle", "x", "y", "node")
+    placed = placed.withColumns({"x": F.least("own", "other"), "y": F.greatest("own", "other")}).select("shingle", "band", "x", "y", "own", "guest", "node", "root", "n", "bits")
+    tiles = placed.repartition("shingle", "band", "x", "y").sortWithinPartitions("shingle", "band", "x", "y", "node")
 
     def compare(rows: pa.Table, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Pairs inside tiles, given where tiles begin and end: each row with all later rows of its tile."""
         own, x, y, root, n, node = (rows.column(c).to_numpy() for c in ("own", "x", "y", "root", "n", "node"))
+        guest = rows.column("guest").to_numpy()
         n, bits = n.astype(np.int64), rows.column("bits").to_pylist()
         later = np.repeat(cuts[1:], np.diff(cuts)) - np.arange(cuts[0], cuts[-1]) - 1
         ends, found = np.cumsum(later), [np.zeros((2, 0), np.int64)]
@@ -295,7 +321,7 @@ def tile_pairs(heads: DataFrame, classes: DataFrame, roots: DataFrame, percent:
             count = later[at:to]
             left = np.repeat(np.arange(at, to), count)
             right = left + 1 + np.arange(len(left)) - np.repeat(np.cumsum(count) - count, count)
-            keep = (root[left] != root[right]) & ((x[left] == y[left]) | (own[left] != own[right]))
+            keep = (root[left] != root[right]) & ~(guest[left] & guest[right]) & ((x[left] == y[left]) | (own[left] != own[right]))
             left, right = left[keep], right[keep]
             distance = bit_distance(n, bits, left, right, percent)
             good = np.flatnonzero(np.isfinite(distance))
@@ -308,7 +334,7 @@ def tile_pairs(heads: DataFrame, classes: DataFrame, roots: DataFrame, percent:
     def walk(batches):
         """Tiles lie whole and in order in a partition; the last of a batch may go on in the next."""
         held = None
-        names = ["shingle", "x", "y"]
+        names = ["shingle", "band", "x", "y"]
 
         def compared(table: pa.Table, whole: bool):
             keys = [table.column(c).to_numpy() for c in names]
@@ -334,8 +360,10 @@ def _components(docs: DataFrame, size: int, percent: int, id_col: str, text_col:
     """``row, id, mark, n, root`` for every row: a hash of its text, its set size, and its component (null without shingles)."""
     texts = _texts(docs, id_col, text_col)
     rows = materialize(sketches(texts, size, percent, frequent_shingles(texts, size, percent)).withColumn("row", F.monotonically_increasing_id()), "sketches")
-    groups = rows.filter("n > 0").groupBy("digest").agg(F.min("row").alias("node"))
-    members = materialize(rows.select("row", "id", "mark", "n", "digest").join(groups, "digest", "left").select("row", "id", "mark", "n", "node"), "members")
+    groups = materialize(rows.filter("n > 0").groupBy("digest").agg(F.min("row").alias("node"), F.count(F.lit(1)).alias("many")), "groups")
+    total = groups.agg(F.sum("many")).first()[0] or 0
+    members = join_counted(rows.filter("n > 0").select("row", "id", "mark", "n", "digest"), groups, "digest", "many", total)
+    members = materialize(members.select("row", "id", "mark", "n", "node"), "members")
     firsts = members.filter("row = node").select("row")
     classes = materialize(rows.join(firsts, "row", "left_semi").withColumnRenamed("row", "node"), "classes")
 
@@ -354,18 +382,22 @@ def _components(docs: DataFrame, size: int, percent: int, id_col: str, text_col:
     found = materialize(found, "links")
     roots = components.connected(found)
     heads = materialize(shared_heads(classes, roots), "heads")
+    heads = materialize(banded(heads, roots, percent), "banded-heads")
     # In a few of its large tiles each row first meets its nearest partner; groups that this joins need no further pairs.
     large = heads.filter(F.col("many") > LARGE)
-    few = large.groupBy("node").agg(F.slice(F.array_sort(F.collect_list(F.struct("shingle", "many"))), 1, NEAREST_TILES).alias("first"))
+    few = large.groupBy("node").agg(F.slice(F.array_sort(F.collect_list(F.struct("guest", "shingle", "band", "many"))), 1, NEAREST_TILES).alias("first"))
     near, arrays = links(tile_pairs(few.select("node", F.inline("first")), classes, roots, percent, best=True), arrays)
     found = found.unionByName(materialize(near, "links"))
     roots = components.connected(found)
-    still = with_root(large, roots).groupBy("shingle").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high").select("shingle")
-    left = heads.filter(F.col("many") <= LARGE).unionByName(large.join(still, "shingle", "left_semi"))
+    tile = ["shingle", "band"]
+    still = with_root(large, roots).groupBy(*tile).agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high").select(*tile)
+    left = heads.filter(F.col("many") <= LARGE).unionByName(large.join(still, tile, "left_semi"))
     more, _ = links(tile_pairs(left, classes, roots, percent), arrays)
     roots = components.connected(found.unionByName(materialize(more, "links")))
 
-    return members.join(roots, "node", "left").select("row", "id", "mark", "n", F.coalesce("root", "node").alias("root"))
+    rooted = materialize(with_root(groups.select("node", "many"), roots), "rooted")
+    placed = join_counted(members, rooted, "node", "many", total).select("row", "id", "mark", "n", "root")
+    return materialize(placed.unionByName(rows.filter("n = 0").select("row", "id", "mark", "n", F.lit(None).cast("long").alias("root"))), "placed")
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -374,8 +406,12 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, id_col: s
     ``size`` words a shingle; two sets link when they share ``percent`` of their union.
     """
     placed = _components(docs, size, percent, id_col, text_col)
-    least = placed.filter("root is not null").groupBy("root").agg(F.min("id").alias("least"))
-    return placed.join(least, "root", "left").select("id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("least", "id").alias("component_id"))
+    linked = placed.filter("root is not null")
+    least = materialize(linked.groupBy("root").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("many")), "components")
+    total = least.agg(F.sum("many")).first()[0] or 0
+    found = join_counted(linked, least, "root", "many", total).select("id", "n", "least")
+    found = found.unionByName(placed.filter("root is null").select("id", "n", F.col("id").alias("least")))
+    return found.select("id", F.col("n").cast("long").alias("n_shingles"), F.col("least").alias("component_id"))
 
 
 def keep_one(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -75,6 +75,33 @@ def test_bitmaps_bound_overlaps():
     assert through.mean() < 0.2
 
 
+def test_sizes_within_reach_lie_in_adjoining_bands(spark):
+    """Every size up to 3000 and powers of ten, with the largest size that each threshold lets it meet."""
+    sizes = [*range(1, 3001), *[10**k for k in range(4, 9)]]
+    df = spark.createDataFrame([(n,) for n in sizes], "n long")
+    for percent in (50, 80, 85, 90, 100):
+        most = (df.n * 100 / percent).cast("long")
+        found = df.select(near_dup.size_band(df.n, percent).alias("a"), near_dup.size_band(most, percent).alias("b"))
+        assert found.filter("b - a not in (0, 1)").count() == 0
+        assert found.select("a").distinct().count() > 5
+
+
+def test_classes_meet_in_tiles_of_bands(spark):
+    """Of classes that share one shingle, pairs within reach by size meet once; no tile holds guests alone."""
+    sizes = [10, 11, 12, 13, 20, 22, 40, 47, 48, 300]
+    heads = spark.createDataFrame([(1, k, n) for k, n in enumerate(sizes)], "shingle long, node long, n int")
+    roots = spark.createDataFrame([(3, 2)], "node long, root long")  # two are one component already
+    rows = near_dup.banded(heads, roots, 85).collect()
+    tiles = {}
+    for r in rows:
+        tiles.setdefault(r.band, []).append(r)
+    met = [tuple(sorted((p.node, q.node))) for t in tiles.values() for i, p in enumerate(t) for q in t[i + 1 :] if not (p.guest and q.guest)]
+    assert len(met) == len(set(met))
+    assert {(a, b) for a in range(10) for b in range(a + 1, 10) if 100 * sizes[a] >= 85 * sizes[b]} - {(2, 3)} <= set(met)
+    assert all(r.many == len(tiles[r.band]) for r in rows) and all(not all(r.guest for r in t) for t in tiles.values())
+    assert 9 not in {r.node for r in rows}  # nothing is near its size
+
+
 def test_odd_rows(spark, odd_docs, no_docs):
     want = brute([(r[0], r[1]) for r in TEXTS], 4, 85)
     assert got(near_dup.near_duplicates(odd_docs, 4, 85)) == want
