@@ -237,9 +237,11 @@ def g2_changed_premise_kinds(v):
     return policy.changed_premise_kinds(spark_sql(v, G2.format("l_linestatus"), "lineitem"), spark_sql(v, G2.format(G2_AFTER), "lineitem"), ["app"])
 
 
-@query("""SELECT coalesce(o.o_custkey, c.c_custkey) AS id, CASE WHEN o.o_custkey IS NULL THEN 'extra' WHEN c.c_custkey IS NULL THEN 'missing' ELSE 'both' END AS state FROM (SELECT DISTINCT o_custkey FROM orders WHERE o_orderkey % 5 = 0) o FULL JOIN (SELECT c_custkey FROM customer WHERE c_custkey % 4 <> 0) c ON o_custkey = c_custkey""")
+@query("""SELECT coalesce(o.o_custkey, c.c_custkey) AS id, CASE WHEN o.o_custkey IS NULL THEN 'extra' WHEN c.c_custkey IS NULL THEN 'missing' ELSE 'both' END AS state FROM (SELECT DISTINCT CASE WHEN o_custkey % 5 = 0 THEN -1 - o_custkey ELSE o_custkey END AS o_custkey FROM orders) o FULL JOIN (SELECT CASE WHEN c_custkey % 4 = 0 THEN 0 - c_custkey ELSE c_custkey END AS c_custkey FROM customer) c ON o_custkey = c_custkey""")
 def g3_policy_document_diff(v):
-    return policy.policy_document_diff(v("orders").filter("o_orderkey % 5 = 0").select(F.col("o_custkey").alias("id")), v("customer").filter("c_custkey % 4 <> 0").select(F.col("c_custkey").alias("id")), "id")
+    # Ids of either side are spoiled, so that some miss their partner.
+    ordered = v("orders").selectExpr("CASE WHEN o_custkey % 5 = 0 THEN -1 - o_custkey ELSE o_custkey END AS id")
+    return policy.policy_document_diff(ordered, v("customer").selectExpr("CASE WHEN c_custkey % 4 = 0 THEN 0 - c_custkey ELSE c_custkey END AS id"), "id")
 
 
 @query(f"""SELECT policy_id, deny_providers IS NULL OR list_has_all(deny_providers, fd) AS deny_tightens, allow_providers IS NULL OR fa IS NULL OR list_has_all(fa, allow_providers) AS allow_tightens, list_has_all(fr, permitted_roles) AS grants_tighten

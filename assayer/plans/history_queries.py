@@ -141,20 +141,20 @@ def c9_cross_amendment_compare(v):
     return compare.cross_amendment_compare(amendments, assessments, sides(v))
 
 
-@query("""WITH t AS (SELECT line AS id, min(line) AS line FROM f_runs WHERE line % 5 <> 0 GROUP BY line)
+@query("""WITH t AS (SELECT CASE WHEN line % 5 = 0 THEN -1 - line ELSE line END AS id, min(line) AS line FROM f_runs GROUP BY 1)
 SELECT r.line, r.ref, CASE WHEN t.line IS NULL THEN 'missing' ELSE 'not_earlier' END AS problem FROM (SELECT line, CASE WHEN line % 7 = 0 THEN line + 3 ELSE parent_line END AS ref FROM f_runs) r LEFT JOIN t ON t.id = r.ref WHERE t.line IS NULL OR t.line >= r.line""")
 def c10_precedes_check(v):
     runs = v("f_runs")
-    return compare.precedes_check(runs.filter("line % 5 <> 0").select(F.col("line").alias("id"), "line"), runs.select("line", F.expr("CASE WHEN line % 7 = 0 THEN line + 3 ELSE parent_line END").alias("ref")))
+    return compare.precedes_check(runs.selectExpr("CASE WHEN line % 5 = 0 THEN -1 - line ELSE line END AS id", "line"), runs.select("line", F.expr("CASE WHEN line % 7 = 0 THEN line + 3 ELSE parent_line END").alias("ref")))
 
 
-@query(f"""WITH d AS (SELECT requirement_id, comparison AS c FROM f_requirements WHERE requirement_id % 3 <> 0), x AS (SELECT attempt_id, requirement_id, status, margin FROM ({PER_ATTEMPT}) p),
+@query(f"""WITH d AS (SELECT CASE WHEN requirement_id % 3 = 0 THEN -1 - requirement_id ELSE requirement_id END AS requirement_id, comparison AS c FROM f_requirements), x AS (SELECT attempt_id, requirement_id, status, margin FROM ({PER_ATTEMPT}) p),
 a AS (SELECT requirement_id, count(*) FILTER (state = 'admitted') AS n_admitted, count(*) FILTER (state <> 'admitted') AS n_not_admitted FROM f_claims GROUP BY requirement_id)
 SELECT attempt_id, coalesce(d.requirement_id, x.requirement_id) AS requirement_id, c, d.requirement_id IS NOT NULL AS defined, status, margin, coalesce(n_admitted, 0) AS n_admitted, coalesce(n_not_admitted, 0) AS n_not_admitted
 FROM d FULL JOIN x ON d.requirement_id = x.requirement_id LEFT JOIN a ON a.requirement_id = coalesce(d.requirement_id, x.requirement_id)""")
 def c3_requirement_report(v):
     found = attempts(v).select("attempt_id", "requirement_id", "status", "margin")
-    definitions = v("f_requirements").filter("requirement_id % 3 <> 0").select("requirement_id", F.col("comparison").alias("c"))
+    definitions = v("f_requirements").selectExpr("CASE WHEN requirement_id % 3 = 0 THEN -1 - requirement_id ELSE requirement_id END AS requirement_id", "comparison AS c")
     return compare.requirement_report(definitions, found, v("f_claims").select("requirement_id", "claim_id", "state"))
 
 

@@ -5,7 +5,6 @@ from __future__ import annotations
 import hashlib
 import os
 import re
-from functools import reduce
 
 import pyarrow as pa
 from pyarrow import fs
@@ -24,8 +23,8 @@ RECORD_KINDS = ("design_revision", "assessment", "named_reference", "contract_am
 REPORT = """run_id string, case_id string, status string, verdicts array<struct<requirement_id:string,status:string,rule:string,unit:string,margin:string>>,
  admissions array<struct<evidence_id:string,source:string,state:string,reasons:array<string>>>, findings array<struct<code:string,subject:string,message:string>>,
  artifacts array<struct<artifact_id:string,kind:string,sha256:string>>, steps array<struct<step_id:string,state:string,planned_invocation_sha256:string>>"""
-#: Distinct pointers of descriptors, at most.
-MOST_POINTERS = 500
+#: Names that a path of a variant can spell.
+PLAIN_NAME = r"""^[^'"?\\\[\]]+$"""
 #: Bytes of a file that are held at once.
 CHUNK = 1 << 22
 #: Arrow's names of the schemes whose files can be streamed.
@@ -237,31 +236,34 @@ def inventory_tree(spark: SparkSession, root: str, tree: str, cache: DataFrame |
     return known.filter("state = 'verified_cached'").select(*found, "state").unionByName(fresh)
 
 
-def pointer_path(pointer: str) -> str:
-    """A JSON pointer as a path for ``variant_get``."""
-    parts = [p.replace("~1", "/").replace("~0", "~") for p in pointer.split("/")[1:]]
-    return "$" + "".join(f"[{p}]" if p.isdigit() else f"['{p}']" for p in parts)
+def at_pointer(body: Column, pointer: Column) -> Column:
+    """The text of what a JSON pointer, given row by row, leads to in a variant; null if nothing is there.
+
+    A part of digits is a place in an array and a key of an object; the empty pointer is the whole document.
+    """
+    parts = F.split(pointer, "/", -1)
+    names = F.transform(F.slice(parts, F.lit(2), F.size(parts)), lambda p: F.replace(F.replace(p, F.lit("~1"), F.lit("/")), F.lit("~0"), F.lit("~")))
+
+    def step(value: Column, name: Column) -> Column:
+        place = F.when(name.rlike("^(0|[1-9][0-9]{0,8})$"), F.try_variant_get(value, F.concat(F.lit("$["), name, F.lit("]")), "variant"))
+        plain = F.when(name.rlike(PLAIN_NAME), F.try_variant_get(value, F.concat(F.lit("$['"), name, F.lit("']")), "variant"))
+        # Names that a path cannot spell are looked up among all keys.
+        other = F.when(~name.rlike(PLAIN_NAME), F.try_element_at(F.try_variant_get(value, "$", "map<string,variant>"), name))
+        return F.coalesce(place, plain, other)
+
+    return F.try_variant_get(F.aggregate(names, body, step), "$", "string")
 
 
 def extract_claims(outputs: DataFrame, descriptors: DataFrame) -> DataFrame:
     """Claim fields of output documents, where the descriptor of each output says.
 
     ``outputs(output_id, descriptor_id, document)``; ``descriptors(descriptor_id, model, lower_at, upper_at,
-    nominal_at, value_at, optional)``.  Distinct pointers make the plan: more than MOST_POINTERS are refused.
-    A missing value is a problem unless optional.
+    nominal_at, value_at, optional)``.  Pointers are data, each followed in its own row, so the plan is one for any number
+    of them.  A missing value is a problem unless optional.
     """
     at = [f"{f}_at" for f in ("lower", "upper", "nominal", "value")]
-    named = descriptors.select(F.explode(F.array(*at)).alias("p")).filter("p is not null and p <> ''").distinct()
-    pointers = sorted(r.p for r in named.limit(MOST_POINTERS + 1).collect())
-    if len(pointers) > MOST_POINTERS:
-        raise ValueError(f"descriptors name more than {MOST_POINTERS} pointers")
     rows = outputs.withColumn("body", F.try_parse_json("document")).join(descriptors, "descriptor_id")
-
-    def value(column: str) -> Column:
-        picks = [(p, F.expr(f"""try_variant_get(body, "{pointer_path(p)}", 'string')""")) for p in pointers]
-        return reduce(lambda c, pv: c.when(F.col(column) == pv[0], pv[1]), picks, F.when(F.lit(False), F.lit(None).cast("string")))
-
-    rows = rows.withColumns({c.removesuffix("_at"): value(c) for c in at})
+    rows = rows.withColumns({c.removesuffix("_at"): at_pointer(F.col("body"), F.col(c)) for c in at})
     lost = F.array_compact(F.array(*[F.when(F.col(c).isNotNull() & F.col(c.removesuffix("_at")).isNull() & ~F.col("optional"), F.lit(f"absent:{c.removesuffix('_at')}")) for c in at]))
     problem = F.when(F.col("body").isNull(), "not_json").when(F.size(lost) > 0, F.array_join(lost, ","))
     return rows.select("output_id", "model", "lower", "upper", "nominal", "value", problem.alias("problem"))
