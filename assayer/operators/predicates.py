@@ -68,8 +68,8 @@ def fact_compare() -> Column:
     return F.when(F.col("type") == F.col("operand_type"), result)
 
 
-def leaf_truth(leaves: DataFrame, values: DataFrame, contexts: DataFrame, kinds: DataFrame | None = None) -> DataFrame:
-    """``node_id, context_id, code`` of every leaf in every context of its rule.
+def leaf_truth(leaves: DataFrame, values: DataFrame, contexts: DataFrame, kinds: DataFrame | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
+    """``node_id, context_id, code`` of every leaf in every context of its rule, with the columns ``keep`` of the leaf.
 
     ``leaves(node_id, rule_id, op, name, source_class, validator, operand, operand_type, operand_unit, kind, low,
     low_inclusive, high, high_inclusive, members)``; ``values(context_id, name, source_class, validator, number,
@@ -91,27 +91,34 @@ def leaf_truth(leaves: DataFrame, values: DataFrame, contexts: DataFrame, kinds:
         .when(F.col("op").isin("attribute_in", "environment_in"), F.when(F.col("text").isNotNull(), F.array_contains("members", F.col("text"))))
         .otherwise(F.when(trusted, fact_compare()))
     )
-    return rows.select("node_id", "context_id", code(result).alias("code"))
+    return rows.select("node_id", "context_id", *keep, code(result).alias("code"))
 
 
 def evaluate_applicability(nodes: DataFrame, values: DataFrame, contexts: DataFrame, kinds: DataFrame | None = None) -> DataFrame:
     """``rule_id, context_id, truth`` for the rules' roots.
 
     ``nodes`` are leaves as above and inner nodes (``op`` all, any or not) with ``parent_id`` (null at the root)
-    and ``level`` (0 at the root); an ``all`` or ``any`` without children is true or false.
+    and ``level`` (0 at the root); an ``all`` or ``any`` without children is true or false.  Levels are folded from
+    the deepest up; a truth is written once, and a level reads only the truths of the level below it.
     """
     inner = F.col("op").isin("all", "any", "not")
     depth = nodes.agg(F.max("level")).first()[0]
-    known = materialize(leaf_truth(nodes.filter(~inner), values, contexts, kinds), "leaf-truth")
+    leaves = materialize(leaf_truth(nodes.filter(~inner), values, contexts, kinds, ("level",)), "leaf-truth", "level")
+    folds = None
+
+    def at(level: int) -> DataFrame:
+        found = leaves.filter(F.col("level") == level).select("node_id", "context_id", "code")
+        return found if folds is None else found.unionByName(folds)
+
     for level in range(depth if depth is not None else -1, -1, -1):
         here = nodes.filter(inner & (F.col("level") == level)).select("node_id", "rule_id", "op")
-        parts = nodes.filter(F.col("level") == level + 1).select(F.col("node_id").alias("child"), F.col("parent_id").alias("node_id")).join(known.select(F.col("node_id").alias("child"), "context_id", "code"), "child")
+        parts = nodes.filter(F.col("level") == level + 1).select(F.col("node_id").alias("child"), F.col("parent_id").alias("node_id")).join(at(level + 1).withColumnRenamed("node_id", "child"), "child")
         folded = parts.groupBy("node_id", "context_id").agg(F.min("code").alias("low"), F.max("code").alias("high"))
         asked = here.join(contexts, "rule_id").join(folded, ["node_id", "context_id"], "left")
         result = F.when(F.col("op") == "all", F.coalesce("low", F.lit(2))).when(F.col("op") == "any", F.coalesce("high", F.lit(0))).otherwise(2 - F.col("low"))
-        known = materialize(known.unionByName(asked.select("node_id", "context_id", result.cast("int").alias("code"))), "truth")
+        folds = materialize(asked.select("node_id", "context_id", result.cast("int").alias("code")), "truth")
     roots = nodes.filter("parent_id is null").select("node_id", "rule_id")
-    return roots.join(known, "node_id").select("rule_id", "context_id", truth(F.col("code")).alias("truth"))
+    return roots.join(at(0), "node_id").select("rule_id", "context_id", truth(F.col("code")).alias("truth"))
 
 
 def derive_eligibility(nodes: DataFrame, values: DataFrame, contexts: DataFrame, recorded: DataFrame, kinds: DataFrame | None = None) -> DataFrame:

@@ -42,14 +42,14 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return path
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` once as Parquet in the shared folder and read it back.
+def materialize(df: DataFrame, name: str, *by: str) -> DataFrame:
+    """Write ``df`` once as Parquet in the shared folder, in folders by the columns ``by`` if there are any, and read it back.
 
     Later jobs then read files instead of running the plan again, and a lost executor costs a
     re-read at most.
     """
     path = fresh_path(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.parquet(path, partitionBy=list(by) or None)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
