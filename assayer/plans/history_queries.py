@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from assayer.operators import compare, lineage, search, summaries, transitions
 from assayer.plans.registry import query
 from assayer.plans.verdict_queries import PER_ATTEMPT, attempts
+from assayer.storage import materialize
 
 # Runs with what lineage rules look at; some rows are spoiled, each in one way.
 LINES = """SELECT line, 'run-' || CAST(line AS VARCHAR(20)) AS attempt_id, CASE WHEN line % 101 = 7 THEN 'run-0' WHEN parent_line IS NOT NULL THEN 'run-' || CAST(CASE WHEN line % 103 = 5 THEN line + 1 ELSE parent_line END AS VARCHAR(20)) END AS parent_id,
@@ -108,7 +109,8 @@ def sides(v):
     """Verdict sets of runs by line, over forty requirements so that runs share some."""
     found = attempts(v).join(v("f_runs").select("attempt_id", "line"), "attempt_id").withColumn("r", F.col("requirement_id") % 40)
     grouped = found.groupBy("line", "r").agg(F.min("status").alias("status"), F.min("margin").alias("margin"), F.min("requirement_id").alias("low"), F.min(F.col("requirement_id") % 2).alias("limit"))
-    return grouped.select(F.col("line").alias("attempt_id"), F.col("r").alias("requirement_id"), "status", "margin", F.when(F.col("low") % 9 == 0, "usd").otherwise("cent").alias("unit"), "limit", F.lit(False).alias("categorical"))
+    found = grouped.select(F.col("line").alias("attempt_id"), F.col("r").alias("requirement_id"), "status", "margin", F.when(F.col("low") % 9 == 0, "usd").otherwise("cent").alias("unit"), "limit", F.lit(False).alias("categorical"))
+    return materialize(found, "sides")  # both sides of a comparison read it
 
 
 def compare_sql(pairs: str) -> str:
