@@ -11,9 +11,21 @@ from pyspark.sql import DataFrame, SparkSession
 from assayer.llm import exact_dedup, mixing, near_dup, packing, quality
 from assayer.storage import fresh_path, scratch
 
+#: Bytes of rows that a task hands to its Python worker at once (and a row more).  Spark's own 64 MB stand several
+#: times over in the executor and in the worker, for each task that runs.
+BATCH = "4m"
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bound the batches of the session's Python tasks by BATCH, unless the session already has a bound of its own."""
+    setting = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(setting, None) is None:
+        spark.conf.set(setting, BATCH)
+
 
 def drop_poor_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier rejects go; it learns from the labels of the same corpus."""
+    small_batches(spark)
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     return quality.keep_good(docs, quality.train(docs, labels))
 
@@ -28,6 +40,7 @@ def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of texts linked by a Jaccard similarity of 0.8 over five words, the one with the least doc_id stays."""
+    small_batches(spark)
     return near_dup.keep_one(docs, size=5, percent=80)
 
 
@@ -38,6 +51,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every piece of every document, with its place in a sequence of 2048 tokens."""
+    small_batches(spark)
     return packing.best_fit(docs, capacity=2048, end_id=0).withColumnRenamed("id", "doc_id")
 
 

@@ -83,3 +83,27 @@ def test_odd_and_empty_documents_run_through(spark, odd_docs, no_docs, tmp_path)
         good = {r.doc_id for r in quality.keep_good(kept, quality.train(kept, labels)).collect()}
         assert {r.doc_id for r in rows} <= good
         assert out.groupBy("sequence_id").agg(F.sum("length").alias("n")).filter("n > 2048").count() == 0
+
+
+def test_stages_bound_the_batches_of_python_tasks(spark, sf):
+    """Rows of 20 kB: ten thousand of them, or 64 MB, do not reach a Python worker at once; a session's own bound stands."""
+    from pyspark.sql import functions as F
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows]), pa.array([batch.nbytes])], names=["rows", "bytes"])
+
+    setting = "spark.sql.execution.arrow.maxBytesPerBatch"
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    wide = spark.range(0, 2000, 1, 1).select("id", F.repeat(F.lit("x"), 20_000).alias("text"))
+    for k in (0, 2, 4):
+        spark.conf.unset(setting)
+        corpus_pipeline.STAGES[k][1](spark, docs, sf)
+        seen = wide.mapInArrow(sizes, "rows long, bytes long").collect()
+        assert sum(r["rows"] for r in seen) == 2000 and max(r["bytes"] for r in seen) < 5_000_000
+    try:
+        spark.conf.set(setting, "1m")
+        corpus_pipeline.small_batches(spark)
+        assert spark.conf.get(setting) == "1m"
+    finally:
+        spark.conf.unset(setting)
