@@ -50,7 +50,8 @@ def admit_claims(claims: DataFrame, slots: DataFrame, edges: DataFrame, inputs:
     """
     on = ["step_id", "slot"]
     many = F.count(F.lit(1)).over(Window.partitionBy(*on))
-    declared = slots.withColumnRenamed("media_type", "slot_type").withColumn("declared", F.lit(True))
+    # Slots follow the data, and Spark takes exploded lists for as small as the rows that they come from, so it might broadcast them.
+    declared = slots.withColumnRenamed("media_type", "slot_type").withColumn("declared", F.lit(True)).hint("merge")
     rows = claims.withColumn("n_in_slot", many).join(declared, on, "left")
     local = reasons({
         "undeclared_slot": F.col("declared").isNull(),
