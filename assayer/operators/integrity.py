@@ -52,14 +52,18 @@ def export_inventory(manifest: DataFrame, observed: DataFrame) -> DataFrame:
 def append_history(new: DataFrame, existing: DataFrame, keys: list[str], order: str) -> tuple[DataFrame, DataFrame]:
     """New records to append, and refused ones: an id that is there already, or came earlier in the batch.
 
-    Of records of one id and order, one is accepted.
+    Null is an id like any other, and a null ``order`` comes last.  Of records of one id and order, the first by the other
+    columns is accepted, so the two results share no record and leave none out.
     """
-    first = new.groupBy(*keys).agg(F.min(order).alias("__first"))
-    known = existing.select(*keys).distinct().withColumn("__known", F.lit(True))
-    rows = new.join(first, keys).join(known, keys, "left")
-    fresh = F.col("__known").isNull() & (F.col(order) == F.col("__first"))
+    named = {k: f"__{k}" for k in keys}
+    same = [F.col(k).eqNullSafe(F.col(own)) for k, own in named.items()]
+    first = new.groupBy(*keys).agg(F.min(order).alias("__first")).withColumnsRenamed(named)
+    known = existing.select(*keys).distinct().withColumnsRenamed(named).withColumn("__known", F.lit(True))
+    rows = new.join(first, same).drop(*named.values()).join(known, same, "left")
+    fresh = F.col("__known").isNull() & F.col(order).eqNullSafe(F.col("__first"))
     # Only the first records of each id are told apart, so that an id with very many records is not sorted.
-    tied = rows.filter(fresh).withColumn("__nth", F.row_number().over(Window.partitionBy(*keys).orderBy(order)))
+    rest = [c for c, kind in new.dtypes if c not in keys and "map<" not in kind and "variant" not in kind]
+    tied = rows.filter(fresh).withColumn("__nth", F.row_number().over(Window.partitionBy(*keys).orderBy(*rest)))
     refused = rows.filter(~fresh).select(*new.columns).unionByName(tied.filter("__nth > 1").select(*new.columns))
     return tied.filter("__nth = 1").select(*new.columns), refused
 

@@ -72,10 +72,11 @@ A7_SQL = "SELECT l_partkey AS id, l_orderkey * 10 + l_linenumber AS seq, l_partk
 def a7_append_history(v):
     new = v("lineitem").select(F.col("l_partkey").alias("id"), F.expr("l_orderkey * 10 + l_linenumber").alias("seq"))
     accepted, refused = integrity.append_history(new, v("part").filter("p_partkey % 3 = 0").select(F.col("p_partkey").alias("id")), ["id"], "seq")
-    return accepted.withColumn("accepted", F.lit(True)).unionByName(refused.withColumn("accepted", F.lit(False)))
+    # Whether a line without a part is wanted is not known.
+    return accepted.withColumn("accepted", F.when(F.col("id").isNotNull(), F.lit(True))).unionByName(refused.withColumn("accepted", F.lit(False)))
 
 
-# Lines come in two batches by the parity of their order, each repeating ids of the other; the first runs twice.
+# Lines come in batches by the parity of their order (four at most: it may be null or below zero), each repeating ids of the others; the first runs twice.
 A7_TABLE = """WITH l AS (SELECT l_partkey AS id, l_suppkey AS case_id, l_orderkey * 10 + l_linenumber AS seq, l_orderkey % 2 AS batch FROM lineitem),
 f AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY batch, seq) = 1 AS accepted FROM l)"""
 
@@ -85,9 +86,11 @@ def a7_append_table(v):
     new = v("lineitem").select(F.col("l_partkey").alias("id"), F.col("l_suppkey").alias("case_id"), F.expr("l_orderkey * 10 + l_linenumber").alias("seq"), "l_orderkey")
     spark = new.sparkSession
     history = ledger.History(spark, fresh_path(spark, "history"), new.drop("l_orderkey").schema, ["id"], "seq")
-    for number in (0, 0, 1):
-        history.append(f"batch{number}", new.filter(F.col("l_orderkey") % 2 == number).drop("l_orderkey"))
-    return history.rows()
+    parity = F.col("l_orderkey") % 2
+    numbers = sorted((r[0] for r in new.select(parity).distinct().collect()), key=lambda n: (n is None, n))
+    for number in numbers[:1] + numbers:
+        history.append("none" if number is None else f"batch{number}", new.filter(parity.eqNullSafe(F.lit(number))).drop("l_orderkey"))
+    return history.rows().withColumn("batch", F.when(F.col("batch") != "none", F.col("batch")))
 
 
 @query("""WITH b AS (SELECT o_custkey AS bundle_id, o_orderkey, bool_and(o_orderkey % 31 <> 0 AND o_orderkey % 37 <> 0) OVER (PARTITION BY o_custkey) AS whole FROM orders)
