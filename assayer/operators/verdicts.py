@@ -52,36 +52,72 @@ def bind_claims(requirements: DataFrame, claims: DataFrame, keys: list[str]) ->
     return requirements.join(claims, keys, "left")
 
 
-def reduce_claims(bound: DataFrame, keys: list[str], aggregation: Column | None = None) -> DataFrame:
-    """One row per group: what the gates and the decision table look at.
+#: What the claims of a group add up to: columns of :func:`claim_sums` that :func:`merge_sums` puts together, and more under an aggregation.
+SUMS = ("n_claims", "open_state", "__open_at", "any_coverage", "claim_problem", "__problem_at", "__low_max", "__high_max", "__nominal")
+MORE_SUMS = ("mode", "__instances", "n_nameless", "__low_min", "__low_count", "__high_min", "__high_count")
 
-    Under ``max`` the upper bound counts only if every claim has one, under ``min`` the lower one.
-    """
-    mode = F.lit(None).cast("string") if aggregation is None else aggregation
+
+def claim_sums(bound: DataFrame, keys: list[str], aggregation: Column | None = None) -> DataFrame:
+    """``keys`` and :data:`SUMS` for each group of claims, with an aggregation :data:`MORE_SUMS` too."""
     exact = F.col("model") == "exact"
     low, high = (F.when(exact, F.col("nominal_minor")).otherwise(F.col(c)) for c in ("lower_minor", "upper_minor"))
-    rows = bound.withColumns({"__mode": mode, "__low": low, "__high": high, "__problem": claim_problem()})
+    rows = bound.withColumns({"__low": low, "__high": high, "__problem": claim_problem()})
     claim = F.col("claim_id").isNotNull()
-    if aggregation is None:
-        instances = [F.lit(None).cast("long").alias("n_instances"), F.lit(None).cast("long").alias("n_nameless")]
-    else:  # a set, not a distinct count, so that streams can keep it
-        instances = [F.size(F.collect_set("instance_id")).cast("long").alias("n_instances"), F.count_if(claim & F.col("instance_id").isNull()).alias("n_nameless")]
     open_state = F.when(claim & (F.col("state") != "admitted"), F.col("state"))
-    grouped = rows.groupBy(*keys).agg(
+    open_at, problem_at = (F.when(c.isNotNull(), F.col("ordinal")) for c in (open_state, F.col("__problem")))
+    more = []
+    if aggregation is not None:  # of instances a set, not a distinct count, so that parts can be put together
+        rows = rows.withColumn("__mode", aggregation)
+        more = [F.max("__mode").alias("mode"), F.collect_set("instance_id").alias("__instances"), F.count_if(claim & F.col("instance_id").isNull()).alias("n_nameless")]
+        more += [f(c).alias(f"{c}_{f.__name__}") for c in ("__low", "__high") for f in (F.min, F.count)]
+    return rows.groupBy(*keys).agg(
         F.count("claim_id").alias("n_claims"),
-        *instances,
-        F.min_by(open_state, F.when(open_state.isNotNull(), F.col("ordinal"))).alias("open_state"),
+        F.min_by(open_state, open_at).alias("open_state"),
+        F.min(open_at).alias("__open_at"),
         F.bool_or(claim & (F.col("model") == "coverage_interval")).alias("any_coverage"),
-        F.min_by("__problem", F.when(F.col("__problem").isNotNull(), F.col("ordinal"))).alias("claim_problem"),
-        F.max("__mode").alias("mode"),
-        *[f(c).alias(f"{c}_{f.__name__}") for c in ("__low", "__high") for f in (F.min, F.max, F.count)],
+        F.min_by("__problem", problem_at).alias("claim_problem"),
+        F.min(problem_at).alias("__problem_at"),
+        F.max("__low").alias("__low_max"),
+        F.max("__high").alias("__high_max"),
         F.max("nominal_minor").alias("__nominal"),
-        F.max("coverage").alias("claim_coverage"),
+        *more,
     )
-    every_low, every_high = (F.col(f"{c}_count") == F.col("n_claims") for c in ("__low", "__high"))
-    lower = F.when(F.col("mode") == "min", F.when(every_low, F.col("__low_min"))).otherwise(F.col("__low_max"))
-    upper = F.when(F.col("mode") == "max", F.when(every_high, F.col("__high_max"))).when(F.col("mode") == "min", F.col("__high_min")).otherwise(F.col("__high_max"))
-    return grouped.select(*keys, "n_claims", "n_instances", "n_nameless", "open_state", "any_coverage", "claim_problem", "mode", lower.alias("lower"), upper.alias("upper"), F.when(F.col("mode").isNull(), F.col("__nominal")).alias("nominal"))
+
+
+def merge_sums(parts: DataFrame, keys: list[str]) -> DataFrame:
+    """:func:`claim_sums` of all claims from those of parts of them."""
+    more = []
+    if "mode" in parts.columns:
+        more = [F.max("mode").alias("mode"), F.array_distinct(F.flatten(F.collect_list("__instances"))).alias("__instances")]
+        more += [F.sum(c).alias(c) for c in ("n_nameless", "__low_count", "__high_count")] + [F.min(c).alias(c) for c in ("__low_min", "__high_min")]
+    return parts.groupBy(*keys).agg(
+        F.sum("n_claims").alias("n_claims"),
+        *[F.min_by(c, at).alias(c) for c, at in (("open_state", "__open_at"), ("claim_problem", "__problem_at"))],
+        *[F.min(at).alias(at) for at in ("__open_at", "__problem_at")],
+        F.bool_or("any_coverage").alias("any_coverage"),
+        *[F.max(c).alias(c) for c in ("__low_max", "__high_max", "__nominal")],
+        *more,
+    )
+
+
+def reduce_claims(bound: DataFrame, keys: list[str], aggregation: Column | None = None) -> DataFrame:
+    """One row per group: what the gates and the decision table look at."""
+    return reduced(claim_sums(bound, keys, aggregation), keys)
+
+
+def reduced(sums: DataFrame, keys: list[str]) -> DataFrame:
+    """What :func:`decide` looks at, from :func:`claim_sums`.
+
+    Under ``max`` the upper bound counts only if every claim has one, under ``min`` the lower one.
+    """
+    mode, lower, upper = F.lit(None).cast("string"), F.col("__low_max"), F.col("__high_max")
+    n_instances = n_nameless = F.lit(None).cast("long")
+    if "mode" in sums.columns:
+        mode, n_instances, n_nameless = F.col("mode"), F.size("__instances").cast("long"), F.col("n_nameless")
+        every_low, every_high = (F.col(f"{c}_count") == F.col("n_claims") for c in ("__low", "__high"))
+        lower = F.when(mode == "min", F.when(every_low, F.col("__low_min"))).otherwise(lower)
+        upper = F.when(mode == "max", F.when(every_high, upper)).when(mode == "min", F.col("__high_min")).otherwise(upper)
+    return sums.select(*keys, "n_claims", n_instances.alias("n_instances"), n_nameless.alias("n_nameless"), "open_state", "any_coverage", "claim_problem", mode.alias("mode"), lower.alias("lower"), upper.alias("upper"), F.when(mode.isNull(), F.col("__nominal")).alias("nominal"))
 
 
 def _satisfies(value: Column) -> Column:
